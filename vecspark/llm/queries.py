@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspark.llm import bpe, decontaminate, pii, shards
+from vecspark.llm import bpe, decontaminate, pii, shards, simhash
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -20,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", simhash.fingerprint_text().alias("fingerprint"), "component_id")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -37,7 +42,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(), digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_shards, op5_pii, op6_bpe)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_shards, op5_pii, op6_bpe)}
 
 ORACLE_SQL = {
     "op2_decontaminate": r"""
