@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspark.llm import bpe, decontaminate, pii, shards, simhash
+from vecspark.llm import bpe, decontaminate, pii, shards, simhash, suffix_dedup
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -42,7 +42,11 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(), digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_shards, op5_pii, op6_bpe)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_shards, op5_pii, op6_bpe, op10_suffix_dedup)}
 
 ORACLE_SQL = {
     "op2_decontaminate": r"""
