@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspark.llm import bpe, decontaminate, pii, quality, shards, simhash, suffix_dedup
+from vecspark.llm import bpe, decontaminate, pii, quality, shards, simhash, suffix_dedup, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -46,11 +46,15 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_shards, op5_pii, op6_bpe, op7_quality, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_shards, op5_pii, op6_bpe, op7_quality, op9_toxicity, op10_suffix_dedup)}
 
 ORACLE_SQL = {
     "op2_decontaminate": r"""
