@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspark.llm import bpe, decontaminate, pii, quality, shards, simhash, suffix_dedup, toxicity
+from vecspark.llm import ann, bpe, decontaminate, pii, quality, shards, simhash, suffix_dedup, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -34,6 +34,10 @@ def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("vs_size").alias("size"), F.col("vs_crc32").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_in_documents(table(spark, sf_dir, "documents")).drop("redacted")
 
@@ -54,7 +58,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_shards, op5_pii, op6_bpe, op7_quality, op9_toxicity, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_shards, op4_ann, op5_pii, op6_bpe, op7_quality, op9_toxicity, op10_suffix_dedup)}
 
 ORACLE_SQL = {
     "op2_decontaminate": r"""
