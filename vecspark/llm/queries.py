@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspark.llm import ann, bpe, decontaminate, pii, quality, shards, simhash, suffix_dedup, toxicity
+from vecspark.llm import ann, bpe, decontaminate, pii, quality, shards, simhash, suffix_dedup, token_counts, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -50,6 +50,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_edited(token_counts.revision(table(spark, sf_dir, "documents")), tokenizer_path())
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -58,7 +62,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_shards, op4_ann, op5_pii, op6_bpe, op7_quality, op9_toxicity, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_shards, op4_ann, op5_pii, op6_bpe, op7_quality, op8_token_counts, op9_toxicity, op10_suffix_dedup)}
 
 ORACLE_SQL = {
     "op2_decontaminate": r"""
