@@ -14,16 +14,14 @@ import numpy as np
 END = 0
 
 
-def column_wise(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def column_wise(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(bwt, lcp, string, length) over all suffixes, empty ones included, in sorted order.
 
-    Symbols are bytes plus one; END closes each string, and ends differ by the
-    string's number. ``lcp`` counts symbols shared with the suffix before, ends
-    not counted, and stops at 255.
+    ``flat`` has the strings' symbols end to end, as numbers from 1 below 65536;
+    END closes each string, and ends differ by the string's number. ``lcp`` counts
+    symbols shared with the suffix before, ends not counted, and stops at 255.
     """
-    n = len(strings)
-    sizes = np.fromiter(map(len, strings), dtype=np.int64, count=n)
-    flat = np.frombuffer(b"".join(strings), dtype=np.uint8).astype(np.uint16) + 1
+    n = len(sizes)
     starts = np.cumsum(sizes) - sizes
     flat = np.append(flat, END).astype(np.uint16)
     at = np.arange(n)
@@ -34,9 +32,9 @@ def column_wise(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     for done in range(1, int(sizes.max(initial=0)) + 1):
         old = len(bwt)
         order = np.argsort(bwt, kind="stable")
-        ends = int(np.searchsorted(bwt[order[: old]], END, side="right")) if old else 0
-        place = np.empty(old, dtype=np.int64)
-        place[order] = np.arange(old)
+        ends = old - int(np.count_nonzero(bwt))
+        place = np.empty(old, dtype=np.int32)
+        place[order] = np.arange(old, dtype=np.int32)
         # The first n places belong to the empty suffixes; END symbols of the transform lead nowhere.
         target = place[at[active]] - ends + n
         # Suffixes whose neighbour before may be new: the new ones and those after them.
@@ -71,21 +69,24 @@ def column_wise(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         bwt, lcp, string, length = files
         lcp[turned - ends + n] = shared
         at[active] = target
-        # Later insertions of this round moved the places that were noted in this round's numbers already.
         active = active[sizes[active] > done]
     return bwt, lcp, string, length
 
 
-def least_owner(strings: list[bytes], owners: np.ndarray, depth: int) -> list[np.ndarray]:
-    """For each string and each start of a run of ``depth`` bytes in it: the least owner of a string with that run."""
-    _, lcp, string, length = column_wise(strings)
+def of_bytes(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Byte strings as ``flat`` and ``sizes``: symbols are bytes plus one."""
+    return np.frombuffer(b"".join(strings), dtype=np.uint8).astype(np.uint16) + 1, np.array([len(x) for x in strings], dtype=np.int64)
+
+
+def least_owner(flat: np.ndarray, sizes: np.ndarray, owners: np.ndarray, depth: int) -> np.ndarray:
+    """For each string's every start of a run of ``depth`` symbols, end to end: the least owner of a string with that run."""
+    _, lcp, string, length = column_wise(flat, sizes)
     group = np.cumsum(lcp < depth) - 1
     least = np.full(int(group[-1]) + 1 if len(group) else 0, np.iinfo(np.int64).max)
     deep = np.flatnonzero(length >= depth)
     np.minimum.at(least, group[deep], owners[string[deep]])
-    sizes = np.fromiter(map(len, strings), dtype=np.int64, count=len(strings))
     runs = np.maximum(sizes - depth + 1, 0)
     first = np.cumsum(runs) - runs
     out = np.empty(int(runs.sum()), dtype=np.int64)
     out[first[string[deep]] + sizes[string[deep]] - length[deep]] = least[group[deep]]
-    return np.split(out, np.cumsum(runs)[:-1]) if len(strings) else []
+    return out

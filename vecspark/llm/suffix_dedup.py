@@ -68,20 +68,20 @@ def sliding_least(a: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(out[: len(a) - w + 1], out[w - size :]) if size < w else out
 
 
-def stretches(raw: np.ndarray, sizes: np.ndarray, depth: int = DEPTH, k: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first start, number of starts, anchor's hash) of the runs of neighbouring starts that share an anchor.
+def stretches(raw: np.ndarray, sizes: np.ndarray, depth: int = DEPTH, k: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first start, number of starts, anchor's start, anchor's hash) of the runs of neighbouring starts that share an anchor.
 
     ``raw`` holds documents of ``sizes`` bytes end to end; no run crosses one's end.
     """
     n = len(raw) - depth + 1
     if n <= 0:
-        return (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64))
+        return (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64))
     ends = np.cumsum(sizes)
     valid = np.ones(n + depth, dtype=np.int8)
     for back in range(1, depth):
         at = ends - back
         valid[at[(at >= 0) & (at < n)]] = 0
-    firsts, counts, hashes = [], [], []
+    firsts, counts, anchors, hashes = [], [], [], []
     w = depth - k + 1
     for at in range(0, n, STEP):
         high = min(n, at + STEP)
@@ -94,8 +94,9 @@ def stretches(raw: np.ndarray, sizes: np.ndarray, depth: int = DEPTH, k: int = A
         edge, count = edge[ok[edge]], count[ok[edge]]
         firsts.append(edge + at)
         counts.append(count)
+        anchors.append(chosen[edge] + at)
         hashes.append(h[chosen[edge]])
-    return np.concatenate(firsts), np.concatenate(counts), np.concatenate(hashes)
+    return np.concatenate(firsts), np.concatenate(counts), np.concatenate(anchors), np.concatenate(hashes)
 
 
 def pack(raw: bytes) -> bytes:
@@ -138,7 +139,7 @@ class Segment:
         self.sizes = np.asarray(sizes, dtype=np.int64)
         self.text = unpack(packed)
         self.raw = np.frombuffer(self.text, dtype=np.uint8)
-        self.first, self.count, h = stretches(self.raw, self.sizes)
+        self.first, self.count, self.anchor, h = stretches(self.raw, self.sizes)
         self.share = ((h >> np.uint64(32)) % np.uint64(shares)).astype(np.int64)
         self.value = h.astype(np.uint32)
         self.key = (self.share.astype(np.uint64) << np.uint64(32)) | self.value
@@ -146,19 +147,47 @@ class Segment:
         self.owner = np.array(self.ids, dtype=np.int64)[self.doc] if len(self.doc) else self.doc
 
     def shared(self, answers: list[dict]) -> np.ndarray:
-        """The stretches whose anchor stands in several documents, by the shares' answers."""
-        keys = [np.frombuffer(a["packed"], dtype="<u4").astype(np.uint64) | np.uint64(a["share"] << 32) for a in answers]
-        return np.flatnonzero(np.isin(self.key, np.concatenate(keys))) if keys else np.empty(0, np.int64)
-
-    def pieces(self, answers: list[dict]) -> dict[int, dict[tuple[int, bytes], list[int]]]:
-        """share -> (anchor, text of a stretch) -> where it stands, all in a fixed order."""
-        out: dict[int, dict[tuple[int, bytes], list[int]]] = {}
-        at = self.shared(answers)
-        for i, share, value, a, n in zip(at.tolist(), self.share[at].tolist(), self.value[at].tolist(), self.first[at].tolist(), self.count[at].tolist()):
-            out.setdefault(share, {}).setdefault((value, self.text[a : a + n + DEPTH - 1]), []).append(i)
+        """The stretches whose anchor stands in several documents by the answers, by share."""
+        if not answers or not len(self.key):
+            return np.empty(0, np.int64)
+        keys = np.concatenate([np.frombuffer(a["packed"], dtype="<u4").astype(np.uint64) | np.uint64(a["share"] << 32) for a in answers])
+        at = np.flatnonzero(among(self.key, keys))
+        return at[np.argsort(self.share[at], kind="stable")]
+
+    def pieces(self, answers: list[dict]) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
+        """For each share: it, the distinct texts of its stretches, where the anchor stands in each, the
+        stretches and the number of each one's text. Always in the same order."""
+        every = self.shared(answers)
+        shares = self.share[every]
+        bounds = [0, *(np.flatnonzero(np.diff(shares)) + 1).tolist(), len(every)]
+        for a, b in zip(bounds, bounds[1:]):
+            if a == b:
+                continue
+            at = every[a:b]
+            first = self.first[at]
+            numbers: dict[bytes, int] = {}
+            text, put = self.text, numbers.setdefault
+            number = np.array([put(text[i:j], len(numbers)) for i, j in zip(first.tolist(), (first + self.count[at] + DEPTH - 1).tolist())], dtype=np.int64)
+            before = np.zeros(len(numbers), dtype=np.uint8)
+            before[number] = self.anchor[at] - first
+            yield int(shares[a]), list(numbers), before, at, number
+
+    def least(self, at: np.ndarray, number: np.ndarray, n: int) -> np.ndarray:
+        """The smallest document of each of ``n`` texts."""
+        out = np.full(n, LAST)
+        np.minimum.at(out, number, self.owner[at])
         return out
 
 
+def among(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which values are in ``keys`` (ascending)."""
+    if not len(keys):
+        return np.zeros(len(values), dtype=bool)
+    at = np.searchsorted(keys, values)
+    at[at == len(keys)] = 0
+    return keys[at] == values
+
+
 def sieve(table: DataFrame, shares: int) -> DataFrame:
     """seg, share, packed: the anchors of each segment that stand in more than one document."""
 
@@ -184,7 +213,7 @@ def sieve(table: DataFrame, shares: int) -> DataFrame:
         lists = [np.frombuffer(raw, dtype="<u4") for _, raw in rows]
         value, count = np.unique(np.concatenate(lists), return_counts=True)
         often = value[count > 1]
-        found = [(seg, np.unique(x[np.isin(x, often)])) for (seg, _), x in zip(rows, lists, strict=True)]
+        found = [(seg, np.unique(x[among(x, often)])) for (seg, _), x in zip(rows, lists, strict=True)]
         return [(share, seg, x.astype("<u4").tobytes()) for seg, x in found if len(x)]
 
     return by_share(table.mapInArrow(send, "share int, seg bigint, packed binary"), answer)
@@ -224,57 +253,80 @@ def resolve(table: DataFrame, answers: DataFrame, shares: int, batch_strings: in
         for batch in batches:
             for row in range(batch.num_rows):
                 s = Segment(batch.column(1)[row].values, batch.column(2)[row].values, batch.column(3)[row].as_py(), shares)
-                for share, pieces in s.pieces(ordered(batch.column(4)[row])).items():
-                    values = np.array([v for v, _ in pieces], dtype="<u4")
-                    owners = np.array([s.owner[i].min() for i in pieces.values()], dtype="<i8")
-                    sizes = np.array([len(t) for _, t in pieces], dtype="<u1")
-                    raw = np.array([len(values)], dtype="<u4").tobytes() + values.tobytes() + owners.tobytes() + sizes.tobytes() + b"".join(t for _, t in pieces)
+                for share, texts, before, at, number in s.pieces(ordered(batch.column(4)[row])):
+                    sizes = np.array([len(t) for t in texts], dtype="<u1")
+                    owners = s.least(at, number, len(texts)).astype("<i8")
+                    raw = np.array([len(texts)], dtype="<u4").tobytes() + owners.tobytes() + sizes.tobytes() + before.tobytes() + b"".join(texts)
                     yield arrow_rows(SENT, [[share], [batch.column(0)[row].as_py()], [pack(raw)]])
 
     def answer(share: int, rows: list[tuple[int, bytes]]) -> list[tuple[int, int, bytes]]:
-        known: dict[tuple[int, bytes], int] = {}
-        least: list[int] = []
-        held = []
+        numbers: dict[tuple[bytes, int], int] = {}
+        held, put = [], numbers.setdefault
         for seg, packed in rows:
             raw = unpack(packed)
             n = int(np.frombuffer(raw, "<u4", 1)[0])
-            values = np.frombuffer(raw, "<u4", n, 4).tolist()
-            owners = np.frombuffer(raw, "<i8", n, 4 + 4 * n)
-            sizes = np.frombuffer(raw, "<u1", n, 4 + 12 * n)
-            at = 4 + 13 * n
-            ids = np.empty(n, dtype=np.int64)
-            for i, (v, size, o) in enumerate(zip(values, sizes.tolist(), owners.tolist())):
-                key = (v, raw[at : at + size])
-                at += size
-                j = known.setdefault(key, len(least))
-                if j == len(least):
-                    least.append(o)
-                elif o < least[j]:
-                    least[j] = o
-                ids[i] = j
+            owners = np.frombuffer(raw, "<i8", n, 4)
+            sizes, before = np.frombuffer(raw, "<u1", n, 4 + 8 * n), np.frombuffer(raw, "<u1", n, 4 + 9 * n).tolist()
+            ends = np.cumsum(sizes, dtype=np.int64) + 4 + 10 * n
+            ids = np.array([put((raw[i:j], k), len(numbers)) for i, j, k in zip((ends - sizes).tolist(), ends.tolist(), before)], dtype=np.int64)
             held.append((seg, ids, owners))
-        texts, owner = list(known), np.array(least, dtype=np.int64)
-        order = sorted(range(len(texts)), key=lambda i: texts[i][0])
-        firsts: list[np.ndarray] = [np.empty(0, np.int64)] * len(texts)
-        at = 0
-        while at < len(order):
-            end = min(at + batch_strings, len(order))
-            while end < len(order) and texts[order[end]][0] == texts[order[end - 1]][0]:
-                end += 1
-            part = order[at:end]
-            for i, found in zip(part, least_owner([texts[i][1] for i in part], owner[part], DEPTH)):
-                firsts[i] = found
-            at = end
+        least = np.full(len(numbers), LAST)
+        for _, ids, owners in held:
+            np.minimum.at(least, ids, owners)
+        runs, first, known = earliest(list(numbers), least, batch_strings)
         out = []
         for seg, ids, owners in held:
-            bits = [int((1 << np.flatnonzero(firsts[i] < o)).sum()) for i, o in zip(ids.tolist(), owners.tolist())]
-            out.append((share, seg, pack(np.array(bits, dtype="<u4").tobytes())))
+            n = runs[ids]
+            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            bit = (known[np.repeat(first[ids], n) + step] < np.repeat(owners, n)).astype(np.uint32) << step.astype(np.uint32)
+            out.append((share, seg, pack(np.add.reduceat(bit, np.cumsum(n) - n).astype("<u4").tobytes())))
         return out
 
     joined = table.join(answers, "seg").select("seg", "ids", "sizes", "packed", "answers")
     return by_share(joined.mapInArrow(send, "share int, seg bigint, packed binary"), answer)
 
 
+def earliest(texts: list[tuple[bytes, int]], owners: np.ndarray, batch_strings: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the runs of ``DEPTH`` bytes in each text, end to end: the smallest document that has it.
+
+    ``texts`` are (stretch, where its anchor starts). Texts of one anchor go to one
+    collection, of ``batch_strings`` texts or, if one anchor has more, just its own.
+    The anchor, which equal runs share at the same place, counts as one symbol.
+    Returns the number of runs of each text, where they begin, and the documents.
+    """
+    by_anchor: dict[bytes, list[int]] = {}
+    for i, (text, k) in enumerate(texts):
+        by_anchor.setdefault(text[k : k + ANCHOR], []).append(i)
+    runs = np.array([len(t) - DEPTH + 1 for t, _ in texts], dtype=np.int64)
+    first = np.cumsum(runs) - runs
+    known = np.empty(int(runs.sum()), dtype=np.int64)
+    part: list[int] = []
+    marks: list[int] = []
+    groups = list(by_anchor.values())
+    for g, group in enumerate(groups):
+        marks += [257 + len(part)] * len(group) if not marks else [marks[-1] + 1] * len(group)
+        part += group
+        if len(part) >= batch_strings or g == len(groups) - 1:
+            flat, sizes = collection([texts[i] for i in part], marks)
+            found = least_owner(flat, sizes, owners[part], DEPTH - ANCHOR + 1)
+            n = runs[part]
+            known[np.repeat(first[part], n) + np.arange(len(found)) - np.repeat(np.cumsum(n) - n, n)] = found
+            part, marks = [], []
+    return runs, first, known
+
+
+def collection(texts: list[tuple[bytes, int]], marks: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' symbols end to end, each text's anchor as the one symbol of ``marks``, and their sizes."""
+    sizes = np.array([len(t) for t, _ in texts], dtype=np.int64)
+    flat = np.frombuffer(b"".join(t for t, _ in texts), dtype=np.uint8).astype(np.uint16) + 1
+    at = np.cumsum(sizes) - sizes + np.array([k for _, k in texts], dtype=np.int64)
+    flat[at] = marks
+    keep = np.ones(len(flat), dtype=bool)
+    for i in range(1, ANCHOR):
+        keep[at + i] = False
+    return flat[keep], sizes - ANCHOR + 1
+
+
 def gathered(answers: DataFrame, name: str) -> DataFrame:
     return answers.groupBy("seg").agg(F.collect_list(F.struct("share", "packed")).alias(name))
 
@@ -308,23 +360,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def cut(s: Segment, answers: list[dict], masks: list[dict]) -> tuple[list, list, list, list]:
     """Sizes, removed bytes, removed runs and kept bytes of a segment's documents."""
-    bits = {m["share"]: np.frombuffer(unpack(m["packed"]), dtype="<u4").tolist() for m in masks}
+    bits = {m["share"]: np.frombuffer(unpack(m["packed"]), dtype="<u4") for m in masks}
     cover = np.zeros(len(s.raw) + 1, dtype=np.int32)
-    begins: list[int] = []
-    first, count, owner = s.first.tolist(), s.count.tolist(), s.owner
-    for share, pieces in s.pieces(answers).items():
-        for where, mask in zip(pieces.values(), bits[share], strict=True):
-            least = owner[where].min()
-            for i in where:
-                if owner[i] > least:
-                    begins.append(first[i])
-                    cover[first[i] + count[i] + DEPTH - 1] -= 1
-                elif mask:
-                    for t in range(count[i]):
-                        if mask >> t & 1:
-                            begins.append(first[i] + t)
-                            cover[first[i] + t + DEPTH] -= 1
-    np.add.at(cover, begins, 1)
+    for share, texts, _, at, number in s.pieces(answers):
+        first, count = s.first[at], s.count[at]
+        # A text that a smaller document of this segment has is known in whole; else its mask says.
+        whole = s.owner[at] > s.least(at, number, len(texts))[number]
+        np.add.at(cover, first[whole], 1)
+        np.add.at(cover, (first + count + DEPTH - 1)[whole], -1)
+        rest = np.flatnonzero(~whole)
+        mask = bits[share][number[rest]]
+        for t in range(int(count.max())):
+            start = first[rest[mask >> np.uint32(t) & np.uint32(1) > 0]] + t
+            np.add.at(cover, start, 1)
+            np.add.at(cover, start + DEPTH, -1)
     gone = np.cumsum(cover[:-1]) > 0
     ends = np.cumsum(s.sizes)
     removed, spans, kept = [], [], []
