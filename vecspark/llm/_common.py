@@ -74,3 +74,31 @@ def arrow_rows(schema: pa.Schema, columns: Iterable[Any]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema
     )
+
+
+def row_wise(docs: DataFrame, text_col: str, make: Callable[[list, pa.RecordBatch], dict[str, Any]], added: dict[str, str] | None = None) -> DataFrame:
+    """``docs`` with the columns that ``make(texts, batch)`` gives for each batch of rows.
+
+    Columns named as those of ``docs`` replace them; others must be in ``added``
+    (name -> type), replacing clashing ones. A column ``vs_keep`` selects the rows
+    that stay. Everything else passes as it is, without a shuffle.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+
+    extra = [StructField(n, _parse_datatype_string(t)) for n, t in (added or {}).items()]
+    plain = docs.drop(*(f.name for f in extra))
+    schema = StructType([*plain.schema.fields, *extra])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                new = make(part.column(at).to_pylist(), part)
+                columns = [pa.array(new[f.name], type=f.type) if f.name in new else part.column(i) for i, f in enumerate(arrow)]
+                out = pa.RecordBatch.from_arrays(columns, names=arrow.names)
+                yield out.filter(pa.array(new["vs_keep"], type=pa.bool_())) if "vs_keep" in new else out
+
+    return plain.mapInArrow(run, schema)

@@ -11,6 +11,7 @@ margin.
 
 from __future__ import annotations
 
+import math
 import unicodedata
 import uuid
 from collections.abc import Iterator
@@ -21,9 +22,8 @@ import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from vecspark.llm._common import arrow_rows, stored, worker_cache
+from vecspark.llm._common import arrow_rows, row_wise, stored, worker_cache
 
 ORDER = 4
 A = 48
@@ -78,7 +78,10 @@ def grams(own: np.ndarray, order: int = ORDER) -> np.ndarray:
 
 
 def trusted_symbols(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id``, ``packed`` of the documents in ``trusted`` (ids). Only packed classes are shuffled."""
+    """``id``, ``packed`` of the documents in ``trusted`` (ids). Only packed classes are shuffled.
+
+    The join is a merge at every size, not a broadcast at some: the labels grow with the documents.
+    """
     schema = pa.schema([("id", pa.int64()), ("packed", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +90,7 @@ def trusted_symbols(docs: DataFrame, trusted: DataFrame, id_col: str, text_col:
             yield arrow_rows(schema, [batch.column(0), [pack(symbols(t).tobytes()) for t in batch.column(1).to_pylist()]])
 
     picked = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].alias("text"))
-    return picked.mapInArrow(run, "id bigint, packed binary").join(trusted, "id", "left_semi")
+    return picked.mapInArrow(run, "id bigint, packed binary").join(trusted.hint("merge"), "id", "left_semi")
 
 
 def counted(packed: DataFrame, order: int = ORDER) -> DataFrame:
@@ -157,34 +160,31 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> dict:
 
 def log_table(model: dict) -> np.ndarray:
     """log p of every n-gram of the highest order, unseen ones through their contexts' back-off."""
-    dense = np.full(A, 1.0 / A)
+    dense = np.full(A, 1.0 / A, dtype=np.float32)
     for k, ((g, p), (c, back)) in enumerate(zip(model["p"], model["back"], strict=True)):
-        weight = np.ones(A**k)
+        weight = np.ones(A**k, dtype=np.float32)
         weight[c] = back
-        below = np.tile(dense, A) if k else dense
-        dense = (below.reshape(A**k, A) * weight[:, None]).ravel()
+        dense = np.tile(dense, A) if k else dense
+        dense.reshape(A**k, A)[:] *= weight[:, None]
         dense[g] = p
-    return np.log(dense).astype(np.float32)
+    return np.log(dense, out=dense)
 
 
-def perplexities(docs: DataFrame, model: Broadcast, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` with ``vs_nll`` (total minus log probability) and ``vs_n`` (symbols, the edge included)."""
-    fields = [f for f in docs.schema.fields if f.name in keep]
-    picked = docs.select(*(docs[f.name] for f in fields), docs[text_col].alias("vs_text"))
+def score(text: str | None, model: Broadcast) -> tuple[float, int]:
+    """Minus the log probability of a text, and its symbols, the closing edge included."""
+    logs = worker_cache(("kneser-ney", model.value["key"]), lambda: log_table(model.value), keep=2)
+    g = grams(symbols(text))
+    return -float(logs[g].sum(dtype=np.float64)), len(g)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = worker_cache(("kneser-ney", model.value["key"]), lambda: log_table(model.value), keep=8)
-        for batch in batches:
-            nll, n = [], []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
-                g = grams(symbols(text))
-                nll.append(-float(logs[g].sum(dtype=np.float64)))
-                n.append(len(g))
-            columns = [*batch.columns[:-1], pa.array(nll, type=pa.float64()), pa.array(n, type=pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "vs_nll", "vs_n"])
 
-    schema = T.StructType([*fields, T.StructField("vs_nll", T.DoubleType()), T.StructField("vs_n", T.LongType())])
-    return picked.mapInArrow(run, schema)
+def perplexities(docs: DataFrame, model: Broadcast, text_col: str) -> DataFrame:
+    """``docs`` with ``vs_nll`` and ``vs_n``: see :func:`score`."""
+
+    def make(texts: list, batch: pa.RecordBatch) -> dict:
+        nll, n = zip(*(score(t, model) for t in texts), strict=True)
+        return {"vs_nll": nll, "vs_n": n}
+
+    return row_wise(docs, text_col, make, {"vs_nll": "double", "vs_n": "bigint"})
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Broadcast:
@@ -194,43 +194,65 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return docs.sparkSession.sparkContext.broadcast(model | {"key": uuid.uuid4().hex})
 
 
-def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, margin: float = 1.05, least_trusted: int = 100, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality") -> DataFrame:
-    """Per row of ``docs``: id, language, ``perplexity``, ``threshold``, ``keep``.
+class Limits:
+    """What the trusted documents say: the mean and the limit of the smoothed log perplexity, by language."""
+
+    def __init__(self, means: dict[str, float], mean_all: float, limits: dict[str, float], limit_all: float):
+        self.means, self.mean_all, self.limits, self.limit_all = means, mean_all, limits, limit_all
+
+    def smoothed(self, lang: str | None, nll: float, n: int) -> float:
+        return (nll + PRIOR * self.means.get(lang or "", self.mean_all)) / (n + PRIOR)
+
+    def limit(self, lang: str | None) -> float:
+        return self.limits.get(lang or "", self.limit_all)
+
+
+def limits_of(docs: DataFrame, labels: DataFrame, model: Broadcast, quantile: float, least_trusted: int, id_col: str, text_col: str, lang_col: str, label_col: str) -> Limits:
+    """The limits from the scores of all trusted documents.
+
+    The quantile is exact to a thousandth of the log perplexity: it is read off a
+    histogram, so no list of scores is gathered anywhere.
+    """
+    trusted = labels.where(F.col(label_col) == 1).select(F.col(id_col).cast("bigint").alias("id")).distinct()
+    named = docs.select(docs[id_col].cast("bigint").alias("id"), F.coalesce(docs[lang_col].cast("string"), F.lit("")).alias("lang"), docs[text_col].alias("text"))
+    good = stored(perplexities(named, model, "text").select("id", "lang", "vs_nll", "vs_n").join(trusted.hint("merge"), "id", "left_semi"), "scores")
+    levels = good.groupBy("lang").agg(F.sum("vs_nll").alias("nll"), F.sum("vs_n").alias("n"), F.count("*").alias("docs")).collect()
+    n = sum(r.n for r in levels)
+    mean_all = sum(r.nll for r in levels) / n if n else 0.0
+    means = {r.lang: r.nll / r.n for r in levels if r.docs >= least_trusted}
+    mean = F.lit(mean_all)
+    for lang, x in means.items():
+        mean = F.when(F.col("lang") == lang, F.lit(x)).otherwise(mean)
+    smooth = (F.col("vs_nll") + PRIOR * mean) / (F.col("vs_n") + PRIOR)
+    bins = good.select("lang", F.ceil(smooth * 1000).alias("b")).groupBy("lang", "b").count().collect()
+    limits = {lang: at_quantile([(r.b, r["count"]) for r in bins if r.lang == lang], quantile) for lang in means}
+    return Limits(means, mean_all, limits, at_quantile([(r.b, r["count"]) for r in bins], quantile) if bins else float("inf"))
+
+
+def judged(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, margin: float = 1.05, least_trusted: int = 100, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", only_kept: bool = False) -> DataFrame:
+    """``docs`` with ``perplexity``, ``threshold`` and ``keep``; with ``only_kept`` the rows kept, as they are.
 
     ``perplexity`` includes ``PRIOR`` symbols at the trusted documents' mean of
     the language, so that a text of few characters is judged by little. The
     threshold is the language's trusted ``quantile`` times ``margin``; languages
     with fewer than ``least_trusted`` trusted documents (and null ones) use that of
     all languages. Null and empty texts score the edge alone and are kept by the
-    prior; very long texts are scored whole; repeated rows give repeated rows;
-    without any trusted document everything is kept. The quantile is exact to a
-    thousandth of the log perplexity: it is read off a histogram.
+    prior; very long texts are scored whole; repeated rows are judged alike and
+    all stay; without any trusted document everything is kept; columns of clashing
+    names are replaced (``only_kept``: left alone).
     """
     model = train(docs, labels, id_col, text_col, label_col)
-    scored = stored(perplexities(docs, model, id_col, text_col, [id_col, lang_col]).withColumnsRenamed({id_col: "id", lang_col: "lang"}).withColumn("id", F.col("id").cast("bigint")), "scores")
-    trusted = labels.where(F.col(label_col) == 1).select(F.col(id_col).cast("bigint").alias("id")).distinct()
-    good = scored.join(trusted, "id", "left_semi").select(F.coalesce("lang", F.lit("")).alias("lang"), "vs_nll", "vs_n")
-    levels = good.groupBy("lang").agg(F.sum("vs_nll").alias("nll"), F.sum("vs_n").alias("n"), F.count("*").alias("docs")).collect()
-    everything = (sum(r.nll for r in levels), sum(r.n for r in levels))
-    mean_all = everything[0] / everything[1] if everything[1] else 0.0
-    means = {r.lang: r.nll / r.n for r in levels if r.docs >= least_trusted}
-    smooth = smoothed(means, mean_all)
-    bins = good.select("lang", F.ceil(smooth * 1000).alias("b")).groupBy("lang", "b").count().collect()
-    limits = {lang: at_quantile([(r.b, r["count"]) for r in bins if r.lang == lang], quantile) for lang in means}
-    limit_all = at_quantile([(r.b, r["count"]) for r in bins], quantile) if bins else float("inf")
-    limit = F.lit(limit_all)
-    for lang, x in limits.items():
-        limit = F.when(F.col("lang") == lang, F.lit(x)).otherwise(limit)
-    out = scored.select(F.col("id").alias(id_col), F.col("lang").alias(lang_col), F.exp(smooth).alias("perplexity"), (F.exp(limit) * margin).alias("threshold"))
-    return out.withColumn("keep", F.col("perplexity") <= F.col("threshold"))
+    limits = docs.sparkSession.sparkContext.broadcast(limits_of(docs, labels, model, quantile, least_trusted, id_col, text_col, lang_col, label_col))
 
+    def make(texts: list, batch: pa.RecordBatch) -> dict:
+        own = limits.value
+        langs = batch.column(batch.schema.get_field_index(lang_col)).to_pylist()
+        found = [math.exp(min(own.smoothed(lang, *score(text, model)), 700.0)) for lang, text in zip(langs, texts, strict=True)]
+        bar = [math.exp(min(own.limit(lang), 700.0)) * margin for lang in langs]
+        keep = [x <= y for x, y in zip(found, bar, strict=True)]
+        return {"vs_keep": keep} if only_kept else {"perplexity": found, "threshold": bar, "keep": keep}
 
-def smoothed(means: dict[str, float], mean_all: float):
-    """A column: minus log probability a symbol, with ``PRIOR`` symbols of the language's mean."""
-    mean = F.lit(mean_all)
-    for lang, x in means.items():
-        mean = F.when(F.col("lang") == lang, F.lit(x)).otherwise(mean)
-    return (F.col("vs_nll") + PRIOR * mean) / (F.col("vs_n") + PRIOR)
+    return row_wise(docs, text_col, make, {} if only_kept else {"perplexity": "double", "threshold": "double", "keep": "boolean"})
 
 
 def at_quantile(bins: list[tuple[int, int]], q: float) -> float:

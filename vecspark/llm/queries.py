@@ -47,7 +47,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text", "source", "n_chars")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,13 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_shards, op4_ann, op5_pii, op6_bpe, op7_quality, op8_token_counts, op9_toxicity, op10_suffix_dedup)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_shards, op4_ann, op5_pii, op6_bpe, op7_quality, op8_token_counts, op9_toxicity, op10_suffix_dedup, pipeline)}
 
 ORACLE_SQL = {
     "op2_decontaminate": r"""
