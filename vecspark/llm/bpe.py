@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from vecspark.llm._common import arrow_rows, worker_cache
+from vecspark.llm._common import arrow_rows, row_wise, worker_cache
 
 # Fixed value: the pre-token pattern of public byte-level vocabularies.
 PRE_TOKEN = (
@@ -197,3 +197,16 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     kinds = "ids_sha256 string, decoded_sha256 string" if digest else "ids array<bigint>, decoded string"
     picked = docs.select(docs[id_col].cast("bigint").alias(id_col), docs[text_col].alias(text_col))
     return picked.mapInArrow(run, f"`{id_col}` bigint, n_tokens bigint, {kinds}")
+
+
+def tokenized(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``ids`` (of the whole text), ``n_tokens`` and ``decoded``, whether the ids give the text back."""
+    spec = docs.sparkSession.sparkContext.broadcast(read_spec(tokenizer_path))
+
+    def make(texts: list, batch: pa.RecordBatch) -> dict:
+        codec = codec_of(spec.value)
+        ids = [np.frombuffer(codec.encode(t or ""), dtype="<u4").astype(np.int32) for t in texts]
+        same = [codec.decode(i.tolist()) == (t or "") for i, t in zip(ids, texts, strict=True)]
+        return {"ids": ids, "n_tokens": list(map(len, ids)), "decoded": same}
+
+    return row_wise(docs, text_col, make, {"ids": "array<int>", "n_tokens": "bigint", "decoded": "boolean"})

@@ -218,3 +218,9 @@ def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def sha_of_items(items: Sequence[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+
+
+def clean_documents(docs: DataFrame, bench: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that hold no window of a test item, as they are; rows without an id stay."""
+    hit = contamination(docs, bench, n, id_col=id_col, text_col=text_col).where(F.size("hits") > 0).select(F.col(id_col).alias("vs_id"))
+    return docs.join(hit.hint("merge"), docs[id_col].cast("bigint") == hit.vs_id, "left_anti")

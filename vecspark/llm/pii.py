@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from vecspark.llm._common import arrow_rows
+from vecspark.llm._common import arrow_rows, row_wise
 
 Span = tuple[str, int, int]
 KINDS = ("email", "ip", "card", "phone")
@@ -257,3 +257,17 @@ def find_in_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     counts = ", ".join(f"n_{k} bigint" for k in KINDS)
     picked = docs.select(docs[id_col].cast("bigint").alias(id_col), docs[text_col].alias(text_col))
     return picked.mapInArrow(run, f"`{id_col}` bigint, {counts}, base_sha256 string, spans string, n_added bigint, redacted string")
+
+
+def redacted_documents(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+    """``docs`` with every span of personal data replaced by its kind; ``length_col``, if it is there, follows the text."""
+
+    def make(texts: list, batch: pa.RecordBatch) -> dict:
+        new = []
+        for text in texts:
+            base, added = find(text)
+            new.append(redact(text, base + added) if base or added else text)
+        lengths = [None if t is None else len(t) for t in new]
+        return {text_col: new} | ({length_col: lengths} if length_col in batch.schema.names else {})
+
+    return row_wise(docs, text_col, make)

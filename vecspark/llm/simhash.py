@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecspark.llm._common import arrow_rows, as_bytes, stored
@@ -158,3 +158,144 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def fingerprint_text(fp: str = "fp"):
     """The fingerprint as 16 lowercase hex digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+#: Words of 64 bits in a wide fingerprint, and bits in each of its segments.
+WIDE, SEGMENT_BITS = 32, 24
+
+
+def majority(rows: np.ndarray) -> np.ndarray:
+    """Bitwise majority of rows of 64-bit words, by adding bit-sliced counters pairwise."""
+    k, planes = len(rows), [rows]
+    while len(planes[0]) > 1:
+        if len(planes[0]) % 2:
+            planes = [np.concatenate([p, np.zeros((1, p.shape[1]), dtype=np.uint64)]) for p in planes]
+        carry, added = np.zeros_like(planes[0][::2]), []
+        for p in planes:
+            a, b = p[::2], p[1::2]
+            odd = a ^ b
+            added.append(odd ^ carry)
+            carry = (a & b) | (carry & odd)
+        planes = [*added, carry]
+    counts = sum(np.unpackbits(p.astype("<u8").view(np.uint8), bitorder="little").astype(np.int64) << i for i, p in enumerate(planes))
+    return np.packbits(counts * 2 > k, bitorder="little").view("<u8")
+
+
+def wide_fingerprint(text: bytes | None, n: int = 5, words: int = WIDE, seed: int = 42) -> np.ndarray:
+    """SimHash of ``64 * words`` bits over the distinct n-word shingles; zero without words."""
+    digest = xxhash.xxh64_intdigest
+    h = np.array([digest(s, seed) for s in set(shingles(text, n))], dtype=np.uint64)
+    if not len(h):
+        return np.zeros(words, dtype="<u8")
+    mixed = h[:, None] + (np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        mixed ^= mixed >> np.uint64(shift)
+        mixed *= np.uint64(factor)
+    return majority(mixed ^ (mixed >> np.uint64(31)))
+
+
+def most_apart(similarity: float, bits: int) -> int:
+    """The expected bits that differ between equally large sets of that Jaccard similarity."""
+    return int(np.floor(np.arccos(2 * similarity / (1 + similarity)) / np.pi * bits))
+
+
+def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """``id``, ``wide`` (the fingerprint's bytes) of every row."""
+    schema = pa.schema([("id", pa.int64()), ("wide", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield arrow_rows(schema, [batch.column(0), [wide_fingerprint(t, n).tobytes() for t in as_bytes(batch.column(1))]])
+
+    return docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].alias("text")).mapInArrow(run, "id bigint, wide binary")
+
+
+def segment_rows(nodes: DataFrame) -> DataFrame:
+    """``k`` (segment and its bits), ``rest`` (the bits that follow on the ring), ``node``: a row a segment."""
+    schema = pa.schema([("k", pa.int64()), ("rest", pa.int64()), ("node", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                raw = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=np.uint8).reshape(part.num_rows, -1)
+                count, step = raw.shape[1] // (SEGMENT_BITS // 8), SEGMENT_BITS // 8
+                ring = np.concatenate([raw, raw[:, :8]], axis=1)
+                for i in range(count):
+                    own = np.ascontiguousarray(ring[:, i * step : i * step + 8]).view(">u8").ravel().astype(np.uint64)
+                    key = (own >> np.uint64(64 - SEGMENT_BITS)).astype(np.int64) | (i << 32)
+                    rest = (own & np.uint64((1 << (64 - SEGMENT_BITS)) - 1)).astype(np.int64)
+                    yield arrow_rows(schema, [key, rest, part.column(0)])
+
+    return nodes.select("node", "wide").mapInArrow(run, "k bigint, rest bigint, node bigint")
+
+
+def neighbour_pairs(rows: DataFrame) -> DataFrame:
+    """``u``, ``v``: rows of one segment value that follow each other in the order of the bits behind it,
+    and each with the first of them. Linear in the rows, in any group."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_key, last, first = -1, 0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.concatenate([[last_key], batch.column(0).to_numpy()])
+            node = np.concatenate([[last], batch.column(2).to_numpy()])
+            same = key[1:] == key[:-1]
+            begin = np.where(np.concatenate([[True], ~same]), np.arange(len(key)), 0)
+            heads = node.copy()
+            heads[0] = first
+            head = heads[np.maximum.accumulate(begin)]
+            u = np.concatenate([node[1:][same], node[1:][same]])
+            v = np.concatenate([node[:-1][same], head[1:][same]])
+            last_key, last, first = int(key[-1]), int(node[-1]), int(head[-1])
+            keep = u != v
+            yield arrow_rows(schema, [np.maximum(u, v)[keep], np.minimum(u, v)[keep]])
+
+    ordered = rows.repartitionByRange("k", "rest").sortWithinPartitions("k", "rest", "node")
+    return ordered.mapInArrow(run, "u bigint, v bigint").distinct()
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of ``docs``: ``id``, ``component_id`` (smallest id reachable), for texts of at least ``similarity``.
+
+    Similarity is that of the sets of n-word shingles, measured by the Hamming
+    distance of wide fingerprints (2048 bits: a standard error of 0.015 at 0.8).
+    Candidates agree in one of 85 segments and follow each other there. Rules for
+    nulls, empty texts and repeated rows are those of :func:`near_duplicates`.
+    """
+    own = stored(wide_fingerprints(docs, id_col, text_col, n), "wide")
+    nodes = stored(own.groupBy("wide").agg(F.min("id").alias("first")).withColumn("node", F.xxhash64("wide")), "nodes")
+    pairs = neighbour_pairs(stored(segment_rows(nodes), "segments"))
+    limit = most_apart(similarity, 64 * WIDE)
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                a, b = (np.frombuffer(b"".join(part.column(i).to_pylist()), dtype="<u8").reshape(part.num_rows, -1) for i in (2, 3))
+                close = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= limit
+                yield arrow_rows(schema, [part.column(i).to_numpy()[close] for i in (0, 1)])
+
+    side = lambda name, as_: nodes.select(F.col("node").alias(name), F.col("wide").alias(as_)).hint("merge")
+    checked = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b")
+    rooted = components(checked.mapInArrow(near, "u bigint, v bigint"))
+    classes = stored(nodes.join(rooted, "node", "left").select("wide", "first", F.coalesce("root", "node").alias("root")), "classes")
+    named = classes.join(classes.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("wide", "component_id")
+    return own.join(named, "wide").select("id", "component_id")
+
+
+def one_of_each(docs: DataFrame, similarity: float = 0.8, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` of which each group of similar documents keeps one document, that of the smallest id.
+
+    All columns stay as they are. Of rows of the same id the one with the smallest
+    text stays; rows without an id stay.
+    """
+    groups = similar_documents(docs, similarity, n, id_col, text_col)
+    tops = groups.where(F.col("id") == F.col("component_id")).select(F.col("id").alias("vs_id")).distinct()
+    kept = docs.join(tops.hint("merge"), docs[id_col].cast("bigint") == tops.vs_id)
+    first = Window.partitionBy("vs_id").orderBy(F.col(text_col).asc_nulls_first())
+    kept = kept.withColumn("vs_row", F.row_number().over(first)).where("vs_row = 1").drop("vs_row", "vs_id")
+    return kept.unionByName(docs.where(docs[id_col].isNull()))
