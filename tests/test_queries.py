@@ -1,6 +1,5 @@
 import pytest
-from conftest import DATA
-from oracle import check, connection
+from oracle import DATA, check, connection
 
 from vecspark.queries import ORACLE_SQL, QUERIES
 
