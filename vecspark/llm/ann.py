@@ -126,8 +126,8 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, cells_per_half
     half of them for a recall over 0.9, others less. Rows whose vector is null,
     empty, zero or holds null or non-finite components, and rows without an id,
     take no part; so do vectors of another length than the sample's first. Ties go
-    to the smaller id; repeated ids are all candidates, but none of its own id's
-    queries. Too few candidates give fewer rows; empty tables give none.
+    to the smaller id; repeated ids are all candidates, but not for their own id,
+    which asks once, with its smallest vector. Too few candidates give fewer rows; empty tables give none.
     """
     spark = vectors.sparkSession
     rows = usable(vectors.withColumn("vs_query", is_query).select(id_col, vec_col), id_col, vec_col)
@@ -165,8 +165,8 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, cells_per_half
             cells = [walk(a[i], b[i], counts.value, wanted) for i in range(len(v))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cells, type=pa.list_(pa.int32()))], names=["id", "v", "cells"])
 
-    asked = usable(vectors.where(is_query).select(id_col, vec_col), id_col, vec_col).where(F.size("v") == dim)
-    probed = stored(asked.repartition(F.xxhash64("id") % 64).mapInArrow(probe, "id bigint, v array<double>, cells array<int>"), "probes")
+    asked = usable(vectors.where(is_query).select(id_col, vec_col), id_col, vec_col).where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"))
+    probed = stored(asked.mapInArrow(probe, "id bigint, v array<double>, cells array<int>"), "probes")
     blocks, query_blocks = max(1, math.ceil(total / block_rows)), max(1, math.ceil(probed.count() / query_rows))
     spread = lambda n, s: F.pmod(F.xxhash64("id", F.lit(s)), F.lit(n)).cast("int")
     entries = indexed.withColumn("b", spread(blocks, 1)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))

@@ -195,11 +195,12 @@ def sieve(table: DataFrame, shares: int) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 s = Segment(batch.column(1)[row].values, batch.column(2)[row].values, batch.column(3)[row].as_py(), shares)
+                if not len(s.key):
+                    continue
                 # An anchor of several documents here goes twice, others once.
                 order = np.lexsort((s.owner, s.key))
                 key, owner = s.key[order], s.owner[order]
-                new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.empty(0, bool)
-                begin = np.flatnonzero(new)
+                begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
                 several = owner[np.append(begin[1:], len(key)) - 1] != owner[begin]
                 sent = np.repeat(key[begin], 1 + several)
                 share = (sent >> np.uint64(32)).astype(np.int64)
