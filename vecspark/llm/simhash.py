@@ -230,28 +230,26 @@ def segment_rows(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "wide").mapInArrow(run, "k bigint, rest bigint, node bigint")
 
 
-def neighbour_pairs(rows: DataFrame) -> DataFrame:
-    """``u``, ``v``: rows of one segment value that follow each other in the order of the bits behind it,
-    and each with the first of them. Linear in the rows, in any group."""
+def neighbour_pairs(rows: DataFrame, limit: int) -> DataFrame:
+    """``u``, ``v``: rows of one segment value that follow each other in the order of the bits behind it.
+
+    The chain of the equal segment and the bits behind it must keep its share of
+    ``limit``. Linear in the rows, in any group: a group of k is a path, not k * k
+    pairs.
+    """
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    budget = 64 * limit // (64 * WIDE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key, last, first = -1, 0, 0
+        last = np.array([-1]), np.array([0]), np.array([0])
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = np.concatenate([[last_key], batch.column(0).to_numpy()])
-            node = np.concatenate([[last], batch.column(2).to_numpy()])
-            same = key[1:] == key[:-1]
-            begin = np.where(np.concatenate([[True], ~same]), np.arange(len(key)), 0)
-            heads = node.copy()
-            heads[0] = first
-            head = heads[np.maximum.accumulate(begin)]
-            u = np.concatenate([node[1:][same], node[1:][same]])
-            v = np.concatenate([node[:-1][same], head[1:][same]])
-            last_key, last, first = int(key[-1]), int(node[-1]), int(head[-1])
-            keep = u != v
-            yield arrow_rows(schema, [np.maximum(u, v)[keep], np.minimum(u, v)[keep]])
+            key, rest, node = (np.concatenate([old, column.to_numpy()]) for old, column in zip(last, batch.columns))
+            last = key[-1:], rest[-1:], node[-1:]
+            near = (key[1:] == key[:-1]) & (node[1:] != node[:-1]) & (np.bitwise_count(rest[1:] ^ rest[:-1]) <= budget)
+            u, v = node[1:][near], node[:-1][near]
+            yield arrow_rows(schema, [np.maximum(u, v), np.minimum(u, v)])
 
     ordered = rows.repartitionByRange("k", "rest").sortWithinPartitions("k", "rest", "node")
     return ordered.mapInArrow(run, "u bigint, v bigint").distinct()
@@ -267,8 +265,8 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, n: int = 5, id_c
     """
     own = stored(wide_fingerprints(docs, id_col, text_col, n), "wide")
     nodes = stored(own.groupBy("wide").agg(F.min("id").alias("first")).withColumn("node", F.xxhash64("wide")), "nodes")
-    pairs = neighbour_pairs(stored(segment_rows(nodes), "segments"))
     limit = most_apart(similarity, 64 * WIDE)
+    pairs = neighbour_pairs(stored(segment_rows(nodes), "segments"), limit)
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
