@@ -1,54 +1,16 @@
-"""What the operators of this subpackage share: folders, tables, worker caches."""
+"""What the operators of this subpackage share: batches of text, rows to Arrow and back."""
 
 from __future__ import annotations
 
-import sys
-import tempfile
-import types
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-CHECKPOINT_KEY = "spark.checkpoint.dir"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (tests on one machine) a folder of our own is made, once per application.
-    """
-    named = spark.sparkContext.getConf().get(CHECKPOINT_KEY) or spark.conf.get(CHECKPOINT_KEY, None)
-    if named:
-        return named
-    return worker_cache(
-        ("own folder", spark.sparkContext.applicationId), lambda: tempfile.mkdtemp(prefix="vecspark-")
-    )
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as a Parquet table in the shared folder and read back.
-
-    It cuts the lineage: a lost executor costs its running tasks only.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/vecspark/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def worker_cache(key: Any, make: Callable[[], Any], keep: int = 8) -> Any:
-    """``make()``, kept in this process under ``key``; the oldest of ``keep`` entries goes."""
-    holder = sys.modules.setdefault("_vecspark_cache", types.ModuleType("_vecspark_cache"))
-    entries = holder.__dict__.setdefault("entries", {})
-    if key not in entries:
-        while len(entries) >= keep:
-            entries.pop(next(iter(entries)))
-        entries[key] = make()
-    return entries[key]
+from vecspark.storage import shared_folder, stored, worker_cache  # noqa: F401
 
 
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -83,9 +45,6 @@ def row_wise(docs: DataFrame, text_col: str, make: Callable[[list, pa.RecordBatc
     (name -> type), replacing clashing ones. A column ``vs_keep`` selects the rows
     that stay. Everything else passes as it is, without a shuffle.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
-
     extra = [StructField(n, _parse_datatype_string(t)) for n, t in (added or {}).items()]
     plain = docs.drop(*(f.name for f in extra))
     schema = StructType([*plain.schema.fields, *extra])
