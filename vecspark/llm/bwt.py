@@ -38,8 +38,11 @@ def column_wise(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nda
         # The first n places belong to the empty suffixes; END symbols of the transform lead nowhere.
         target = place[at[active]] - ends + n
         # Suffixes whose neighbour before may be new: the new ones and those after them.
-        turned = np.unique(np.concatenate([place[at[active]], np.minimum(place[at[active]] + 1, old - 1)]))
-        turned = turned[turned >= ends]
+        marked = np.zeros(old + 1, dtype=bool)
+        marked[place[at[active]]] = True
+        marked[place[at[active]] + 1] = True
+        marked[:ends] = False
+        turned = np.flatnonzero(marked[:old])
         here = order[turned]
         before = order[np.maximum(turned - 1, 0)]
         same = (turned > ends) & (bwt[before] == bwt[here])

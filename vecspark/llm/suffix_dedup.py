@@ -247,7 +247,7 @@ def ordered(answers) -> list[dict]:
     return sorted(answers.as_py() or [], key=lambda a: a["share"])
 
 
-def resolve(table: DataFrame, answers: DataFrame, shares: int, batch_strings: int = 20_000) -> DataFrame:
+def resolve(table: DataFrame, answers: DataFrame, shares: int, batch_strings: int = 4_000) -> DataFrame:
     """share, seg, packed: for each piece of a segment, in order, a bit a run: a smaller document has it."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
