@@ -68,6 +68,22 @@ def half_precision(v: Column | str) -> Column:
     return rounded(v)
 
 
+def bfloat16(v: Column | str) -> Column:
+    """Values cut to the upper 16 bits of their 32-bit floats, rounded to nearest even."""
+
+    @F.pandas_udf("array<float>")
+    def rounded(s: pd.Series) -> pd.Series:
+        def one(x):
+            if x is None:
+                return None
+            bits = np.asarray(x, dtype="<f4").view("<u4").astype(np.uint64)
+            return (((bits + 0x7FFF + (bits >> 16 & 1)) >> 16 << 16).astype("<u4")).view("<f4")
+
+        return s.map(one)
+
+    return rounded(v)
+
+
 def vector_base64(v: Column | str, dim: int) -> Column:
     """The 32-bit floats of the first ``dim`` components, zeros where there are fewer, in base 64."""
 

@@ -112,13 +112,15 @@ def robust_prune(x: np.ndarray, pool: list[tuple[float, int]], params: GraphPara
     return kept
 
 
-def build(x: np.ndarray, params: GraphParams, labels: list[set] | None = None) -> tuple[list[list[int]], list[int]]:
+def build(x: np.ndarray, params: GraphParams, labels: list[set] | None = None, guide: np.ndarray | None = None) -> tuple[list[list[int]], list[int]]:
     """(neighbours, start rows) of one shard: every row searches its way in, prunes and links back.
 
     With ``labels`` each label has its own start, and a row prunes another only if
-    it has all of its labels.
+    it has all of its labels. ``guide`` holds coarser vectors (decoded codes) to
+    search by; pruning always takes the exact distances.
     """
     n = len(x)
+    guide = x if guide is None else guide
     if not n:
         return [], []
     start = int(squared(x, x.mean(axis=0)).argmin())
@@ -131,10 +133,13 @@ def build(x: np.ndarray, params: GraphParams, labels: list[set] | None = None) -
     covers = (lambda p, q: labels[q] <= labels[p]) if labels else None
     limit = int(params.degree * params.slack)
     for i in range(n):
-        pool = list(greedy(x, nbrs, [start], x[i], params.list_size)[1])
+        pool = list(greedy(guide, nbrs, [start], guide[i], params.list_size)[1])
         if labels and labels[i]:
             own = labels[i]
-            pool += greedy(x, nbrs, sorted({entry[a] for a in own}), x[i], params.list_size, lambda j: bool(labels[j] & own))[1]
+            pool += greedy(guide, nbrs, sorted({entry[a] for a in own}), guide[i], params.list_size, lambda j: bool(labels[j] & own))[1]
+        if guide is not x:
+            near = [j for _, j in pool]
+            pool = list(zip(squared(x[near], x[i]).tolist(), near))
         nbrs[i] = robust_prune(x, [(d, j) for d, j in pool if j != i], params, covers=covers)
         for j in nbrs[i]:
             if i not in nbrs[j]:
@@ -152,6 +157,32 @@ def repruned(x: np.ndarray, i: int, own: list[int], params: GraphParams, covers=
     return robust_prune(x, list(zip(squared(x[own], x[i]).tolist(), own)), params, covers=covers) if own else []
 
 
+def route(x: np.ndarray, nbrs: list[list[int]], starts: list[int], q: np.ndarray, radius: np.ndarray, factor: float, hold: int = 8) -> list[tuple[float, int]]:
+    """The rows expanded on the way to ``q``, by distance, until the bound of the best one's radius says stop.
+
+    Once the best has held for ``hold`` expansions the walk ends at the first row
+    farther than ``factor`` times (best + twice its radius + the row's own).
+    """
+    seen, path = set(starts), []
+    todo = list(zip(squared(x[starts], q).tolist(), starts))
+    heapq.heapify(todo)
+    best, since = (np.inf, -1), 0
+    while todo:
+        d, i = heapq.heappop(todo)
+        if d < best[0]:
+            best, since = (d, i), 0
+        else:
+            since += 1
+        if since >= hold and d > factor * (best[0] + 2 * radius[best[1]] + radius[i]):
+            break
+        path.append((d, i))
+        fresh = [j for j in nbrs[i] if j not in seen]
+        seen.update(fresh)
+        for e, j in zip(squared(x[fresh], q).tolist(), fresh) if fresh else ():
+            heapq.heappush(todo, (e, j))
+    return sorted(path)
+
+
 GRAPH = "shard int, id bigint, v array<double>, labels array<string>, nbrs array<bigint>, is_start boolean"
 GRAPH_ARROW = pa.schema([("shard", pa.int32()), ("id", pa.int64()), ("v", pa.list_(pa.float64())), ("labels", pa.list_(pa.string())), ("nbrs", pa.list_(pa.int64())), ("is_start", pa.bool_())])
 
@@ -173,8 +204,8 @@ def built(sharded: DataFrame, params: GraphParams, filtered: bool = False) -> Da
     return picked.groupBy("shard").applyInArrow(run, GRAPH)
 
 
-def searched(graph: DataFrame, queries: DataFrame, k: int, list_size: int, universal: str | None = None, id_col: str = "id", vec_col: str = "v", labels_col: str | None = None, query_rows: int = 4096) -> DataFrame:
-    """``qid``, ``rank``, ``id``, ``dist``: the best ``k`` over the shards' graphs.
+def searched(graph: DataFrame, queries: DataFrame, k: int, list_size: int, universal: str | None = None, id_col: str = "id", vec_col: str = "v", labels_col: str | None = None, query_rows: int = 4096, expanded: bool = False) -> DataFrame:
+    """``qid``, ``rank``, ``id``, ``dist``: the best ``k`` over the shards' graphs; with ``expanded`` all rows on the ways.
 
     With ``labels_col`` (array of the query's labels) only rows that share one or
     carry the universal label are visited. Queries are dealt over blocks, which go
@@ -204,11 +235,33 @@ def searched(graph: DataFrame, queries: DataFrame, k: int, list_size: int, unive
             own = set(wanted or [])
             ok = (lambda j, own=own: bool(labels[j] & own) or universal in labels[j]) if labels_col else None
             first = [s for s in starts if ok is None or ok(s)]
-            rows += [(qid, int(ids[i]), d) for d, i in greedy(x, nbrs, first, v, list_size, ok)[0][:k]]
+            best, path, _ = greedy(x, nbrs, first, v, list_size, ok)
+            rows += [(qid, int(ids[i]), d) for d, i in (path if expanded else best[:k])]
         return pa.Table.from_arrays([pa.array([r[c] for r in rows], type=f.type) for c, f in enumerate(schema)], schema=schema)
 
     found = held.groupBy("shard", "qb").cogroup(asked.groupBy("in_shard", "qb")).applyInArrow(run, "qid bigint, id bigint, dist double")
-    return top_k(found.groupBy("qid", "id").agg(F.min("dist").alias("dist")), k).select("qid", "rank", "id", "dist")
+    merged = found.groupBy("qid", "id").agg(F.min("dist").alias("dist"))
+    return top_k(merged, 1 << 30 if expanded else k).select("qid", "rank", "id", "dist")
+
+
+def visit_counts(graph: DataFrame, queries: DataFrame, list_size: int) -> DataFrame:
+    """``id``, ``visits``: how many sample queries expand each row (what a cache of nodes would hold first)."""
+    return searched(graph, queries, 1, list_size, expanded=True).groupBy("id").agg(F.count("*").alias("visits"))
+
+
+def merged_by_search(graphs: DataFrame, rows: DataFrame, degree: int, list_size: int = 30) -> DataFrame:
+    """``id``, ``nbrs``: every row linked to what a search for it finds in each shard, ``degree`` over all of them."""
+    n = max(1, graphs.select("shard").distinct().count())
+    each = max(1, degree // n)
+    found = searched(graphs, rows, each * n, max(list_size, each * n))
+    return found.where("qid != id").groupBy(F.col("qid").alias("id")).agg(F.array_sort(F.collect_set("id")).alias("nbrs"))
+
+
+def start_points(spark, dim: int, count: int, radius: float = 1.0, seed: int = 0) -> DataFrame:
+    """``id`` (negative), ``v``, ``is_frozen``: seeded entry points on a sphere, never part of a result."""
+    v = np.random.default_rng(seed).normal(size=(count, dim))
+    v *= radius / np.linalg.norm(v, axis=1, keepdims=True)
+    return spark.createDataFrame([(-1 - i, row.tolist(), True) for i, row in enumerate(v)], "id bigint, v array<double>, is_frozen boolean")
 
 
 def edges(graph: DataFrame) -> DataFrame:

@@ -76,6 +76,39 @@ def spread_out(dist: list[float], v: np.ndarray, most: int, sigma: float) -> lis
     return kept
 
 
+def within_radii(dist: list[float], v: np.ndarray, radius: list[float], sizes: list[int], capacity: int, most: int, params: PagParams) -> list[int]:
+    """Places of candidates by the radii: inside its radius a candidate must also be spread out, far inside need not.
+
+    The nearest always counts; beyond the radius only the first fifth, within one
+    and a half radii and while the list is short.
+    """
+    kept: list[int] = []
+    for i, d in enumerate(dist):
+        if len(kept) >= most:
+            break
+        apart = all(((v[i] - v[j]) ** 2).sum() >= params.sigma * d for j in kept)
+        deep = radius[i] > 0 and d / radius[i] < params.delta
+        early = i < max(1, len(dist) // 5) and d < 1.5 * radius[i] and sizes[i] < 0.4 * capacity
+        if i == 0 or deep or (d <= radius[i] and apart) or early:
+            kept.append(i)
+    return kept
+
+
+def by_chance(point: int, dist: list[float], v: np.ndarray, radius: list[float], sizes: list[int], capacity: int, most: int, params: PagParams) -> list[int]:
+    """Places of candidates drawn with odds that fall with distance and with fullness; the draw depends on the point alone."""
+    draw = np.random.default_rng((params.seed, point & 0x7FFFFFFF))
+    kept: list[int] = []
+    for i, d in enumerate(dist):
+        if len(kept) >= most:
+            break
+        r = max(radius[i], 1e-12)
+        odds = 2 ** (-0.4 * d / r) * 2 ** (-2 * abs(sizes[i] / capacity - 0.05))
+        apart = all(((v[i] - v[j]) ** 2).sum() >= params.sigma * d for j in kept)
+        if draw.random() < odds or d < 0.5 * r or (d < 2 * r and apart):
+            kept.append(i)
+    return kept
+
+
 def candidates(residual: DataFrame, aggs: DataFrame, n: int, spread: bool, params: PagParams) -> DataFrame:
     """``id``, ``agg_id``, ``dist``, ``choice``: each point's nearest aggregation points, thinned if ``spread``."""
     near = knn(aggs, residual, n).select(F.col("qid").alias("id"), F.col("id").alias("agg_id"), "dist", F.col("rank").alias("choice"))

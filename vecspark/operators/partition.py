@@ -21,6 +21,27 @@ def hash_sample(id_col: str, rate: float, seed: int = 0) -> Column:
     return mixed < int(rate * MODULUS)
 
 
+def fixed_sample(df: DataFrame, n: int, id_col: str = "id", seed: int = 0) -> DataFrame:
+    """The ``n`` rows of the smallest mixed ids, without replacement, always the same ones."""
+    mixed = (F.pmod(F.col(id_col), F.lit(MODULUS)) * F.lit(MULTIPLIER) + F.lit(12345 + seed)) % F.lit(MODULUS)
+    return df.orderBy(mixed, id_col).limit(n)
+
+
+def with_global_ids(local: DataFrame, id_map: DataFrame) -> DataFrame:
+    """Rows of ``shard``, ``local_id`` with the ``id`` they have over all shards."""
+    return local.join(id_map, ["shard", "local_id"])
+
+
+def local_ids(placed: DataFrame) -> DataFrame:
+    """``shard``, ``local_id``, ``id``: places in each shard by id, from 0."""
+    return placed.select("shard", (F.row_number().over(Window.partitionBy("shard").orderBy("id")) - 1).cast("bigint").alias("local_id"), "id")
+
+
+def shard_labels(placed: DataFrame, points: DataFrame) -> DataFrame:
+    """``shard``, ``id``, ``labels``: the labels of each shard's rows."""
+    return placed.select("shard", "id").join(points.select("id", "labels"), "id").select("shard", "id", "labels")
+
+
 def centroid(df: DataFrame, vec_col: str, *by: str) -> DataFrame:
     """``centroid``: the mean vector (of each group)."""
     parts = df.select(*by, F.posexplode(F.col(vec_col).cast("array<double>")).alias("pos", "x"))

@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 
 from vecspark.functions.metrics import METRICS
 from vecspark.functions.vectors import mips_base, mips_query, normalised
-from vecspark.operators import dynamic, exact, graph, pag, partition, pq
+from vecspark.operators import dynamic, evaluate, exact, graph, pag, partition, pq
 from vecspark.operators.graph import GraphParams
 from vecspark.plans.params import IndexConfig, list_size_for
+from vecspark.storage import stored
 
 
 def _settings(spark: SparkSession, path: str, values: dict | None = None) -> dict:
@@ -125,6 +126,24 @@ class QuantisedIndex:
             size = min(size * 2, most)
 
 
+    def save(self, path: str) -> None:
+        spark = self.rows.sparkSession
+        self.rows.write.mode("overwrite").parquet(f"{path}/rows")
+        pq.encoded(self.rows, self.book).write.mode("overwrite").parquet(f"{path}/codes")
+        flat = [(j, c, row.tolist()) for j, book in enumerate(self.book.centres) for c, row in enumerate(book)]
+        spark.createDataFrame(flat, "chunk int, code int, centre array<double>").write.mode("overwrite").parquet(f"{path}/codebook")
+        turn = self.book.rotation
+        _settings(spark, path, {"config": vars(self.config), "bounds": list(self.book.bounds), "mean": self.book.mean.tolist(), "rotation": None if turn is None else turn.tolist()})
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> QuantisedIndex:
+        s = _settings(spark, path)
+        flat = spark.read.parquet(f"{path}/codebook").orderBy("chunk", "code").collect()  # chunks x centres rows
+        centres = tuple(np.array([r.centre for r in flat if r.chunk == j]) for j in range(len(s["bounds"]) - 1))
+        turn = None if s["rotation"] is None else np.array(s["rotation"])
+        return cls(IndexConfig(**s["config"]), spark.read.parquet(f"{path}/rows"), pq.Codebook(tuple(s["bounds"]), centres, np.array(s["mean"]), turn))
+
+
 class PagIndex:
     """Aggregation points and their lists."""
 
@@ -145,6 +164,18 @@ class PagIndex:
             probes = pag.stopped_early(probes, self.radius, self.params.early_stop)
         return pag.search(self.rows, self.aggs, self.lists, queries, probes, k)
 
+    def save(self, path: str) -> None:
+        """Lists are stored sorted by aggregation point, so that a probe reads few row groups."""
+        self.lists.repartitionByRange("agg_id").sortWithinPartitions("agg_id", "dist").write.mode("overwrite").parquet(f"{path}/lists")
+        for name, df in (("rows", self.rows), ("aggs", self.aggs), ("radius", self.radius)):
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
+        _settings(self.rows.sparkSession, path, {"params": vars(self.params)})
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> PagIndex:
+        read = lambda name: spark.read.parquet(f"{path}/{name}")
+        return cls(pag.PagParams(**_settings(spark, path)["params"]), read("rows"), read("aggs"), read("lists"), read("radius"))
+
 
 class DynamicIndex:
     """Live rows and tombstones in versioned folders; searched exactly over what lives."""
@@ -219,6 +250,19 @@ def answer(spark: SparkSession, body: str, indices: dict[str, StaticIndex], defa
     return json.dumps({"query_id": asked.get("query_id", 0), "k": k, "indices": [r.id for r in rows], "distances": [r.dist for r in rows], "partition": [r.part for r in rows], "time_taken_in_us": int((time.time() - begun) * 1e6)})
 
 
+def sweep(index, queries: DataFrame, truth: DataFrame, k: int, sizes: list[int]) -> DataFrame:
+    """``size``, ``seconds``, ``qps``, ``at``, ``recall``: a search for each list size, with recall at 1 to ``k``."""
+    spark, n, rows = queries.sparkSession, queries.count(), []
+    for size in sizes:
+        if size < k:
+            continue
+        begun = time.time()
+        found = stored(index.search(queries, k, size), "sweep")
+        seconds = time.time() - begun
+        rows += [(size, seconds, n / seconds, at, evaluate.recall_at(truth, found, at).first().recall) for at in range(1, k + 1)]
+    return spark.createDataFrame(rows, "size int, seconds double, qps double, at int, recall double")
+
+
 def random_vectors(spark: SparkSession, n: int, dim: int, size: float = 1.0, kind: str = "float", seed: int = 0) -> DataFrame:
     """``id``, ``v``: random directions of a given norm; bytes are rounded, unsigned ones around 128."""
     if kind not in ("float", "int8", "uint8"):

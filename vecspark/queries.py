@@ -453,6 +453,38 @@ def lloyd_one_iteration(spark, sf_dir):
     return rounded(spark.createDataFrame(flat, "centre int, pos int, value double"), "value")
 
 
+MIXED = "(id % 2147483648 * 1103515245 + 12345) % 2147483648"
+
+
+@query(f"WITH {E} SELECT id FROM e ORDER BY {MIXED}, id LIMIT 100")
+def sample_fixed_size(spark, sf_dir):
+    return partition.fixed_sample(rows(spark, sf_dir).select("id"), 100)
+
+
+PLACED = f"{CENTROIDS}, {NEAR_CENTRES}, pl AS (SELECT centre AS shard, id FROM n WHERE rank <= 2)"
+
+
+@query(f"WITH {E}, {PLACED}, m AS (SELECT shard, row_number() OVER (PARTITION BY shard ORDER BY id) - 1 AS local_id, id FROM pl) SELECT CAST(shard AS INTEGER) AS shard, local_id, id FROM m WHERE local_id % 2 = 0")
+def shard_id_map(spark, sf_dir):
+    e = rows(spark, sf_dir)
+    ids = partition.local_ids(partition.shards(e, label_centres(spark, sf_dir)))
+    return partition.with_global_ids(ids.where("local_id % 2 = 0").select("shard", "local_id"), ids).select("shard", "local_id", "id")
+
+
+@query(f"WITH {E}, {PLACED} SELECT CAST(shard AS INTEGER) AS shard, id, [CAST(label AS VARCHAR)] AS labels FROM pl JOIN e USING (id)")
+def shard_label_extract(spark, sf_dir):
+    e = labelled(rows(spark, sf_dir))
+    return partition.shard_labels(partition.shards(e, label_centres(spark, sf_dir)), e)
+
+
+@query(f"WITH {E}, x AS (SELECT id AS line, CASE WHEN id = 90 THEN '' ELSE CAST(label AS VARCHAR) END AS label FROM e) SELECT min(line) AS line, label FROM x WHERE line < (SELECT min(line) FROM x WHERE label = '') GROUP BY label")
+def query_filter_lines(spark, sf_dir):
+    from vecspark.sources.text import query_filters
+
+    lines = rows(spark, sf_dir).select(F.col("id").alias("line"), F.when(F.col("id") == 90, "").otherwise(F.concat(F.col("label").cast("string"), F.lit("\r"))).alias("value"))
+    return query_filters(lines, unique=True)
+
+
 # --- product quantisation with the fixed codebook, 8 chunks
 
 CHUNKS = 8
@@ -679,6 +711,27 @@ def vamana_search(spark, sf_dir):
     return with_recall(index.search(asked(e), 10, 64), exact.knn(e, asked(e), 10), 10)
 
 
+@query()
+def node_visit_counts(spark, sf_dir):
+    e = rows(spark, sf_dir).drop("label")
+    index = indices.StaticIndex.build(e, IndexConfig(DIM), PLAIN)
+    return graph.visit_counts(index.graphs, asked(e), 32)
+
+
+@query()
+def merged_by_search_graph(spark, sf_dir):
+    e = rows(spark, sf_dir).drop("label")
+    index = indices.StaticIndex.build(e, IndexConfig(DIM), PLAIN, shards=2)
+    return graph.degrees(graph.merged_by_search(index.graphs, e, 16))
+
+
+@query()
+def search_sweep(spark, sf_dir):
+    e = rows(spark, sf_dir).drop("label")
+    index = indices.StaticIndex.build(e, IndexConfig(DIM), PLAIN)
+    return indices.sweep(index, asked(e), exact.knn(e, asked(e), 10), 10, [10, 20, 40]).drop("seconds", "qps")
+
+
 @query()
 def vamana_search_mips(spark, sf_dir):
     e = rows(spark, sf_dir).drop("label")
