@@ -11,7 +11,6 @@ postings never move: a segment answers for its own documents.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -100,16 +99,6 @@ def match_segment(terms: np.ndarray, ends: np.ndarray, places: np.ndarray, phras
     return out
 
 
-def vocabulary(bench: DataFrame, text_col: str = "text") -> DataFrame:
-    """The distinct terms of the test items (column ``term``, binary)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(sorted({w for t in as_bytes(batch.column(0)) for w in words_of(t)}), type=pa.binary())], names=["term"])
-
-    return bench.select(text_col).mapInArrow(run, "term binary").distinct()
-
-
 def build_index(docs: DataFrame, terms: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = 8 << 20) -> DataFrame:
     """The index segments of ``docs`` for the terms of the test set, stored in the shared folder.
 
@@ -195,7 +184,7 @@ def contamination(docs: DataFrame, bench: DataFrame, n: int = 10, slop: int = 0,
     none). Null and empty texts have no words and no hits; an empty test set hits
     nothing; items of equal words all count; repeated rows give repeated rows;
     other columns are not read. The test items go to the executors in blocks of
-    ``block_bytes`` of text, each block searched over the stored index.
+    ``block_bytes`` of text; each block has an index of its own terms, stored once.
     """
     spark: SparkSession = docs.sparkSession
     results = []
@@ -216,10 +205,6 @@ def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.select(id_col, F.col("n_words"), n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
-def sha_of_items(items: Sequence[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
-
-
 def clean_documents(docs: DataFrame, bench: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no window of a test item, as they are; rows without an id stay."""
     hit = contamination(docs, bench, n, id_col=id_col, text_col=text_col).where(F.size("hits") > 0).select(F.col(id_col).alias("vs_id"))

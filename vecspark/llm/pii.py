@@ -97,7 +97,7 @@ WORD = "(?:" + "|".join(sorted(DIGITS, key=len, reverse=True)) + ")"
 #: Four digits' worth of words or more in a row, with digits between them; fewer is prose.
 SPELLED = re.compile(rf"(?i)(?<!\w)(?:(?:plus|{WORD}|[0-9]+|dot|point|punkt|punto)(?:[ \t]*[,-][ \t]*|[ \t]+)){{3,}}(?:{WORD}|[0-9]+)(?!\w)")
 PART = re.compile(rf"(?i)(?P<plus>plus)|(?P<dot>dot|point|punkt|punto)|(?P<word>{WORD})|(?P<digits>[0-9]+)|(?P<gap>[ \t,-]+)")
-HINT = re.compile(r"(?i)\b(?:dot|punkt|punto|point)\b|[\[({<][ \t]*(?:at|@|\.|dot|arroba|arobase)[ \t]*[\])}>]|\b(?:dot|punkt|punto|point)\b")
+HINT = re.compile(r"(?i)\b(?:dot|punkt|punto|point)\b|[\[({<][ \t]*(?:at|@|\.|arroba|arobase)[ \t]*[\])}>]")
 NAME, ATOM = r"[A-Za-z0-9._%+-]+", r"[A-Za-z0-9-]+"
 AT = r"(?P<at>[ \t]*[\[({<][ \t]*(?:at|@|arroba|arobase)[ \t]*[\])}>][ \t]*|[ \t]+(?:at|arroba|arobase)[ \t]+|[ \t]*@[ \t]*)"
 DOT = r"(?:[ \t]*[\[({<][ \t]*(?:dot|\.|punkt|punto|point)[ \t]*[\])}>][ \t]*|[ \t]+(?:dot|punkt|punto|point)[ \t]+|\.)"
@@ -187,7 +187,7 @@ def address_edits(text: str) -> list[tuple[int, int, str]]:
 
 TRANSDUCERS: tuple[tuple[Callable[[str], bool], Callable[[str], list[tuple[int, int, str]]]], ...] = (
     (lambda t: not t.isascii() and LOOKS.search(t) is not None, looks_edits),
-    (lambda t: True, digit_edits),
+    (lambda t: SPELLED.search(t) is not None, digit_edits),
     (lambda t: HINT.search(t) is not None, address_edits),
 )
 

@@ -19,7 +19,6 @@ count once, so a passage in every document costs a row a segment.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import uuid
 from collections.abc import Iterator
@@ -389,7 +388,3 @@ def cut(s: Segment, answers: list[dict], masks: list[dict]) -> tuple[list, list,
 def digests(cleaned: DataFrame) -> DataFrame:
     """The columns that ``op10_suffix_dedup`` returns."""
     return cleaned.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
-
-
-def sha(raw: bytes) -> str:
-    return hashlib.sha256(raw).hexdigest()
