@@ -7,9 +7,10 @@ those that left the window and compacts, as a new version of the table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -30,20 +31,25 @@ def steps(rows: DataFrame, window: int, interval: int, id_col: str = "id") -> Da
     the second on the oldest ``interval`` go.
     """
     top = rows.agg((F.max(id_col) + 1).alias("n"))
-    count = F.greatest(F.lit(0), F.floor((F.col("n") - window) / interval)).cast("int")
-    listed = top.select("n", F.explode(F.sequence(F.lit(0), count)).alias("step"))
-    bounds = listed.select("step", (F.greatest(F.col("step") - 1, F.lit(0)) * interval).cast("bigint").alias("first"), (F.least(F.col("n"), window + F.col("step") * interval) - 1).cast("bigint").alias("last"))
-    live = rows.select(F.col(id_col).alias("vs_id")).join(F.broadcast(bounds), F.col("vs_id").between(F.col("first"), F.col("last")))
-    return live.groupBy("step", "first", "last").agg(F.count("*").alias("n_live"))
+    steps_in_all = F.greatest(F.lit(0), F.floor((F.col("n") - window) / interval)).cast("bigint")
+    # Ids are counted by blocks that no window cuts; a block is in few steps, so it names them.
+    size = math.gcd(window, interval)
+    blocks = rows.groupBy(F.floor(F.col(id_col) / size).cast("bigint").alias("block")).agg(F.count("*").alias("rows"))
+    begin = F.col("block") * size
+    early = F.greatest(F.lit(0), F.ceil((begin + size - window) / interval)).cast("bigint")
+    late = F.least(steps_in_all, (F.floor(begin / interval) + 1).cast("bigint"))
+    named = blocks.join(F.broadcast(top)).where(early <= late).select("n", "rows", F.explode(F.sequence(early, late)).alias("step"))
+    first = F.greatest(F.col("step") - 1, F.lit(0)) * interval
+    last = F.least(F.col("n"), window + F.col("step") * interval) - 1
+    return named.groupBy(F.col("step").cast("int").alias("step"), first.alias("first"), last.alias("last")).agg(F.sum("rows").alias("n_live"))
 
 
 def snapshots(rows: DataFrame, first: int, batch: int, every: int, id_col: str = "id") -> DataFrame:
     """``snapshot``, ``n_rows``: an incremental build of ``first`` rows and batches, saved after each ``every`` batches."""
     step = F.when(F.col(id_col) < first, 0).otherwise(F.floor((F.col(id_col) - first) / batch) + 1)
-    version = F.ceil(step / every).cast("int")
-    counts = rows.groupBy(version.alias("snapshot")).agg(F.count("*").alias("n"))
-    upto = counts.select(F.col("snapshot").alias("other"), "n")
-    return counts.select("snapshot").join(F.broadcast(upto), F.col("other") <= F.col("snapshot")).groupBy("snapshot").agg(F.sum("n").alias("n_rows"))
+    counts = rows.groupBy(F.ceil(step / every).cast("int").alias("snapshot")).agg(F.count("*").alias("n"))
+    # A row a snapshot: the running total is over as many rows as there are saved versions.
+    return counts.select("snapshot", F.sum("n").over(Window.orderBy("snapshot")).alias("n_rows"))
 
 
 class WindowedTable:
