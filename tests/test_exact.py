@@ -86,3 +86,20 @@ def test_percentile_rule(spark, values):
     got = {r.p: r.value for r in evaluate.at_fractions(df, "x", [0.0, 0.25, 0.5, 0.95], top=True).collect()}
     s = sorted(values)
     assert got == {p: float(s[min(int(p * len(s)), len(s) - 1)]) for p in (0.0, 0.25, 0.5, 0.95, 1.0)}
+
+
+@pytest.mark.parametrize("universal", [None, "u"])
+def test_labels_by_blocks(spark, data, universal):
+    x, q = data
+    marks = [["a", "b"], ["b"], ["u"], ["c", "a"], []]
+    own = [marks[i % 5] for i in range(len(x))]
+    ask = [["a", "b"], ["c"], ["u"], []]
+    base = spark.createDataFrame([(i, v.tolist(), m) for i, (v, m) in enumerate(zip(x, own))], "id bigint, v array<double>, labels array<string>")
+    queries = spark.createDataFrame([(i, v.tolist(), ask[i % 4]) for i, v in enumerate(q)], "id bigint, v array<double>, labels array<string>")
+    got = {}
+    for r in exact.knn_labelled(base, queries, 5, universal=universal, block_rows=16, query_rows=4).orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append(r.id)
+    for i in range(len(q)):
+        held = [j for j in range(len(x)) if set(own[j]) & set(ask[i % 4]) or (universal and universal in own[j])]
+        want = sorted(held, key=lambda j: (((q[i] - x[j]) ** 2).sum(), j))[:5]
+        assert got.get(i, []) == want

@@ -41,12 +41,16 @@ def blocks_of(rows: int, per_block: int) -> int:
     return max(1, math.ceil(rows / per_block))
 
 
-def tiled(base: DataFrame, queries: DataFrame, kernel: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple], block_rows: int = 32_768, query_rows: int = 2048) -> DataFrame:
-    """``kernel(base ids, base vectors, query ids, query vectors)`` -> (qid, id, dist) over all pairs of blocks."""
+def tiled(base: DataFrame, queries: DataFrame, kernel: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple], block_rows: int = 32_768, query_rows: int = 2048, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``kernel(base ids, base vectors, query ids, query vectors)`` -> (qid, id, dist) over all pairs of blocks.
+
+    With ``keys``, columns of both sides, only blocks of equal keys meet; a key of
+    many rows is still dealt over all blocks.
+    """
     n, m = blocks_of(base.count(), block_rows), blocks_of(queries.count(), query_rows)
     spread = lambda parts, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(parts)).cast("int")
-    left = base.select("id", "v").withColumn("b", spread(n, 1)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-    right = queries.select("id", "v").withColumn("qb", spread(m, 2)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    left = base.select(*keys, "id", "v").withColumn("b", spread(n, 1)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    right = queries.select(*keys, "id", "v").withColumn("qb", spread(m, 2)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
     def run(x: pa.Table, q: pa.Table) -> pa.Table:
         if not x.num_rows or not q.num_rows:
@@ -54,7 +58,7 @@ def tiled(base: DataFrame, queries: DataFrame, kernel: Callable[[np.ndarray, np.
         found = kernel(x["id"].to_numpy(), matrix(x["v"]), q["id"].to_numpy(), matrix(q["v"]))
         return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(found, PAIRS, strict=True)], schema=PAIRS)
 
-    return left.groupBy("b", "qb").cogroup(right.groupBy("b", "qb")).applyInArrow(run, "qid bigint, id bigint, dist double")
+    return left.groupBy(*keys, "b", "qb").cogroup(right.groupBy(*keys, "b", "qb")).applyInArrow(run, "qid bigint, id bigint, dist double")
 
 
 def knn(base: DataFrame, queries: DataFrame, k: int, metric_name: str = "l2", id_col: str = "id", vec_col: str = "v", skip_self: bool = False, block_rows: int = 32_768, query_rows: int = 2048) -> DataFrame:
@@ -64,6 +68,14 @@ def knn(base: DataFrame, queries: DataFrame, k: int, metric_name: str = "l2", id
     near the k-th, so equal vectors have equal distances. Null vectors take no part.
     """
     own = metric(metric_name)
+    kernel = nearest_kernel(k, metric_name, skip_self)
+    found = top_k(tiled(vectors(base, id_col, vec_col), vectors(queries, id_col, vec_col), kernel, block_rows, query_rows), k)
+    return found.select("qid", "rank", "id", (F.col("dist") * own.sign).alias("dist"))
+
+
+def nearest_kernel(k: int, metric_name: str, skip_self: bool = False):
+    """The ``k`` nearest of a block for each query of a block; keys to minimise, not reported values."""
+    own = metric(metric_name)
 
     def kernel(ids, x, qids, q):
         out = ([], [], [])
@@ -82,8 +94,7 @@ def knn(base: DataFrame, queries: DataFrame, k: int, metric_name: str = "l2", id
                 out[2].append(dist[best])
         return tuple(np.concatenate(c) if c else np.empty(0) for c in out)
 
-    found = top_k(tiled(vectors(base, id_col, vec_col), vectors(queries, id_col, vec_col), kernel, block_rows, query_rows), k)
-    return found.select("qid", "rank", "id", (F.col("dist") * own.sign).alias("dist"))
+    return kernel
 
 
 def within(base: DataFrame, queries: DataFrame, radius: float, metric_name: str = "l2", id_col: str = "id", vec_col: str = "v", block_rows: int = 32_768, query_rows: int = 2048) -> DataFrame:
@@ -111,16 +122,20 @@ def knn_sql(pairs: DataFrame, k: int, metric_name: str = "l2", base_vec: str = "
     return top_k(scored, k, F.col("dist") * own.sign).select("qid", "rank", "id", "dist")
 
 
-def knn_labelled(base: DataFrame, queries: DataFrame, k: int, metric_name: str = "l2", universal: str | None = None, id_col: str = "id", vec_col: str = "v", labels_col: str = "labels") -> DataFrame:
+def knn_labelled(base: DataFrame, queries: DataFrame, k: int, metric_name: str = "l2", universal: str | None = None, id_col: str = "id", vec_col: str = "v", labels_col: str = "labels", block_rows: int = 32_768, query_rows: int = 2048) -> DataFrame:
     """Nearest among rows that share a label with the query or carry the universal one.
 
-    Labels are arrays of strings. Candidate pairs come from an equi-join on the
-    label; a pair that shares several is kept once. Queries' universal labels
-    match nothing by themselves.
+    Labels are arrays of strings. Blocks meet by label, so only rows of the
+    query's labels are looked at; a row that shares several is kept once. Queries'
+    universal labels match nothing by themselves.
     """
-    x = vectors(base, id_col, vec_col, labels_col).select("id", "v", F.explode(labels_col).alias("label"))
-    q = vectors(queries, id_col, vec_col, labels_col).select(F.col("id").alias("qid"), F.col("v").alias("qv"), F.explode(F.array_union(labels_col, F.array(F.lit(universal))) if universal is not None else F.col(labels_col)).alias("label"))
-    return knn_sql(x.join(q, "label").dropDuplicates(["qid", "id"]), k, metric_name)
+    own = metric(metric_name)
+    wanted = F.array_union(labels_col, F.array(F.lit(universal))) if universal is not None else F.array_distinct(labels_col)
+    x = vectors(base, id_col, vec_col, labels_col).select("id", "v", F.explode(F.array_distinct(labels_col)).alias("label"))
+    q = vectors(queries, id_col, vec_col, labels_col).select("id", "v", F.explode(wanted).alias("label"))
+    found = tiled(x, q, nearest_kernel(k, metric_name), block_rows, query_rows, ("label",))
+    best = top_k(found.groupBy("qid", "id").agg(F.min("dist").alias("dist")), k)
+    return best.select("qid", "rank", "id", (F.col("dist") * own.sign).alias("dist"))
 
 
 def merged(parts: dict[str, DataFrame], k: int, metric_name: str = "l2") -> DataFrame:
