@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 import pytest
-from oracle import DATA
+from oracle import DATA, check, connection
 from llm_conftest import frame
 
 from vecspark.llm import bwt, queries, suffix_dedup
@@ -53,6 +53,11 @@ def test_query_against_brute_force(spark):
     assert got == brute(rows) and sum(r[2] for r in got) > 0
 
 
+def test_query_matches_sql(spark):
+    sf = f"{DATA}/sf0.001"
+    check(queries.op10_suffix_dedup(spark, sf), connection(sf), queries.ORACLE_SQL["op10_suffix_dedup"])
+
+
 @pytest.mark.parametrize("segment_bytes", [1 << 20, 3000, 1])
 @pytest.mark.parametrize("letters", ["a", "ab", "abcdefgh \n", "aé日"])
 def test_dull_texts_against_brute_force(spark, letters, segment_bytes):
