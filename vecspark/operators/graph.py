@@ -26,6 +26,7 @@ from vecspark.storage import stored
 class GraphParams:
     """Degree, search list, alpha, longest pool, slack of the degree while building, filling up."""
 
+    # The usual defaults of such indices, kept so that builds compare.
     degree: int = 64
     list_size: int = 100
     alpha: float = 1.2

@@ -24,6 +24,7 @@ from vecspark.operators.partition import hash_sample
 class PagParams:
     """Sampling rate, most lists a point, room beyond the mean, spread and early-stop factors, quantiles of radii."""
 
+    # The usual defaults of such indices, kept so that builds compare.
     sample_rate: float = 0.04
     redundant: int = 4
     extra_rate: float = 0.1

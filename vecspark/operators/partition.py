@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from vecspark.functions.metrics import l2_squared
 from vecspark.operators.exact import matrix, vectors
 
+# A linear congruence, plain enough for any SQL.
 MULTIPLIER, MODULUS = 1103515245, 1 << 31
 
 

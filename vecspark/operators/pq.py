@@ -14,7 +14,7 @@ from vecspark.functions.metrics import metric
 from vecspark.operators.exact import matrix, tiled, top_k, vectors
 from vecspark.operators.partition import lloyd_local, plus_plus
 
-#: Centres of a chunk, rows to train on, Lloyd rounds; OPQ rounds and Lloyd rounds in each.
+# Centres of a chunk, rows to train on, Lloyd rounds; OPQ rounds and Lloyd rounds in each.
 CENTRES, TRAINING_ROWS, ROUNDS, OPQ_ROUNDS, OPQ_LLOYD = 256, 256_000, 12, 20, 8
 
 
