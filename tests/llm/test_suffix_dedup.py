@@ -68,7 +68,7 @@ def test_dull_texts_against_brute_force(spark, letters, segment_bytes):
         parts = [draw.choice(passages) if draw.random() < 0.5 else "".join(draw.choice(letters) for _ in range(draw.randint(0, 60))) for _ in range(draw.randint(0, 4))]
         texts.append("".join(parts))
     docs = frame(spark, texts + texts[:3])
-    got = found(suffix_dedup.remove_repeats(docs.repartition(3), segment_bytes=segment_bytes, share_anchors=64))
+    got = found(suffix_dedup.remove_repeats(docs.repartition(3), segment_bytes=segment_bytes, share_anchors=64, hot=20))
     assert got == brute([(i, t.encode()) for i, t in enumerate(texts + texts[:3])])
 
 
@@ -76,8 +76,9 @@ def test_many_texts_at_one_anchor_and_small_collections(spark):
     middle = "the same four and twenty bytes of text in all of them, always, "
     texts = [f"{i:05d} {i * 7919 % 1000:03d} " + middle + f"{i * 31 % 97:02d} end {i}" for i in range(120)]
     texts += [t[3:] for t in texts[:40]]
-    got = found(suffix_dedup.remove_repeats(frame(spark, texts)))
-    assert got == brute([(i, t.encode()) for i, t in enumerate(texts)])
+    for options in ({}, {"hot": 5}, {"hot": 5, "share_anchors": 50, "segment_bytes": 900}):
+        got = found(suffix_dedup.remove_repeats(frame(spark, texts), **options))
+        assert got == brute([(i, t.encode()) for i, t in enumerate(texts)])
     runs, first, known = suffix_dedup.earliest([(t.encode()[:76], 20) for t in texts[:50]], np.arange(50), 7)
     assert runs.sum() == len(known) and (known <= 49).all()
 

@@ -14,11 +14,14 @@ with the smallest hash in it), so three passes suffice:
 
 Segments are kept compressed in a bucketed table, so the text itself is never
 shuffled. Shares are bounded by the number of anchors; copies within a segment
-count once, so a passage in every document costs a row a segment.
+count once, so a passage in every document costs a row a segment. An anchor with
+very many stretches (boilerplate in ever new surroundings) has them cut into
+single runs, dealt over all shares by the runs' own hashes.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import uuid
 from collections.abc import Iterator
@@ -139,56 +142,85 @@ class Segment:
         self.text = unpack(packed)
         self.raw = np.frombuffer(self.text, dtype=np.uint8)
         self.first, self.count, self.anchor, h = stretches(self.raw, self.sizes)
+        self.shares = shares
         self.share = ((h >> np.uint64(32)) % np.uint64(shares)).astype(np.int64)
         self.value = h.astype(np.uint32)
         self.key = (self.share.astype(np.uint64) << np.uint64(32)) | self.value
         self.doc = np.searchsorted(np.cumsum(self.sizes), self.first, side="right")
         self.owner = np.array(self.ids, dtype=np.int64)[self.doc] if len(self.doc) else self.doc
 
-    def shared(self, answers: list[dict]) -> np.ndarray:
-        """The stretches whose anchor stands in several documents by the answers, by share."""
+    def shared(self, answers: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+        """The stretches whose anchor stands in several documents by the answers, and whether it is a hot one."""
         if not answers or not len(self.key):
-            return np.empty(0, np.int64)
-        keys = np.concatenate([np.frombuffer(a["packed"], dtype="<u4").astype(np.uint64) | np.uint64(a["share"] << 32) for a in answers])
-        at = np.flatnonzero(among(self.key, keys))
-        return at[np.argsort(self.share[at], kind="stable")]
-
-    def pieces(self, answers: list[dict]) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
-        """For each share: it, the distinct texts of its stretches, where the anchor stands in each, the
-        stretches and the number of each one's text. Always in the same order."""
-        every = self.shared(answers)
-        shares = self.share[every]
-        bounds = [0, *(np.flatnonzero(np.diff(shares)) + 1).tolist(), len(every)]
+            return np.empty(0, np.int64), np.empty(0, bool)
+        parts = [unpaired(a["packed"]) for a in answers]
+        keys = np.concatenate([v.astype(np.uint64) | np.uint64(a["share"] << 32) for a, (v, _) in zip(answers, parts, strict=True)])
+        hot = np.concatenate([h for _, h in parts]) > 0
+        at, place = among(self.key, keys)
+        return np.flatnonzero(at), hot[place[at]]
+
+    def pieces(self, answers: list[dict]) -> Iterator[Pieces]:
+        """The stretches to compare, by share, always in the same order.
+
+        A hot anchor's stretches are cut into single runs, which go to the shares
+        of their own hashes, so that no share has to hold them all.
+        """
+        at, hot = self.shared(answers)
+        calm, every = at[~hot], at[hot]
+        first, count, anchor, share, owner = (x[calm] for x in (self.first, self.count, self.anchor, self.share, self.owner))
+        if len(every):
+            n = self.count[every]
+            start = np.repeat(self.first[every] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            own = np.array([int.from_bytes(hashlib.blake2b(self.text[i : i + DEPTH], digest_size=7).digest()) for i in start.tolist()], dtype=np.int64) % self.shares
+            first, count, anchor = np.concatenate([first, start]), np.concatenate([count, np.ones_like(start)]), np.concatenate([anchor, np.repeat(self.anchor[every], n)])
+            share, owner = np.concatenate([share, own]), np.concatenate([owner, np.repeat(self.owner[every], n)])
+        order = np.argsort(share, kind="stable")
+        first, count, anchor, share, owner = (x[order] for x in (first, count, anchor, share, owner))
+        bounds = [0, *(np.flatnonzero(np.diff(share)) + 1).tolist(), len(share)]
         for a, b in zip(bounds, bounds[1:]):
-            if a == b:
-                continue
-            at = every[a:b]
-            first = self.first[at]
-            numbers: dict[bytes, int] = {}
-            text, put = self.text, numbers.setdefault
-            number = np.array([put(text[i:j], len(numbers)) for i, j in zip(first.tolist(), (first + self.count[at] + DEPTH - 1).tolist())], dtype=np.int64)
-            before = np.zeros(len(numbers), dtype=np.uint8)
-            before[number] = self.anchor[at] - first
-            yield int(shares[a]), list(numbers), before, at, number
-
-    def least(self, at: np.ndarray, number: np.ndarray, n: int) -> np.ndarray:
-        """The smallest document of each of ``n`` texts."""
-        out = np.full(n, LAST)
-        np.minimum.at(out, number, self.owner[at])
-        return out
+            if a < b:
+                yield Pieces(int(share[a]), self.text, first[a:b], count[a:b], anchor[a:b], owner[a:b])
+
+
+class Pieces:
+    """A segment's stretches for one share, with their distinct texts numbered in order."""
+
+    def __init__(self, share: int, text: bytes, first: np.ndarray, count: np.ndarray, anchor: np.ndarray, owner: np.ndarray):
+        self.share, self.first, self.count, self.owner = share, first, count, owner
+        numbers: dict[bytes, int] = {}
+        put = numbers.setdefault
+        self.number = np.array([put(text[i:j], len(numbers)) for i, j in zip(first.tolist(), (first + count + DEPTH - 1).tolist())], dtype=np.int64)
+        self.texts = list(numbers)
+        self.before = np.zeros(len(numbers), dtype=np.uint8)
+        self.before[self.number] = anchor - first
+        #: The smallest document of each text.
+        self.least = np.full(len(numbers), LAST)
+        np.minimum.at(self.least, self.number, owner)
+
+
+def paired(values: np.ndarray, marks: np.ndarray) -> bytes:
+    return values.astype("<u4").tobytes() + marks.astype("<u4").tobytes()
 
 
-def among(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Which values are in ``keys`` (ascending)."""
+def unpaired(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(raw, dtype="<u4")
+    return both[: len(both) // 2], both[len(both) // 2 :]
+
+
+def among(values: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which values are in ``keys`` (ascending), and where."""
     if not len(keys):
-        return np.zeros(len(values), dtype=bool)
+        return np.zeros(len(values), dtype=bool), np.zeros(len(values), dtype=np.int64)
     at = np.searchsorted(keys, values)
     at[at == len(keys)] = 0
-    return keys[at] == values
+    return keys[at] == values, at
+
 
+def sieve(table: DataFrame, shares: int, hot: int) -> DataFrame:
+    """seg, share, packed: the anchors of each segment that stand in more than one document.
 
-def sieve(table: DataFrame, shares: int) -> DataFrame:
-    """seg, share, packed: the anchors of each segment that stand in more than one document."""
+    Those with more than ``hot`` stretches over all segments are marked.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,25 +228,33 @@ def sieve(table: DataFrame, shares: int) -> DataFrame:
                 s = Segment(batch.column(1)[row].values, batch.column(2)[row].values, batch.column(3)[row].as_py(), shares)
                 if not len(s.key):
                     continue
-                # An anchor of several documents here goes twice, others once.
                 order = np.lexsort((s.owner, s.key))
                 key, owner = s.key[order], s.owner[order]
                 begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-                several = owner[np.append(begin[1:], len(key)) - 1] != owner[begin]
-                sent = np.repeat(key[begin], 1 + several)
-                share = (sent >> np.uint64(32)).astype(np.int64)
+                end = np.append(begin[1:], len(key))
+                # One number says both: how many stretches, and (lowest bit) whether of several documents.
+                marks = ((end - begin) << 1) | (owner[end - 1] != owner[begin])
+                share = (key[begin] >> np.uint64(32)).astype(np.int64)
+                value = key[begin].astype("<u4")
                 bounds = np.searchsorted(share, np.arange(shares + 1))
-                value = sent.astype("<u4")
                 full = np.flatnonzero(np.diff(bounds)).tolist()
                 seg = batch.column(0)[row].as_py()
-                yield arrow_rows(SENT, [full, [seg] * len(full), [value[bounds[i] : bounds[i + 1]].tobytes() for i in full]])
+                yield arrow_rows(SENT, [full, [seg] * len(full), [paired(value[bounds[i] : bounds[i + 1]], marks[bounds[i] : bounds[i + 1]]) for i in full]])
 
     def answer(share: int, rows: list[tuple[int, bytes]]) -> list[tuple[int, int, bytes]]:
-        lists = [np.frombuffer(raw, dtype="<u4") for _, raw in rows]
-        value, count = np.unique(np.concatenate(lists), return_counts=True)
-        often = value[count > 1]
-        found = [(seg, np.unique(x[among(x, often)])) for (seg, _), x in zip(rows, lists, strict=True)]
-        return [(share, seg, x.astype("<u4").tobytes()) for seg, x in found if len(x)]
+        lists = [unpaired(raw) for _, raw in rows]
+        value, group = np.unique(np.concatenate([v for v, _ in lists]), return_inverse=True)
+        marks = np.concatenate([m for _, m in lists])
+        documents = np.bincount(group, 1 + (marks & 1), len(value))
+        stretches_of = np.bincount(group, marks >> 1, len(value))
+        often = documents > 1
+        value, crowd = value[often], (stretches_of[often] > hot).astype(np.uint32)
+        out = []
+        for (seg, _), (own, _) in zip(rows, lists, strict=True):
+            found, at = among(own, value)
+            if found.any():
+                out.append((share, seg, paired(own[found], crowd[at[found]])))
+        return out
 
     return by_share(table.mapInArrow(send, "share int, seg bigint, packed binary"), answer)
 
@@ -253,11 +293,10 @@ def resolve(table: DataFrame, answers: DataFrame, shares: int, batch_strings: in
         for batch in batches:
             for row in range(batch.num_rows):
                 s = Segment(batch.column(1)[row].values, batch.column(2)[row].values, batch.column(3)[row].as_py(), shares)
-                for share, texts, before, at, number in s.pieces(ordered(batch.column(4)[row])):
-                    sizes = np.array([len(t) for t in texts], dtype="<u1")
-                    owners = s.least(at, number, len(texts)).astype("<i8")
-                    raw = np.array([len(texts)], dtype="<u4").tobytes() + owners.tobytes() + sizes.tobytes() + before.tobytes() + b"".join(texts)
-                    yield arrow_rows(SENT, [[share], [batch.column(0)[row].as_py()], [pack(raw)]])
+                for p in s.pieces(ordered(batch.column(4)[row])):
+                    sizes = np.array([len(t) for t in p.texts], dtype="<u1")
+                    raw = np.array([len(p.texts)], dtype="<u4").tobytes() + p.least.astype("<i8").tobytes() + sizes.tobytes() + p.before.tobytes() + b"".join(p.texts)
+                    yield arrow_rows(SENT, [[p.share], [batch.column(0)[row].as_py()], [pack(raw)]])
 
     def answer(share: int, rows: list[tuple[int, bytes]]) -> list[tuple[int, int, bytes]]:
         numbers: dict[tuple[bytes, int], int] = {}
@@ -331,7 +370,7 @@ def gathered(answers: DataFrame, name: str) -> DataFrame:
     return answers.groupBy("seg").agg(F.collect_list(F.struct("share", "packed")).alias(name))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = 4 << 20, share_anchors: int = 1 << 19) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = 4 << 20, share_anchors: int = 1 << 19, hot: int = 1 << 16) -> DataFrame:
     """Per row of ``docs``: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` (binary).
 
     A byte is removed if a run of 50 bytes that covers it also starts in a
@@ -343,7 +382,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     table = segments(docs, id_col, text_col, segment_bytes)
     total = table.agg(F.sum(F.expr("aggregate(sizes, 0L, (a, x) -> a + x)"))).first()[0] or 0
     shares = max(1, math.ceil(total * 2 / (DEPTH - ANCHOR + 2) / share_anchors))
-    first = gathered(sieve(table, shares), "answers")
+    first = gathered(sieve(table, shares, hot), "answers")
     second = gathered(resolve(table, first, shares), "masks")
     schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
@@ -362,16 +401,15 @@ def cut(s: Segment, answers: list[dict], masks: list[dict]) -> tuple[list, list,
     """Sizes, removed bytes, removed runs and kept bytes of a segment's documents."""
     bits = {m["share"]: np.frombuffer(unpack(m["packed"]), dtype="<u4") for m in masks}
     cover = np.zeros(len(s.raw) + 1, dtype=np.int32)
-    for share, texts, _, at, number in s.pieces(answers):
-        first, count = s.first[at], s.count[at]
+    for p in s.pieces(answers):
         # A text that a smaller document of this segment has is known in whole; else its mask says.
-        whole = s.owner[at] > s.least(at, number, len(texts))[number]
-        np.add.at(cover, first[whole], 1)
-        np.add.at(cover, (first + count + DEPTH - 1)[whole], -1)
+        whole = p.owner > p.least[p.number]
+        np.add.at(cover, p.first[whole], 1)
+        np.add.at(cover, (p.first + p.count + DEPTH - 1)[whole], -1)
         rest = np.flatnonzero(~whole)
-        mask = bits[share][number[rest]]
-        for t in range(int(count.max())):
-            start = first[rest[mask >> np.uint32(t) & np.uint32(1) > 0]] + t
+        mask = bits[p.share][p.number[rest]]
+        for t in range(int(p.count.max())):
+            start = p.first[rest[mask >> np.uint32(t) & np.uint32(1) > 0]] + t
             np.add.at(cover, start, 1)
             np.add.at(cover, start + DEPTH, -1)
     gone = np.cumsum(cover[:-1]) > 0
