@@ -103,3 +103,14 @@ def test_labels_by_blocks(spark, data, universal):
         held = [j for j in range(len(x)) if set(own[j]) & set(ask[i % 4]) or (universal and universal in own[j])]
         want = sorted(held, key=lambda j: (((q[i] - x[j]) ** 2).sum(), j))[:5]
         assert got.get(i, []) == want
+
+
+def test_many_ties_beyond_the_spare_rows(spark):
+    x = np.array([[1.0, 0.0]] * 40 + [[0.0, 1.0]] * 40)[::-1]
+    q = np.array([[1.0, 0.0], [0.0, 1.0], [0.5, 0.5]])
+    got = {}
+    for r in exact.knn(table(spark, x), table(spark, q), 5).orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append(r.id)
+    assert got == {0: [40, 41, 42, 43, 44], 1: [0, 1, 2, 3, 4], 2: [0, 1, 2, 3, 4]}
+    some = exact.knn(table(spark, x), table(spark, x[:3]), 60, skip_self=True).groupBy("qid").count().collect()
+    assert {r["count"] for r in some} == {60}

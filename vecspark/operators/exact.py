@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecspark.functions.metrics import metric
+from vecspark.functions.metrics import Metric, metric
 
 PAIRS = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("dist", pa.float64())])
 
@@ -73,25 +73,56 @@ def knn(base: DataFrame, queries: DataFrame, k: int, metric_name: str = "l2", id
     return found.select("qid", "rank", "id", (F.col("dist") * own.sign).alias("dist"))
 
 
+#: Rows beyond the k-th that are measured directly before ties are looked for.
+SPARE = 8
+#: Numbers that direct distances may hold at once.
+DIRECT = 1 << 22
+
+
+def ranked(ids: np.ndarray, x: np.ndarray, q: np.ndarray, near: np.ndarray, k: int, own: Metric) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's place, id, exact distance) of the ``k`` nearest of each query, by (distance, id).
+
+    ``near`` holds distances from the product expansion; infinite ones do not
+    count. Queries with more rows about the k-th than ``SPARE`` are done alone.
+    """
+    n, m = len(ids), min(k + SPARE, len(ids))
+    picked = np.argpartition(near, m - 1, axis=1)[:, :m] if m < n else np.broadcast_to(np.arange(n), near.shape)
+    value = np.take_along_axis(near, picked, 1)
+    dist = np.where(np.isfinite(value), own.exact(q[:, None, :], x[picked]), np.inf)
+    name = ids[picked]
+    order = np.lexsort((name, dist), axis=-1)[:, :k]
+    dist, name = np.take_along_axis(dist, order, 1), np.take_along_axis(name, order, 1)
+    kept = np.isfinite(dist)
+    place = np.broadcast_to(np.arange(len(q))[:, None], dist.shape)
+    if m < n:
+        kth = np.partition(value, min(k, m) - 1, axis=1)[:, min(k, m) - 1]
+        tied = value.max(axis=1) <= kth + 1e-9 * np.maximum(1.0, np.abs(kth))
+        kept = kept & ~tied[:, None]
+    out = [place[kept]], [name[kept]], [dist[kept]]
+    for i in np.flatnonzero(tied) if m < n else ():
+        close = np.flatnonzero((near[i] <= kth[i] + 1e-9 * max(1.0, abs(kth[i]))) & np.isfinite(near[i])) if np.isfinite(kth[i]) else np.flatnonzero(np.isfinite(near[i]))
+        exact = own.exact(q[i], x[close])
+        best = np.lexsort((ids[close], exact))[:k]
+        for c, values in zip(out, (np.full(len(best), i), ids[close][best], exact[best]), strict=True):
+            c.append(values)
+    return tuple(np.concatenate(c) for c in out)
+
+
 def nearest_kernel(k: int, metric_name: str, skip_self: bool = False):
     """The ``k`` nearest of a block for each query of a block; keys to minimise, not reported values."""
     own = metric(metric_name)
 
     def kernel(ids, x, qids, q):
         out = ([], [], [])
-        for at in range(0, len(q), 256):
-            near = own.block(q[at : at + 256], x)
+        step = max(1, min(256, DIRECT // max(1, min(k + SPARE, len(ids)) * x.shape[1])))
+        for at in range(0, len(q), step):
+            part, names = q[at : at + step], qids[at : at + step]
+            near = own.block(part, x)
             if skip_self:
-                near[qids[at : at + 256, None] == ids[None, :]] = np.inf
-            take = min(k, len(ids))
-            kth = np.partition(near, take - 1, axis=1)[:, take - 1]
-            for i, row in enumerate(near):
-                close = np.flatnonzero((row <= kth[i] + 1e-9 * max(1.0, abs(kth[i]))) & np.isfinite(row)) if np.isfinite(kth[i]) else np.flatnonzero(np.isfinite(row))
-                dist = own.exact(q[at + i], x[close])
-                best = np.lexsort((ids[close], dist))[:k]
-                out[0].append(np.full(len(best), qids[at + i]))
-                out[1].append(ids[close][best])
-                out[2].append(dist[best])
+                near[names[:, None] == ids[None, :]] = np.inf
+            place, found, dist = ranked(ids, x, part, near, k, own)
+            for c, values in zip(out, (names[place], found, dist), strict=True):
+                c.append(values)
         return tuple(np.concatenate(c) if c else np.empty(0) for c in out)
 
     return kernel
