@@ -47,7 +47,10 @@ def tiled(base: DataFrame, queries: DataFrame, kernel: Callable[[np.ndarray, np.
     With ``keys``, columns of both sides, only blocks of equal keys meet; a key of
     many rows is still dealt over all blocks.
     """
-    n, m = blocks_of(base.count(), block_rows), blocks_of(queries.count(), query_rows)
+    n, asked = blocks_of(base.count(), block_rows), queries.count()
+    # Few blocks would leave cores idle: then queries are cut finer, down to 64 a block.
+    cores = base.sparkSession.sparkContext.defaultParallelism
+    m = max(blocks_of(asked, query_rows), min(blocks_of(cores, n), blocks_of(asked, 64)))
     spread = lambda parts, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(parts)).cast("int")
     left = base.select(*keys, "id", "v").withColumn("b", spread(n, 1)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
     right = queries.select(*keys, "id", "v").withColumn("qb", spread(m, 2)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
