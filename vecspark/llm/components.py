@@ -64,3 +64,22 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+
+
+#: Parts that the rows of one component are dealt over when they learn its name.
+SALTS = 16
+
+
+def named_components(nodes: DataFrame, rooted: DataFrame) -> DataFrame:
+    """``node``, ``component_id``: the least ``first`` in each component of ``nodes`` (``node`` unique, ``first``).
+
+    ``rooted`` is what :func:`components` gives. Only linked nodes meet by
+    component, dealt over salts, so a component of very many nodes is no burden.
+    All joins merge: these tables grow with the documents.
+    """
+    nodes = nodes.select("node", "first")
+    tops = rooted.select(F.col("root").alias("node")).distinct().withColumn("root", F.col("node"))
+    linked = nodes.join(rooted.select("node", "root").unionByName(tops).hint("merge"), "node")
+    least = linked.groupBy("root").agg(F.min("first").alias("least")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    known = linked.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(least.hint("merge"), ["root", "salt"]).select("node", "least")
+    return nodes.join(known.hint("merge"), "node", "left").select("node", F.coalesce("least", "first").alias("component_id"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecspark.llm._common import arrow_rows, as_bytes, stored
-from vecspark.llm.components import components
+from vecspark.llm.components import components, named_components
 
 LIMIT = 2
 PARTS = 5
@@ -150,8 +150,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = stored(fingerprints(docs, id_col, text_col, n, seed), "fingerprints")
     distinct = stored(own.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
     rooted = components(links(distinct, in_task=in_task))
-    classes = stored(distinct.join(rooted, distinct.fp == rooted.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "classes")
-    named = classes.select("fp", "root").join(classes.groupBy("root").agg(F.min("first").alias("component_id")), "root")
+    named = named_components(distinct.withColumn("node", F.col("fp")), rooted).withColumnRenamed("node", "fp")
     return own.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
@@ -280,8 +279,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, n: int = 5, id_c
     side = lambda name, as_: nodes.select(F.col("node").alias(name), F.col("wide").alias(as_)).hint("merge")
     checked = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b")
     rooted = components(checked.mapInArrow(near, "u bigint, v bigint"))
-    classes = stored(nodes.join(rooted, "node", "left").select("wide", "first", F.coalesce("root", "node").alias("root")), "classes")
-    named = classes.join(classes.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("wide", "component_id")
+    named = nodes.select("node", "wide").join(named_components(nodes, rooted), "node").select("wide", "component_id")
     return own.join(named, "wide").select("id", "component_id")
 
 
