@@ -118,3 +118,19 @@ def test_similar_texts_meet_and_others_stay_apart(spark):
     got = {r.id: r.component_id for r in simhash.similar_documents(frame(spark, texts)).collect()}
     assert [got[i] for i in range(len(texts))] == [3 * g for g in groups]
     assert sorted(r.doc_id for r in simhash.one_of_each(frame(spark, texts)).collect()) == [3 * g for g in range(40)]
+
+
+@pytest.mark.parametrize("block", [512, 40])
+def test_all_pairs_of_a_segment_group_meet(spark, block):
+    rng, limit, rows = np.random.default_rng(5), simhash.most_apart(0.8, 64 * simhash.WIDE), []
+    for _ in range(100):
+        base = rng.integers(0, 2, 64 * simhash.WIDE)
+        base[:24] = 1
+        partner = base.copy()
+        for i in range(1, 85):
+            partner[24 * i + (0 if i == 1 else rng.integers(1, 24))] ^= 1
+        rows += [base, partner]
+    wide = np.packbits(np.array(rows, dtype=np.uint8), axis=1)
+    nodes = spark.createDataFrame([(i, w.tobytes()) for i, w in enumerate(wide)], "node bigint, wide binary")
+    got = {r.node: r.root for r in simhash.wide_components(nodes, limit, block).collect()}
+    assert got == {2 * i + 1: 2 * i for i in range(100)}

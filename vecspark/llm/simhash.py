@@ -15,6 +15,7 @@ fingerprints do the same as a distributed group-by, whose groups never exceed 65
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -229,43 +230,95 @@ def segment_rows(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "wide").mapInArrow(run, "k bigint, rest bigint, node bigint")
 
 
-def neighbour_pairs(rows: DataFrame, limit: int) -> DataFrame:
-    """``u``, ``v``: rows of one segment value that follow each other in the order of the bits behind it.
+def shared_segments(rows: DataFrame, limit: int) -> DataFrame:
+    """Of :func:`segment_rows` those whose ``k`` may stand in several, with ``prev``: the node before it there.
 
-    The chain of the equal segment and the bits behind it must keep its share of
-    ``limit``. Linear in the rows, in any group: a group of k is a path, not k * k
-    pairs.
+    Rows go by the order of the bits behind the segment; ``prev`` is null unless
+    the chain of the segment and those bits keeps its share of ``limit``. The first
+    and the last row of a partition stay, as their group may go on in another.
     """
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-    budget = 64 * limit // (64 * WIDE)
+    schema = pa.schema([("k", pa.int64()), ("rest", pa.int64()), ("node", pa.int64()), ("prev", pa.int64())])
+    budget = chain_budget(limit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = np.array([-1]), np.array([0]), np.array([0])
+        none = np.zeros(0, dtype=np.int64)
+        held, met = (none, none, none), np.zeros(0, dtype=bool)  # the last row, and whether it shares its group or is the first
+        held_prev, held_near = none, met
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, rest, node = (np.concatenate([old, column.to_numpy()]) for old, column in zip(last, batch.columns))
-            last = key[-1:], rest[-1:], node[-1:]
-            near = (key[1:] == key[:-1]) & (node[1:] != node[:-1]) & (np.bitwise_count(rest[1:] ^ rest[:-1]) <= budget)
-            u, v = node[1:][near], node[:-1][near]
-            yield arrow_rows(schema, [np.maximum(u, v), np.minimum(u, v)])
+            key, rest, node = (np.concatenate([old, column.to_numpy()]) for old, column in zip(held, batch.columns))
+            same = key[1:] == key[:-1]
+            near = np.concatenate([held_near if len(held_near) else [False], same & (np.bitwise_count(rest[1:] ^ rest[:-1]) <= budget)])
+            prev = np.concatenate([held_prev if len(held_prev) else [0], node[:-1]])
+            shared = np.concatenate([met if len(met) else [True], same])
+            shared[:-1] |= same
+            out = np.flatnonzero(shared[:-1])
+            yield arrow_rows(schema, [key[out], rest[out], node[out], pa.array(prev[out], mask=~near[out])])
+            held, met, held_prev, held_near = (key[-1:], rest[-1:], node[-1:]), shared[-1:], prev[-1:], near[-1:]
+        if len(held[0]):
+            yield arrow_rows(schema, [*held, pa.array(held_prev, mask=~held_near)])
 
     ordered = rows.repartitionByRange("k", "rest").sortWithinPartitions("k", "rest", "node")
-    return ordered.mapInArrow(run, "u bigint, v bigint").distinct()
+    return ordered.mapInArrow(run, "k bigint, rest bigint, node bigint, prev bigint")
 
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: ``id``, ``component_id`` (smallest id reachable), for texts of at least ``similarity``.
+def chain_budget(limit: int) -> int:
+    """Differences that the first 64 bits of a chain may hold."""
+    return 64 * limit // (64 * WIDE)
 
-    Similarity is that of the sets of n-word shingles, measured by the Hamming
-    distance of wide fingerprints (2048 bits: a standard error of 0.015 at 0.8).
-    Candidates agree in one of 85 segments and follow each other there. Rules for
-    nulls, empty texts and repeated rows are those of :func:`near_duplicates`.
+
+def crossing_pairs(members: DataFrame, rooted: DataFrame, limit: int, block: int = 512) -> DataFrame:
+    """``u``, ``v``: all pairs of a segment's group that keep the chain's share of ``limit`` and aren't in one component of ``rooted``.
+
+    A group of one component is passed over. Others are dealt over blocks of about
+    ``block`` rows, and each block meets each: a task holds two blocks at most,
+    whatever the group.
     """
-    own = stored(wide_fingerprints(docs, id_col, text_col, n), "wide")
-    nodes = stored(own.groupBy("wide").agg(F.min("id").alias("first")).withColumn("node", F.xxhash64("wide")), "nodes")
-    limit = most_apart(similarity, 64 * WIDE)
-    pairs = neighbour_pairs(stored(segment_rows(nodes), "segments"), limit)
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    budget = chain_budget(limit)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in itertools.chain(batches, [None]):
+            if batch is None:
+                if held is None:
+                    return
+                now, end = held, len(held[0])
+            else:
+                own = [x.to_numpy() for x in batch.columns]
+                now = own if held is None else [np.concatenate(x) for x in zip(held, own)]
+                if not len(now[0]):
+                    continue
+                last = (now[0] == now[0][-1]) & (now[1] == now[1][-1]) & (now[2] == now[2][-1])
+                end = len(last) - int(np.argmin(last[::-1])) if not last.all() else 0
+            k, i, j, rest, node, part = now
+            at, step = np.arange(end), 0
+            while len(at):
+                step += 1
+                at = at[at + step < end]
+                to = at + step
+                together = (k[at] == k[to]) & (i[at] == i[to]) & (j[at] == j[to])
+                at, to = at[together], to[together]
+                near = (part[at] != part[to]) & (np.bitwise_count(rest[at] ^ rest[to]) <= budget)
+                if near.any():
+                    u, v = node[at[near]], node[to[near]]
+                    yield arrow_rows(schema, [np.maximum(u, v), np.minimum(u, v)])
+            held = [x[end:] for x in now]
+
+    named = members.join(rooted.hint("merge"), "node", "left").select("k", "rest", "node", F.coalesce("root", "node").alias("part"))
+    named = stored(named, "members")
+    parted = named.groupBy("k").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
+    blocks = parted.select("k", F.ceil(F.col("n") / block).cast("bigint").alias("blocks"))
+    dealt = named.join(blocks.hint("merge"), "k").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    tiles = dealt.select("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rest", "node", "part")
+    ordered = tiles.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", "node")
+    return ordered.mapInArrow(run, "u bigint, v bigint").distinct()
+
+
+def close_nodes(pairs: DataFrame, nodes: DataFrame, limit: int) -> DataFrame:
+    """The ``pairs`` whose wide fingerprints differ in at most ``limit`` bits."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,8 +330,35 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, n: int = 5, id_c
                 yield arrow_rows(schema, [part.column(i).to_numpy()[close] for i in (0, 1)])
 
     side = lambda name, as_: nodes.select(F.col("node").alias(name), F.col("wide").alias(as_)).hint("merge")
-    checked = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b")
-    rooted = components(checked.mapInArrow(near, "u bigint, v bigint"))
+    return pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(near, "u bigint, v bigint")
+
+
+def wide_components(nodes: DataFrame, limit: int, block: int = 512) -> DataFrame:
+    """What :func:`components` gives for all ``nodes`` (``node``, ``wide``) that share a segment and are within ``limit`` bits.
+
+    First those that follow each other in a segment's group are linked, a path and
+    not k * k pairs; then, with the components of these, all other pairs of the
+    group that could still join two of them are compared.
+    """
+    members = stored(shared_segments(segment_rows(nodes), limit), "segments")
+    paths = members.where("prev is not null").select(F.greatest("node", "prev").alias("u"), F.least("node", "prev").alias("v")).distinct()
+    rooted = components(close_nodes(paths, nodes, limit))
+    others = close_nodes(crossing_pairs(members, rooted, limit, block), nodes, limit)
+    return components(rooted.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(others))
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of ``docs``: ``id``, ``component_id`` (smallest id reachable), for texts of at least ``similarity``.
+
+    Similarity is that of the sets of n-word shingles, measured by the Hamming
+    distance of wide fingerprints (2048 bits: a standard error of 0.015 at 0.8).
+    Candidates agree in one of 85 segments and keep the budget of the chain behind it. Rules for
+    nulls, empty texts and repeated rows are those of :func:`near_duplicates`.
+    """
+    own = stored(wide_fingerprints(docs, id_col, text_col, n), "wide")
+    nodes = stored(own.groupBy("wide").agg(F.min("id").alias("first")).withColumn("node", F.xxhash64("wide")), "nodes")
+    limit = most_apart(similarity, 64 * WIDE)
+    rooted = wide_components(nodes, limit)
     named = nodes.select("node", "wide").join(named_components(nodes, rooted), "node").select("wide", "component_id")
     return own.join(named, "wide").select("id", "component_id")
 
