@@ -90,3 +90,26 @@ def test_odd_rows(spark, odd, odd_rows, nothing):
     assert out.columns == odd.columns
     row = next(r for r in out.collect() if r.doc_id == 10)
     assert row.text == mail.redacted and row.n_chars == len(row.text)
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        ("mail john @ example.com now", "email", "john @ example.com"),
+        ("mail john@ example.com now", "email", "john@ example.com"),
+        ("host 192[.]168[.]1[.]1 is up", "ip", "192[.]168[.]1[.]1"),
+        ("host 192 dot 168 dot 1 dot 1 is up", "ip", "192 dot 168 dot 1 dot 1"),
+        ("host 192 [dot] 168 (dot) one [dot] one is up", "ip", "192 [dot] 168 (dot) one [dot] one"),
+        ("card 4111 1111 1111 111 one now", "card", "4111 1111 1111 111 one"),
+        ("call +44 20 794 four six now", "phone", "+44 20 794 four six"),
+        ("call plus 1 212 555 0101 now", "phone", "plus 1 212 555 0101"),
+    ],
+)
+def test_few_marks_of_disguise_are_undone(text, kind, found):
+    start = text.index(found)
+    assert pii.find(text) == ([], [(kind, start, start + len(found))])
+
+
+@pytest.mark.parametrize("text", ["call +1 212 555 0101 one time", "host 10.0.0.1 one time", "in 2001, 2002, 2003, two", "page 3 point 5 of 12, or 1 dot 2", "mail one 5 [at] home"])
+def test_numbers_in_prose_add_nothing(text):
+    assert pii.find(text)[1] == []

@@ -94,10 +94,11 @@ DIGITS = {
 ALPHABET = homoglyphs()
 LOOKS = re.compile("[" + re.escape("".join(ALPHABET)) + "]+")
 WORD = "(?:" + "|".join(sorted(DIGITS, key=len, reverse=True)) + ")"
-#: Four digits' worth of words or more in a row, with digits between them; fewer is prose.
-SPELLED = re.compile(rf"(?i)(?<!\w)(?:(?:plus|{WORD}|[0-9]+|dot|point|punkt|punto)(?:[ \t]*[,-][ \t]*|[ \t]+)){{3,}}(?:{WORD}|[0-9]+)(?!\w)")
-PART = re.compile(rf"(?i)(?P<plus>plus)|(?P<dot>dot|point|punkt|punto)|(?P<word>{WORD})|(?P<digits>[0-9]+)|(?P<gap>[ \t,-]+)")
-HINT = re.compile(r"(?i)\b(?:dot|punkt|punto|point)\b|[\[({<][ \t]*(?:at|@|\.|arroba|arobase)[ \t]*[\])}>]")
+BRACKETED = r"[ \t]*[\[({<][ \t]*(?:dot|\.|punkt|punto|point)[ \t]*[\])}>][ \t]*"
+#: Words for digits, digits and written dots in a row; what of it counts, digit_edits decides.
+SPELLED = re.compile(rf"(?i)(?<!\w)(?:(?:plus|{WORD}|[0-9]+|dot|point|punkt|punto)(?:{BRACKETED}|[ \t]*[,-][ \t]*|[ \t]+))+(?:{WORD}|[0-9]+)(?!\w)")
+PART = re.compile(rf"(?i)(?P<plus>plus)|(?P<dot>{BRACKETED}|dot|point|punkt|punto)|(?P<word>{WORD})|(?P<digits>[0-9]+)|(?P<gap>[ \t,-]+)")
+HINT = re.compile(r"(?i)\b(?:dot|punkt|punto|point)\b|[\[({<][ \t]*(?:at|@|\.|arroba|arobase)[ \t]*[\])}>]|[ \t]@|@[ \t]")
 NAME, ATOM = r"[A-Za-z0-9._%+-]+", r"[A-Za-z0-9-]+"
 AT = r"(?P<at>[ \t]*[\[({<][ \t]*(?:at|@|arroba|arobase)[ \t]*[\])}>][ \t]*|[ \t]+(?:at|arroba|arobase)[ \t]+|[ \t]*@[ \t]*)"
 DOT = r"(?:[ \t]*[\[({<][ \t]*(?:dot|\.|punkt|punto|point)[ \t]*[\])}>][ \t]*|[ \t]+(?:dot|punkt|punto|point)[ \t]+|\.)"
@@ -155,19 +156,34 @@ def looks_edits(text: str) -> list[tuple[int, int, str]]:
 
 
 def digit_edits(text: str) -> list[tuple[int, int, str]]:
-    """Runs of spelled digits as digits: the gaps inside a run go, a spelled dot or plus is one."""
-    out = []
+    """Runs of spelled digits as digits: the gaps inside a run go, a spelled dot or plus is one.
+
+    Fewer than four words in a run may be prose: such a run is rewritten only if a
+    number or an IP address comes of it where the text had none of that kind.
+    """
+    sure, maybe = [], []
     for m in SPELLED.finditer(text):
-        words = sum(x.lastgroup == "word" for x in PART.finditer(m[0]))
-        if words < 4:
-            continue
-        for x in PART.finditer(text, m.start(), m.end()):
+        parts = list(PART.finditer(text, m.start(), m.end()))
+        words = sum(x.lastgroup == "word" for x in parts)
+        edits = []
+        for x in parts:
             new = {"plus": "+", "dot": ".", "gap": ""}.get(x.lastgroup or "")
             if x.lastgroup == "word":
                 new = DIGITS[x[0].lower()]
-            if new is not None:
-                out.append((*x.span(), new))
-    return out
+            if new is not None and (words >= 4 or x.lastgroup != "gap" or "," not in x[0]):
+                edits.append((*x.span(), new))
+        if words >= 4:
+            sure += edits
+        elif any(x.lastgroup in ("word", "dot", "plus") for x in parts):
+            maybe.append((*m.span(), edits))
+    if not maybe:
+        return sure
+    trial = Rewritten(text)
+    trial.apply(sorted(sure + [e for *_, edits in maybe for e in edits]))
+    held = [x for x in base_spans(text) if x[0] != "email"]
+    found = [(kind, *trial.source(s, e)) for kind, s, e in base_spans(trial.text) if kind != "email"]
+    new = [(s, e) for kind, s, e, touched in found if touched and not any(k == kind and a < e and s < b for k, a, b in held)]
+    return sorted(sure + [x for start, end, edits in maybe if any(s < end and start < e for s, e in new) for x in edits])
 
 
 def address_edits(text: str) -> list[tuple[int, int, str]]:
