@@ -113,3 +113,35 @@ def test_few_marks_of_disguise_are_undone(text, kind, found):
 @pytest.mark.parametrize("text", ["call +1 212 555 0101 one time", "host 10.0.0.1 one time", "in 2001, 2002, 2003, two", "page 3 point 5 of 12, or 1 dot 2", "mail one 5 [at] home"])
 def test_numbers_in_prose_add_nothing(text):
     assert pii.find(text)[1] == []
+
+
+HINTS = ("the point ", "a dot ", "x [dot] ", "me [at] ", "me at ", "a@b", "a @ b", "one ", "plus ", "１ ", "")
+RUNS = (".", "a.", "1.", "a", "1", "0", " ", "- ", "[ ", "(", "@", "@a.b ", " at a", " dot a", "a dot ", " [at] a [dot] b", "one ", "1 ", "+1(", "1, ", "é", "\u200b")
+
+
+@pytest.mark.parametrize("run", RUNS)
+def test_any_hint_beside_any_long_run_takes_linear_time(run):
+    import time
+
+    for hint in HINTS:
+        begun = time.time()
+        pii.find(hint + run * (100_000 // len(run)))
+        assert time.time() - begun < 5, hint
+
+
+def test_numbers_of_any_length():
+    for text in ("0" * 5000 + ".1.2.3", "1" * 5000 + ".1.2.3", "1.2.3." + "0" * 6000):
+        assert pii.base_spans(text) == ([("ip", 0, len(text))] if text[0] != "1" or text[1] == "." else [])
+    assert [pii.is_octet(x) for x in ("0", "255", "256", "0255", "1000", "99")] == [True, True, False, True, False, True]
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("x a dot b dot c dot d dot e dot f at site dot org y", "x a dot b dot c dot d dot e dot f at site dot org"[2:]),
+        ("a.b.c.d.e.f [at] one.two [dot] three.", "a.b.c.d.e.f [at] one.two [dot] three"),
+        ("to me@x.org and you [at] y.org", "you [at] y.org"),
+    ],
+)
+def test_names_and_hosts_of_any_number_of_parts(text, found):
+    assert [text[a:b] for _, a, b in pii.find(text)[1]] == [found]

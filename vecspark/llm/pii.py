@@ -37,6 +37,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def is_octet(digits: str) -> bool:
+    """Whether a run of digits of any length says at most 255."""
+    digits = digits.lstrip("0")
+    return len(digits) < 3 or (len(digits) == 3 and digits <= "255")
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """Leftmost non-overlapping addresses, in linear time.
 
@@ -57,7 +63,7 @@ def base_spans(text: str) -> list[Span]:
     out: list[Span] = []
     if "@" in text:
         out += [("email", *x) for x in emails(text)]
-    out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    out += [("ip", *m.span()) for m in IP.finditer(text) if all(map(is_octet, m[0].split(".")))]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 13:
             digits = m[0].replace(" ", "").replace("-", "")
@@ -99,12 +105,12 @@ BRACKETED = r"[ \t]*[\[({<][ \t]*(?:dot|\.|punkt|punto|point)[ \t]*[\])}>][ \t]*
 SPELLED = re.compile(rf"(?i)(?<!\w)(?:(?:plus|{WORD}|[0-9]+|dot|point|punkt|punto)(?:{BRACKETED}|[ \t]*[,-][ \t]*|[ \t]+))+(?:{WORD}|[0-9]+)(?!\w)")
 PART = re.compile(rf"(?i)(?P<plus>plus)|(?P<dot>{BRACKETED}|dot|point|punkt|punto)|(?P<word>{WORD})|(?P<digits>[0-9]+)|(?P<gap>[ \t,-]+)")
 HINT = re.compile(r"(?i)\b(?:dot|punkt|punto|point)\b|[\[({<][ \t]*(?:at|@|\.|arroba|arobase)[ \t]*[\])}>]|[ \t]@|@[ \t]")
-NAME, ATOM = r"[A-Za-z0-9._%+-]+", r"[A-Za-z0-9-]+"
-AT = r"(?P<at>[ \t]*[\[({<][ \t]*(?:at|@|arroba|arobase)[ \t]*[\])}>][ \t]*|[ \t]+(?:at|arroba|arobase)[ \t]+|[ \t]*@[ \t]*)"
-DOT = r"(?:[ \t]*[\[({<][ \t]*(?:dot|\.|punkt|punto|point)[ \t]*[\])}>][ \t]*|[ \t]+(?:dot|punkt|punto|point)[ \t]+|\.)"
-ADDRESS = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])(?P<name>{NAME}(?:{DOT}{NAME}){{0,3}}?){AT}(?P<host>{ATOM}(?:{DOT}{ATOM})+)")
-PLAIN_AT = re.compile(r"(?i)[ \t]+(?:at|arroba|arobase)[ \t]+")
-DOTS = re.compile(rf"(?i){DOT}")
+ATOM = re.compile(r"[A-Za-z0-9-]+")
+#: What may stand for an at sign, without the white space around it.
+AT = re.compile(r"(?i)[\[({<][ \t]*+(?:at|@|arroba|arobase)[ \t]*+[\])}>]|(?<=[ \t])(?:at|arroba|arobase)(?=[ \t])|@")
+#: A dot in brackets or written out, without the white space around it.
+DOT = re.compile(r"(?i)[\[({<][ \t]*+(?:dot|\.|punkt|punto|point)[ \t]*+[\])}>]|(?<=[ \t])(?:dot|punkt|punto|point)(?=[ \t])")
+GAP = " \t"
 
 
 class Rewritten:
@@ -151,6 +157,39 @@ class Rewritten:
         return end + inside - n
 
 
+class Held:
+    """Spans by kind, each kind's ascending and disjoint."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts: dict[str, list[int]] = {}
+        self.ends: dict[str, list[int]] = {}
+        for kind, start, end in spans:
+            self.starts.setdefault(kind, []).append(start)
+            self.ends.setdefault(kind, []).append(end)
+
+    def meets(self, kind: str, start: int, end: int) -> bool:
+        """Whether a span of the kind shares a character with the range."""
+        ends = self.ends.get(kind, [])
+        i = bisect_right(ends, start)
+        return i < len(ends) and self.starts[kind][i] < end
+
+    def holds(self, kind: str, start: int, end: int) -> bool:
+        """Whether a span of the kind covers the range."""
+        i = bisect_right(self.starts.get(kind, []), start) - 1
+        return i >= 0 and end <= self.ends[kind][i]
+
+
+def disjoint(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same positions as ascending, disjoint ranges."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(ranges):
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
+        else:
+            out.append((start, end))
+    return out
+
+
 def looks_edits(text: str) -> list[tuple[int, int, str]]:
     return [(m.start() + i, m.start() + i + 1, ALPHABET[c]) for m in LOOKS.finditer(text) for i, c in enumerate(m[0])]
 
@@ -180,24 +219,76 @@ def digit_edits(text: str) -> list[tuple[int, int, str]]:
         return sure
     trial = Rewritten(text)
     trial.apply(sorted(sure + [e for *_, edits in maybe for e in edits]))
-    held = [x for x in base_spans(text) if x[0] != "email"]
+    held = Held(base_spans(text))
     found = [(kind, *trial.source(s, e)) for kind, s, e in base_spans(trial.text) if kind != "email"]
-    new = [(s, e) for kind, s, e, touched in found if touched and not any(k == kind and a < e and s < b for k, a, b in held)]
-    return sorted(sure + [x for start, end, edits in maybe if any(s < end and start < e for s, e in new) for x in edits])
+    new = Held([("new", s, e) for s, e in disjoint([(s, e) for kind, s, e, touched in found if touched and not held.meets(kind, s, e)])])
+    return sorted(sure + [x for start, end, edits in maybe if new.meets("new", start, end) for x in edits])
+
+
+def widened(text: str, start: int, end: int) -> tuple[int, int]:
+    """A range with the blanks on both sides."""
+    while start and text[start - 1] in GAP:
+        start -= 1
+    while end < len(text) and text[end] in GAP:
+        end += 1
+    return start, end
+
+
+def host_after(text: str, at: int, dots: dict[int, int]) -> tuple[int, int, list[tuple[int, int]]]:
+    """End, number of parts and disguised dots of the host that begins at ``at``."""
+    stop, parts, hidden, link = at, 0, [], None
+    while atom := ATOM.match(text, at):
+        hidden += [link] if link else []
+        parts, stop, link = parts + 1, atom.end(), None
+        if stop in dots:
+            link = (stop, at := dots[stop])
+        elif text[stop : stop + 1] == ".":
+            at = stop + 1
+        else:
+            break
+    return stop, parts, hidden
+
+
+def name_before(text: str, low: int, end: int, dots: dict[int, int]) -> tuple[int, list[tuple[int, int]]]:
+    """Start (``end`` for none) and disguised dots of the name that ends at ``end`` and begins after ``low``."""
+    start, hidden, link = end, [], None
+    while True:
+        first = at = link[0] if link else end
+        while first > low and text[first - 1] in LOCAL:
+            first -= 1
+        if first == at:
+            return start, hidden
+        hidden += [link] if link else []
+        start = first
+        if dots.get(start, low) <= low:
+            return start, hidden
+        link = (dots[start], start)
 
 
 def address_edits(text: str) -> list[tuple[int, int, str]]:
-    """Disguised addresses: a bare "at" counts only before a host whose dots are all but written out."""
-    out = []
-    for m in ADDRESS.finditer(text):
-        dots = [d for part in ("name", "host") for d in DOTS.finditer(text, *m.span(part))]
-        hidden = [d for d in dots if d[0] != "."]
-        bare = PLAIN_AT.fullmatch(m["at"])
-        if bare and not any(d.start() > m.start("host") for d in hidden):
+    """Disguised addresses: a bare "at" counts only before a host whose dots are all but written out.
+
+    From each sign that may be an at, the host is read forwards and, if there is
+    one, the name backwards to the last address at most; names and hosts have any
+    number of parts. So each stretch of text is read a bounded number of times.
+    """
+    out: list[tuple[int, int, str]] = []
+    dots = [widened(text, *m.span()) for m in DOT.finditer(text)]
+    forwards, backwards, low = dict(dots), {end: start for start, end in dots}, 0
+    for m in AT.finditer(text):
+        start, end = widened(text, *m.span())
+        if start < low:
+            continue
+        stop, parts, hidden = host_after(text, end, forwards)
+        if parts < 2 or (m[0][0] in "aA" and not hidden):
+            continue
+        first, inner = name_before(text, low, start, backwards)
+        if first == start:
             continue
-        if m["at"] != "@":
-            out.append((*m.span("at"), "@"))
-        out += [(*d.span(), ".") for d in hidden]
+        if text[start:end] != "@":
+            out.append((start, end, "@"))
+        out += [(*dot, ".") for dot in hidden + inner]
+        low = stop
     return sorted(out)
 
 
@@ -216,11 +307,10 @@ def added_spans(text: str, base: list[Span]) -> list[Span]:
             new.apply(edits(new.text))
     if not new.ops:
         return []
-    held = {k: [(s, e) for kind, s, e in base if kind == k] for k in KINDS}
-    out = []
+    held, out = Held(base), []
     for kind, start, end in base_spans(new.text):
         s, e, touched = new.source(start, end)
-        if touched and not any(a <= s and e <= b for a, b in held[kind]):
+        if touched and not held.holds(kind, s, e):
             out.append((kind, s, e))
     return out
 
