@@ -36,7 +36,7 @@ def test_small_alphabet_against_brute_force(spark, block_bytes):
     texts = [make(draw.randint(0, 60)) for _ in range(80)] + [None, ""]
     items = [(i, make(draw.randint(0, 9))) for i in range(12)] + [(50, None), (51, ""), (52, "a b"), (53, "a b")]
     got = decontaminate.contamination(frame(spark, texts), items_of(spark, items), n=4, block_bytes=block_bytes).collect()
-    assert {r.doc_id: (r.n_words, r.hits, r.items) for r in got} == {i: brute(t, items, 4) for i, t in enumerate(texts)}
+    assert {r.doc_id: (r.n_words, r.hits, r["items"]) for r in got} == {i: brute(t, items, 4) for i, t in enumerate(texts)}
 
 
 def test_odd_rows(spark, odd, odd_rows, nothing):
@@ -59,3 +59,25 @@ def test_proximity(spark):
     lists = [np.array([4, 20]), np.array([5, 23])]
     assert decontaminate.near(lists, [0, 1], 0).tolist() == [4]
     assert decontaminate.near(lists, [0, 1], 2).tolist() == [4, 20]
+
+
+@pytest.mark.parametrize("block_bytes", [1, 25, 1 << 20])
+def test_rows_of_equal_or_no_id_stay_apart_in_any_blocks(spark, block_bytes):
+    texts = [(3, "a b c d"), (3, "e f g"), (3, "a b c d"), (None, "a b c x"), (None, "nothing here"), (4, None)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    items = [(1, "a b c"), (2, "e f g"), (2, "x"), (None, "b c"), (None, "here"), (5, None)]
+    got = decontaminate.contamination(docs, items_of(spark, items), n=3, block_bytes=block_bytes).collect()
+    named = [("" if i is None else i, t) for i, t in items]
+    want = sorted((i is None, i or 0, *brute(t, named, 3)) for i, t in texts)
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.hits, r.items) for r in got) == want
+    kept = decontaminate.clean_documents(docs, items_of(spark, items), n=3, block_bytes=block_bytes).collect()
+    assert [(r.doc_id, r.text) for r in kept] == [(4, None)]
+
+
+def test_segments_of_any_size_find_the_same(spark):
+    draw = random.Random(8)
+    texts = [" ".join(draw.choice("abcdef") for _ in range(draw.randint(0, 40))) for _ in range(60)]
+    items = items_of(spark, [(i, " ".join(draw.choice("abcdef") for _ in range(5))) for i in range(6)])
+    whole = decontaminate.search(decontaminate.build_index(frame(spark, texts)), decontaminate.Phrases([(r.item_id, r.text.encode()) for r in items.collect()], 3))
+    parts = decontaminate.search(decontaminate.build_index(frame(spark, texts), segment_bytes=30), decontaminate.Phrases([(r.item_id, r.text.encode()) for r in items.collect()], 3))
+    assert sorted((r.id, r.hits, r["items"]) for r in whole.collect()) == sorted((r.id, r.hits, r["items"]) for r in parts.collect())
