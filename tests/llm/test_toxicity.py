@@ -88,3 +88,24 @@ def test_odd_rows(spark, odd, odd_rows, nothing):
         assert len(rows) == len(odd_rows) and all(0 <= r.score <= 1 for r in rows)
         assert not any(r.predicted for r in rows if r.doc_id in (0, 1, 2))
     assert toxicity.score_documents(nothing, labels).collect() == []
+
+
+@pytest.mark.parametrize("step", [1, 3, 10, 50])
+@pytest.mark.parametrize("score", [0.4, 1.0, 9.0])
+def test_many_spread_hits_take_linear_time(step, score):
+    import time
+
+    draw = random.Random(step)
+    hits = [(i * step + draw.randrange(step), score + draw.random()) for i in range(100_000)]
+    begun = time.time()
+    found = toxicity.segments(hits, -0.3)
+    assert time.time() - begun < 1
+    assert sum(1 for s, a, b in found if s <= 0 or a > b) == 0 and all(x[2] < y[1] for x, y in zip(found, found[1:]))
+
+
+def test_texts_that_share_a_passage_are_not_near_copies():
+    shared = prose(1, 60)
+    texts = [shared + " " + prose(i, 200) for i in range(2, 42)]
+    assert len({toxicity.sketch(t) for t in texts}) == len(texts)
+    assert toxicity.sketch(texts[0]) == toxicity.sketch(texts[0].upper() + "!")
+    assert toxicity.sketch(None) == toxicity.sketch("")

@@ -43,6 +43,22 @@ def thinned(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(run, "u bigint, v bigint")
 
 
+#: Parts that the rows of one key are dealt over where they meet what is known of it.
+SALTS = 256
+
+
+def salted_join(rows: DataFrame, known: DataFrame, key: str, spread: str) -> DataFrame:
+    """``rows`` with the columns of ``known`` (one row a ``key``), inner.
+
+    Rows of a key are dealt over salts by ``spread``, and what is known goes to
+    the salts that the key has rows in: a key of a third of all rows is no burden,
+    a key of one row costs one. All joins merge, as these tables grow with the documents.
+    """
+    dealt = rows.withColumn("vs_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("smallint"))
+    told = dealt.select(key, "vs_salt").distinct().join(known.hint("merge"), key)
+    return dealt.join(told.hint("merge"), [key, "vs_salt"]).drop("vs_salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node``, ``root`` (smallest node of its component) for every node of ``edges`` that isn't a root.
 
@@ -60,26 +76,19 @@ def components(edges: DataFrame) -> DataFrame:
         before = mark
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = salted_join(both.where("v > u"), least, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = salted_join(large, least, "u", "v").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
 
 
-#: Parts that the rows of one component are dealt over when they learn its name.
-SALTS = 16
-
-
 def named_components(nodes: DataFrame, rooted: DataFrame) -> DataFrame:
     """``node``, ``component_id``: the least ``first`` in each component of ``nodes`` (``node`` unique, ``first``).
 
-    ``rooted`` is what :func:`components` gives. Only linked nodes meet by
-    component, dealt over salts, so a component of very many nodes is no burden.
-    All joins merge: these tables grow with the documents.
+    ``rooted`` is what :func:`components` gives. Only linked nodes meet by component.
     """
     nodes = nodes.select("node", "first")
     tops = rooted.select(F.col("root").alias("node")).distinct().withColumn("root", F.col("node"))
     linked = nodes.join(rooted.select("node", "root").unionByName(tops).hint("merge"), "node")
-    least = linked.groupBy("root").agg(F.min("first").alias("least")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    known = linked.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(least.hint("merge"), ["root", "salt"]).select("node", "least")
+    known = salted_join(linked, linked.groupBy("root").agg(F.min("first").alias("least")), "root", "node").select("node", "least")
     return nodes.join(known.hint("merge"), "node", "left").select("node", F.coalesce("least", "first").alias("component_id"))

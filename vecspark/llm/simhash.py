@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecspark.llm._common import arrow_rows, as_bytes, stored
-from vecspark.llm.components import components, named_components
+from vecspark.llm.components import components, named_components, salted_join
 
 LIMIT = 2
 PARTS = 5
@@ -152,7 +152,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct = stored(own.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
     rooted = components(links(distinct, in_task=in_task))
     named = named_components(distinct.withColumn("node", F.col("fp")), rooted).withColumnRenamed("node", "fp")
-    return own.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    return salted_join(own, named, "fp", "id").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def fingerprint_text(fp: str = "fp"):

@@ -49,24 +49,31 @@ def segments(hits: list[tuple[int, float]], gap: float) -> list[tuple[float, int
     """All maximal scoring segments (score, first position, last position), in linear time.
 
     ``hits`` are the positions with a positive score; every other position has the
-    negative score ``gap``.
+    negative score ``gap``. Each held segment knows the last one before it whose
+    sum on the left is smaller, so a search steps over those between, and when
+    there is none all held segments are final.
     """
-    stack: list[tuple[float, float, int, int]] = []  # left and right cumulative sums, first and last position
+    done: list[tuple[float, int, int]] = []
+    held: list[tuple[float, float, int, int, int]] = []  # left and right cumulative sums, first and last position, the smaller one before
     total, at = 0.0, -1
     for position, score in hits:
         total += gap * (position - at - 1)
-        left, right, first = total, total + score, position
+        left, right, first, j = total, total + score, position, len(held) - 1
+        total, at = right, position
         while True:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][0] >= left:
-                j -= 1
-            if j < 0 or stack[j][1] >= right:
+            while j >= 0 and held[j][0] >= left:
+                j = held[j][4]
+            if j < 0:
+                done += [(y - x, a, b) for x, y, a, b, _ in held]
+                held.clear()
                 break
-            left, first = stack[j][0], stack[j][2]
-            del stack[j:]
-        stack.append((left, right, first, position))
-        total, at = right if first == position else total + score, position
-    return [(right - left, first, last) for left, right, first, last in stack]
+            if held[j][1] >= right:
+                break
+            left, _, first, _, before = held[j]
+            del held[j:]
+            j = before
+        held.append((left, right, first, position, j))
+    return done + [(y - x, a, b) for x, y, a, b, _ in held]
 
 
 class Model:
@@ -119,20 +126,25 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int, id_col: str, te
     chosen = [usable.where(F.col("vs_label") == y).orderBy(F.xxhash64("vs_id"), "vs_id").limit(most) for y in (0, 1)]
     picked = stored(chosen[0].unionByName(chosen[1]), "training-ids")
     found = docs.select(docs[id_col].cast("bigint").alias("vs_id"), docs[text_col].alias("text")).join(F.broadcast(picked), "vs_id").select(F.col("vs_label").alias("label"), "text")
-    schema = pa.schema([("label", pa.int32()), ("text", pa.string()), ("sketch", pa.int64())])
+    schema = pa.schema([("label", pa.int32()), ("text", pa.string()), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield arrow_rows(schema, [batch.column(0), batch.column(1), [sketch(t) for t in batch.column(1).to_pylist()]])
 
     # Copies and near copies count once: one text for each sketch and class.
-    return found.mapInArrow(run, "label int, text string, sketch bigint").groupBy("label", "sketch").agg(F.min("text").alias("text")).select("label", "text")
+    return found.mapInArrow(run, "label int, text string, sketch binary").groupBy("label", "sketch").agg(F.min("text").alias("text")).select("label", "text")
+
 
+def sketch(text: str | None, size: int = 4) -> bytes:
+    """The least ``size`` hashes of the text's 4-word runs.
 
-def sketch(text: str | None) -> int:
-    """The least hash of the text's 4-word runs; near copies mostly share it."""
+    Near copies mostly share all of them; texts that share a passage would need
+    all of them to fall into it.
+    """
     words = tokens(text)
-    return min((zlib.crc32(" ".join(words[i : i + 4]).encode()) for i in range(max(1, len(words) - 3))), default=0)
+    runs = {zlib.crc32(" ".join(words[i : i + 4]).encode()) for i in range(max(1, len(words) - 3))}
+    return b"".join(h.to_bytes(4) for h in sorted(runs)[:size])
 
 
 def token_counts(rows: DataFrame) -> DataFrame:
