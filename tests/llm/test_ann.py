@@ -13,15 +13,24 @@ def exact(ids, x, query, k):
     return np.array(ids)[own][order].tolist(), scores[own][order].tolist()
 
 
-def test_walk_takes_cells_by_falling_sum():
+@pytest.mark.parametrize("tile", [1, 2, 3])
+def test_walk_takes_cells_by_falling_sum(tile):
     rng = np.random.default_rng(2)
     a, b = rng.normal(size=6), rng.normal(size=5)
-    sizes = rng.integers(0, 3, 30)
-    cells = ann.walk(a, b, sizes, 10**9)
-    sums = [a[c // 5] + b[c % 5] for c in cells]
-    assert sums == sorted(sums, reverse=True) and sorted(cells) == np.flatnonzero(sizes).tolist()
-    some = ann.walk(a, b, sizes, 7)
-    assert some == cells[: len(some)] and sizes[some].sum() >= 7 > sizes[some[:-1]].sum()
+    sizes = rng.integers(0, 3, (6, 5))
+    assert ann.walk(a, b, sizes, 10**9, tile).tolist() == np.flatnonzero(sizes).tolist()
+    sums = (a[:, None] + b[None, :]).ravel()
+    for wanted in (1, 7, 20):
+        some = ann.walk(a, b, sizes, wanted, tile)
+        assert sizes.ravel()[some].sum() >= min(wanted, sizes.sum())
+        if tile == 1:
+            by_sum = [c for c in np.argsort(-sums) if sizes.ravel()[c]]
+            assert sorted(some) == sorted(by_sum[: len(some)]) and sizes.ravel()[by_sum[: len(some) - 1]].sum() < wanted
+
+
+def test_shelves_cut_cells_in_order():
+    low, high = ann.shelves(np.array([3, 0, 4, 25, 1, 0]), 10)
+    assert low.tolist() == [0, 0, 0, 0, 3, 3] and high.tolist() == [0, 0, 0, 3, 3, 3]
 
 
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
@@ -47,12 +56,23 @@ def test_recall_with_a_partial_walk(spark):
     x = rng.normal(size=(3000, 16))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
     found = {}
-    for r in ann.neighbours(df, F.col("vec_id") % 100 == 0, k=10, share=0.4, least=100, block_rows=700, query_rows=11).collect():
+    for r in ann.neighbours(df, F.col("vec_id") % 100 == 0, k=10, cells_per_half=64, share=0.18, depth=3, shelf_rows=300, query_rows=11).collect():
         found.setdefault(r.query_id, set()).add(r.vec_id)
     hits = sum(len(found[q] & set(exact(range(3000), x, (q, x[q]), 10)[0])) for q in found)
     assert len(found) == 30 and hits / 300 >= 0.9
 
 
+def test_a_cell_of_a_third_of_all_rows_and_a_stray_length(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 8))
+    x[100:240] = x[100]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(i, [1.0] * n) for i in range(1000, 1006) for n in (1, 9)]
+    found = {}
+    for r in ann.neighbours(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") % 20 == 0, k=20, shelf_rows=16, query_rows=7).orderBy("rank").collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    assert {q: ids for q, ids in found.items()} == {q: exact(range(400), x, (q, x[q]), 20)[0] for q in range(0, 400, 20)}
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (6, [1.0, 1.0]), (7, [1.0, 1.0]), (8, []), (20, [0.5, 0.5]), (20, [0.5, 0.5]), (None, [9.0, 9.0]), (40, None), (60, [1.0])]

@@ -1,15 +1,14 @@
 """Approximate nearest neighbours with an inverted multi-index.
 
 Two codebooks quantise the two halves of the vectors separately; a cell is a pair
-of centroids, and its entries are listed under it. A query walks the cells by
+of centroids, and its entries are listed under it. A query walks the pairs by
 falling sum of its products with the two centroids, from a heap over the two
 sorted lists, until enough entries are covered, and those are reranked by their
 exact products.
 
-Entries are dealt evenly over blocks of bounded size by a hash of their id, each
-block listing its own entries by cell, so a cell that holds a third of all rows
-is no burden to anyone; queries are dealt over blocks of their own, and every
-pair of blocks is one task's work.
+Cells in order are cut into shelves of bounded size; a cell too large for one, of
+a third of all rows say, is dealt over several. A query goes to the shelves that
+hold a cell of its walk, with the cells it wants there, and to no other.
 """
 
 from __future__ import annotations
@@ -20,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,29 +53,38 @@ def nearest(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return ((centres * centres).sum(axis=1) - 2 * rows @ centres.T).argmin(axis=1)
 
 
-def walk(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, wanted: int) -> list[int]:
-    """Cells (i * len(second) + j) by falling ``first[i] + second[j]`` until they hold ``wanted`` entries.
+def walk(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, wanted: int, tile: int = 8) -> np.ndarray:
+    """Cells (i * len(second) + j) by falling ``first[i] + second[j]`` until they hold ``wanted`` entries, ascending.
 
-    The multi-sequence walk: a cell enters the heap once both its neighbours
-    before it in the two sorted lists have been taken.
+    The multi-sequence walk over the two sorted lists, cut into runs of ``tile``:
+    a pair of runs enters the heap once both pairs before it have been taken.
+    ``sizes`` has a row for each centroid of the first half. Empty cells are left out.
     """
     a, b = np.argsort(-first, kind="stable"), np.argsort(-second, kind="stable")
-    fa, sb, la, lb = first[a].tolist(), second[b].tolist(), a.tolist(), b.tolist()
-    n, m = len(la), len(lb)
-    count = sizes.tolist()
-    heap, done, out, held = [(-(fa[0] + sb[0]), 0, 0)], [0] * n, [], 0
+    grid = sizes[np.ix_(a, b)]
+    rows, columns = np.arange(0, len(a), tile), np.arange(0, len(b), tile)
+    count = np.add.reduceat(np.add.reduceat(grid, rows, axis=0), columns, axis=1).tolist()
+    fa = first[a][np.minimum(rows + tile // 2, len(a) - 1)].tolist()
+    sb = second[b][np.minimum(columns + tile // 2, len(b) - 1)].tolist()
+    n, m = len(fa), len(sb)
+    taken, heap, done, held = np.zeros((n, m), dtype=bool), [(-(fa[0] + sb[0]), 0, 0)], [0] * n, 0
     while heap and held < wanted:
         _, i, j = heapq.heappop(heap)
         done[i] = j + 1
-        cell = la[i] * m + lb[j]
-        if count[cell]:
-            out.append(cell)
-            held += count[cell]
+        taken[i, j] = True
+        held += count[i][j]
         if j + 1 < m and (i == 0 or done[i - 1] > j + 1):
             heapq.heappush(heap, (-(fa[i] + sb[j + 1]), i, j + 1))
         if i + 1 < n and done[i + 1] == j:
             heapq.heappush(heap, (-(fa[i + 1] + sb[j]), i + 1, j))
-    return out
+    i, j = np.nonzero((grid > 0) & np.repeat(np.repeat(taken, tile, axis=0)[: len(a)], tile, axis=1)[:, : len(b)])
+    return np.sort(a[i] * len(b) + b[j])
+
+
+def shelves(sizes: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each cell its first and last shelf: cells in order, about ``rows`` entries a shelf."""
+    end = np.cumsum(sizes)
+    return (end - sizes) // rows, np.maximum(end - 1, end - sizes) // rows
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -83,102 +92,105 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def search_block(ids: np.ndarray, cells: np.ndarray, v: np.ndarray, qids: np.ndarray, q: np.ndarray, probes: list[np.ndarray], k: int, chunk: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ``k`` best entries of a block for each query among its probed cells: (query, id, score)."""
-    order = np.lexsort((ids, cells))
-    ids, cells, v = ids[order], cells[order], v[order]
-    own, begin = np.unique(cells, return_index=True)
-    end = np.append(begin[1:], len(cells))
+def search_block(ids: np.ndarray, cells: np.ndarray, v: np.ndarray, qids: np.ndarray, q: np.ndarray, probes: list[np.ndarray], k: int, chunk: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best entries of a shelf for each query among its probed cells: (query, id, score)."""
+    own, cell = np.unique(cells, return_inverse=True)
+    take = min(k, len(ids))
     out: tuple[list, list, list] = ([], [], [])
     for at in range(0, len(qids), chunk):
-        part = range(at, min(at + chunk, len(qids)))
-        askers: dict[int, list[int]] = {}
-        for i in part:
-            for c in np.intersect1d(own, probes[i], assume_unique=True).tolist():
-                askers.setdefault(c, []).append(i - at)
-        scores = np.full((len(part), len(ids)), -np.inf)
-        for c, who in askers.items():
-            p = np.searchsorted(own, c)
-            scores[who, begin[p] : end[p]] = q[at:][who] @ v[begin[p] : end[p]].T
-        for i in part:
-            row = scores[i - at]
-            row[ids == qids[i]] = -np.inf
-            take = min(k, len(row))
-            if not take:
-                continue
-            kth = np.partition(row, len(row) - take)[len(row) - take]
-            slack = 1e-9 * max(1.0, float(np.abs(q[i]).sum()) * float(np.abs(row[np.isfinite(row)]).max(initial=0.0)))
-            near = np.flatnonzero((row >= kth - slack) & np.isfinite(row))
-            exact = (v[near] * q[i]).sum(axis=1)
+        asked, named = q[at : at + chunk], qids[at : at + chunk]
+        wanted = np.zeros((len(named), len(own)), dtype=bool)
+        for i, probed in enumerate(probes[at : at + chunk]):
+            place = np.minimum(np.searchsorted(own, probed), len(own) - 1)
+            wanted[i, place[own[place] == probed]] = True
+        scores = asked @ v.T
+        scores[~wanted[:, cell] | (ids[None, :] == named[:, None])] = -np.inf
+        kth = np.partition(scores, len(ids) - take, axis=1)[:, len(ids) - take]
+        slack = 1e-9 * np.maximum(1.0, np.abs(asked).sum(axis=1) * np.abs(v).max(initial=0.0))
+        for i, name in enumerate(named):
+            near = np.flatnonzero((scores[i] >= kth[i] - slack[i]) & np.isfinite(scores[i]))
+            exact = (v[near] * asked[i]).sum(axis=1)
             best = np.lexsort((ids[near], -exact))[:k]
-            out[0].append(np.full(len(best), qids[i]))
+            out[0].append(np.full(len(best), name))
             out[1].append(ids[near][best])
             out[2].append(exact[best])
     return tuple(np.concatenate(x) if x else np.empty(0) for x in out)
 
 
-def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, cells_per_half: int = 64, share: float = 0.5, least: int = 2000, sample: int = 20_000, block_rows: int = 16_384, query_rows: int = 4096, rounds: int = 12, seed: int = 11, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, cells_per_half: int = 512, share: float = 0.2, depth: int = 50, sample: int = 20_000, shelf_rows: int = 16_384, query_rows: int = 8192, rounds: int = 12, seed: int = 11, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``: each query's ``k`` nearest found by inner product.
 
     The codebooks are fitted on a bounded ``sample`` of rows (smallest hashes of
-    the id); every row is indexed. A query's walk covers at least ``share`` of all
-    rows and ``least`` rows: vectors without structure in many dimensions need
-    half of them for a recall over 0.9, others less. Rows whose vector is null,
-    empty, zero or holds null or non-finite components, and rows without an id,
-    take no part; so do vectors of another length than the sample's first. Ties go
-    to the smaller id; repeated ids are all candidates, but not for their own id,
-    which asks once, with its smallest vector. Too few candidates give fewer rows; empty tables give none.
+    the id); every row is indexed. A query's walk covers ``share`` of all rows and
+    ``depth * k`` rows more: vectors without structure in many dimensions need so
+    many for a recall over 0.9, others less. Rows whose vector is null, empty,
+    zero or holds null or non-finite components, and rows without an id, take no
+    part; nor do vectors of another length than the commonest one (of equally
+    common ones the shortest). Ties go to the smaller id; repeated ids are all
+    candidates, but not for their own id, which asks once, with its smallest
+    vector. Too few candidates give fewer rows; empty tables give none.
     """
     spark = vectors.sparkSession
     rows = usable(vectors.withColumn("vs_query", is_query).select(id_col, vec_col), id_col, vec_col)
-    head = rows.orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
-    empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    if not head.num_rows:
-        return empty
-    dim = len(head["v"][0].as_py())
-    fit = head.filter(pa.compute.equal(pa.compute.list_value_length(head["v"]), dim))
-    x = matrix(fit["v"], dim)
+    common = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
+    if common is None:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    dim = common["dim"]
     half = max(1, dim // 2)
+    rows = rows.where(F.size("v") == dim)
+    x = matrix(rows.orderBy(F.xxhash64("id"), "id", "v").limit(sample).toArrow()["v"], dim)
     books = spark.sparkContext.broadcast((kmeans(x[:, :half], cells_per_half, rounds, seed), kmeans(x[:, half:], cells_per_half, rounds, seed + 1) if dim > 1 else np.zeros((1, 0))))
-    m = len(books.value[1])
+    n, m = (len(b) for b in books.value)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = books.value
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
             v = matrix(batch.column(1), dim)
             cell = nearest(v[:, :half], first) * m + nearest(v[:, half:], second)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell, type=pa.int32())], names=["id", "v", "cell"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell, type=pa.int32()), pa.array(np.arange(len(v)) + number)], names=["id", "v", "cell", "number"])
+            number += len(v)
 
-    indexed = stored(rows.where(F.size("v") == dim).mapInArrow(assign, "id bigint, v array<double>, cell int"), "multi-index")
-    sizes = np.zeros(len(books.value[0]) * m, dtype=np.int64)
-    for r in indexed.groupBy("cell").count().collect():  # a row a cell: bounded by the codebooks
-        sizes[r["cell"]] = r["count"]
+    indexed = stored(rows.mapInArrow(assign, "id bigint, v array<double>, cell int, number bigint"), "multi-index")
+    found = indexed.groupBy("cell").count().toArrow()  # a row a cell: bounded by the codebooks
+    sizes = np.zeros(n * m, dtype=np.int64)
+    sizes[found["cell"].to_numpy()] = found["count"].to_numpy()
     total = int(sizes.sum())
-    wanted = max(least, math.ceil(share * total))
-    counts = spark.sparkContext.broadcast(sizes)
+    wanted = math.ceil(share * total) + depth * k
+    counts = spark.sparkContext.broadcast((sizes.reshape(n, m), *shelves(sizes, shelf_rows)))
+    schema = pa.schema([("shelf", pa.int64()), ("id", pa.int64()), ("v", pa.list_(pa.float64())), ("cells", pa.list_(pa.int32()))])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = books.value
+        size, low, high = counts.value
         for batch in batches:
             v = matrix(batch.column(1), dim)
             a, b = v[:, :half] @ first.T, v[:, half:] @ second.T
-            cells = [walk(a[i], b[i], counts.value, wanted) for i in range(len(v))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cells, type=pa.list_(pa.int32()))], names=["id", "v", "cells"])
+            for i, name in enumerate(batch.column(0).to_pylist()):
+                cells = walk(a[i], b[i], size, wanted)
+                copies = high[cells] - low[cells] + 1
+                shelf = np.repeat(low[cells] - np.cumsum(copies) + copies, copies) + np.arange(int(copies.sum()))
+                order = np.argsort(shelf, kind="stable")
+                at, begin = np.unique(shelf[order], return_index=True)
+                lists = np.split(np.repeat(cells, copies)[order], begin[1:])
+                yield pa.RecordBatch.from_arrays([pa.array(at, type=pa.int64()), pa.array([name] * len(at), type=pa.int64()), pa.array([v[i]] * len(at), type=schema.field(2).type), pa.array(lists, type=schema.field(3).type)], schema=schema)
 
     asked = usable(vectors.where(is_query).select(id_col, vec_col), id_col, vec_col).where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"))
-    probed = stored(asked.mapInArrow(probe, "id bigint, v array<double>, cells array<int>"), "probes")
-    blocks, query_blocks = max(1, math.ceil(total / block_rows)), max(1, math.ceil(probed.count() / query_rows))
-    spread = lambda n, s: F.pmod(F.xxhash64("id", F.lit(s)), F.lit(n)).cast("int")
-    entries = indexed.withColumn("b", spread(blocks, 1)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    queries = probed.withColumn("qb", spread(query_blocks, 2)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = stored(asked.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id"), "queries")
+    query_blocks = max(1, math.ceil(asked.count() / query_rows))
+    dealt = counts.value
+    place = spark.createDataFrame(pa.table({"cell": pa.array(np.flatnonzero(sizes), type=pa.int32()), "low": dealt[1][sizes > 0], "high": dealt[2][sizes > 0]}))
+    shelved = indexed.join(F.broadcast(place), "cell").withColumn("shelf", F.expr("low + pmod(xxhash64(number), high - low + 1)"))
+    entries = shelved.select("shelf", "id", "v", "cell").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    queries = asked.mapInArrow(probe, "shelf bigint, id bigint, v array<double>, cells array<int>").withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int"))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return FOUND.empty_table()
-        probes = [np.sort(np.asarray(x.values)) for x in right["cells"]]
-        found = search_block(left["id"].to_numpy(), left["cell"].to_numpy(), matrix(left["v"], dim), right["id"].to_numpy(), matrix(right["v"], dim), probes, k)
-        return pa.Table.from_arrays([pa.array(x, type=f.type) for x, f in zip((found[0].astype(np.int64), found[1].astype(np.int64), found[2]), FOUND, strict=True)], schema=FOUND)
+        probes = [np.asarray(x.values) for x in right["cells"]]
+        best = search_block(left["id"].to_numpy(), left["cell"].to_numpy(), matrix(left["v"], dim), right["id"].to_numpy(), matrix(right["v"], dim), probes, k)
+        return pa.Table.from_arrays([pa.array(x, type=f.type) for x, f in zip((best[0].astype(np.int64), best[1].astype(np.int64), best[2]), FOUND, strict=True)], schema=FOUND)
 
-    found = entries.groupBy("b", "qb").cogroup(queries.groupBy("b", "qb")).applyInArrow(search, "query_id bigint, vec_id bigint, score double")
+    found = entries.groupBy("shelf", "qb").cogroup(queries.groupBy("shelf", "qb")).applyInArrow(search, "query_id bigint, vec_id bigint, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
