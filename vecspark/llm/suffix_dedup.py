@@ -328,9 +328,11 @@ def resolve(table: DataFrame, answers: DataFrame, shares: int, batch_strings: in
 def earliest(texts: list[tuple[bytes, int]], owners: np.ndarray, batch_strings: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For the runs of ``DEPTH`` bytes in each text, end to end: the smallest document that has it.
 
-    ``texts`` are (stretch, where its anchor starts). Texts of one anchor go to one
-    collection, of ``batch_strings`` texts or, if one anchor has more, just its own.
-    The anchor, which equal runs share at the same place, counts as one symbol.
+    ``texts`` are distinct (stretch, where its anchor starts). Texts of one anchor go
+    to one collection, of ``batch_strings`` texts or, if one anchor has more, just its
+    own. The anchor, which equal runs share at the same place, counts as one symbol.
+    A text whose anchor no other has, and texts that are single runs all, share no
+    run with any other: their own documents are the answer.
     Returns the number of runs of each text, where they begin, and the documents.
     """
     by_anchor: dict[bytes, list[int]] = {}
@@ -338,19 +340,27 @@ def earliest(texts: list[tuple[bytes, int]], owners: np.ndarray, batch_strings:
         by_anchor.setdefault(text[k : k + ANCHOR], []).append(i)
     runs = np.array([len(t) - DEPTH + 1 for t, _ in texts], dtype=np.int64)
     first = np.cumsum(runs) - runs
-    known = np.empty(int(runs.sum()), dtype=np.int64)
+    known = np.repeat(owners, runs)
     part: list[int] = []
     marks: list[int] = []
-    groups = list(by_anchor.values())
-    for g, group in enumerate(groups):
-        marks += [257 + len(part)] * len(group) if not marks else [marks[-1] + 1] * len(group)
+
+    def settle() -> None:
+        flat, sizes = collection([texts[i] for i in part], marks)
+        found = least_owner(flat, sizes, owners[part], DEPTH - ANCHOR + 1)
+        n = runs[part]
+        known[np.repeat(first[part], n) + np.arange(len(found)) - np.repeat(np.cumsum(n) - n, n)] = found
+        part.clear()
+        marks.clear()
+
+    for group in by_anchor.values():
+        if len(group) == 1 or runs[group].max() == 1:
+            continue
+        marks += [257 if not marks else marks[-1] + 1] * len(group)
         part += group
-        if len(part) >= batch_strings or g == len(groups) - 1:
-            flat, sizes = collection([texts[i] for i in part], marks)
-            found = least_owner(flat, sizes, owners[part], DEPTH - ANCHOR + 1)
-            n = runs[part]
-            known[np.repeat(first[part], n) + np.arange(len(found)) - np.repeat(np.cumsum(n) - n, n)] = found
-            part, marks = [], []
+        if len(part) >= batch_strings:
+            settle()
+    if part:
+        settle()
     return runs, first, known
 
 
@@ -370,7 +380,7 @@ def gathered(answers: DataFrame, name: str) -> DataFrame:
     return answers.groupBy("seg").agg(F.collect_list(F.struct("share", "packed")).alias(name))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = 4 << 20, share_anchors: int = 1 << 19, hot: int = 1 << 16) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = 8 << 20, share_anchors: int = 1 << 20, hot: int = 1 << 16) -> DataFrame:
     """Per row of ``docs``: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` (binary).
 
     A byte is removed if a run of 50 bytes that covers it also starts in a
