@@ -37,6 +37,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, source: DataFrame) -> DataFrame:
+    """``df`` written once as a Parquet table in buckets by ``key``, in the shared folder, and read back.
+
+    Joins by ``key`` leave it where it is. The table has a fresh name in the
+    session's catalog; there are as many buckets as shuffle partitions, or
+    partitions of ``source`` if it has more.
+    """
+    spark = df.sparkSession
+    name = f"vecspark_{uuid.uuid4().hex}"
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), source.rdd.getNumPartitions())
+    df.write.bucketBy(buckets, key).option("path", f"{shared_folder(spark)}/vecspark/{name}").option("compression", "none").saveAsTable(name)
+    return spark.table(name)
+
+
 def worker_cache(key: Any, make: Callable[[], Any], keep: int = 8) -> Any:
     """``make()``, kept in this process under ``key``; the oldest of ``keep`` entries goes."""
     holder = sys.modules.setdefault("_vecspark_cache", types.ModuleType("_vecspark_cache"))
