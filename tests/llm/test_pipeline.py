@@ -46,22 +46,13 @@ def test_registered(spark):
 
 def expected(docs, labels, items):
     """(id, text, token ids) of what is left, computed plainly over lists."""
-    import math
-
     from test_decontaminate import brute as contaminated
     from test_pii import brute as spans
-    from test_quality import slow_model
+    from test_quality import slow_judged
     from tokenizers import Tokenizer
 
-    good = {i for i, q in labels if q == 1}
-    nll = slow_model([t for i, t in docs if i in good])
-    scored = [(i, t, nll(t), len(t) + 1) for i, t in docs]
-    trusted = [(x, n) for i, _, x, n in scored if i in good]
-    mean = sum(x for x, _ in trusted) / sum(n for _, n in trusted)
-    smooth = lambda x, n: (x + quality.PRIOR * mean) / (n + quality.PRIOR)
-    bins = sorted(math.ceil(smooth(x, n) * 1000) for x, n in trusted)
-    limit = bins[math.ceil(0.999 * len(bins)) - 1] / 1000
-    left = [(i, t) for i, t, x, n in scored if math.exp(smooth(x, n)) <= math.exp(limit) * 1.05]
+    bars = slow_judged([(i, t, "en") for i, t in docs], labels)
+    left = [d for d, (found, bar) in zip(docs, bars) if found <= bar]
 
     shingled = {i: set(simhash.shingles(t.encode(), 5)) for i, t in left}
     top = {i: i for i, _ in left}

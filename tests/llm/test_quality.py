@@ -1,3 +1,5 @@
+import collections
+import functools
 import math
 
 import numpy as np
@@ -8,22 +10,16 @@ from llm_conftest import frame, prose
 from vecspark.llm import quality, queries
 
 
-def counts_of(texts, order=quality.ORDER):
-    out = {}
-    for t in texts:
-        for g in quality.grams(quality.symbols(t), order).tolist():
-            out[g] = out.get(g, 0) + 1
-    return out
+def grams_of(text, order=quality.ORDER):
+    whole = chr(quality.OPEN) * order + (text or "") + chr(quality.CLOSE)
+    return [whole[i - order + 1 : i + 1] for i in range(order, len(whole))]
 
 
 def slow_model(texts):
-    """log p of an n-gram by the textbook recursion over dictionaries."""
-    tables = [counts_of(texts)]
-    for k in range(quality.ORDER - 1, 0, -1):
-        lower = {}
-        for g in tables[-1]:
-            lower[g % quality.A**k] = lower.get(g % quality.A**k, 0) + 1
-        tables.append(lower)
+    """Minus log p of a text by the textbook recursion over dictionaries."""
+    tables = [collections.Counter(g for t in texts for g in grams_of(t))]
+    for _ in range(quality.ORDER - 1):
+        tables.append(collections.Counter(g[1:] for g in tables[-1]))
     tables = tables[::-1]
 
     def cut(table):
@@ -39,20 +35,41 @@ def slow_model(texts):
     for t, d in zip(tables, cuts):
         own = {}
         for g, n in t.items():
-            c = own.setdefault(g // quality.A, [0, 0.0])
+            c = own.setdefault(g[:-1], [0, 0.0])
             c[0] += n
             c[1] += d[min(n, 3) - 1]
         totals.append(own)
 
-    def p(g, k):
-        below = 1 / quality.A if k == 0 else p(g % quality.A**k, k - 1)
-        total = totals[k].get(g // quality.A)
+    @functools.cache
+    def p(g):
+        k = len(g) - 1
+        below = p(g[1:]) if k else 1 / quality.ALPHABET
+        total = totals[k].get(g[:-1])
         if total is None:
             return below
         n = tables[k].get(g, 0)
         return (n - cuts[k][min(n, 3) - 1] if n else 0) / total[0] + total[1] / total[0] * below
 
-    return lambda text: -sum(math.log(p(g, quality.ORDER - 1)) for g in quality.grams(quality.symbols(text)).tolist())
+    return lambda text: -sum(math.log(p(g)) for g in grams_of(text))
+
+
+def slow_judged(docs, labels, quantile=0.999, margin=1.05):
+    """{row: (perplexity, threshold)} of (id, text, lang) rows, computed plainly."""
+    good = {i for i, q in labels if q == 1 and i is not None}
+    nll = slow_model([t for i, t, _ in docs if i in good and quality.trains(i)])
+    own = [(i in good, lang or "", nll(t), len(t or "") + 1) for i, t, lang in docs]
+    trusted = [x[1:] for x in own if x[0]]
+    mean_all = sum(x[1] for x in trusted) / sum(x[2] for x in trusted)
+    means, limits = {}, {}
+    for lang in {x[0] for x in trusted}:
+        mine = [x for x in trusted if x[0] == lang]
+        means[lang] = (sum(x[1] for x in mine) + quality.PRIOR_SYMBOLS * mean_all) / (sum(x[2] for x in mine) + quality.PRIOR_SYMBOLS)
+    smooth = lambda lang, x, n: (x + quality.PRIOR * means.get(lang, mean_all)) / (n + quality.PRIOR)
+    top = lambda rows: sorted(math.ceil(smooth(*x) * 1000) for x in rows)[math.ceil(quantile * len(rows)) - 1] / 1000
+    for lang in means:
+        mine = [x for x in trusted if x[0] == lang]
+        limits[lang] = (len(mine) * top(mine) + quality.PRIOR_DOCS * top(trusted)) / (len(mine) + quality.PRIOR_DOCS)
+    return [(math.exp(smooth(lang, x, n)), math.exp(limits.get(lang, top(trusted))) * margin) for _, lang, x, n in own]
 
 
 @pytest.fixture(scope="module")
@@ -61,13 +78,49 @@ def texts():
 
 
 def test_model_against_the_textbook(spark, texts):
-    labels = spark.createDataFrame([(i, int(i != 3)) for i in range(len(texts))], "doc_id bigint, quality int")
-    model = quality.train(frame(spark, texts), labels)
-    slow = slow_model([t for i, t in enumerate(texts) if i != 3])
-    for text in ["", "the an", "Zzz !!! 9", texts[3], "日本語"]:
-        assert np.isclose(quality.score(text, model)[0], slow(text), rtol=1e-4)
-    table = quality.log_table(model.value).reshape(-1, quality.A)
-    assert np.allclose(np.exp(table.astype(np.float64)).sum(axis=1)[:2000], 1, atol=1e-3)
+    docs = [(i, t, ("en", "de", None)[i % 3]) for i, t in enumerate(texts)] + [(None, texts[0], "en"), (90, "日本語 Zzz !!! 9", "ja"), (3, "the an", "en")]
+    labels = [(i, int(i != 3)) for i in range(len(texts))] + [(None, 1)]
+    rows = spark.createDataFrame(docs, "doc_id bigint, text string, lang string").coalesce(1)
+    out = quality.judged(rows, spark.createDataFrame(labels, "doc_id bigint, quality int")).collect()
+    want = slow_judged(docs, labels)
+    assert [(r.doc_id, r.text) for r in out] == [d[:2] for d in docs]
+    assert np.allclose([(r.perplexity, r.threshold) for r in out], want, rtol=1e-9)
+    assert [r.keep for r in out] == [a <= b for a, b in want]
+
+
+def test_query_against_brute_force(spark):
+    sf = f"{DATA}/sf0.001"
+    docs = [(r.doc_id, r.text, r.lang) for r in queries.table(spark, sf, "documents").collect()]
+    labels = [(r.doc_id, r.quality) for r in queries.table(spark, sf, "labels").collect()]
+    got = {r.doc_id: (r.perplexity, r.threshold) for r in queries.op7_quality(spark, sf).collect()}
+    assert np.allclose([got[d[0]] for d in docs], slow_judged(docs, labels), rtol=1e-9)
+
+
+def test_probabilities_sum_to_one(spark):
+    text = "abcab abd cab"
+    model = {r.g: (r.p, r.back) for r in quality.kneser_ney(spark.createDataFrame([(g, 1) for g in grams_of(text)], "g string, n bigint").groupBy("g").sum("n").toDF("g", "n")).collect()}
+
+    def p(g):
+        if g in model and model[g][0] is not None:
+            return math.exp(model[g][0])
+        back = model.get(g[:-1], (None, None))[1]
+        below = p(g[1:]) if len(g) > 1 else 1 / quality.ALPHABET
+        return below * (1 if back is None else math.exp(back))
+
+    for context in ("", "a", "ab", "xab", "\x02\x02\x02", "zzz"):
+        known = [chr(quality.CLOSE), *sorted(set(text))]
+        assert math.isclose(sum(p(context + c) for c in known) + (quality.ALPHABET - len(known)) * p(context + "日"), 1, rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("size", [1, 1 << 40])
+def test_grams_numbered_by_table_or_sorting(size, monkeypatch):
+    texts = ["abcabc", "", None, "bca 日本", "a" * 50]
+    plain = quality.Grams(texts)
+    monkeypatch.setattr(quality, "TABLE", size)
+    other = quality.Grams(texts)
+    assert [n for *_, n in plain.names()] == [n for *_, n in other.names()] and (plain.ids == other.ids).all()
+    whole = list(quality.Grams(["abcabc"]).names())[-1][2]
+    assert sorted(g for g in whole if g[-1] != chr(quality.OPEN)) == sorted(set(grams_of("abcabc")))
 
 
 def test_junk_goes_and_prose_stays(spark):

@@ -6,11 +6,12 @@ from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from vecspark.storage import shared_folder, stored, worker_cache  # noqa: F401
+from vecspark.storage import bucketed, shared_folder, stored, worker_cache  # noqa: F401
 
 
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -61,3 +62,39 @@ def row_wise(docs: DataFrame, text_col: str, make: Callable[[list, pa.RecordBatc
                 yield out.filter(pa.array(new["vs_keep"], type=pa.bool_())) if "vs_keep" in new else out
 
     return plain.mapInArrow(run, schema)
+
+
+def bundled(docs: DataFrame, id_col: str, text_col: str, kept: dict[str, tuple[str, str]] | None = None, most_bytes: int = 8 << 20) -> DataFrame:
+    """``docs`` as segments of about ``most_bytes`` of text: ``seg``, ``ids``, ``packed`` (the whole rows, compressed).
+
+    ``kept`` names more columns that stand beside, as (column, type). The table
+    lies in buckets by ``seg``, so what comes back for a segment finds it there.
+    """
+    kept = kept or {}
+    kinds = [("ids", (id_col, "bigint")), *kept.items()]
+    schema = pa.schema([("seg", pa.int64()), *(f for f in to_arrow_schema(StructType([StructField(n, _parse_datatype_string(f"array<{t}>")) for n, (_, t) in kinds]))), ("packed", pa.binary())])
+    beside = [f"vs_{n}" for n, _ in kinds]
+    wide = docs.select("*", *(docs[c].cast(t).alias(f"vs_{n}") for n, (c, t) in kinds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for part in slices(batch, text_col, most_bytes):
+                rows = part.select([n for n in part.schema.names if n not in beside])
+                yield arrow_rows(schema, [[number], *([part.column(n).to_pylist()] for n in beside), [packed(rows)]])
+                number += 1
+
+    columns = ", ".join(f"{n} array<{t}>" for n, (_, t) in kinds)
+    return bucketed(wide.mapInArrow(run, f"seg bigint, {columns}, packed binary"), "seg", docs)
+
+
+def packed(rows: pa.RecordBatch) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(rows)
+    return out.getvalue().to_pybytes()
+
+
+def unbundled(raw: pa.BinaryScalar) -> pa.Table:
+    """The rows of a segment."""
+    return pa.ipc.open_stream(raw.as_buffer()).read_all()

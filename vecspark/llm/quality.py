@@ -1,120 +1,156 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney n-gram model.
 
-The n-grams run over a small alphabet of character classes, so a table of order 4
-has at most ``A ** 4`` rows whatever the corpus: counts are added up over every
-trusted document, shuffled by n-gram, joined shard by shard with their contexts
-and lower orders, and the finished table, whose size has that bound, goes to all
-workers, which score each document where it lies. A document is rejected if its
-perplexity is above a quantile of the trusted documents' of its language, with a
-margin.
+N-grams run over the characters of the texts, so the model grows with the trusted
+text and knows every script that it has. Documents are packed into segments, which
+stay where they are:
+
+1. Each segment lists its distinct n-grams of every order, and how often those of
+   the highest order stand in its trusted documents.
+2. The counts are added up by n-gram; each order is joined with its contexts and
+   with the order below. Nothing of it is gathered: the model is a table.
+3. The segments' n-grams are joined with the model by n-gram, and the answers go
+   back to their segments, which add up the log probability of each document.
+
+What moves is a row a distinct n-gram of a segment, not one a character. A
+document is rejected if its perplexity is above a quantile of the trusted
+documents' of its language, with a margin.
 """
 
 from __future__ import annotations
 
 import math
-import unicodedata
-import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from vecspark.llm._common import arrow_rows, row_wise, stored, worker_cache
+from vecspark.llm._common import arrow_rows, bundled, stored, unbundled
 
 ORDER = 4
-A = 48
-EDGE = 0
+#: The edges of a text, as characters that texts do not have.
+OPEN, CLOSE = 2, 3
+#: Characters that there are, for the share of one that no trusted text has.
+ALPHABET = 1 << 17
 #: Symbols' worth of the language's usual perplexity that a text gets beside its own.
 PRIOR = 100.0
-
-
-def class_of(cp: int) -> int:
-    """The class of a code point, from 1 to A - 1: letters one by one, the rest by kind."""
-    c = chr(cp)
-    if "a" <= c <= "z":
-        return 1 + cp - 97
-    kind = unicodedata.category(c)
-    if kind == "Lu" or kind == "Lt":
-        return 35
-    if kind == "Ll":
-        return 27 + cp % 8
-    if kind[0] == "N":
-        return 36
-    if c in " \t ":
-        return 37
-    if c in "\r\n":
-        return 38
-    if c in ".,-'":
-        return 39 + ".,-'".index(c)
-    if kind[0] in "LM":
-        return 44 + cp % 3
-    return 43 if cp < 128 else 47
-
-
-def class_table() -> np.ndarray:
-    return worker_cache("character classes", lambda: np.array([class_of(c) for c in range(0x3000)], dtype=np.uint8))
-
-
-def symbols(text: str | None) -> np.ndarray:
-    """The classes of a text's characters."""
-    cps = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    table = class_table()
-    out = table[np.minimum(cps, len(table) - 1)]
-    out[cps >= len(table)] = 44
-    return out
-
-
-def grams(own: np.ndarray, order: int = ORDER) -> np.ndarray:
-    """The n-gram that ends at each symbol and at the closing edge."""
-    padded = np.concatenate([np.full(order - 1, EDGE), own, [EDGE]]).astype(np.int64)
-    code = np.zeros(len(own) + 1, dtype=np.int64)
-    for i in range(order):
-        code = code * A + padded[i : i + len(code)]
-    return code
-
-
-def trusted_symbols(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id``, ``packed`` of the documents in ``trusted`` (ids). Only packed classes are shuffled.
-
-    The join is a merge at every size, not a broadcast at some: the labels grow with the documents.
+#: Symbols and documents of all languages that every language gets beside its own.
+PRIOR_SYMBOLS, PRIOR_DOCS = 10_000.0, 20.0
+#: One in so many trusted documents calibrates the limits without being trained on.
+FOLDS = 5
+#: Combinations up to which n-grams are numbered by a table, beyond by sorting.
+TABLE = 1 << 24
+
+
+def numbered(code: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """A number from 0 for each distinct value below ``size``, and the values in that order."""
+    if size > TABLE:
+        values, numbers = np.unique(code, return_inverse=True)
+        return numbers.astype(np.int32), values
+    seen = np.zeros(size, dtype=bool)
+    seen[code] = True
+    rank = np.cumsum(seen, dtype=np.int32)
+    return rank[code] - 1, np.flatnonzero(seen)
+
+
+class Grams:
+    """The distinct n-grams of some texts, and which of them ends at each symbol.
+
+    Each text stands between edges; its places are that of the last opening edge,
+    where contexts but no symbols end, its characters and the closing edge.
     """
-    schema = pa.schema([("id", pa.int64()), ("packed", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
-            yield arrow_rows(schema, [batch.column(0), [pack(symbols(t).tobytes()) for t in batch.column(1).to_pylist()]])
 
-    picked = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].alias("text"))
-    return picked.mapInArrow(run, "id bigint, packed binary").join(trusted.hint("merge"), "id", "left_semi")
-
-
-def counted(packed: DataFrame, order: int = ORDER) -> DataFrame:
-    """``g``, ``n``: how often each n-gram occurs; every task adds up its own before the shuffle."""
-    schema = pa.schema([("g", pa.int64()), ("n", pa.int64())])
+    def __init__(self, texts: list[str | None], order: int = ORDER):
+        raw = [np.frombuffer((t or "").encode("utf-32-le"), dtype="<u4") for t in texts]
+        opening, closing = np.full(order, OPEN, dtype="<u4"), np.full(1, CLOSE, dtype="<u4")
+        self.flat = np.concatenate([x for r in raw for x in (opening, r, closing)]) if raw else np.empty(0, "<u4")
+        self.sizes = np.array([len(r) + 1 for r in raw], dtype=np.int64)
+        whole, places = self.sizes + order, self.sizes + 1
+        first = np.cumsum(whole) - whole + order - 1
+        self.at = (np.repeat(first - np.cumsum(places) + places, places) + np.arange(int(places.sum()))).astype(np.int32)
+        self.first = np.cumsum(places) - places
+        symbol, alphabet = numbered(self.flat, 0x110000)
+        #: For each order: where one of each n-gram ends (an index of ``at``), its suffix and its context in the order below.
+        self.ends: list[np.ndarray] = []
+        self.suffix: list[np.ndarray] = []
+        self.context: list[np.ndarray] = []
+        self.ids, count = np.zeros(len(self.at), dtype=np.int32), 1
+        for k in range(1, order + 1):
+            code = symbol[self.at - (k - 1)].astype(np.int64) * count + self.ids
+            ids, values = numbered(code, len(alphabet) * count)
+            end = np.empty(len(values), dtype=np.int64)
+            end[ids] = np.arange(len(ids))
+            self.ends.append(end)
+            self.suffix.append(values % count)
+            self.context.append(self.ids[end - 1])
+            self.ids, count = ids, max(1, len(values))
+
+    def names(self) -> Iterator[tuple[int, int, list[str]]]:
+        """Each order, the number of n-grams of the orders before it, and its n-grams."""
+        text, before = self.flat.tobytes().decode("utf-32-le"), 0
+        for k, end in enumerate(self.ends, 1):
+            yield k, before, [text[e - k + 1 : e + 1] for e in self.at[end].tolist()]
+            before += len(end)
+
+    def counts(self, wanted: np.ndarray) -> np.ndarray:
+        """How often each n-gram of the highest order stands in the ``wanted`` texts."""
+        use = np.repeat(wanted, self.sizes + 1)
+        use[self.first] = False
+        return np.bincount(self.ids[use], minlength=len(self.ends[-1]) if self.ends else 0)
+
+    def log_probabilities(self, slots: np.ndarray, p: np.ndarray, back: np.ndarray, floor: float) -> np.ndarray:
+        """log p of each text; ``p`` and ``back`` are the model's for the n-grams at ``slots``, nan where it has none."""
+        if not len(self.sizes):
+            return np.empty(0)
+        size = sum(map(len, self.ends))
+        own, weight = np.full(size, np.nan), np.full(size, np.nan)
+        own[slots], weight[slots] = p, back
+        weight = np.nan_to_num(weight, nan=0.0)
+        before, below, weights = 0, np.array([floor]), np.zeros(1)
+        for end, suffix, context in zip(self.ends, self.suffix, self.context):
+            here = own[before : before + len(end)]
+            below = np.where(np.isnan(here), weights[context] + below[suffix], here)
+            weights = weight[before : before + len(end)]
+            before += len(end)
+        each = below[self.ids]
+        each[self.first] = 0.0
+        return np.add.reduceat(each, self.first)
+
+
+def trains(doc_id: int | None) -> bool:
+    """Whether a trusted document is one to train on."""
+    return zlib.crc32(str(doc_id).encode()) % FOLDS != 0
+
+
+def trusted_ids(segments: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """``seg``, ``trusted``: the ids in each segment that ``labels`` calls good."""
+    good = labels.where(F.col(label_col) == 1).select(F.col(id_col).cast("bigint").alias("id")).where("id is not null").distinct()
+    own = segments.select("seg", F.explode("ids").alias("id"))
+    return own.join(good.hint("merge"), "id").groupBy("seg").agg(F.collect_set("id").alias("trusted"))
+
+
+def segment_grams(segments: DataFrame, trusted: DataFrame, text_col: str, order: int = ORDER) -> DataFrame:
+    """``g``, ``seg``, ``slot``, ``n``: the distinct n-grams of each segment, with their counts in documents to train on."""
+    schema = pa.schema([("g", pa.string()), ("seg", pa.int64()), ("slot", pa.int32()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(A**order, dtype=np.int64)
-        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            held: list[np.ndarray] = []
-            for raw in batch.column(0).to_pylist():
-                held.append(grams(np.frombuffer(unpack(raw), dtype=np.uint8), order))
-                if len(held) >= 512:
-                    total += np.bincount(np.concatenate(held), minlength=len(total))
-                    held = []
-            if held:
-                total += np.bincount(np.concatenate(held), minlength=len(total))
-        found = np.flatnonzero(total)
-        for at in range(0, len(found), 50_000):
-            part = found[at : at + 50_000]
-            yield arrow_rows(schema, [part, total[part]])
-
-    return packed.select("packed").mapInArrow(run, "g bigint, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
+            for row in range(batch.num_rows):
+                docs, good = unbundled(batch.column(2)[row]), set(batch.column(3)[row].as_py() or ())
+                grams = Grams(docs[text_col].to_pylist(), order)
+                wanted = np.array([i in good and trains(i) for i in batch.column(1)[row].as_py()], dtype=bool)
+                for k, before, names in grams.names():
+                    n = grams.counts(wanted) if k == order else np.zeros(len(names), dtype=np.int64)
+                    for at in range(0, len(names), 20_000):
+                        part = names[at : at + 20_000]
+                        yield arrow_rows(schema, [part, [batch.column(0)[row].as_py()] * len(part), np.arange(before + at, before + at + len(part)), n[at : at + 20_000]])
+
+    joined = segments.join(trusted, "seg", "left").select("seg", "ids", "packed", "trusted")
+    return stored(joined.mapInArrow(run, "g string, seg bigint, slot int, n bigint"), "grams")
 
 
 def discounts(table: DataFrame) -> list[float]:
@@ -128,70 +164,58 @@ def discounts(table: DataFrame) -> list[float]:
     return [min(max(d, 0.05), i - 0.05) for i, d in enumerate(raw, 1)]
 
 
-def kneser_ney(counts: DataFrame, order: int = ORDER) -> dict:
-    """The model: for each order the seen n-grams' probabilities and their contexts' back-off weights.
+def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """The model: ``g``, ``p`` (log probability after its context, if seen), ``back`` (log weight of the order below, if a context).
 
-    Orders below the highest count the distinct symbols before an n-gram. Each
-    order is joined with its contexts by context and with the order below by
-    n-gram, all sharded by those keys; only finished tables of bounded size
-    (``A ** order`` rows at most) are gathered.
+    ``counts`` has ``g`` (n-grams of the highest order) and ``n``. Orders below the
+    highest count the distinct characters before an n-gram. The empty n-gram is
+    the context of the lowest order.
     """
-    tables = [stored(counts, "ngrams")]
-    for k in range(order - 1, 0, -1):
-        tables.append(stored(tables[-1].select((F.col("g") % A**k).alias("g")).groupBy("g").agg(F.count("*").alias("n")), "ngrams"))
-    lower, model = None, {"p": [], "back": []}
-    for table in reversed(tables):
+    tables = [stored(counts, "counts")]
+    for _ in range(order - 1):
+        tables.append(stored(tables[-1].select(F.expr("substring(g, 2)").alias("g")).groupBy("g").agg(F.count("*").alias("n")), "counts"))
+    lower, parts = None, []
+    for k, table in enumerate(reversed(tables), 1):
         d1, d2, d3 = discounts(table)
         off = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        cut = table.select("g", F.expr(f"g div {A}").alias("c"), "n", off.alias("off"))
+        cut = table.select("g", F.expr(f"substring(g, 1, {k - 1})").alias("c"), "n", off.alias("off"))
         contexts = cut.groupBy("c").agg(F.sum("n").alias("all"), (F.sum("off") / F.sum("n")).alias("back"))
-        own = cut.join(contexts, "c").withColumn("p", (F.col("n") - F.col("off")) / F.col("all"))
+        own = cut.join(contexts.hint("merge"), "c").withColumn("p", (F.col("n") - F.col("off")) / F.col("all"))
         if lower is None:
-            seen = own.select("g", (F.col("p") + F.col("back") / A).alias("p"))
+            seen = own.select("g", (F.col("p") + F.col("back") / ALPHABET).alias("p"))
         else:
-            k = len(model["p"])
-            seen = own.withColumn("s", F.col("g") % A**k).join(lower.select(F.col("g").alias("s"), F.col("p").alias("below")), "s").select("g", (F.col("p") + F.col("back") * F.col("below")).alias("p"))
-        lower = stored(seen, "model")
-        for name, df, key, value in (("p", lower, "g", "p"), ("back", contexts, "c", "back")):
-            got = df.select(key, value).toArrow()
-            model[name].append((got[key].to_numpy().astype(np.int32), got[value].to_numpy().astype(np.float64)))
-    return model
-
+            seen = own.withColumn("s", F.expr("substring(g, 2)")).join(lower.select(F.col("g").alias("s"), F.col("p").alias("below")).hint("merge"), "s").select("g", (F.col("p") + F.col("back") * F.col("below")).alias("p"))
+        lower = stored(seen, "probabilities")
+        parts += [lower.select("g", F.log("p").alias("p"), F.lit(None).cast("double").alias("back")), contexts.select(F.col("c").alias("g"), F.lit(None).cast("double").alias("p"), F.log("back").alias("back"))]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return stored(every.groupBy("g").agg(F.max("p").alias("p"), F.max("back").alias("back")), "model")
 
-def log_table(model: dict) -> np.ndarray:
-    """log p of every n-gram of the highest order, unseen ones through their contexts' back-off."""
-    dense = np.full(A, 1.0 / A, dtype=np.float32)
-    for k, ((g, p), (c, back)) in enumerate(zip(model["p"], model["back"], strict=True)):
-        weight = np.ones(A**k, dtype=np.float32)
-        weight[c] = back
-        dense = np.tile(dense, A) if k else dense
-        dense.reshape(A**k, A)[:] *= weight[:, None]
-        dense[g] = p
-    return np.log(dense, out=dense)
 
+def floor_of(model: DataFrame) -> float:
+    """log p of a character that the model does not know."""
+    row = model.where("g = ''").select("back").first()
+    return (row[0] if row else 0.0) - math.log(ALPHABET)
 
-def score(text: str | None, model: Broadcast) -> tuple[float, int]:
-    """Minus the log probability of a text, and its symbols, the closing edge included."""
-    logs = worker_cache(("kneser-ney", model.value["key"]), lambda: log_table(model.value), keep=2)
-    g = grams(symbols(text))
-    return -float(logs[g].sum(dtype=np.float64)), len(g)
 
+def scores(segments: DataFrame, grams: DataFrame, model: DataFrame, text_col: str, order: int = ORDER) -> DataFrame:
+    """``seg``, ``nll`` (minus the log probability of each document), ``n`` (its symbols, the closing edge included)."""
+    floor = floor_of(model)
+    answers = grams.select("g", "seg", "slot").join(model.hint("merge"), "g").select("seg", "slot", "p", "back")
+    answers = answers.groupBy("seg").agg(F.collect_list("slot").alias("slots"), F.collect_list(F.coalesce("p", F.lit(float("nan")))).alias("p"), F.collect_list(F.coalesce("back", F.lit(float("nan")))).alias("back"))
+    schema = pa.schema([("seg", pa.int64()), ("nll", pa.list_(pa.float64())), ("n", pa.list_(pa.int64()))])
 
-def perplexities(docs: DataFrame, model: Broadcast, text_col: str) -> DataFrame:
-    """``docs`` with ``vs_nll`` and ``vs_n``: see :func:`score`."""
-
-    def make(texts: list, batch: pa.RecordBatch) -> dict:
-        nll, n = zip(*(score(t, model) for t in texts), strict=True)
-        return {"vs_nll": nll, "vs_n": n}
-
-    return row_wise(docs, text_col, make, {"vs_nll": "double", "vs_n": "bigint"})
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                own = Grams(unbundled(batch.column(1)[row])[text_col].to_pylist(), order)
+                slots, p, back = (np.asarray(batch.column(i)[row].values if batch.column(i)[row].is_valid else []) for i in (2, 3, 4))
+                found = own.log_probabilities(slots.astype(np.int64), p, back, floor)
+                yield arrow_rows(schema, [[batch.column(0)[row].as_py()], [-found], [own.sizes]])
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Broadcast:
-    """The model of all documents that ``labels`` calls good, broadcast (bound: ``A ** 4`` rows)."""
-    trusted = labels.where(F.col(label_col) == 1).select(F.col(id_col).cast("bigint").alias("id"))
-    model = kneser_ney(counted(trusted_symbols(docs, trusted, id_col, text_col)))
-    return docs.sparkSession.sparkContext.broadcast(model | {"key": uuid.uuid4().hex})
+    joined = segments.join(answers, "seg", "left").select("seg", "packed", "slots", "p", "back")
+    return stored(joined.mapInArrow(run, "seg bigint, nll array<double>, n array<bigint>"), "scores")
 
 
 class Limits:
@@ -207,52 +231,70 @@ class Limits:
         return self.limits.get(lang or "", self.limit_all)
 
 
-def limits_of(docs: DataFrame, labels: DataFrame, model: Broadcast, quantile: float, least_trusted: int, id_col: str, text_col: str, lang_col: str, label_col: str) -> Limits:
+def limits_of(segments: DataFrame, trusted: DataFrame, scored: DataFrame, quantile: float) -> Limits:
     """The limits from the scores of all trusted documents.
 
-    The quantile is exact to a thousandth of the log perplexity: it is read off a
-    histogram, so no list of scores is gathered anywhere.
+    Every language's mean and quantile are drawn to those of all languages by a
+    prior of fixed weight. The quantile is exact to a thousandth of the log
+    perplexity: it is read off a histogram, so no list of scores is gathered anywhere.
     """
-    trusted = labels.where(F.col(label_col) == 1).select(F.col(id_col).cast("bigint").alias("id")).distinct()
-    named = docs.select(docs[id_col].cast("bigint").alias("id"), F.coalesce(docs[lang_col].cast("string"), F.lit("")).alias("lang"), docs[text_col].alias("text"))
-    good = stored(perplexities(named, model, "text").select("id", "lang", "vs_nll", "vs_n").join(trusted.hint("merge"), "id", "left_semi"), "scores")
-    levels = good.groupBy("lang").agg(F.sum("vs_nll").alias("nll"), F.sum("vs_n").alias("n"), F.count("*").alias("docs")).collect()
+    rows = segments.select("seg", "ids", "langs").join(scored, "seg").join(trusted, "seg")
+    own = rows.select("trusted", F.explode(F.arrays_zip("ids", "langs", "nll", "n")).alias("d")).where(F.expr("array_contains(trusted, d.ids)"))
+    good = stored(own.select(F.coalesce("d.langs", F.lit("")).alias("lang"), F.col("d.nll").alias("nll"), F.col("d.n").alias("n")), "trusted")
+    levels = good.groupBy("lang").agg(F.sum("nll").alias("nll"), F.sum("n").alias("n"), F.count("*").alias("docs")).collect()  # a row a language
     n = sum(r.n for r in levels)
     mean_all = sum(r.nll for r in levels) / n if n else 0.0
-    means = {r.lang: r.nll / r.n for r in levels if r.docs >= least_trusted}
+    means = {r.lang: (r.nll + PRIOR_SYMBOLS * mean_all) / (r.n + PRIOR_SYMBOLS) for r in levels}
     mean = F.lit(mean_all)
     for lang, x in means.items():
         mean = F.when(F.col("lang") == lang, F.lit(x)).otherwise(mean)
-    smooth = (F.col("vs_nll") + PRIOR * mean) / (F.col("vs_n") + PRIOR)
-    bins = good.select("lang", F.ceil(smooth * 1000).alias("b")).groupBy("lang", "b").count().collect()
-    limits = {lang: at_quantile([(r.b, r["count"]) for r in bins if r.lang == lang], quantile) for lang in means}
-    return Limits(means, mean_all, limits, at_quantile([(r.b, r["count"]) for r in bins], quantile) if bins else float("inf"))
+    smooth = (F.col("nll") + PRIOR * mean) / (F.col("n") + PRIOR)
+    bins = good.select("lang", F.ceil(smooth * 1000).alias("b")).groupBy("lang", "b").count().collect()  # a row a language and thousandth
+    if not bins:
+        return Limits({}, 0.0, {}, float("inf"))
+    limit_all = at_quantile([(r.b, r["count"]) for r in bins], quantile)
+    limits = {r.lang: (r.docs * at_quantile([(x.b, x["count"]) for x in bins if x.lang == r.lang], quantile) + PRIOR_DOCS * limit_all) / (r.docs + PRIOR_DOCS) for r in levels}
+    return Limits(means, mean_all, limits, limit_all)
 
 
-def judged(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, margin: float = 1.05, least_trusted: int = 100, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", only_kept: bool = False) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, margin: float = 1.05, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", only_kept: bool = False) -> DataFrame:
     """``docs`` with ``perplexity``, ``threshold`` and ``keep``; with ``only_kept`` the rows kept, as they are.
 
-    ``perplexity`` includes ``PRIOR`` symbols at the trusted documents' mean of
-    the language, so that a text of few characters is judged by little. The
-    threshold is the language's trusted ``quantile`` times ``margin``; languages
-    with fewer than ``least_trusted`` trusted documents (and null ones) use that of
-    all languages. Null and empty texts score the edge alone and are kept by the
-    prior; very long texts are scored whole; repeated rows are judged alike and
-    all stay; without any trusted document everything is kept; columns of clashing
-    names are replaced (``only_kept``: left alone).
+    The model is trained on four fifths (by id) of the documents that ``labels``
+    calls good, whole; all of them set the limits. ``perplexity`` includes
+    ``PRIOR`` symbols at the trusted documents' mean of the language, so that a
+    text of few characters is judged by little. The threshold is the language's
+    trusted ``quantile`` times ``margin``; a language of few or no trusted
+    documents has nearly or wholly that of all languages (a null one counts as a
+    language). Null and empty texts score the closing edge alone and are kept by
+    the prior; very long texts are scored whole; repeated rows are judged alike
+    and all stay; a null id is never trusted; without any trusted document
+    everything is kept; columns of clashing names are replaced (``only_kept``:
+    left alone).
     """
-    model = train(docs, labels, id_col, text_col, label_col)
-    limits = docs.sparkSession.sparkContext.broadcast(limits_of(docs, labels, model, quantile, least_trusted, id_col, text_col, lang_col, label_col))
+    segments = bundled(docs, id_col, text_col, {"langs": (lang_col, "string")})
+    trusted = stored(trusted_ids(segments, labels, id_col, label_col), "trusted-ids")
+    grams = segment_grams(segments, trusted, text_col, order)
+    model = kneser_ney(grams.where("n > 0").groupBy("g").agg(F.sum("n").alias("n")), order)
+    scored = scores(segments, grams, model, text_col, order)
+    limits = docs.sparkSession.sparkContext.broadcast(limits_of(segments, trusted, scored, quantile))
+    extra = {} if only_kept else {"perplexity": "double", "threshold": "double", "keep": "boolean"}
+    kinds = StructType([*(f for f in docs.schema.fields if f.name not in extra), *(StructField(n, _parse_datatype_string(t)) for n, t in extra.items())])
+    schema = to_arrow_schema(kinds)
 
-    def make(texts: list, batch: pa.RecordBatch) -> dict:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = limits.value
-        langs = batch.column(batch.schema.get_field_index(lang_col)).to_pylist()
-        found = [math.exp(min(own.smoothed(lang, *score(text, model)), 700.0)) for lang, text in zip(langs, texts, strict=True)]
-        bar = [math.exp(min(own.limit(lang), 700.0)) * margin for lang in langs]
-        keep = [x <= y for x, y in zip(found, bar, strict=True)]
-        return {"vs_keep": keep} if only_kept else {"perplexity": found, "threshold": bar, "keep": keep}
-
-    return row_wise(docs, text_col, make, {} if only_kept else {"perplexity": "double", "threshold": "double", "keep": "boolean"})
+        for batch in batches:
+            for row in range(batch.num_rows):
+                rows = unbundled(batch.column(1)[row])
+                langs, nll, n = (batch.column(i)[row].as_py() for i in (2, 3, 4))
+                found = [math.exp(min(own.smoothed(*x), 700.0)) for x in zip(langs, nll, n, strict=True)]
+                bar = [math.exp(min(own.limit(lang), 700.0)) * margin for lang in langs]
+                new = {"perplexity": found, "threshold": bar, "keep": [x <= y for x, y in zip(found, bar, strict=True)]}
+                out = pa.RecordBatch.from_arrays([pa.array(new[f.name], type=f.type) if f.name in extra else rows[f.name].combine_chunks() for f in schema], schema=schema)
+                yield out.filter(pa.array(new["keep"], type=pa.bool_())) if only_kept else out
+
+    return segments.join(scored, "seg").select("seg", "packed", "langs", "nll", "n").mapInArrow(run, kinds)
 
 
 def at_quantile(bins: list[tuple[int, int]], q: float) -> float:
