@@ -120,17 +120,54 @@ def test_similar_texts_meet_and_others_stay_apart(spark):
     assert sorted(r.doc_id for r in simhash.one_of_each(frame(spark, texts)).collect()) == [3 * g for g in range(40)]
 
 
-@pytest.mark.parametrize("block", [512, 40])
-def test_all_pairs_of_a_segment_group_meet(spark, block):
-    rng, limit, rows = np.random.default_rng(5), simhash.most_apart(0.8, 64 * simhash.WIDE), []
+@pytest.mark.parametrize(("block", "decoys"), [(512, 0), (40, 0), (512, 10_000)])
+def test_all_pairs_of_a_segment_group_meet(spark, block, decoys):
+    rng, rows = np.random.default_rng(5), []
     for _ in range(100):
         base = rng.integers(0, 2, 64 * simhash.WIDE)
         base[:24] = 1
         partner = base.copy()
-        for i in range(1, 85):
-            partner[24 * i + (0 if i == 1 else rng.integers(1, 24))] ^= 1
+        for i in range(1, 170):
+            partner[12 * i + 12 + (0 if i == 1 else rng.integers(0, 12)) if i < 169 else 30] ^= 1
         rows += [base, partner]
-    wide = np.packbits(np.array(rows, dtype=np.uint8), axis=1)
+    more = rng.integers(0, 2, (decoys, 64 * simhash.WIDE))
+    more[:, :24] = 1
+    wide = np.packbits(np.concatenate([np.array(rows), more]).astype(np.uint8), axis=1)
     nodes = spark.createDataFrame([(i, w.tobytes()) for i, w in enumerate(wide)], "node bigint, wide binary")
-    got = {r.node: r.root for r in simhash.wide_components(nodes, limit, block).collect()}
-    assert got == {2 * i + 1: 2 * i for i in range(100)}
+    rooted, doubt = simhash.near_nodes(nodes, 0.8, block)
+    assert {r.node: r.root for r in rooted.collect()} == {2 * i + 1: 2 * i for i in range(100)} and doubt.count() == 0
+
+
+def test_windows_of_bits():
+    raw = np.random.default_rng(1).integers(0, 256, (5, 256)).astype(np.uint8)
+    bits = np.unpackbits(np.concatenate([raw, raw[:, :9]], axis=1), axis=1)
+    ring = np.concatenate([raw, raw[:, :9]], axis=1)
+    for bit in (0, 12, 24, 36, 2040 - 2040 % 12):
+        assert simhash.window(ring, bit).tolist() == [int("".join(map(str, b[bit : bit + 64])), 2) for b in bits]
+
+
+def jaccard(a, b):
+    a, b = (set(simhash.shingles(t.encode(), 5)) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_pairs_of_all_similarities_are_decided_by_their_shingles(spark):
+    rng, texts = np.random.default_rng(7), []
+    for g in range(150):
+        words = prose(1000 + g, 250).split()
+        texts.append(" ".join(words))
+        for at in rng.permutation(48)[: rng.integers(3, 10)]:
+            words[5 * at + 2] = f"other{at}"
+        texts.append(" ".join(words))
+    got = {r.id: r.component_id for r in simhash.similar_documents(frame(spark, texts)).collect()}
+    pairs = [(jaccard(texts[2 * g], texts[2 * g + 1]), got[2 * g] == got[2 * g + 1]) for g in range(150)]
+    like = [met for j, met in pairs if j >= 0.8]
+    assert sum(like) / len(like) >= 0.95 and not any(met for j, met in pairs if j < 0.8) and len(like) > 50
+
+
+def test_rows_of_one_id_and_unlike_texts_stay(spark):
+    rows = [(1, prose(1, 60)), (1, prose(2, 60)), (1, prose(1, 60)), (2, prose(2, 60) + " x"), (None, prose(1, 60)), (None, prose(3, 60)), (None, prose(3, 60))]
+    docs = spark.createDataFrame([(i, t, 7, 8) for i, t in rows], "doc_id bigint, text string, vs_id int, at int")
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text, r.vs_id) for r in kept.collect()) == sorted([(1, rows[0][1], 7), (1, rows[1][1], 7), (0, rows[5][1], 7)])

@@ -21,10 +21,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from vecspark.llm._common import arrow_rows, as_bytes, stored
+from vecspark.llm._common import arrow_rows, as_bytes, bundled, stored, unbundled
 from vecspark.llm.components import components, named_components, salted_join
 
 LIMIT = 2
@@ -160,8 +161,10 @@ def fingerprint_text(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-#: Words of 64 bits in a wide fingerprint, and bits in each of its segments.
-WIDE, SEGMENT_BITS = 32, 24
+#: Words of 64 bits in a wide fingerprint; bits in each of its segments, and from one segment's start to the next one's.
+WIDE, SEGMENT_BITS, STRIDE = 32, 24, 12
+#: Standard errors of the Hamming distance within which the shingles themselves decide.
+DOUBT = 2.5
 
 
 def majority(rows: np.ndarray) -> np.ndarray:
@@ -194,24 +197,38 @@ def wide_fingerprint(text: bytes | None, n: int = 5, words: int = WIDE, seed: in
     return majority(mixed ^ (mixed >> np.uint64(31)))
 
 
-def most_apart(similarity: float, bits: int) -> int:
-    """The expected bits that differ between equally large sets of that Jaccard similarity."""
-    return int(np.floor(np.arccos(2 * similarity / (1 + similarity)) / np.pi * bits))
+def most_apart(similarity: float, bits: int, errors: float = 0.0) -> int:
+    """The expected bits that differ between equally large sets of that Jaccard similarity, and so many standard errors more."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(np.floor(share * bits + errors * np.sqrt(bits * share * (1 - share))))
 
 
-def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """``id``, ``wide`` (the fingerprint's bytes) of every row."""
-    schema = pa.schema([("id", pa.int64()), ("wide", pa.binary())])
+def wide_fingerprints(segments: DataFrame, text_col: str, n: int) -> DataFrame:
+    """``seg``, ``at`` (the row's place in its segment), ``id``, ``wide`` (the fingerprint's bytes) of every row."""
+    schema = pa.schema([("seg", pa.int64()), ("at", pa.int32()), ("id", pa.int64()), ("wide", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield arrow_rows(schema, [batch.column(0), [wide_fingerprint(t, n).tobytes() for t in as_bytes(batch.column(1))]])
+            for row in range(batch.num_rows):
+                texts = as_bytes(unbundled(batch.column(2)[row])[text_col])
+                wide = [wide_fingerprint(t, n).tobytes() for t in texts]
+                yield arrow_rows(schema, [np.full(len(texts), batch.column(0)[row].as_py()), np.arange(len(texts)), batch.column(1)[row].values, wide])
 
-    return docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].alias("text")).mapInArrow(run, "id bigint, wide binary")
+    return segments.select("seg", "ids", "packed").mapInArrow(run, "seg bigint, at int, id bigint, wide binary")
+
+
+def window(raw: np.ndarray, bit: int) -> np.ndarray:
+    """The 64 bits from ``bit`` on of each row of bytes; the row's first bytes stand behind it again."""
+    first, turn = bit >> 3, np.uint64(bit & 7)
+    own = np.ascontiguousarray(raw[:, first : first + 8]).view(">u8").ravel().astype(np.uint64)
+    return (own << turn) | (raw[:, first + 8].astype(np.uint64) >> (np.uint64(8) - turn)) if turn else own
 
 
 def segment_rows(nodes: DataFrame) -> DataFrame:
-    """``k`` (segment and its bits), ``rest`` (the bits that follow on the ring), ``node``: a row a segment."""
+    """``k`` (segment and its bits), ``rest`` (the bits that follow on the ring), ``node``: a row a segment.
+
+    Segments overlap: of the pairs at the limit 94 in 100 agree in one of them.
+    """
     schema = pa.schema([("k", pa.int64()), ("rest", pa.int64()), ("node", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,10 +236,9 @@ def segment_rows(nodes: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 raw = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=np.uint8).reshape(part.num_rows, -1)
-                count, step = raw.shape[1] // (SEGMENT_BITS // 8), SEGMENT_BITS // 8
-                ring = np.concatenate([raw, raw[:, :8]], axis=1)
-                for i in range(count):
-                    own = np.ascontiguousarray(ring[:, i * step : i * step + 8]).view(">u8").ravel().astype(np.uint64)
+                ring = np.concatenate([raw, raw[:, :9]], axis=1)
+                for i in range(raw.shape[1] * 8 // STRIDE):
+                    own = window(ring, i * STRIDE)
                     key = (own >> np.uint64(64 - SEGMENT_BITS)).astype(np.int64) | (i << 32)
                     rest = (own & np.uint64((1 << (64 - SEGMENT_BITS)) - 1)).astype(np.int64)
                     yield arrow_rows(schema, [key, rest, part.column(0)])
@@ -318,60 +334,131 @@ def crossing_pairs(members: DataFrame, rooted: DataFrame, limit: int, block: int
 
 
 def close_nodes(pairs: DataFrame, nodes: DataFrame, limit: int) -> DataFrame:
-    """The ``pairs`` whose wide fingerprints differ in at most ``limit`` bits."""
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    """The ``pairs`` whose wide fingerprints differ in at most ``limit`` bits, and in how many: ``u``, ``v``, ``apart``."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("apart", pa.int32())])
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 a, b = (np.frombuffer(b"".join(part.column(i).to_pylist()), dtype="<u8").reshape(part.num_rows, -1) for i in (2, 3))
-                close = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= limit
-                yield arrow_rows(schema, [part.column(i).to_numpy()[close] for i in (0, 1)])
+                apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+                close = apart <= limit
+                yield arrow_rows(schema, [part.column(0).to_numpy()[close], part.column(1).to_numpy()[close], apart[close]])
 
     side = lambda name, as_: nodes.select(F.col("node").alias(name), F.col("wide").alias(as_)).hint("merge")
-    return pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(near, "u bigint, v bigint")
+    return pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(near, "u bigint, v bigint, apart int")
+
 
+def alike(pairs: DataFrame, nodes: DataFrame, segments: DataFrame, similarity: float, n: int, text_col: str) -> DataFrame:
+    """The ``pairs`` (``u``, ``v``) whose sets of n-word shingles have at least that Jaccard similarity."""
+    wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    places = nodes.select("node", "top.seg", "top.at").join(wanted.hint("merge"), "node")
+    asked = places.groupBy("seg").agg(F.collect_list("at").alias("ats"), F.collect_list("node").alias("nodes"))
+    schema, out = pa.schema([("node", pa.int64()), ("set", pa.binary())]), pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
-def wide_components(nodes: DataFrame, limit: int, block: int = 512) -> DataFrame:
-    """What :func:`components` gives for all ``nodes`` (``node``, ``wide``) that share a segment and are within ``limit`` bits.
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                texts = unbundled(batch.column(0)[row])[text_col].take(batch.column(1)[row].values)
+                sets = [np.unique(np.array([xxhash.xxh64_intdigest(x) for x in shingles(t, n)], dtype="<u8")).tobytes() for t in as_bytes(texts)]
+                yield arrow_rows(schema, [batch.column(2)[row].values, sets])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = []
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                both = len(np.intersect1d(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8"), assume_unique=True))
+                held.append(both >= similarity * ((len(a) + len(b)) // 8 - both))
+            yield arrow_rows(out, [batch.column(0), batch.column(1)]).filter(pa.array(held, type=pa.bool_()))
+
+    sets = stored(segments.join(asked, "seg").select("packed", "ats", "nodes").mapInArrow(read, "node bigint, set binary"), "shingles")
+    side = lambda name, as_: sets.select(F.col("node").alias(name), F.col("set").alias(as_)).hint("merge")
+    return pairs.select("u", "v").join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(compare, "u bigint, v bigint")
+
+
+def near_nodes(nodes: DataFrame, similarity: float, block: int = 512) -> tuple[DataFrame, DataFrame]:
+    """Of ``nodes`` (``node``, ``wide``) that share a segment: the :func:`components` of those clearly near, and the pairs in doubt.
 
     First those that follow each other in a segment's group are linked, a path and
     not k * k pairs; then, with the components of these, all other pairs of the
     group that could still join two of them are compared.
     """
+    sure, limit = (most_apart(similarity, 64 * WIDE, x) for x in (-DOUBT, DOUBT))
     members = stored(shared_segments(segment_rows(nodes), limit), "segments")
     paths = members.where("prev is not null").select(F.greatest("node", "prev").alias("u"), F.least("node", "prev").alias("v")).distinct()
-    rooted = components(close_nodes(paths, nodes, limit))
-    others = close_nodes(crossing_pairs(members, rooted, limit, block), nodes, limit)
-    return components(rooted.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(others))
+    first = stored(close_nodes(paths, nodes, limit), "near")
+    rooted = components(first.where(F.col("apart") <= sure).select("u", "v"))
+    more = stored(close_nodes(crossing_pairs(members, rooted, limit, block), nodes, limit), "near")
+    rooted = components(edges_of(rooted).unionByName(more.where(F.col("apart") <= sure).select("u", "v")))
+    doubt = first.unionByName(more).where(F.col("apart") > sure).select("u", "v").distinct()
+    return rooted, stored(unjoined(doubt, rooted), "doubt")
+
+
+def wide_components(nodes: DataFrame, segments: DataFrame, similarity: float, n: int, text_col: str) -> DataFrame:
+    """What :func:`components` gives for all ``nodes`` that share a segment and are alike; in doubt the shingles decide."""
+    rooted, doubt = near_nodes(nodes, similarity)
+    return components(edges_of(rooted).unionByName(alike(doubt, nodes, segments, similarity, n, text_col)))
+
+
+def edges_of(rooted: DataFrame) -> DataFrame:
+    return rooted.select(F.col("node").alias("u"), F.col("root").alias("v"))
+
+
+def unjoined(pairs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """The ``pairs`` that are not in one component of ``rooted``."""
+    root = lambda name: rooted.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root")).hint("merge")
+    met = pairs.join(root("u"), "u", "left").join(root("v"), "v", "left")
+    return met.where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
+
+
+#: Stands for a null id: larger than any.
+NO_ID = (1 << 63) - 1
+
+
+def groups_of(docs: DataFrame, similarity: float, n: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The segments of ``docs``, their rows' fingerprints, the distinct ones (``top``: the least row of each), their components."""
+    segments = bundled(docs, id_col, text_col)
+    own = stored(wide_fingerprints(segments, text_col, n), "wide")
+    least = F.min(F.struct(F.coalesce("id", F.lit(NO_ID)).alias("first"), "seg", "at")).alias("top")
+    nodes = stored(own.groupBy("wide").agg(least).withColumn("node", F.xxhash64("wide")), "nodes")
+    return segments, own, nodes, wide_components(nodes, segments, similarity, n, text_col)
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: ``id``, ``component_id`` (smallest id reachable), for texts of at least ``similarity``.
 
-    Similarity is that of the sets of n-word shingles, measured by the Hamming
-    distance of wide fingerprints (2048 bits: a standard error of 0.015 at 0.8).
-    Candidates agree in one of 85 segments and keep the budget of the chain behind it. Rules for
-    nulls, empty texts and repeated rows are those of :func:`near_duplicates`.
+    Similarity is that of the sets of n-word shingles. It is measured by the
+    Hamming distance of wide fingerprints (2048 bits: a standard error of 16), and
+    by the sets themselves within 2.5 standard errors of the limit. Candidates
+    agree in one of 170 segments and keep the budget of the chain behind it. Rules
+    for nulls, empty texts and repeated rows are those of :func:`near_duplicates`.
     """
-    own = stored(wide_fingerprints(docs, id_col, text_col, n), "wide")
-    nodes = stored(own.groupBy("wide").agg(F.min("id").alias("first")).withColumn("node", F.xxhash64("wide")), "nodes")
-    limit = most_apart(similarity, 64 * WIDE)
-    rooted = wide_components(nodes, limit)
-    named = nodes.select("node", "wide").join(named_components(nodes, rooted), "node").select("wide", "component_id")
-    return own.join(named, "wide").select("id", "component_id")
+    _, own, nodes, rooted = groups_of(docs, similarity, n, id_col, text_col)
+    named = named_components(nodes.select("node", F.col("top.first").alias("first")), rooted)
+    met = salted_join(own.select("id", F.xxhash64("wide").alias("node")), named, "node", "id")
+    return met.select("id", F.nullif("component_id", F.lit(NO_ID)).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, similarity: float = 0.8, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` of which each group of similar documents keeps one document, that of the smallest id.
+    """The rows of ``docs`` of which each group of similar texts keeps one row, that of the smallest id.
 
-    All columns stay as they are. Of rows of the same id the one with the smallest
-    text stays; rows without an id stay.
+    All columns stay as they are, of any names. Of rows of the same id in a group
+    one stays, unlike ones each stay in their own groups; a null id is larger than
+    any. Texts without words are alike. Rows stay in their segments: only the places
+    of those kept come to them.
     """
-    groups = similar_documents(docs, similarity, n, id_col, text_col)
-    tops = groups.where(F.col("id") == F.col("component_id")).select(F.col("id").alias("vs_id")).distinct()
-    kept = docs.join(tops.hint("merge"), docs[id_col].cast("bigint") == tops.vs_id)
-    first = Window.partitionBy("vs_id").orderBy(F.col(text_col).asc_nulls_first())
-    kept = kept.withColumn("vs_row", F.row_number().over(first)).where("vs_row = 1").drop("vs_row", "vs_id")
-    return kept.unionByName(docs.where(docs[id_col].isNull()))
+    segments, _, nodes, rooted = groups_of(docs, similarity, n, id_col, text_col)
+    tops = rooted.select(F.col("root").alias("node")).distinct().withColumn("root", F.col("node"))
+    met = nodes.select("node", "top").join(rooted.select("node", "root").unionByName(tops).hint("merge"), "node", "left")
+    kept = met.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("top").alias("top"))
+    places = kept.groupBy("top.seg").agg(F.collect_list("top.at").alias("ats"))
+    schema = to_arrow_schema(docs.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                rows = unbundled(batch.column(0)[row]).take(pa.array(sorted(batch.column(1)[row].as_py())))
+                yield from rows.cast(schema).combine_chunks().to_batches()
+
+    return segments.join(places, "seg").select("packed", "ats").mapInArrow(run, docs.schema)
