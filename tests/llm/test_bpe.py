@@ -69,15 +69,17 @@ def plain_library():
     return own
 
 
-@pytest.mark.parametrize(("leaf", "fan"), [(2, 2), (128, 16)])
-def test_counts_follow_edits(plain_library, monkeypatch, leaf, fan):
+@pytest.mark.parametrize(("leaf", "fan", "tail"), [(2, 2, 1), (128, 16, 64), (3, 4, 7)])
+def test_counts_follow_edits(plain_library, monkeypatch, leaf, fan, tail):
     monkeypatch.setattr(token_counts, "LEAF", leaf)
     monkeypatch.setattr(token_counts, "FAN", fan)
+    monkeypatch.setattr(token_counts, "TAIL", tail)
     own = bpe.Codec(bpe.read_spec(queries.tokenizer_path()), special=False)
     draw = random.Random(4)
     for _ in range(800):
-        x = token_counts.CountedText("".join(draw.choice(PIECES) for _ in range(draw.randint(0, 40))), own)
+        x = token_counts.CountedText.of("".join(draw.choice(PIECES) for _ in range(draw.randint(0, 40))), own)
         for _ in range(4):
+            x = token_counts.from_columns(own, *token_counts.columns_of(x))
             a = draw.randint(0, len(x.text))
             b = min(len(x.text), a + draw.choice([0, 1, 2, 9]))
             new = "".join(draw.choice(PIECES) for _ in range(draw.choice([0, 1, 3])))
@@ -88,30 +90,49 @@ def test_counts_follow_edits(plain_library, monkeypatch, leaf, fan):
             assert x.n_pieces == len(own.pattern.findall(want))
 
 
-def test_edits_touch_little(plain_library):
+def test_edits_touch_little(plain_library, monkeypatch):
     own = bpe.Codec(bpe.read_spec(queries.tokenizer_path()), special=False)
-    x = token_counts.CountedText("some words here " * 5000, own)
-    assert x.edit(40_000, 40_003, "new") < 8
+    x, encoded = token_counts.CountedText.of("some words here " * 5000, own), []
+    plain = token_counts.tokens_of
+    monkeypatch.setattr(token_counts, "tokens_of", lambda codec, piece: encoded.append(piece) or plain(codec, piece))
+    for at in (40_000, 0, 79_990, 12):
+        assert x.edit(at, at + 3, "new") < 8
+    assert len(encoded) == x.encoded < 32
+    assert x.edit(100, 70_000, "") < 8 and x.root.chars < 11_000
+
+
+def after(text, edits):
+    for start, end, new in edits:
+        start, end = (max(0, min(x, len(text))) for x in (start, end))
+        text = text[:start] + new + text[max(start, end) :]
+    return text
 
 
 def test_counts_query(spark, plain_library):
     sf = f"{DATA}/sf0.001"
     got = {r.doc_id: r for r in queries.op8_token_counts(spark, sf).collect()}
-    for d in token_counts.revision(queries.table(spark, sf, "documents")).collect():
-        text = d.text or ""
-        before = text
-        for e in d.edits:
-            start, end = (max(0, min(x, len(text))) for x in (e.start, e.end))
-            text = text[:start] + e.new + text[max(start, end) :]
+    docs = queries.table(spark, sf, "documents").selectExpr("doc_id", "text", "cast(coalesce(length(text), 0) as bigint) AS n_chars")
+    for d in token_counts.revision(docs).collect():
+        before = d.text or ""
+        text = after(before, d.edits)
         row = got[d.doc_id]
         assert row.edited_sha256 == hashlib.sha256(text.encode()).hexdigest()
         assert [row.n_tokens_before, row.n_tokens] == [len(plain_library.encode(t, add_special_tokens=False).ids) for t in (before, text)]
-
-
-def test_odd_edits(spark, odd, odd_rows, nothing):
-    edits = "CASE WHEN doc_id = 4 THEN array(named_struct('start', 0, 'end', 99, 'new', 'x'), null, named_struct('start', null, 'end', 1, 'new', 'y')) WHEN doc_id = 6 THEN null ELSE array() END AS edits"
-    rows = token_counts.count_edited(odd.selectExpr("*", edits), queries.tokenizer_path()).collect()
-    assert len(rows) == len(odd_rows)
-    row = next(r for r in rows if r.doc_id == 4)
-    assert row.edited_sha256 == hashlib.sha256(b"x").hexdigest() and row.n_tokens == 1
-    assert token_counts.count_edited(nothing.selectExpr("*", edits), queries.tokenizer_path()).collect() == []
+        assert row.n_reencoded < 60 or row.n_pieces < 60
+
+
+def test_two_rounds_of_edits_from_tables(spark, odd, odd_rows, nothing, plain_library):
+    trees = token_counts.counted(odd, queries.tokenizer_path())
+    rounds = [[(4, 1, 0, 99, "x"), (6, 2, 5, 9, " and"), (6, 1, 0, 0, "It's "), (10, 1, None, 3, "y"), (5, 1, 100_000, 100_003, "here"), (None, 1, 0, 5, "no"), (77, 1, 0, 0, "z")], [(6, 1, 3, 8, "\n\n1"), (1, 1, 0, 0, "new")]]
+    texts = {i: [t or "" for j, t, *_ in odd_rows if j == i] for i in {r[0] for r in odd_rows}}
+    for edits in rounds:
+        table = spark.createDataFrame(edits, "doc_id bigint, seq int, start bigint, end bigint, new string")
+        trees = token_counts.edited(token_counts.with_edits(trees, table), queries.tokenizer_path())
+        for i in texts:
+            own = [e[2:] for e in sorted(e for e in edits if e[0] == i and i is not None and e[2] is not None)]
+            texts[i] = [after(t, own) for t in texts[i]]
+        rows = trees.collect()
+        assert sorted(((r.doc_id is None, r.doc_id or 0), "".join(r.texts)) for r in rows) == sorted(((i is None, i or 0), t) for i, own in texts.items() for t in own)
+        for r in rows:
+            assert r.n_tokens == len(plain_library.encode("".join(r.texts), add_special_tokens=False).ids) and r.n_chars == sum(r.lengths)
+    assert token_counts.edited(token_counts.with_edits(token_counts.counted(nothing, queries.tokenizer_path()), table), queries.tokenizer_path()).collect() == []

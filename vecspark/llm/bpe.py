@@ -142,7 +142,7 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit integers."""
-        if self.specials is None or "<" not in text or not self.specials.search(text):
+        if self.specials is None or not self.specials.search(text):
             return self._plain(text)
         out, at = [], 0
         for m in self.specials.finditer(text):
@@ -200,7 +200,12 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``ids`` (of the whole text), ``n_tokens`` and ``decoded``, whether the ids give the text back."""
+    """``docs`` with ``ids`` (of the whole text), ``n_tokens`` and ``decoded``, whether the ids give the text back.
+
+    Null and empty texts have no ids; very long texts are encoded whole; repeated
+    rows give repeated rows; columns of clashing names are replaced, all others
+    stay. No shuffle.
+    """
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(tokenizer_path))
 
     def make(texts: list, batch: pa.RecordBatch) -> dict:

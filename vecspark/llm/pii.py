@@ -366,7 +366,11 @@ def find_in_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def redacted_documents(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """``docs`` with every span of personal data replaced by its kind; ``length_col``, if it is there, follows the text."""
+    """``docs`` with every span of personal data replaced by its kind; ``length_col``, if it is there, follows the text.
+
+    Null and empty texts stay as they are; very long texts are searched whole;
+    repeated rows give repeated rows; all other columns stay. No shuffle.
+    """
 
     def make(texts: list, batch: pa.RecordBatch) -> dict:
         new = []

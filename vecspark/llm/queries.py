@@ -51,7 +51,8 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_edited(token_counts.revision(table(spark, sf_dir, "documents")), tokenizer_path())
+    trees = token_counts.counted(table(spark, sf_dir, "documents"), tokenizer_path())
+    return token_counts.digests(token_counts.edited(token_counts.revision(trees), tokenizer_path()))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,13 @@
 """Token counts that follow edits.
 
-A document is a segment tree over its pre-tokens: leaves hold a few hundred
-pre-tokens (characters and tokens of each), inner nodes the sums of their
-children. An edit re-encodes only the pre-tokens it touches, from a little before
-it until the old and new boundaries fall together again, and then the sums on the
-way up.
+A document is a segment tree over its pre-tokens: leaves hold up to a hundred-odd
+pre-tokens (their text, the characters and the tokens of each), inner nodes the
+sums of their children. ``counted`` encodes documents once and gives their leaves
+as a table; ``edited`` takes that table with edits and re-encodes only the
+pre-tokens an edit touches, from a little before it until the old and new
+boundaries fall together again, and then the sums on the way up. Neither the
+rest of the text nor the vocabulary is looked at again, and the new leaves are
+the table that the next edits take.
 
 A pre-token's end depends on the characters up to two places behind its start or
 one behind its end, never on those before its start; so encoding may start at any
@@ -17,56 +20,67 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecspark.llm._common import arrow_rows
+from vecspark.llm._common import arrow_rows, stored
 from vecspark.llm.bpe import Codec, codec_of, read_spec
 
 LEAF = 128
 FAN = 16
-#: Characters before an edit that a boundary must leave untouched.
+#: Characters before an edit that a boundary must leave untouched, and behind a pre-token that it may depend on.
 REACH = 3
+#: Characters behind an edit that are read at first; twice as many if the boundaries don't meet there.
+TAIL = 64
 
 
 class Node:
-    """A leaf (``lengths``, ``tokens`` of its pre-tokens) or an inner node (``children``), with sums."""
+    """A leaf (``text``, ``lengths`` and ``tokens`` of its pre-tokens) or an inner node (``children``), with sums."""
 
-    __slots__ = ("lengths", "tokens", "children", "chars", "count", "pieces")
+    __slots__ = ("text", "lengths", "tokens", "children", "chars", "count", "pieces")
 
-    def __init__(self, lengths: list[int] | None = None, tokens: list[int] | None = None, children: list[Node] | None = None):
-        self.lengths, self.tokens, self.children = lengths, tokens, children
+    def __init__(self, text: str = "", lengths: list[int] | None = None, tokens: list[int] | None = None, children: list[Node] | None = None):
+        self.text, self.lengths, self.tokens, self.children = text, lengths, tokens, children
         self.sum()
 
     def sum(self) -> None:
         if self.children is None:
-            self.chars, self.count, self.pieces = sum(self.lengths), sum(self.tokens), len(self.lengths)
+            self.chars, self.count, self.pieces = len(self.text), sum(self.tokens), len(self.lengths)
         else:
             self.chars = sum(c.chars for c in self.children)
             self.count = sum(c.count for c in self.children)
             self.pieces = sum(c.pieces for c in self.children)
 
 
-def leaves(lengths: list[int], tokens: list[int]) -> list[Node]:
-    return [Node(lengths[i : i + LEAF], tokens[i : i + LEAF]) for i in range(0, len(lengths), LEAF)]
+def leaves(text: str, lengths: list[int], tokens: list[int]) -> list[Node]:
+    out, at = [], 0
+    for i in range(0, len(lengths), LEAF):
+        own = lengths[i : i + LEAF]
+        end = at + sum(own)
+        out.append(Node(text[at:end], own, tokens[i : i + LEAF]))
+        at = end
+    return out
 
 
 def raised(nodes: list[Node]) -> Node:
     """One tree over ``nodes``."""
     while len(nodes) > 1:
         nodes = [Node(children=nodes[i : i + FAN]) for i in range(0, len(nodes), FAN)]
-    return nodes[0] if nodes else Node([], [])
+    return nodes[0] if nodes else Node("", [], [])
 
 
 class CountedText:
     """A text whose token count is kept through edits."""
 
-    def __init__(self, text: str, codec: Codec):
-        self.codec, self.text = codec, text
+    def __init__(self, codec: Codec, nodes: list[Node]):
+        self.codec, self.root, self.encoded = codec, raised(nodes), 0
+
+    @classmethod
+    def of(cls, text: str, codec: Codec) -> CountedText:
         pieces = codec.pattern.findall(text)
-        self.root = raised(leaves([len(p) for p in pieces], [self._tokens(p) for p in pieces]))
-        self.encoded = len(pieces)
+        return cls(codec, leaves(text, [len(p) for p in pieces], [tokens_of(codec, p) for p in pieces]))
 
     @property
     def n_tokens(self) -> int:
@@ -76,9 +90,18 @@ class CountedText:
     def n_pieces(self) -> int:
         return self.root.pieces
 
-    def _tokens(self, piece: str) -> int:
-        got = self.codec.words.get(piece)
-        return len(self.codec.word(piece) if got is None else got) // 4
+    def leaves(self) -> Iterator[Node]:
+        todo = [self.root]
+        while todo:
+            node = todo.pop()
+            if node.children is None:
+                yield node
+            else:
+                todo += reversed(node.children)
+
+    @property
+    def text(self) -> str:
+        return "".join(leaf.text for leaf in self.leaves())
 
     def boundary(self, at: int) -> int:
         """The last boundary at or before character ``at``."""
@@ -95,43 +118,64 @@ class CountedText:
             base += n
         return base
 
+    def between(self, start: int, end: int) -> str:
+        """The characters [start, end), from the leaves that have them."""
+        out, todo = [], [(self.root, 0)]
+        while todo:
+            node, base = todo.pop()
+            if base >= end or base + node.chars <= start:
+                continue
+            if node.children is None:
+                out.append(node.text[max(0, start - base) : end - base])
+            else:
+                ends = np.cumsum([base, *(c.chars for c in node.children)]).tolist()
+                todo += reversed(list(zip(node.children, ends)))
+        return "".join(out)
+
     def edit(self, start: int, end: int, new: str) -> int:
         """Replace characters [start, end) by ``new``; returns how many pre-tokens were encoded."""
-        start, end = max(0, min(start, len(self.text))), max(0, min(end, len(self.text)))
-        end = max(start, end)
+        size = self.root.chars
+        start = max(0, min(start, size))
+        end = max(start, min(end, size))
         first = self.boundary(start - REACH) if start > REACH else 0
-        shift = len(new) - (end - start)
-        self.text = self.text[:start] + new + self.text[end:]
-        lengths, tokens, at, last = [], [], first, first
-        for m in self.codec.pattern.finditer(self.text, first):
-            at = m.start()
-            if at >= start + len(new) and self.boundary(at - shift) == at - shift:
-                last = at
+        head, shift, tail = self.between(first, start) + new, len(new) - (end - start), TAIL
+        while True:
+            here = head + self.between(end, end + tail)
+            pieces, last = self._until_met(here, first, start + len(new), shift, end + tail >= size)
+            if last is not None:
                 break
-            lengths.append(m.end() - at)
-            tokens.append(self._tokens(m[0]))
-            last = m.end()
-        self._splice(first, last - shift, lengths, tokens)
-        self.encoded += len(lengths)
-        return len(lengths)
-
-    def _splice(self, first: int, last: int, lengths: list[int], tokens: list[int]) -> None:
-        """Put new pre-tokens in place of those between two old boundaries, and renew the sums above."""
-        fresh = self._replace(self.root, 0, first, last, lengths, tokens)
+            tail *= 2
+        lengths, tokens = [len(p) for p in pieces], [tokens_of(self.codec, p) for p in pieces]
+        fresh = self._replace(self.root, 0, first, last - shift, "".join(pieces), lengths, tokens)
         self.root = raised(fresh)
-
-    def _replace(self, node: Node, base: int, first: int, last: int, lengths: list[int], tokens: list[int]) -> list[Node]:
+        self.encoded += len(pieces)
+        return len(pieces)
+
+    def _until_met(self, here: str, first: int, behind: int, shift: int, whole: bool) -> tuple[list[str], int | None]:
+        """The pre-tokens from ``first`` on, and where they meet an old boundary behind the edit; none if ``here`` is too short."""
+        pieces, at = [], first
+        for m in self.codec.pattern.finditer(here):
+            at = first + m.start()
+            if at >= behind and self.boundary(at - shift) == at - shift:
+                return pieces, at
+            if not whole and m.end() + REACH > len(here):
+                return pieces, None
+            pieces.append(m[0])
+            at = first + m.end()
+        return pieces, at if whole else None
+
+    def _replace(self, node: Node, base: int, first: int, last: int, text: str, lengths: list[int], tokens: list[int]) -> list[Node]:
         """``node`` without its pre-tokens in [first, last) and with the new ones, which stand where ``first`` falls."""
         if node.children is None:
             at, i = base, 0
             while i < len(node.lengths) and at < first:
                 at += node.lengths[i]
                 i += 1
-            j = i
-            while j < len(node.lengths) and at < last:
-                at += node.lengths[j]
+            to, j = at, i
+            while j < len(node.lengths) and to < last:
+                to += node.lengths[j]
                 j += 1
-            return leaves(node.lengths[:i] + lengths + node.lengths[j:], node.tokens[:i] + tokens + node.tokens[j:])
+            return leaves(node.text[: at - base] + text + node.text[to - base :], node.lengths[:i] + lengths + node.lengths[j:], node.tokens[:i] + tokens + node.tokens[j:])
         children: list[Node] = []
         placed = False
         for k, child in enumerate(node.children):
@@ -139,10 +183,10 @@ class CountedText:
             base = high
             here = not placed and (low <= first < high or k == len(node.children) - 1)
             if here:
-                children += self._replace(child, low, first, last, lengths, tokens)
+                children += self._replace(child, low, first, last, text, lengths, tokens)
                 placed = True
             elif low < last and high > first:
-                children += self._replace(child, low, first, last, [], [])
+                children += self._replace(child, low, first, last, "", [], [])
             else:
                 children.append(child)
         while len(children) > FAN * 2:
@@ -154,41 +198,98 @@ class CountedText:
         return [node]
 
 
-def count_edited(docs: DataFrame, tokenizer_path: str, edits_col: str = "edits", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Apply each document's edits in order and keep its token count.
+def tokens_of(codec: Codec, piece: str) -> int:
+    got = codec.words.get(piece)
+    return len(codec.word(piece) if got is None else got) // 4
 
-    ``edits_col`` is an array of structs (start, end, new): code points of the text
-    as the edits before it left it, clamped to it. Returns per row of ``docs`` the
-    id, ``n_tokens_before``, ``n_tokens``, ``n_pieces``, ``n_reencoded`` (pre-tokens
-    encoded for the edits) and ``edited_sha256``. Special tokens' names are ordinary
-    text. Null texts count as empty; null edits, or null fields of one, change
-    nothing; texts may be very long; repeated rows give repeated rows; other
-    columns are not read. No shuffle.
+
+#: A document's leaves, one behind the other: their texts, how many pre-tokens each has, characters and tokens of those.
+TREE = "texts array<string>, sizes array<int>, lengths array<int>, tokens array<int>"
+TREE_ARROW = [("texts", pa.list_(pa.string())), ("sizes", pa.list_(pa.int32())), ("lengths", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int32()))]
+
+
+def columns_of(counted: CountedText) -> tuple[list, list, list, list]:
+    own = list(counted.leaves())
+    return [x.text for x in own], [len(x.lengths) for x in own], [n for x in own for n in x.lengths], [n for x in own for n in x.tokens]
+
+
+def from_columns(codec: Codec, texts: list[str], sizes: list[int], lengths: list[int], tokens: list[int]) -> CountedText:
+    nodes, at = [], 0
+    for text, n in zip(texts, sizes, strict=True):
+        nodes.append(Node(text, lengths[at : at + n], tokens[at : at + n]))
+        at += n
+    return CountedText(codec, nodes)
+
+
+def counted(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The trees of ``docs``, stored in the shared folder: id, ``n_chars``, ``n_tokens`` and the leaves.
+
+    Special tokens' names are ordinary text. Null texts count as empty; texts may
+    be very long; repeated rows give repeated rows; other columns are not read. No shuffle.
     """
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(tokenizer_path))
-    names = ("n_tokens_before", "n_tokens", "n_pieces", "n_reencoded")
-    schema = pa.schema([(id_col, pa.int64()), *((n, pa.int64()) for n in names), ("edited_sha256", pa.string())])
+    schema = pa.schema([(id_col, pa.int64()), ("n_chars", pa.int64()), ("n_tokens", pa.int64()), *TREE_ARROW])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(spec.value, special=False)
         for batch in batches:
-            rows = []
-            for text, edits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                counted = CountedText(text or "", codec)
-                before, again = counted.n_tokens, 0
-                for e in edits or []:
-                    if e and None not in e.values():
-                        again += counted.edit(*e.values())
-                rows.append((before, counted.n_tokens, counted.n_pieces, again, hashlib.sha256(counted.text.encode()).hexdigest()))
-            yield arrow_rows(schema, [batch.column(0), *zip(*rows, strict=True)] if rows else [[] for _ in schema])
-
-    picked = docs.select(docs[id_col].cast("bigint").alias(id_col), docs[text_col].alias("text"), docs[edits_col].cast("array<struct<start:bigint,end:bigint,new:string>>").alias("edits"))
-    return picked.mapInArrow(run, f"`{id_col}` bigint, " + ", ".join(f"{n} bigint" for n in names) + ", edited_sha256 string")
-
-
-def revision(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``edits``: three to each text, at its quarters: a cut, an insertion, a replacement."""
-    n = F.coalesce(F.length(text_col), F.lit(0)).cast("bigint")
-    at = lambda q: F.floor(n * q / 4).cast("bigint")
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                own = [CountedText.of(t or "", codec) for t in part.column(1).to_pylist()]
+                yield arrow_rows(schema, [part.column(0), [c.root.chars for c in own], [c.n_tokens for c in own], *zip(*map(columns_of, own), strict=True)])
+
+    picked = docs.select(docs[id_col].cast("bigint").alias(id_col), docs[text_col].alias("text"))
+    return stored(picked.mapInArrow(run, f"`{id_col}` bigint, n_chars bigint, n_tokens bigint, {TREE}"), "trees")
+
+
+def with_edits(trees: DataFrame, edits: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``trees`` with ``edits``: those of ``edits`` (id, ``seq``, ``start``, ``end``, ``new``) of the id, by ``seq``.
+
+    Rows of equal id all get the id's edits; a null id gets none. The edits of one
+    document meet in a row, as they must follow each other.
+    """
+    own = edits.groupBy(F.col(id_col).cast("bigint").alias("vs_id")).agg(F.array_sort(F.collect_list(F.struct("seq", "start", "end", "new"))).alias("edits"))
+    own = own.withColumn("edits", F.expr("transform(edits, e -> struct(e.start, e.end, e.new))"))
+    return trees.drop("edits").join(own.hint("merge"), F.col(id_col) == F.col("vs_id"), "left").drop("vs_id")
+
+
+def edited(trees: DataFrame, tokenizer_path: str, edits_col: str = "edits", id_col: str = "doc_id") -> DataFrame:
+    """Apply each row's edits to its tree, in order.
+
+    ``edits_col`` is an array of structs (start, end, new): code points of the text
+    as the edits before it left it, clamped to it; null edits, or null fields of
+    one, change nothing. Returns per row the id, ``n_chars``, ``n_tokens``, the new
+    leaves, ``n_tokens_before``, ``n_pieces`` and ``n_reencoded`` (pre-tokens encoded
+    for the edits, all that is encoded here). No shuffle.
+    """
+    spec = trees.sparkSession.sparkContext.broadcast(read_spec(tokenizer_path))
+    names = ("n_tokens_before", "n_pieces", "n_reencoded")
+    schema = pa.schema([(id_col, pa.int64()), ("n_chars", pa.int64()), ("n_tokens", pa.int64()), *TREE_ARROW, *((n, pa.int64()) for n in names)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = codec_of(spec.value, special=False)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part, rows = batch.slice(at, 1000), []
+                for before, edits, *leaf in zip(*(part.column(i).to_pylist() for i in (1, 2, 3, 4, 5, 6)), strict=True):
+                    own = from_columns(codec, *leaf)
+                    for e in edits or []:
+                        if e and None not in e.values():
+                            own.edit(*e.values())
+                    rows.append((own.root.chars, own.n_tokens, *columns_of(own), before, own.n_pieces, own.encoded))
+                yield arrow_rows(schema, [part.column(0), *zip(*rows, strict=True)])
+
+    picked = trees.select(F.col(id_col).cast("bigint").alias(id_col), "n_tokens", F.col(edits_col).cast("array<struct<start:bigint,end:bigint,new:string>>").alias("edits"), "texts", "sizes", "lengths", "tokens")
+    return picked.mapInArrow(run, f"`{id_col}` bigint, n_chars bigint, n_tokens bigint, {TREE}, " + ", ".join(f"{n} bigint" for n in names))
+
+
+def digests(trees: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The columns that ``op8_token_counts`` returns."""
+    return trees.select(id_col, "n_tokens_before", "n_tokens", "n_pieces", "n_reencoded", F.sha2(F.concat_ws("", "texts"), 256).alias("edited_sha256"))
+
+
+def revision(trees: DataFrame) -> DataFrame:
+    """``trees`` with ``edits``: three to each text, at its quarters: a cut, an insertion, a replacement."""
+    at = lambda q: F.floor(F.col("n_chars") * q / 4).cast("bigint")
     edit = lambda start, end, new: F.struct(start.alias("start"), end.alias("end"), F.lit(new).alias("new"))
-    return docs.withColumn("edits", F.array(edit(at(1), at(1) + 7, ""), edit(at(2), at(2), " it's been edited, 3 times "), edit(at(3), at(3) + 12, "\n\n  They'll see.")))
+    return trees.withColumn("edits", F.array(edit(at(1), at(1) + 7, ""), edit(at(2), at(2), " it's been edited, 3 times "), edit(at(3), at(3) + 12, "\n\n  They'll see.")))
