@@ -24,7 +24,7 @@ from vecspark.storage import stored
 
 @dataclass(frozen=True)
 class GraphParams:
-    """Degree, search list, alpha, longest pool, slack of the degree while building, filling up."""
+    """Degree, search list, alpha, longest pool, slack of the degree while building, filling up, rounds of insertion."""
 
     # The usual defaults of such indices, kept so that builds compare.
     degree: int = 64
@@ -33,10 +33,11 @@ class GraphParams:
     pool: int = 750
     slack: float = 1.3
     saturate: bool = False
+    rounds: int = 1
 
     def __post_init__(self):
-        if self.degree < 1 or self.list_size < 1 or self.pool < 1:
-            raise ValueError("degree, list_size and pool must be positive")
+        if self.degree < 1 or self.list_size < 1 or self.pool < 1 or self.rounds < 1:
+            raise ValueError("degree, list_size, pool and rounds must be positive")
         if self.alpha < 1:
             raise ValueError("alpha must be 1 or more")
 
@@ -113,27 +114,22 @@ def robust_prune(x: np.ndarray, pool: list[tuple[float, int]], params: GraphPara
     return kept
 
 
-def build(x: np.ndarray, params: GraphParams, labels: list[set] | None = None, guide: np.ndarray | None = None) -> tuple[list[list[int]], list[int]]:
-    """(neighbours, start rows) of one shard: every row searches its way in, prunes and links back.
-
-    With ``labels`` each label has its own start, and a row prunes another only if
-    it has all of its labels. ``guide`` holds coarser vectors (decoded codes) to
-    search by; pruning always takes the exact distances.
-    """
-    n = len(x)
-    guide = x if guide is None else guide
-    if not n:
-        return [], []
-    start = int(squared(x, x.mean(axis=0)).argmin())
+def entries(x: np.ndarray, labels: list[set] | None = None) -> tuple[int, dict]:
+    """The row nearest to the mean of all, and of those of each label."""
     by_label: dict = {}
     for i, own in enumerate(labels or []):
         for a in own:
             by_label.setdefault(a, []).append(i)
-    entry = {a: rows[int(squared(x[rows], x[rows].mean(axis=0)).argmin())] for a, rows in by_label.items()}
-    nbrs: list[list[int]] = [[] for _ in range(n)]
+    middle = lambda rows: rows[int(squared(x[rows], x[rows].mean(axis=0)).argmin())]
+    return int(squared(x, x.mean(axis=0)).argmin()), {a: middle(rows) for a, rows in by_label.items()}
+
+
+def insert(x: np.ndarray, nbrs: list[list[int]], fresh: list[int], start: int, params: GraphParams, labels: list[set] | None = None, entry: dict | None = None, guide: np.ndarray | None = None) -> None:
+    """The ``fresh`` rows of ``x`` search their way in from ``start`` (and their labels' entries), prune and link back."""
+    guide = x if guide is None else guide
     covers = (lambda p, q: labels[q] <= labels[p]) if labels else None
     limit = int(params.degree * params.slack)
-    for i in range(n):
+    for i in fresh:
         pool = list(greedy(guide, nbrs, [start], guide[i], params.list_size)[1])
         if labels and labels[i]:
             own = labels[i]
@@ -141,28 +137,103 @@ def build(x: np.ndarray, params: GraphParams, labels: list[set] | None = None, g
         if guide is not x:
             near = [j for _, j in pool]
             pool = list(zip(squared(x[near], x[i]).tolist(), near))
-        nbrs[i] = robust_prune(x, [(d, j) for d, j in pool if j != i], params, covers=covers)
+        held = [] if not nbrs[i] else list(zip(squared(x[nbrs[i]], x[i]).tolist(), nbrs[i]))
+        nbrs[i] = robust_prune(x, [(d, j) for d, j in pool + held if j != i], params, covers=covers)
         for j in nbrs[i]:
             if i not in nbrs[j]:
                 nbrs[j].append(i)
                 if len(nbrs[j]) > limit:
                     nbrs[j] = repruned(x, j, nbrs[j], params, covers)
-    for i in range(n):
-        if len(nbrs[i]) > params.degree:
-            nbrs[i] = repruned(x, i, nbrs[i], params, covers)
+    for i, own in enumerate(nbrs):
+        if len(own) > params.degree:
+            nbrs[i] = repruned(x, i, own, params, covers)
+
+
+def build(x: np.ndarray, params: GraphParams, labels: list[set] | None = None, guide: np.ndarray | None = None) -> tuple[list[list[int]], list[int]]:
+    """(neighbours, start rows) of one shard: every row is inserted, ``params.rounds`` times over.
+
+    With ``labels`` each label has its own start, and a row prunes another only if
+    it has all of its labels. ``guide`` holds coarser vectors (decoded codes) to
+    search by; pruning always takes the exact distances.
+    """
+    if not len(x):
+        return [], []
+    start, entry = entries(x, labels)
+    nbrs: list[list[int]] = [[] for _ in range(len(x))]
+    for _ in range(params.rounds):
+        insert(x, nbrs, list(range(len(x))), start, params, labels, entry, guide)
     return nbrs, sorted({start, *entry.values()})
 
 
+def repair(x: np.ndarray, nbrs: list[list[int]], dead: set[int], params: GraphParams, labels: list[set] | None = None) -> None:
+    """Live rows drop their dead neighbours and take those ones' live neighbours, pruned where they are too many."""
+    covers = (lambda p, q: labels[q] <= labels[p]) if labels else None
+    for i, own in enumerate(nbrs):
+        if i not in dead and not dead.isdisjoint(own):
+            near = {j for j in own if j not in dead}
+            near.update(j for gone in own if gone in dead for j in nbrs[gone] if j not in dead)
+            near.discard(i)
+            nbrs[i] = sorted(near) if len(near) <= params.degree else repruned(x, i, sorted(near), params, covers)
+
+
 def repruned(x: np.ndarray, i: int, own: list[int], params: GraphParams, covers=None) -> list[int]:
     own = [j for j in dict.fromkeys(own) if j != i]
     return robust_prune(x, list(zip(squared(x[own], x[i]).tolist(), own)), params, covers=covers) if own else []
 
 
-def route(x: np.ndarray, nbrs: list[list[int]], starts: list[int], q: np.ndarray, radius: np.ndarray, factor: float, hold: int = 8) -> list[tuple[float, int]]:
+def greedy_many(x: np.ndarray, table: np.ndarray, starts: np.ndarray, q: np.ndarray, size: int, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, distances) of the ``size`` best for each query, -1 where there are fewer: the walk of :func:`greedy` for all at once.
+
+    ``table`` holds each row's neighbours, -1 behind the last. ``allowed`` marks,
+    for each query, the rows it may visit. A step expands the nearest row of each
+    query that is not expanded yet.
+    """
+    n, m = len(q), len(x)
+    seen = np.zeros((n, m + 1), dtype=bool)
+    seen[:, m] = True
+    if allowed is not None:
+        seen[:, :m] = ~allowed
+    size = min(size, m)
+    best, dist = np.full((n, size), -1), np.full((n, size), np.inf)
+    opened = np.ones((n, size), dtype=bool)
+    asking = np.arange(n)
+    near = np.broadcast_to(starts, (n, len(starts)))
+    square = (x * x).sum(axis=1)
+    while len(asking):
+        near = np.where(near < 0, m, near)
+        fresh = ~seen[asking[:, None], near]
+        seen[asking[:, None], near] = True
+        row = np.where(fresh, near, 0)
+        away = square[row] - 2 * np.einsum("nkd,nd->nk", x[row], q[asking])
+        away = np.where(fresh, away, np.inf)
+        rows = np.concatenate([best[asking], row], axis=1)
+        far = np.concatenate([dist[asking], away], axis=1)
+        done = np.concatenate([opened[asking], np.zeros_like(fresh)], axis=1)
+        kept = np.argsort(far, axis=1, kind="stable")[:, :size]
+        rows, far, done = (np.take_along_axis(c, kept, 1) for c in (rows, far, done))
+        done |= ~np.isfinite(far)
+        best[asking], dist[asking], opened[asking] = np.where(np.isfinite(far), rows, -1), far, done
+        going = ~done.all(axis=1)
+        asking, rows, done = asking[going], rows[going], done[going]
+        at = done.argmin(axis=1)
+        opened[asking, at] = True
+        near = table[rows[np.arange(len(asking)), at]]
+    return best, dist + (q * q).sum(axis=1)[:, None]
+
+
+def neighbour_table(nbrs: list[list[int]]) -> np.ndarray:
+    table = np.full((len(nbrs), max(1, max(map(len, nbrs), default=0))), -1)
+    for i, own in enumerate(nbrs):
+        table[i, : len(own)] = own
+    return table
+
+
+def route(x: np.ndarray, nbrs: list[list[int]], starts: list[int], q: np.ndarray, radius: np.ndarray, factor: float, hold: int = 8, own: bool = True) -> list[tuple[float, int]]:
     """The rows expanded on the way to ``q``, by distance, until the bound of the best one's radius says stop.
 
     Once the best has held for ``hold`` expansions the walk ends at the first row
-    farther than ``factor`` times (best + twice its radius + the row's own).
+    farther than ``factor`` times (best + twice its radius + the row's own); with
+    ``own=False`` the row's own radius does not count.
     """
     seen, path = set(starts), []
     todo = list(zip(squared(x[starts], q).tolist(), starts))
@@ -174,7 +245,7 @@ def route(x: np.ndarray, nbrs: list[list[int]], starts: list[int], q: np.ndarray
             best, since = (d, i), 0
         else:
             since += 1
-        if since >= hold and d > factor * (best[0] + 2 * radius[best[1]] + radius[i]):
+        if since >= hold and d > factor * (best[0] + 2 * radius[best[1]] + (radius[i] if own else 0.0)):
             break
         path.append((d, i))
         fresh = [j for j in nbrs[i] if j not in seen]
@@ -188,8 +259,11 @@ GRAPH = "shard int, id bigint, v array<double>, labels array<string>, nbrs array
 GRAPH_ARROW = pa.schema([("shard", pa.int32()), ("id", pa.int64()), ("v", pa.list_(pa.float64())), ("labels", pa.list_(pa.string())), ("nbrs", pa.list_(pa.int64())), ("is_start", pa.bool_())])
 
 
-def built(sharded: DataFrame, params: GraphParams, filtered: bool = False) -> DataFrame:
-    """The graph of every shard (``shard``, ``id``, ``v``[, ``labels``]), one task a shard: rows of ``GRAPH``."""
+def built(sharded: DataFrame, params: GraphParams, filtered: bool = False, book=None) -> DataFrame:
+    """The graph of every shard (``shard``, ``id``, ``v``[, ``labels``]), one task a shard: rows of ``GRAPH``.
+
+    With ``book`` (a codebook) rows are found by what their codes stand for.
+    """
     if "labels" not in sharded.columns:
         sharded = sharded.withColumn("labels", F.array().cast("array<string>"))
 
@@ -197,7 +271,7 @@ def built(sharded: DataFrame, params: GraphParams, filtered: bool = False) -> Da
         t = t.sort_by("id")
         ids, x = t["id"].to_numpy(), matrix(t["v"])
         labels = [set(s or []) for s in t["labels"].to_pylist()] if filtered else None
-        nbrs, starts = build(x, params, labels)
+        nbrs, starts = build(x, params, labels, None if book is None else book.decode(book.encode(x)))
         first = set(starts)
         return pa.Table.from_arrays([t["shard"], t["id"], t["v"], t["labels"], pa.array([ids[n] for n in nbrs], type=pa.list_(pa.int64())), pa.array([i in first for i in range(len(ids))])], schema=GRAPH_ARROW)
 
@@ -205,46 +279,149 @@ def built(sharded: DataFrame, params: GraphParams, filtered: bool = False) -> Da
     return picked.groupBy("shard").applyInArrow(run, GRAPH)
 
 
-def searched(graph: DataFrame, queries: DataFrame, k: int, list_size: int, universal: str | None = None, id_col: str = "id", vec_col: str = "v", labels_col: str | None = None, query_rows: int = 4096, expanded: bool = False) -> DataFrame:
+FOUND = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("dist", pa.float64())])
+
+
+class Shard:
+    """One shard's graph in a task: rows by id, neighbours as places among them."""
+
+    def __init__(self, g: pa.Table):
+        g = g.sort_by("id")
+        self.rows, self.ids, self.x = g, g["id"].to_numpy(), matrix(g["v"])
+        lists = g["nbrs"].combine_chunks()
+        flat, sizes = lists.flatten().to_numpy(), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
+        place = np.minimum(np.searchsorted(self.ids, flat), max(0, len(self.ids) - 1))
+        here = self.ids[place] == flat
+        self.nbrs = [own[ok].tolist() for own, ok in zip(np.split(place, np.cumsum(sizes)[:-1]), np.split(here, np.cumsum(sizes)[:-1]))]
+        self.labels = [set(s or []) for s in g["labels"].to_pylist()]
+        self.starts = np.flatnonzero(g["is_start"].to_numpy(zero_copy_only=False)).tolist()
+
+    def having(self, wanted: set[str], universal: str | None) -> np.ndarray:
+        return np.array([bool(own & wanted) or universal in own for own in self.labels], dtype=bool)
+
+
+def asked_of(graph: DataFrame, queries: DataFrame, query_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides dealt over shards and blocks of queries; the shards, a bounded number, are broadcast as numbers."""
+    blocks = max(1, -(-queries.count() // query_rows))
+    shards = graph.select(F.col("shard").alias("in_shard")).distinct()
+    asked = queries.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).join(F.broadcast(shards))
+    return graph.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), asked
+
+
+def searched(graph: DataFrame, queries: DataFrame, k: int, list_size: int, universal: str | None = None, id_col: str = "id", vec_col: str = "v", labels_col: str | None = None, query_rows: int = 4096, expanded: bool = False, chunk: int = 128) -> DataFrame:
     """``qid``, ``rank``, ``id``, ``dist``: the best ``k`` over the shards' graphs; with ``expanded`` all rows on the ways.
 
     With ``labels_col`` (array of the query's labels) only rows that share one or
     carry the universal label are visited. Queries are dealt over blocks, which go
-    to every shard.
+    to every shard; a task walks for ``chunk`` of them at once.
     """
     if k > list_size:
         raise ValueError(f"k={k} is more than list_size={list_size}")
     q = vectors(queries, id_col, vec_col, *([labels_col] if labels_col else []))
     q = q.select("id", "v", (F.col(labels_col) if labels_col else F.array()).cast("array<string>").alias("labels"))
-    blocks = max(1, -(-q.count() // query_rows))
-    shards = graph.select(F.col("shard").alias("in_shard")).distinct()
-    asked = q.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).join(F.broadcast(shards))
-    held = graph.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    schema = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("dist", pa.float64())])
+    held, asked = asked_of(graph, q, query_rows)
 
     def run(g: pa.Table, t: pa.Table) -> pa.Table:
         if not g.num_rows or not t.num_rows:
-            return schema.empty_table()
-        g = g.sort_by("id")
-        ids, x = g["id"].to_numpy(), matrix(g["v"])
-        at = {v: i for i, v in enumerate(ids.tolist())}
-        nbrs = [[at[j] for j in own if j in at] for own in g["nbrs"].to_pylist()]
-        labels = [set(s or []) for s in g["labels"].to_pylist()]
-        starts = np.flatnonzero(g["is_start"].to_numpy(zero_copy_only=False)).tolist()
-        rows = []
-        for qid, v, wanted in zip(t["id"].to_pylist(), matrix(t["v"]), t["labels"].to_pylist(), strict=True):
-            own = set(wanted or [])
-            ok = (lambda j, own=own: bool(labels[j] & own) or universal in labels[j]) if labels_col else None
-            first = [s for s in starts if ok is None or ok(s)]
-            best, path, _ = greedy(x, nbrs, first, v, list_size, ok)
-            rows += [(qid, int(ids[i]), d) for d, i in (path if expanded else best[:k])]
-        return pa.Table.from_arrays([pa.array([r[c] for r in rows], type=f.type) for c, f in enumerate(schema)], schema=schema)
+            return FOUND.empty_table()
+        shard, names, v = Shard(g), t["id"].to_numpy(), matrix(t["v"])
+        wanted = t["labels"].to_pylist()
+        out: tuple[list, list, list] = ([], [], [])
+        if expanded:
+            for name, one in zip(names, v):
+                _, path, _ = greedy(shard.x, shard.nbrs, shard.starts, one, list_size)
+                for c, values in zip(out, (np.full(len(path), name), shard.ids[[i for _, i in path]], [d for d, _ in path])):
+                    c.append(values)
+        table, marks = neighbour_table(shard.nbrs), {}
+        for at in range(0, 0 if expanded else len(names), chunk):
+            part, allowed, starts = slice(at, at + chunk), None, np.array(shard.starts)
+            if labels_col:
+                for own in wanted[part]:
+                    key = frozenset(own or ())
+                    if key not in marks:
+                        marks[key] = shard.having(set(key), universal)
+                allowed = np.array([marks[frozenset(own or ())] for own in wanted[part]])
+                # A shard may hold rows of a label without that label's start: then the first of them is one.
+                starts = np.unique(np.concatenate([starts, allowed.argmax(axis=1)]))
+            rows, dist = greedy_many(shard.x, table, starts, v[part], list_size, allowed)
+            rows, dist = rows[:, :k], dist[:, :k]
+            ok = rows >= 0
+            exact = ((shard.x[rows[ok]] - np.broadcast_to(v[part][:, None], (*rows.shape, v.shape[1]))[ok]) ** 2).sum(axis=1)
+            for c, values in zip(out, (np.broadcast_to(names[part][:, None], rows.shape)[ok], shard.ids[rows[ok]], exact)):
+                c.append(values)
+        return pa.Table.from_arrays([pa.array(np.concatenate(c) if c else [], type=f.type) for c, f in zip(out, FOUND)], schema=FOUND)
 
     found = held.groupBy("shard", "qb").cogroup(asked.groupBy("in_shard", "qb")).applyInArrow(run, "qid bigint, id bigint, dist double")
     merged = found.groupBy("qid", "id").agg(F.min("dist").alias("dist"))
     return top_k(merged, 1 << 30 if expanded else k).select("qid", "rank", "id", "dist")
 
 
+def routed(graph: DataFrame, radius: DataFrame, queries: DataFrame, factor: float, hold: int = 8, own: bool = True, query_rows: int = 4096) -> DataFrame:
+    """``qid``, ``id``, ``dist``: the rows that :func:`route` expands in each shard; ``radius`` (``id``, ``radius``) is 0 where it has none."""
+    sized = graph.join(radius.select("id", "radius"), "id", "left").withColumn("radius", F.coalesce("radius", F.lit(0.0)))
+    held, asked = asked_of(sized, vectors(queries, "id", "v"), query_rows)
+
+    def run(g: pa.Table, t: pa.Table) -> pa.Table:
+        if not g.num_rows or not t.num_rows:
+            return FOUND.empty_table()
+        shard, out = Shard(g), ([], [], [])
+        bound = shard.rows["radius"].to_numpy()
+        for name, v in zip(t["id"].to_pylist(), matrix(t["v"])):
+            path = route(shard.x, shard.nbrs, shard.starts, v, bound, factor, hold, own)
+            for c, values in zip(out, ([name] * len(path), shard.ids[[i for _, i in path]], [d for d, _ in path])):
+                c.extend(values)
+        return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, FOUND)], schema=FOUND)
+
+    found = held.groupBy("shard", "qb").cogroup(asked.groupBy("in_shard", "qb")).applyInArrow(run, "qid bigint, id bigint, dist double")
+    return found.groupBy("qid", "id").agg(F.min("dist").alias("dist"))
+
+
+def grown(graph: DataFrame, rows: DataFrame, params: GraphParams) -> DataFrame:
+    """The graph with more rows (``shard``, ``id``, ``v``) inserted, each into its shard; a new shard is built."""
+
+    def run(g: pa.Table, t: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return g.select(GRAPH_ARROW.names).cast(GRAPH_ARROW)
+        t = t.select(["shard", "id", "v", "labels"]).append_column("nbrs", pa.array([[]] * t.num_rows, type=pa.list_(pa.int64()))).append_column("is_start", pa.array([False] * t.num_rows))
+        known = set(g["id"].to_pylist())
+        shard = Shard(pa.concat_tables([g.select(GRAPH_ARROW.names).cast(GRAPH_ARROW), t.cast(GRAPH_ARROW)]))
+        fresh = [i for i, x in enumerate(shard.ids.tolist()) if x not in known]
+        if not known:
+            shard.nbrs, shard.starts = build(shard.x, params)
+        else:
+            insert(shard.x, shard.nbrs, fresh, shard.starts[0] if shard.starts else entries(shard.x)[0], params)
+        return as_graph(shard)
+
+    picked = rows.select(F.col("shard").cast("int").alias("shard"), F.col("id").cast("bigint").alias("id"), F.col("v").cast("array<double>").alias("v"), F.array().cast("array<string>").alias("labels"))
+    return graph.groupBy("shard").cogroup(picked.groupBy("shard")).applyInArrow(run, GRAPH)
+
+
+def shrunk(graph: DataFrame, dead: DataFrame, params: GraphParams) -> DataFrame:
+    """The graph without the ``dead`` (``id``), edges repaired shard by shard; a start that goes is replaced by the middle row."""
+    marked = graph.join(dead.select("id").distinct().withColumn("gone", F.lit(True)), "id", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+
+    def run(g: pa.Table) -> pa.Table:
+        shard = Shard(g)
+        gone = set(np.flatnonzero(shard.rows["gone"].to_numpy(zero_copy_only=False)).tolist())
+        if len(gone) == len(shard.ids):
+            return GRAPH_ARROW.empty_table()
+        repair(shard.x, shard.nbrs, gone, params)
+        live = [i for i in range(len(shard.ids)) if i not in gone]
+        if not gone.isdisjoint(shard.starts):
+            shard.starts = sorted({*(i for i in shard.starts if i not in gone), live[entries(shard.x[live])[0]]})
+        return as_graph(shard).take(live)
+
+    return marked.groupBy("shard").applyInArrow(run, GRAPH)
+
+
+def as_graph(shard: Shard) -> pa.Table:
+    """The shard's rows with its present neighbours and starts."""
+    first = set(shard.starts)
+    nbrs = pa.array([shard.ids[own] for own in shard.nbrs], type=pa.list_(pa.int64()))
+    rows = [shard.rows[c] for c in ("shard", "id", "v", "labels")]
+    return pa.Table.from_arrays([*rows, nbrs, pa.array([i in first for i in range(len(shard.ids))])], names=GRAPH_ARROW.names).cast(GRAPH_ARROW)
+
+
 def visit_counts(graph: DataFrame, queries: DataFrame, list_size: int) -> DataFrame:
     """``id``, ``visits``: how many sample queries expand each row (what a cache of nodes would hold first)."""
     return searched(graph, queries, 1, list_size, expanded=True).groupBy("id").agg(F.count("*").alias("visits"))
@@ -312,18 +489,23 @@ def pruned(graph: DataFrame, rows: DataFrame, params: GraphParams, id_col: str =
     return grouped.mapInArrow(run, "id bigint, nbrs array<bigint>")
 
 
-def stitched(rows: DataFrame, params: GraphParams, final: GraphParams) -> DataFrame:
-    """One graph a label over (``id``, ``v``, ``labels``), united by row and pruned: rows of ``GRAPH``, shard 0 for all.
+def stitched(rows: DataFrame, params: GraphParams, final: GraphParams, shard_rows: int = 1 << 20) -> DataFrame:
+    """One graph a label over (``id``, ``v``, ``labels``), united by row and pruned: rows of ``GRAPH``.
 
-    The start of each label is its graph's. The united graph of a walkable size is
-    one shard; larger sets are sharded first.
+    A label of over ``shard_rows`` rows is dealt over several graphs, each with its
+    own start, so a label that all rows carry is no single task. The united graph
+    is cut into shards of that size too: a row lies in the shard of its hash, with
+    its neighbours there.
     """
     by_label = rows.select(F.explode("labels").alias("label"), "id", "v")
-    numbered = by_label.withColumn("shard", F.hash("label"))
-    graphs = built(numbered.select("shard", "id", "v"), params)
+    parts = by_label.groupBy("label").agg(F.ceil(F.count("*") / shard_rows).cast("bigint").alias("parts"))
+    numbered = by_label.join(parts, "label").withColumn("shard", F.hash("label", F.pmod(F.xxhash64("id"), F.col("parts"))))
+    graphs = stored(built(numbered.select("shard", "id", "v"), params), "label-graphs")
     starts = graphs.where("is_start").select("id").distinct().withColumn("is_start", F.lit(True))
     whole = pruned(united(graphs.select("id", "nbrs")), rows, final)
-    return rows.select("id", F.col("v").cast("array<double>").alias("v"), "labels").join(whole, "id", "left").join(starts, "id", "left").select(F.lit(0).alias("shard"), "id", "v", "labels", F.coalesce("nbrs", F.array().cast("array<bigint>")).alias("nbrs"), F.coalesce("is_start", F.lit(False)).alias("is_start"))
+    shards = max(1, -(-rows.count() // shard_rows))
+    placed = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")
+    return rows.select("id", F.col("v").cast("array<double>").alias("v"), "labels").join(whole, "id", "left").join(starts, "id", "left").select(placed, "id", "v", "labels", F.coalesce("nbrs", F.array().cast("array<bigint>")).alias("nbrs"), F.coalesce("is_start", F.lit(False)).alias("is_start"))
 
 
 def degrees(graph: DataFrame) -> DataFrame:

@@ -1,8 +1,11 @@
 """Point-aggregation graph: sampled points gather the others in lists, and a search reads a few lists.
 
-Assignment is by rank, not by arrival: in each round every point that is not yet
-placed offers itself to its nearest aggregation points; a list takes the nearest
-up to its capacity, and points that found no list become aggregation points.
+Assignment is by rank, not by arrival, in rounds: every point that has no list yet
+offers itself to aggregation points near it, chosen by one of three rules; a list
+takes the nearest up to the room it has left. After each round but the last some
+of the points without a list become aggregation points, to which others may offer
+themselves; after the last all of them do. A search walks the graph over the
+aggregation points, or looks at all of them, and reads the lists it comes upon.
 """
 
 from __future__ import annotations
@@ -16,8 +19,9 @@ from pyspark.sql import functions as F
 
 from vecspark.functions.metrics import l2_squared
 from vecspark.operators.evaluate import at_fractions
-from vecspark.operators.exact import knn, top_k, vectors
+from vecspark.operators.exact import knn, matrix, top_k, vectors
 from vecspark.operators.partition import hash_sample
+from vecspark.storage import stored
 
 
 @dataclass(frozen=True)
@@ -45,6 +49,11 @@ class PagParams:
     def capacity(self) -> int:
         return max(1, int((1 + self.extra_rate) / self.sample_rate))
 
+    @property
+    def spare(self) -> float:
+        """The room beyond the mean, by which :func:`by_chance` measures how full a list is."""
+        return self.extra_rate / (self.sample_rate + 1e-5)
+
 
 def aggregation_points(rows: DataFrame, params: PagParams) -> tuple[DataFrame, DataFrame]:
     """(aggregation points, the others) of a table (``id``, ``v``)."""
@@ -66,82 +75,135 @@ def radii(lengths: DataFrame, params: PagParams) -> DataFrame:
     return own.join(F.broadcast(overall)).select(F.col("src").alias("id"), F.least("radius", "overall").alias("radius"))
 
 
-def spread_out(dist: list[float], v: np.ndarray, most: int, sigma: float) -> list[int]:
-    """Places of candidates (by distance) none of which is ``sigma`` times nearer to a kept one than to the point."""
-    kept: list[int] = []
-    for i, d in enumerate(dist):
-        if len(kept) >= most:
-            break
-        if all(((v[i] - v[j]) ** 2).sum() >= sigma * d for j in kept):
-            kept.append(i)
-    return kept
+class Choice:
+    """Aggregation points near a batch of points, by distance: ``dist``, ``radius``, ``sizes`` (points x candidates), ``between`` (candidates with each other)."""
+
+    def __init__(self, points: np.ndarray, dist: np.ndarray, v: np.ndarray, radius: np.ndarray, sizes: np.ndarray, params: PagParams):
+        self.points, self.dist, self.radius, self.sizes, self.params = points, dist, radius, sizes, params
+        product = v @ v.transpose(0, 2, 1)
+        square = np.einsum("nii->ni", product)
+        self.between = square[:, :, None] + square[:, None, :] - 2 * product
+
+    def kept(self, accept) -> np.ndarray:
+        """Marks of the first ``redundant`` candidates that ``accept(place, apart)`` takes; apart: no kept one is ``sigma`` times nearer to it than the point."""
+        out = np.zeros(self.dist.shape, dtype=bool)
+        for i in range(self.dist.shape[1]):
+            apart = ((self.between[:, i] >= self.params.sigma * self.dist[:, i, None]) | ~out).all(axis=1)
+            out[:, i] = accept(i, apart) & np.isfinite(self.dist[:, i]) & (out.sum(axis=1) < self.params.redundant)
+        return out
+
+
+def nearest(choice: Choice) -> np.ndarray:
+    return choice.kept(lambda i, apart: np.ones(len(apart), dtype=bool))
 
 
-def within_radii(dist: list[float], v: np.ndarray, radius: list[float], sizes: list[int], capacity: int, most: int, params: PagParams) -> list[int]:
-    """Places of candidates by the radii: inside its radius a candidate must also be spread out, far inside need not.
+def spread_out(choice: Choice) -> np.ndarray:
+    """Candidates none of which is ``sigma`` times nearer to a kept one than to the point."""
+    return choice.kept(lambda i, apart: apart)
+
+
+def within_radii(choice: Choice) -> np.ndarray:
+    """Candidates by the radii: inside its radius a candidate must also be spread out, far inside need not.
 
     The nearest always counts; beyond the radius only the first fifth, within one
     and a half radii and while the list is short.
     """
-    kept: list[int] = []
-    for i, d in enumerate(dist):
-        if len(kept) >= most:
-            break
-        apart = all(((v[i] - v[j]) ** 2).sum() >= params.sigma * d for j in kept)
-        deep = radius[i] > 0 and d / radius[i] < params.delta
-        early = i < max(1, len(dist) // 5) and d < 1.5 * radius[i] and sizes[i] < 0.4 * capacity
-        if i == 0 or deep or (d <= radius[i] and apart) or early:
-            kept.append(i)
-    return kept
-
-
-def by_chance(point: int, dist: list[float], v: np.ndarray, radius: list[float], sizes: list[int], capacity: int, most: int, params: PagParams) -> list[int]:
-    """Places of candidates drawn with odds that fall with distance and with fullness; the draw depends on the point alone."""
-    draw = np.random.default_rng((params.seed, point & 0x7FFFFFFF))
-    kept: list[int] = []
-    for i, d in enumerate(dist):
-        if len(kept) >= most:
-            break
-        r = max(radius[i], 1e-12)
-        odds = 2 ** (-0.4 * d / r) * 2 ** (-2 * abs(sizes[i] / capacity - 0.05))
-        apart = all(((v[i] - v[j]) ** 2).sum() >= params.sigma * d for j in kept)
-        if draw.random() < odds or d < 0.5 * r or (d < 2 * r and apart):
-            kept.append(i)
-    return kept
-
-
-def candidates(residual: DataFrame, aggs: DataFrame, n: int, spread: bool, params: PagParams) -> DataFrame:
-    """``id``, ``agg_id``, ``dist``, ``choice``: each point's nearest aggregation points, thinned if ``spread``."""
+    fifth, capacity, delta = max(1, choice.dist.shape[1] // 5), choice.params.capacity, choice.params.delta
+
+    def accept(i: int, apart: np.ndarray) -> np.ndarray:
+        d, r = choice.dist[:, i], choice.radius[:, i]
+        early = (i < fifth) & (d < 1.5 * r) & (choice.sizes[:, i] < 0.4 * capacity)
+        return (i == 0) | ((r > 0) & (d < delta * r)) | ((d <= r) & apart) | early
+
+    return choice.kept(accept)
+
+
+def by_chance(choice: Choice) -> np.ndarray:
+    """Candidates drawn with odds that fall with distance and with fullness; the draw depends on the point alone."""
+    mixed = (choice.points.astype(np.uint64)[:, None] + np.uint64(choice.params.seed + 1)) * np.uint64(0x9E3779B97F4A7C15) + np.arange(choice.dist.shape[1], dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    draw = ((mixed ^ (mixed >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
+
+    def accept(i: int, apart: np.ndarray) -> np.ndarray:
+        d, r = choice.dist[:, i], np.maximum(choice.radius[:, i], 1e-12)
+        odds = 2 ** (-0.4 * d / r) * 2 ** (-2 * np.abs(choice.sizes[:, i] / choice.params.spare - 0.05))
+        return (draw[:, i] < odds) | (d < 0.5 * r) | ((d < 2 * r) & apart)
+
+    return choice.kept(accept)
+
+
+RULES = {"nearest": nearest, "spread": spread_out, "radii": within_radii, "chance": by_chance}
+
+
+def candidates(residual: DataFrame, aggs: DataFrame, n: int, rule: str, params: PagParams, radius: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
+    """``id``, ``agg_id``, ``dist``, ``choice``: of each point's ``n`` nearest aggregation points those that the ``rule`` takes.
+
+    ``radius`` (``id``, ``radius``) and ``sizes`` (``agg_id``, ``held``) count as 0 where they have nothing.
+    """
     near = knn(aggs, residual, n).select(F.col("qid").alias("id"), F.col("id").alias("agg_id"), "dist", F.col("rank").alias("choice"))
-    if not spread:
+    if rule == "nearest":
         return near.where(F.col("choice") <= params.redundant)
-    full = near.join(vectors(aggs, "id", "v").select(F.col("id").alias("agg_id"), "v"), "agg_id")
-    grouped = full.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("dist", "agg_id", "v"))).alias("near"))
+    known = vectors(aggs, "id", "v").select(F.col("id").alias("agg_id"), "v")
+    known = known.join(radius.select(F.col("id").alias("agg_id"), "radius"), "agg_id", "left") if radius is not None else known.withColumn("radius", F.lit(0.0))
+    known = known.join(sizes.select("agg_id", "held"), "agg_id", "left") if sizes is not None else known.withColumn("held", F.lit(0))
+    full = near.join(known, "agg_id").select("id", F.struct("dist", "agg_id", F.coalesce("radius", F.lit(0.0)).alias("radius"), F.coalesce("held", F.lit(0)).cast("bigint").alias("held"), "v").alias("c"))
+    grouped = full.groupBy("id").agg(F.array_sort(F.collect_list("c")).alias("near"))
+    schema = pa.schema([("id", pa.int64()), ("agg_id", pa.int64()), ("dist", pa.float64()), ("choice", pa.int32())])
 
     def run(batches):
         for batch in batches:
-            out = []
-            for i, near in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                kept = spread_out([c["dist"] for c in near], np.array([c["v"] for c in near]), params.redundant, params.sigma)
-                out += [(i, near[j]["agg_id"], near[j]["dist"], n) for n, j in enumerate(kept, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], type=t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int32()))], names=["id", "agg_id", "dist", "choice"])
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                points, lists = part.column(0).to_numpy(), part.column(1)
+                flat, count = lists.flatten(), pa.compute.list_value_length(lists).to_numpy()
+                row, place = np.repeat(np.arange(len(points)), count), np.concatenate([np.arange(c) for c in count])
+                v = matrix(flat.field("v"))
+
+                def spread(values: np.ndarray, fill: float, row=row, place=place, count=count) -> np.ndarray:
+                    out = np.full((len(count), int(count.max()), *values.shape[1:]), fill)
+                    out[row, place] = values
+                    return out
+
+                ids, dist, r, held = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("agg_id", "dist", "radius", "held"))
+                kept = RULES[rule](Choice(points, spread(dist, np.inf), spread(v, 0.0), spread(r, 0.0), spread(held.astype(float), 0.0), params))[row, place]
+                yield pa.RecordBatch.from_arrays([pa.array(points[row][kept]), pa.array(ids[kept]), pa.array(dist[kept]), pa.array(place[kept] + 1, type=pa.int32())], schema=schema)
 
     return grouped.mapInArrow(run, "id bigint, agg_id bigint, dist double, choice int")
 
 
-def placed(offers: DataFrame, capacity: int) -> DataFrame:
-    """The offers that fit: the ``capacity`` nearest of each list, ties to the smaller id."""
+def placed(offers: DataFrame, capacity: int, sizes: DataFrame | None = None) -> DataFrame:
+    """The offers that fit: the nearest of each list up to the room it has left, ties to the smaller id."""
     w = Window.partitionBy("agg_id").orderBy("dist", "id")
-    return offers.withColumn("place", F.row_number().over(w)).where(F.col("place") <= capacity).select("agg_id", "id", "dist")
+    ranked = offers.withColumn("place", F.row_number().over(w))
+    if sizes is None:
+        return ranked.where(F.col("place") <= capacity).select("agg_id", "id", "dist")
+    known = ranked.join(sizes.select("agg_id", "held"), "agg_id", "left")
+    return known.where(F.col("place") + F.coalesce("held", F.lit(0)) <= capacity).select("agg_id", "id", "dist")
 
 
-def built(rows: DataFrame, params: PagParams = PagParams(), spread: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(aggregation points ``id``, ``v``; lists ``agg_id``, ``id``, ``dist``) of a table (``id``, ``v``)."""
+def built(rows: DataFrame, params: PagParams = PagParams(), rule: str = "spread", rounds: int = 2, near: int | None = None, radius: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(aggregation points ``id``, ``v``; lists ``agg_id``, ``id``, ``dist``) of a table (``id``, ``v``).
+
+    In each of ``rounds`` the points without a list offer themselves to some of
+    their ``near`` nearest aggregation points by the ``rule``. Between rounds a
+    sample (at the usual rate) of those that found no room become aggregation
+    points; after the last all do. Each round is a stored table.
+    """
+    if rule not in RULES:
+        raise ValueError(f"unknown rule {rule!r}; known: {', '.join(RULES)}")
     rows = vectors(rows, "id", "v")
-    aggs, residual = aggregation_points(rows, params)
-    lists = placed(candidates(residual, aggs, 4 * params.redundant, spread, params), params.capacity)
-    promoted = residual.join(lists.select("id").distinct(), "id", "left_anti")
-    return aggs.unionByName(promoted), lists
+    aggs, left = aggregation_points(rows, params)
+    lists = None
+    for step in range(rounds):
+        sizes = None if lists is None else lists.groupBy("agg_id").agg(F.count("*").alias("held"))
+        offers = candidates(left, aggs, near or 4 * params.redundant, rule, params, radius, sizes)
+        taken = stored(placed(offers, params.capacity, sizes), "lists")
+        lists = taken if lists is None else lists.unionByName(taken)
+        left = stored(left.join(taken.select("id").distinct(), "id", "left_anti"), "left")
+        promoted = left.where(hash_sample("id", params.sample_rate, params.seed + 1 + step)) if step < rounds - 1 else left
+        aggs = aggs.unionByName(promoted)
+        left = left.join(promoted.select("id"), "id", "left_anti")
+    return aggs, lists
 
 
 def probed(aggs: DataFrame, queries: DataFrame, nprobe: int) -> DataFrame:

@@ -153,16 +153,24 @@ def ram_estimate(n: int, dim: int, degree: int, element_bytes: int = 4, slack: f
     return 1.1 * n * ((dim + 7) // 8 * 8 * element_bytes + degree * 4 * slack + 40 + 24)
 
 
-def centres_for_budget(df: DataFrame, budget: float, dim: int, degree: int, replicas: int = 2, sample_rate: float = 0.1, seed: int = 0, id_col: str = "id", vec_col: str = "v") -> np.ndarray:
-    """Centres of as few shards (3, then 2 more each time) as keep the largest estimated one in ``budget`` bytes."""
+def centres_for_budget(df: DataFrame, budget: float, dim: int, degree: int, replicas: int = 2, sample_rate: float = 0.1, seed: int = 0, most: int = 1 << 14, id_col: str = "id", vec_col: str = "v") -> np.ndarray:
+    """Centres of as few shards (3, then 2 more each time) as keep the largest estimated one in ``budget`` bytes.
+
+    Counts that could not do even if all shards were equal are passed over. Raises
+    if ``most`` shards are not enough.
+    """
     part = df.where(hash_sample(id_col, sample_rate, seed))
+    total = part.count() / sample_rate
     parts = 3
-    while True:
+    while parts <= most and ram_estimate(int(total * replicas / parts), dim, degree) > budget:
+        parts += 2
+    while parts <= most:
         centres = kmeans(part, parts, 5, seed, id_col=id_col, vec_col=vec_col)
         sizes = nearest_centres(part, centres, replicas, id_col, vec_col).groupBy("centre").count().agg(F.max("count")).first()[0] or 0
-        if ram_estimate(int(sizes / sample_rate), dim, degree) <= budget or parts >= 1 << 14:
+        if ram_estimate(int(sizes / sample_rate), dim, degree) <= budget:
             return centres
         parts += 2
+    raise ValueError(f"{budget} bytes are too few for any of {most} shards")
 
 
 def clustered(df: DataFrame, centres: np.ndarray, id_col: str = "id", vec_col: str = "v") -> DataFrame:

@@ -133,8 +133,12 @@ def inflated_error(df: DataFrame, book: Codebook, id_col: str = "id", vec_col: s
     return _mapped(df, book, id_col, vec_col, lambda b, x: pa.array(((x - b.decode(b.encode(x))) ** 2).sum(axis=1)), "double").withColumnRenamed("out", "error")
 
 
-def lookup_distances(df: DataFrame, queries: DataFrame, book: Codebook, k: int | None = None, metric_name: str = "l2", id_col: str = "id", vec_col: str = "v") -> DataFrame:
-    """``qid``, ``id``, ``dist`` by lookup tables; the ``k`` nearest of each query, or all pairs."""
+def lookup_distances(df: DataFrame, queries: DataFrame, book: Codebook, k: int | None = None, metric_name: str = "l2", id_col: str = "id", vec_col: str = "v", labels_col: str | None = None, universal: str | None = None) -> DataFrame:
+    """``qid``, ``id``, ``dist`` by lookup tables; the ``k`` nearest of each query, or all pairs.
+
+    With ``labels_col`` (arrays on both sides) only rows that share a label with
+    the query or carry the universal one are looked at: blocks meet by label.
+    """
     shared = df.sparkSession.sparkContext.broadcast(book)
 
     def kernel(ids, x, qids, q):
@@ -148,14 +152,20 @@ def lookup_distances(df: DataFrame, queries: DataFrame, book: Codebook, k: int |
                     c.append(values)
         return tuple(np.concatenate(c) if c else np.empty(0) for c in out)
 
-    found = tiled(vectors(df, id_col, vec_col), vectors(queries, id_col, vec_col), kernel)
+    if labels_col is None:
+        found = tiled(vectors(df, id_col, vec_col), vectors(queries, id_col, vec_col), kernel)
+    else:
+        wanted = F.array_union(labels_col, F.array(F.lit(universal))) if universal is not None else F.array_distinct(labels_col)
+        x = vectors(df, id_col, vec_col, labels_col).select("id", "v", F.explode(F.array_distinct(labels_col)).alias("label"))
+        q = vectors(queries, id_col, vec_col, labels_col).select("id", "v", F.explode(wanted).alias("label"))
+        found = tiled(x, q, kernel, keys=("label",)).groupBy("qid", "id").agg(F.min("dist").alias("dist"))
     return found if k is None else top_k(found, k)
 
 
-def reranked(df: DataFrame, queries: DataFrame, book: Codebook, k: int, factor: int = 3, metric_name: str = "l2", id_col: str = "id", vec_col: str = "v") -> DataFrame:
+def reranked(df: DataFrame, queries: DataFrame, book: Codebook, k: int, factor: int = 3, metric_name: str = "l2", id_col: str = "id", vec_col: str = "v", labels_col: str | None = None, universal: str | None = None) -> DataFrame:
     """The ``k`` nearest by exact distance among the ``factor * k`` nearest by lookup."""
     own = metric(metric_name)
-    near = lookup_distances(df, queries, book, factor * k, metric_name, id_col, vec_col).select("qid", "id")
+    near = lookup_distances(df, queries, book, factor * k, metric_name, id_col, vec_col, labels_col, universal).select("qid", "id")
     x, q = vectors(df, id_col, vec_col), vectors(queries, id_col, vec_col).select(F.col("id").alias("qid"), F.col("v").alias("qv"))
     scored = near.join(q, "qid").join(x, "id").withColumn("dist", own.column("qv", "v"))
     return top_k(scored, k, F.col("dist") * own.sign).select("qid", "rank", "id", "dist")

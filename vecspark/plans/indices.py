@@ -39,6 +39,26 @@ def unit_rows(df: DataFrame) -> DataFrame:
     return df.withColumn("v", normalised("v"))
 
 
+#: Bytes of a task's memory that a shard's graph may take.
+BUDGET = float(1 << 30)
+
+
+def shard_centres(rows: DataFrame, dim: int, params: GraphParams, shards: int | None, replicas: int, budget: float, seed: int) -> np.ndarray | None:
+    """Centres of ``shards`` shards, or of as many as the budget asks for; none where one shard does."""
+    if shards is None:
+        if partition.ram_estimate(rows.count(), dim, params.degree) <= budget:
+            return None
+        return partition.centres_for_budget(rows, budget, dim, params.degree, replicas, seed=seed)
+    return None if shards == 1 else partition.kmeans(rows, shards, 5, seed)
+
+
+def in_shards(rows: DataFrame, centres: np.ndarray | None, replicas: int) -> DataFrame:
+    """``shard``, ``id``, ``v``."""
+    if centres is None:
+        return rows.select(F.lit(0).alias("shard"), "id", "v")
+    return partition.shards(rows, centres, min(replicas, len(centres)))
+
+
 class StaticIndex:
     """Graphs over overlapping shards; searched shard by shard and merged."""
 
@@ -46,8 +66,13 @@ class StaticIndex:
         self.config, self.params, self.rows, self.graphs, self.universal = config, params, rows, graphs, universal
 
     @classmethod
-    def build(cls, rows: DataFrame, config: IndexConfig, params: GraphParams = GraphParams(), shards: int = 1, replicas: int = 2, filtered: bool = False, stitched: GraphParams | None = None, universal: str | None = None, seed: int = 0) -> StaticIndex:
-        """``shards`` k-means shards, each row in its ``replicas`` nearest; or one stitched graph of labels' graphs."""
+    def build(cls, rows: DataFrame, config: IndexConfig, params: GraphParams = GraphParams(), shards: int | None = None, replicas: int = 2, filtered: bool = False, stitched: GraphParams | None = None, universal: str | None = None, seed: int = 0, budget: float = BUDGET, codes: int | None = None) -> StaticIndex:
+        """k-means shards, each row in its ``replicas`` nearest; or one stitched graph of labels' graphs.
+
+        Without ``shards`` there are as many as keep the largest one within
+        ``budget`` bytes of a task's memory. With ``codes`` (bytes a row) the rows
+        are found by their quantised vectors while building; pruning stays exact.
+        """
         if rows.isEmpty():
             raise ValueError("no rows to index")
         x = exact.vectors(rows, "id", "v", *(["labels"] if "labels" in rows.columns else []))
@@ -56,15 +81,16 @@ class StaticIndex:
         walked = unit_rows(x) if config.metric == "cosine" else x
         if config.metric == "mips":
             walked = mips_base(x, "v").drop("v").withColumnRenamed("prepared", "v")
+        dim = config.dim + (config.metric == "mips")
         if stitched is not None:
-            made = graph.stitched(walked, params, stitched)
-        elif shards == 1:
-            made = graph.built(walked.withColumn("shard", F.lit(0)), params, filtered)
+            most = max(1, int(budget / partition.ram_estimate(1, dim, stitched.degree)))
+            made = graph.stitched(walked, params, stitched, most)
         else:
-            centres = partition.kmeans(walked, shards, 5, seed)
-            placed = partition.shards(walked, centres, min(replicas, shards))
-            made = graph.built(placed.join(walked.select("id", "labels"), "id") if filtered else placed, params, filtered)
-        return cls(config, params, x, made.persist(), universal)
+            centres = shard_centres(walked, dim, params, shards, replicas, budget, seed)
+            placed = in_shards(walked, centres, replicas)
+            book = None if codes is None else pq.trained(walked, codes, seed=seed)
+            made = graph.built(placed.join(walked.select("id", "labels"), "id") if filtered else placed, params, filtered, book)
+        return cls(config, params, x, stored(made, "graph"), universal)
 
     def search(self, queries: DataFrame, k: int, complexity: int = 100, labels_col: str | None = None) -> DataFrame:
         """``qid``, ``rank``, ``id``, ``dist`` in the index's metric, reranked by exact distance."""
@@ -107,13 +133,25 @@ class QuantisedIndex:
 
     @classmethod
     def build(cls, rows: DataFrame, config: IndexConfig, chunks: int, centres: int = pq.CENTRES, rotated: bool = False, seed: int = 0) -> QuantisedIndex:
-        x = exact.vectors(rows, "id", "v")
+        x = exact.vectors(rows, "id", "v", *(["labels"] if "labels" in rows.columns else []))
         if rotated:
             return cls(config, x, pq.trained_rotated(x, chunks, centres, seed=seed))
         return cls(config, x, pq.trained(x, chunks, centres, zero_mean=config.metric == "l2", seed=seed))
 
-    def search(self, queries: DataFrame, k: int, factor: int = 3) -> DataFrame:
-        return pq.reranked(self.rows, queries, self.book, k, factor, self.config.metric)
+    def __len__(self) -> int:
+        return self.rows.count()
+
+    def codes(self, ids: DataFrame) -> DataFrame:
+        """``id``, ``code`` of some rows."""
+        return pq.encoded(self.rows.join(ids.select("id"), "id", "left_semi"), self.book)
+
+    def about(self) -> dict:
+        """Rows, dimensions, metric and bytes of a code."""
+        return {"rows": len(self), "dim": self.config.dim, "metric": self.config.metric, "chunks": self.book.chunks}
+
+    def search(self, queries: DataFrame, k: int, factor: int = 3, labels_col: str | None = None, universal: str | None = None) -> DataFrame:
+        """The ``k`` nearest of a shortlist of ``factor * k``; with ``labels_col`` among rows of the queries' labels."""
+        return pq.reranked(self.rows, queries, self.book, k, factor, self.config.metric, labels_col=labels_col, universal=universal)
 
     def within(self, queries: DataFrame, radius: float, least: int = 100, most: int = 10_000) -> DataFrame:
         """Rows within ``radius``: the shortlist doubles while over half of it lies inside."""
@@ -126,9 +164,13 @@ class QuantisedIndex:
             size = min(size * 2, most)
 
 
-    def save(self, path: str) -> None:
+    def save(self, path: str, clusters: int = 8) -> None:
+        """Rows are laid out by nearest centre and place in it, so that near rows share files."""
         spark = self.rows.sparkSession
-        self.rows.write.mode("overwrite").parquet(f"{path}/rows")
+        laid = partition.clustered(self.rows, partition.kmeans(self.rows, clusters, 3))
+        if "labels" in self.rows.columns:
+            laid = laid.join(self.rows.select("id", "labels"), "id").repartitionByRange("centre", "position").sortWithinPartitions("centre", "position")
+        laid.drop("centre", "position").write.mode("overwrite").parquet(f"{path}/rows")
         pq.encoded(self.rows, self.book).write.mode("overwrite").parquet(f"{path}/codes")
         flat = [(j, c, row.tolist()) for j, book in enumerate(self.book.centres) for c, row in enumerate(book)]
         spark.createDataFrame(flat, "chunk int, code int, centre array<double>").write.mode("overwrite").parquet(f"{path}/codebook")
@@ -145,51 +187,89 @@ class QuantisedIndex:
 
 
 class PagIndex:
-    """Aggregation points and their lists."""
+    """Aggregation points, the graph over them, and their lists."""
 
-    def __init__(self, params: pag.PagParams, rows: DataFrame, aggs: DataFrame, lists: DataFrame, radius: DataFrame):
-        self.params, self.rows, self.aggs, self.lists, self.radius = params, rows, aggs, lists, radius
+    def __init__(self, params: pag.PagParams, rows: DataFrame, aggs: DataFrame, lists: DataFrame, radius: DataFrame, graphs: DataFrame):
+        self.params, self.rows, self.aggs, self.lists, self.radius, self.graphs = params, rows, aggs, lists, radius, graphs
 
     @classmethod
-    def build(cls, rows: DataFrame, params: pag.PagParams = pag.PagParams(), neighbours: int = 8) -> PagIndex:
+    def build(cls, rows: DataFrame, params: pag.PagParams = pag.PagParams(), rule: str = "radii", links: GraphParams = GraphParams(degree=32, list_size=64), rounds: int = 2, budget: float = BUDGET, seed: int = 0) -> PagIndex:
+        """A graph over the sampled points gives the radii, by which the others choose lists; promoted points join the graph."""
         x = exact.vectors(rows, "id", "v")
-        aggs, lists = pag.built(x, params)
-        aggs, lists = aggs.persist(), lists.persist()
-        near = exact.knn(aggs, aggs, neighbours, skip_self=True).select(F.col("qid").alias("src"), F.col("id").alias("dst"), "dist")
-        return cls(params, x, aggs, lists, pag.radii(near, params).persist())
-
-    def search(self, queries: DataFrame, k: int, nprobe: int, route: bool = False) -> DataFrame:
-        probes = pag.probed(self.aggs, queries, nprobe)
-        if route:
-            probes = pag.stopped_early(probes, self.radius, self.params.early_stop)
-        return pag.search(self.rows, self.aggs, self.lists, queries, probes, k)
+        first, _ = pag.aggregation_points(x, params)
+        first = stored(first, "points")
+        if first.isEmpty():
+            raise ValueError("no row was sampled: raise sample_rate")
+        dim = first.select(F.size("v")).first()[0]
+        centres = shard_centres(first, dim, links, None, 2, budget, seed)
+        graphs = stored(graph.built(in_shards(first, centres, 2), links), "graph")
+        lengths = stored(graph.edge_lengths(graph.united(graphs), first), "lengths")
+        radius = stored(pag.radii(lengths, params) if not lengths.isEmpty() else first.select("id", F.lit(0.0).alias("radius")), "radius")
+        aggs, lists = pag.built(x, params, rule, rounds, radius=radius)
+        aggs = stored(aggs, "points")
+        later = aggs.join(first.select("id"), "id", "left_anti")
+        if not later.isEmpty():
+            graphs = stored(graph.grown(graphs, in_shards(later, centres, 2), links), "graph")
+        return cls(params, x, aggs, lists, radius, graphs)
+
+    def probes(self, queries: DataFrame, nprobe: int | None, how: str = "walk", complexity: int = 100) -> DataFrame:
+        """``qid``, ``agg_id``, ``agg_dist``: the lists each query reads.
+
+        ``walk``: the ``nprobe`` nearest points that a walk finds; ``route``: those
+        on its way until the radii say stop, in reach of the nearest; ``exact``: the
+        nearest of all points.
+        """
+        if how == "exact":
+            return pag.probed(self.aggs, queries, nprobe)
+        named = lambda df: df.select("qid", F.col("id").alias("agg_id"), F.col("dist").alias("agg_dist"))
+        if how == "walk":
+            return named(graph.searched(self.graphs, queries, nprobe, max(nprobe, complexity)))
+        if how != "route":
+            raise ValueError(f"unknown way {how!r}")
+        path = named(graph.routed(self.graphs, self.radius, queries, self.params.early_stop))
+        return pag.stopped_early(path, self.radius, self.params.early_stop)
+
+    def search(self, queries: DataFrame, k: int, nprobe: int | None = None, how: str = "walk", complexity: int = 100) -> DataFrame:
+        return pag.search(self.rows, self.aggs, self.lists, queries, self.probes(queries, nprobe, how, complexity), k)
 
     def save(self, path: str) -> None:
         """Lists are stored sorted by aggregation point, so that a probe reads few row groups."""
         self.lists.repartitionByRange("agg_id").sortWithinPartitions("agg_id", "dist").write.mode("overwrite").parquet(f"{path}/lists")
-        for name, df in (("rows", self.rows), ("aggs", self.aggs), ("radius", self.radius)):
+        for name, df in (("rows", self.rows), ("aggs", self.aggs), ("radius", self.radius), ("graphs", self.graphs)):
             df.write.mode("overwrite").parquet(f"{path}/{name}")
         _settings(self.rows.sparkSession, path, {"params": vars(self.params)})
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> PagIndex:
         read = lambda name: spark.read.parquet(f"{path}/{name}")
-        return cls(pag.PagParams(**_settings(spark, path)["params"]), read("rows"), read("aggs"), read("lists"), read("radius"))
+        return cls(pag.PagParams(**_settings(spark, path)["params"]), read("rows"), read("aggs"), read("lists"), read("radius"), read("graphs"))
 
 
 class DynamicIndex:
-    """Live rows and tombstones in versioned folders; searched exactly over what lives."""
+    """Live rows, tombstones and the shards' graphs in versioned folders.
 
-    def __init__(self, spark: SparkSession, config: IndexConfig, path: str):
-        self.spark, self.config, self.path = spark, config, path
+    New rows are inserted into the graphs of their nearest shards; deleted ones are
+    left out of results at once, and of the graphs when deletes are consolidated.
+    Once the live rows outgrow the shards' budget the graphs are built anew over more.
+    """
+
+    def __init__(self, spark: SparkSession, config: IndexConfig, path: str, params: GraphParams = GraphParams(degree=32, list_size=64), budget: float = BUDGET, replicas: int = 2):
+        self.spark, self.config, self.path, self.params, self.budget, self.replicas = spark, config, path, params, budget, replicas
         self.live = spark.createDataFrame([], "id bigint, v array<double>")
         self.dead = spark.createDataFrame([], "id bigint")
+        self.graphs = spark.createDataFrame([], graph.GRAPH)
+        self.centres: np.ndarray | None = None
+        if config.metric == "mips":
+            raise ValueError("inner products need the largest norm beforehand: use a static index")
 
     def _keep(self, name: str, df: DataFrame) -> DataFrame:
         place = f"{self.path}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(place)
         return self.spark.read.schema(df.schema).parquet(place)
 
+    def _walked(self, df: DataFrame) -> DataFrame:
+        return unit_rows(df) if self.config.metric == "cosine" else df
+
     def __len__(self) -> int:
         return dynamic.active(self.live, self.dead).count()
 
@@ -203,7 +283,15 @@ class DynamicIndex:
             if not dynamic.capacity_check(self.live.count(), self.dead.count(), rows.count(), self.config.max_vectors):
                 self.consolidate()
         status = self._keep("status", dynamic.insert_status(rows.select("id", F.col("v").cast("array<double>").alias("v")), self.live))
-        self.live = self._keep("live", self.live.unionByName(status.where("status = 0").drop("status")))
+        fresh = status.where("status = 0").drop("status")
+        self.live = self._keep("live", self.live.unionByName(fresh))
+        shards = 1 if self.centres is None else len(self.centres)
+        if partition.ram_estimate(self.live.count() * (self.replicas if shards > 1 else 1) // shards, self.config.dim, self.params.degree) > self.budget:
+            walked = self._walked(self.live)
+            self.centres = shard_centres(walked, self.config.dim, self.params, None, self.replicas, self.budget / 2, 0)
+            self.graphs = self._keep("graphs", graph.built(in_shards(walked, self.centres, self.replicas), self.params))
+        else:
+            self.graphs = self._keep("graphs", graph.grown(self.graphs, in_shards(self._walked(fresh), self.centres, self.replicas), self.params))
         return status.select("id", "status")
 
     def delete(self, ids: DataFrame) -> DataFrame:
@@ -214,13 +302,24 @@ class DynamicIndex:
         return failed
 
     def consolidate(self) -> DataFrame:
+        """Drops deleted rows and repairs the edges that led to them."""
         left, report = dynamic.consolidated(self.live, self.dead)
         report = self._keep("report", report)
+        self.graphs = self._keep("graphs", graph.shrunk(self.graphs, self.dead, self.params))
         self.live = self._keep("live", left)
         self.dead = self.spark.createDataFrame([], "id bigint")
         return report
 
-    def search(self, queries: DataFrame, k: int) -> DataFrame:
+    def search(self, queries: DataFrame, k: int, complexity: int = 100) -> DataFrame:
+        """The ``k`` nearest live rows that a walk over the graphs finds; deleted rows lead on but are no results."""
+        size = list_size_for(k, complexity)
+        found = graph.searched(self.graphs, self._walked(exact.vectors(queries, "id", "v")), size, size)
+        live = found.join(self.dead.select("id"), "id", "left_anti").drop("rank")
+        if self.config.metric == "cosine":
+            live = live.withColumn("dist", F.col("dist") / 2)
+        return exact.top_k(live, k).select("qid", "rank", "id", "dist")
+
+    def search_exact(self, queries: DataFrame, k: int) -> DataFrame:
         return exact.knn(dynamic.active(self.live, self.dead), queries, k, self.config.metric)
 
     def save(self, path: str) -> None:
@@ -228,12 +327,15 @@ class DynamicIndex:
         if not self.dead.isEmpty():
             self.consolidate()
         self.live.write.mode("overwrite").parquet(f"{path}/rows")
-        _settings(self.spark, path, {"config": vars(self.config)})
+        self.graphs.write.mode("overwrite").parquet(f"{path}/graphs")
+        _settings(self.spark, path, {"config": vars(self.config), "params": vars(self.params), "budget": self.budget, "replicas": self.replicas, "centres": None if self.centres is None else self.centres.tolist()})
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, work: str) -> DynamicIndex:
-        index = cls(spark, IndexConfig(**_settings(spark, path)["config"]), work)
-        index.live = spark.read.parquet(f"{path}/rows")
+        s = _settings(spark, path)
+        index = cls(spark, IndexConfig(**s["config"]), work, GraphParams(**s["params"]), s["budget"], s["replicas"])
+        index.centres = None if s["centres"] is None else np.array(s["centres"])
+        index.live, index.graphs = spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/graphs")
         return index
 
 

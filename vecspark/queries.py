@@ -586,7 +586,7 @@ def sampled(spark, sf_dir):
 
 
 def lists_of(rest: DataFrame, aggs: DataFrame) -> DataFrame:
-    return pag.placed(pag.candidates(rest, aggs, PARAMS.redundant, False, PARAMS), PARAMS.capacity)
+    return pag.placed(pag.candidates(rest, aggs, PARAMS.redundant, "nearest", PARAMS), PARAMS.capacity)
 
 
 @query(f"WITH {E}, {AGGS} SELECT id, is_agg FROM s")
@@ -597,7 +597,7 @@ def pag_sample(spark, sf_dir):
 @query(f"WITH {E}, {AGGS}, {OFFERS} SELECT id, agg_id, round(dist, 6) AS dist FROM o WHERE choice = 1")
 def pag_assign_top1(spark, sf_dir):
     _, aggs, rest = sampled(spark, sf_dir)
-    return rounded(pag.candidates(rest, aggs, 1, False, PARAMS).select("id", "agg_id", "dist"), "dist")
+    return rounded(pag.candidates(rest, aggs, 1, "nearest", PARAMS).select("id", "agg_id", "dist"), "dist")
 
 
 @query(f"WITH {E}, {AGGS}, {OFFERS} SELECT agg_id, id, round(dist, 6) AS dist FROM ivf")
@@ -757,7 +757,7 @@ def stitched_search(spark, sf_dir):
 def pag_graph_search(spark, sf_dir):
     e = rows(spark, sf_dir).drop("label")
     index = indices.PagIndex.build(e, pag.PagParams(sample_rate=0.1))
-    return with_recall(index.search(asked(e), 10, 16, route=True), exact.knn(e, asked(e), 10), 10)
+    return with_recall(index.search(asked(e), 10, 32), exact.knn(e, asked(e), 10), 10)
 
 
 @query()
