@@ -1,6 +1,10 @@
+import os
+
+import numpy as np
 import pytest
 
-from vecspark.operators import dynamic, labels
+from vecspark.operators import dynamic, labels, partition
+from vecspark.operators.graph import GraphParams
 from vecspark.plans.indices import DynamicIndex
 from vecspark.plans.params import IndexConfig
 from vecspark.streaming.window import WindowedTable, check_window
@@ -58,3 +62,37 @@ def test_unknown_label_is_an_error(spark):
     with pytest.raises(Exception, match="unknown label"):
         labels.converted(asked, mapping).collect()
     assert labels.converted(asked, mapping, universal=True).first().label_id == 0
+
+
+def test_stored_tables_are_released(spark):
+    from vecspark import storage
+
+    storage.release(spark)
+    kept, named = storage.stored(spark.range(5), "five"), storage.bucketed(spark.range(9), "id", spark.range(9))
+    assert kept.count() == 5 and named.count() == 9
+    paths = [path for _, path, _ in storage.MADE]
+    assert storage.release(spark) == 2 and storage.release(spark) == 0
+    assert not any(os.path.exists(p.removeprefix("file:")) for p in paths)
+
+
+def test_dynamic_index_grows_over_shards_and_repairs_edges(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(301, 4))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x) if i], "id bigint, v array<double>")
+    params = GraphParams(degree=12, list_size=24)
+    index = DynamicIndex(spark, IndexConfig(4), str(tmp_path / "work"), params, budget=partition.ram_estimate(150, 4, 12))
+    for low in range(0, 301, 75):
+        index.insert(table.where((table.id >= low) & (table.id < low + 75)))
+    assert len(index) == 300 and len(index.centres) >= 3
+    sizes = [r["count"] for r in index.graphs.groupBy("shard").count().collect()]
+    assert max(sizes) <= 200
+    index.delete(table.where("id % 3 = 0").select("id"))
+    for step in range(2):
+        found = index.search(table.where("id <= 40"), 5, 48).collect()
+        want = {q: [i for i in np.argsort(((x - x[q]) ** 2).sum(axis=1), kind="stable") if i and i % 3][:5] for q in range(1, 41)}
+        assert all(r.id % 3 for r in found)
+        assert sum(r.id in want[r.qid] for r in found) >= 0.95 * 200
+        if not step:
+            assert index.consolidate().first().deleted == 100
+    rows = index.graphs.collect()
+    assert all(r.id % 3 and all(j % 3 for j in r.nbrs) and len(r.nbrs) <= 12 for r in rows)

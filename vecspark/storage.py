@@ -12,17 +12,21 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: Tables made in this process: application, path, name in the catalog.
+MADE: list[tuple[str, str, str | None]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (tests on one machine) a folder of our own is made, once per application.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset on
+    a single machine a folder of our own is made, once per application.
     """
     named = spark.sparkContext.getConf().get(CHECKPOINT_KEY) or spark.conf.get(CHECKPOINT_KEY, None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that driver and executors share")
     return worker_cache(("own folder", spark.sparkContext.applicationId), lambda: tempfile.mkdtemp(prefix="vecspark-"))
 
 
@@ -34,6 +38,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/vecspark/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    MADE.append((spark.sparkContext.applicationId, path, None))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -46,11 +51,31 @@ def bucketed(df: DataFrame, key: str, source: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     name = f"vecspark_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/vecspark/{name}"
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), source.rdd.getNumPartitions())
-    df.write.bucketBy(buckets, key).option("path", f"{shared_folder(spark)}/vecspark/{name}").option("compression", "none").saveAsTable(name)
+    df.write.bucketBy(buckets, key).option("path", path).option("compression", "none").saveAsTable(name)
+    MADE.append((spark.sparkContext.applicationId, path, name))
     return spark.table(name)
 
 
+def release(spark: SparkSession) -> int:
+    """Drop all tables that :func:`stored` and :func:`bucketed` made for this application; how many there were.
+
+    For when the results that read them are written: a result that is not would
+    find its tables gone.
+    """
+    own = [m for m in MADE if m[0] == spark.sparkContext.applicationId]
+    jvm, settings = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for entry in own:
+        _, path, name = entry
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(settings).delete(place, True)
+        MADE.remove(entry)
+    return len(own)
+
+
 def worker_cache(key: Any, make: Callable[[], Any], keep: int = 8) -> Any:
     """``make()``, kept in this process under ``key``; the oldest of ``keep`` entries goes."""
     holder = sys.modules.setdefault("_vecspark_cache", types.ModuleType("_vecspark_cache"))
