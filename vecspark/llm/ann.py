@@ -176,13 +176,15 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, cells_per_half
                 yield pa.RecordBatch.from_arrays([pa.array(at, type=pa.int64()), pa.array([name] * len(at), type=pa.int64()), pa.array([v[i]] * len(at), type=schema.field(2).type), pa.array(lists, type=schema.field(3).type)], schema=schema)
 
     asked = usable(vectors.where(is_query).select(id_col, vec_col), id_col, vec_col).where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"))
-    asked = stored(asked.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id"), "queries")
+    asked = stored(asked, "queries")
     query_blocks = max(1, math.ceil(asked.count() / query_rows))
     dealt = counts.value
     place = spark.createDataFrame(pa.table({"cell": pa.array(np.flatnonzero(sizes), type=pa.int32()), "low": dealt[1][sizes > 0], "high": dealt[2][sizes > 0]}))
     shelved = indexed.join(F.broadcast(place), "cell").withColumn("shelf", F.expr("low + pmod(xxhash64(number), high - low + 1)"))
     entries = shelved.select("shelf", "id", "v", "cell").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    queries = asked.mapInArrow(probe, "shelf bigint, id bigint, v array<double>, cells array<int>").withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int"))
+    # A walk takes far longer than reading its query, so the queries are dealt over all cores.
+    spread = asked.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
+    queries = spread.mapInArrow(probe, "shelf bigint, id bigint, v array<double>, cells array<int>").withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int"))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:

@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecspark.llm._common import arrow_rows, as_bytes, shared_folder, slices
+from vecspark.llm._common import arrow_rows, as_bytes, bucketed, slices
 from vecspark.llm.bwt import least_owner
 
 DEPTH, ANCHOR = 50, 24
@@ -125,12 +124,8 @@ def segments(docs: DataFrame, id_col: str, text_col: str, segment_bytes: int) ->
                 yield arrow_rows(schema, [[number], [part.column(0).to_pylist()], [list(map(len, texts))], [pack(b"".join(texts))]])
                 number += 1
 
-    spark = docs.sparkSession
     picked = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].alias("text"))
-    name = f"vecspark_segments_{uuid.uuid4().hex}"
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), picked.rdd.getNumPartitions())
-    picked.mapInArrow(run, SEGMENT).write.bucketBy(buckets, "seg").option("path", f"{shared_folder(spark)}/vecspark/{name}").option("compression", "none").saveAsTable(name)
-    return spark.table(name)
+    return bucketed(picked.mapInArrow(run, SEGMENT), "seg", picked)
 
 
 class Segment:

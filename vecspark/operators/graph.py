@@ -280,6 +280,8 @@ def built(sharded: DataFrame, params: GraphParams, filtered: bool = False, book=
 
 
 FOUND = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("dist", pa.float64())])
+#: Rows beyond the k-th of a walk that are measured in full.
+SPARE = 16
 
 
 class Shard:
@@ -332,7 +334,8 @@ def searched(graph: DataFrame, queries: DataFrame, k: int, list_size: int, unive
                 _, path, _ = greedy(shard.x, shard.nbrs, shard.starts, one, list_size)
                 for c, values in zip(out, (np.full(len(path), name), shard.ids[[i for _, i in path]], [d for d, _ in path])):
                     c.append(values)
-        table, marks = neighbour_table(shard.nbrs), {}
+        # Half the digits lead the way; what is reported is measured in full, with some rows to spare.
+        table, marks, near, ask = neighbour_table(shard.nbrs), {}, shard.x.astype(np.float32), v.astype(np.float32)
         for at in range(0, 0 if expanded else len(names), chunk):
             part, allowed, starts = slice(at, at + chunk), None, np.array(shard.starts)
             if labels_col:
@@ -343,8 +346,7 @@ def searched(graph: DataFrame, queries: DataFrame, k: int, list_size: int, unive
                 allowed = np.array([marks[frozenset(own or ())] for own in wanted[part]])
                 # A shard may hold rows of a label without that label's start: then the first of them is one.
                 starts = np.unique(np.concatenate([starts, allowed.argmax(axis=1)]))
-            rows, dist = greedy_many(shard.x, table, starts, v[part], list_size, allowed)
-            rows, dist = rows[:, :k], dist[:, :k]
+            rows = greedy_many(near, table, starts, ask[part], list_size, allowed)[0][:, : k + SPARE]
             ok = rows >= 0
             exact = ((shard.x[rows[ok]] - np.broadcast_to(v[part][:, None], (*rows.shape, v.shape[1]))[ok]) ** 2).sum(axis=1)
             for c, values in zip(out, (np.broadcast_to(names[part][:, None], rows.shape)[ok], shard.ids[rows[ok]], exact)):
