@@ -53,7 +53,7 @@ def nearest(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return ((centres * centres).sum(axis=1) - 2 * rows @ centres.T).argmin(axis=1)
 
 
-def walk(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, wanted: int, tile: int = 8) -> np.ndarray:
+def walk(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, wanted: int, tile: int = 16) -> np.ndarray:
     """Cells (i * len(second) + j) by falling ``first[i] + second[j]`` until they hold ``wanted`` entries, ascending.
 
     The multi-sequence walk over the two sorted lists, cut into runs of ``tile``:
@@ -63,7 +63,7 @@ def walk(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, wanted: int,
     a, b = np.argsort(-first, kind="stable"), np.argsort(-second, kind="stable")
     grid = sizes[np.ix_(a, b)]
     rows, columns = np.arange(0, len(a), tile), np.arange(0, len(b), tile)
-    count = np.add.reduceat(np.add.reduceat(grid, rows, axis=0), columns, axis=1).tolist()
+    count = np.add.reduceat(np.add.reduceat(grid, rows, axis=0), columns, axis=1, dtype=np.int64).tolist()
     fa = first[a][np.minimum(rows + tile // 2, len(a) - 1)].tolist()
     sb = second[b][np.minimum(columns + tile // 2, len(b) - 1)].tolist()
     n, m = len(fa), len(sb)
@@ -117,7 +117,7 @@ def search_block(ids: np.ndarray, cells: np.ndarray, v: np.ndarray, qids: np.nda
     return tuple(np.concatenate(x) if x else np.empty(0) for x in out)
 
 
-def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, cells_per_half: int = 512, share: float = 0.2, depth: int = 50, sample: int = 20_000, shelf_rows: int = 16_384, query_rows: int = 8192, rounds: int = 12, seed: int = 11, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, cells_per_half: int = 1024, share: float = 0.19, depth: int = 50, sample: int = 20_000, shelf_rows: int = 16_384, query_rows: int = 8192, rounds: int = 12, seed: int = 11, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``: each query's ``k`` nearest found by inner product.
 
     The codebooks are fitted on a bounded ``sample`` of rows (smallest hashes of
@@ -157,7 +157,7 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, cells_per_half
     sizes[found["cell"].to_numpy()] = found["count"].to_numpy()
     total = int(sizes.sum())
     wanted = math.ceil(share * total) + depth * k
-    counts = spark.sparkContext.broadcast((sizes.reshape(n, m), *shelves(sizes, shelf_rows)))
+    counts = spark.sparkContext.broadcast((sizes.reshape(n, m).astype(np.int32), *shelves(sizes, shelf_rows)))
     schema = pa.schema([("shelf", pa.int64()), ("id", pa.int64()), ("v", pa.list_(pa.float64())), ("cells", pa.list_(pa.int32()))])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
