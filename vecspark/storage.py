@@ -58,24 +58,33 @@ def bucketed(df: DataFrame, key: str, source: DataFrame) -> DataFrame:
     return spark.table(name)
 
 
-def release(spark: SparkSession) -> int:
-    """Drop all tables that :func:`stored` and :func:`bucketed` made for this application; how many there were.
-
-    For when the results that read them are written: a result that is not would
-    find its tables gone.
-    """
-    own = [m for m in MADE if m[0] == spark.sparkContext.applicationId]
+def forget(spark: SparkSession, first: int, last: int | None = None) -> int:
+    """Drop the tables ``MADE[first:last]``, whose readers are done; how many there were."""
+    own = MADE[first:last]
     jvm, settings = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for entry in own:
-        _, path, name = entry
+    for _, path, name in own:
         if name:
             spark.sql(f"DROP TABLE IF EXISTS {name}")
         place = jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(settings).delete(place, True)
-        MADE.remove(entry)
+    del MADE[first:last]
     return len(own)
 
 
+def release(spark: SparkSession) -> int:
+    """Drop all tables that :func:`stored` and :func:`bucketed` made for this application; how many there were.
+
+    For when the results that read them are written: a result that is not would
+    find its tables gone.
+    """
+    own = spark.sparkContext.applicationId
+    others = [m for m in MADE if m[0] != own]
+    MADE[:] = [m for m in MADE if m[0] == own]
+    count = forget(spark, 0)
+    MADE.extend(others)
+    return count
+
+
 def worker_cache(key: Any, make: Callable[[], Any], keep: int = 8) -> Any:
     """``make()``, kept in this process under ``key``; the oldest of ``keep`` entries goes."""
     holder = sys.modules.setdefault("_vecspark_cache", types.ModuleType("_vecspark_cache"))
