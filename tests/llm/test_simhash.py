@@ -134,8 +134,9 @@ def test_all_pairs_of_a_segment_group_meet(spark, block, decoys):
     more[:, :24] = 1
     wide = np.packbits(np.concatenate([np.array(rows), more]).astype(np.uint8), axis=1)
     nodes = spark.createDataFrame([(i, w.tobytes()) for i, w in enumerate(wide)], "node bigint, wide binary")
-    rooted, doubt = simhash.near_nodes(nodes, 0.8, block)
-    assert {r.node: r.root for r in rooted.collect()} == {2 * i + 1: 2 * i for i in range(100)} and doubt.count() == 0
+    doubts = []
+    edges = simhash.near_nodes(nodes, 0.8, lambda doubt: doubts.append(doubt.count()) or doubt.limit(0), block)
+    assert {r.node: r.root for r in components(edges).collect()} == {2 * i + 1: 2 * i for i in range(100)} and doubts == [0, 0]
 
 
 def test_windows_of_bits():

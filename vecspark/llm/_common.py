@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from vecspark.storage import bucketed, shared_folder, stored, worker_cache  # noqa: F401
+from vecspark.storage import MADE, bucketed, forget, stored, worker_cache  # noqa: F401
 
 
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -64,7 +64,7 @@ def row_wise(docs: DataFrame, text_col: str, make: Callable[[list, pa.RecordBatc
     return plain.mapInArrow(run, schema)
 
 
-def bundled(docs: DataFrame, id_col: str, text_col: str, kept: dict[str, tuple[str, str]] | None = None, most_bytes: int = 8 << 20) -> DataFrame:
+def bundled(docs: DataFrame, id_col: str, text_col: str, kept: dict[str, tuple[str, str]] | None = None, most_bytes: int = 4 << 20) -> DataFrame:
     """``docs`` as segments of about ``most_bytes`` of text: ``seg``, ``ids``, ``packed`` (the whole rows, compressed).
 
     ``kept`` names more columns that stand beside, as (column, type). The table

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecspark.llm._common import stored
+from vecspark.llm._common import forget, stored
 
 
 def forest(pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -60,7 +60,7 @@ def salted_join(rows: DataFrame, known: DataFrame, key: str, spread: str) -> Dat
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node``, ``root`` (smallest node of its component) for every node of ``edges`` that isn't a root.
+    """``node``, ``root`` (smallest node of its component) for every node of ``edges`` that isn't a root: the last table made.
 
     ``edges`` has two bigint columns without nulls, in any direction, repeats and
     loops allowed; no edges give no rows.
@@ -80,6 +80,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = salted_join(large, least, "u", "v").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        forget(now.sparkSession, -2, -1)  # the round before
 
 
 def named_components(nodes: DataFrame, rooted: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from vecspark.llm._common import arrow_rows, as_bytes, bundled, stored, unbundled
+from vecspark.llm._common import MADE, arrow_rows, as_bytes, bundled, forget, stored, unbundled
 from vecspark.llm.components import components, named_components, salted_join
 
 LIMIT = 2
@@ -284,16 +284,21 @@ def chain_budget(limit: int) -> int:
     return 64 * limit // (64 * WIDE)
 
 
-def crossing_pairs(members: DataFrame, rooted: DataFrame, limit: int, block: int = 512) -> DataFrame:
-    """``u``, ``v``: all pairs of a segment's group that keep the chain's share of ``limit`` and aren't in one component of ``rooted``.
+def crossing_pairs(members: DataFrame, rooted: DataFrame, nodes: DataFrame, limit: int, block: int = 512) -> DataFrame:
+    """``u``, ``v``, ``apart``: all pairs of a segment's group within ``limit`` bits that aren't in one component of ``rooted``.
 
     A group of one component is passed over. Others are dealt over blocks of about
     ``block`` rows, and each block meets each: a task holds two blocks at most,
-    whatever the group.
+    whatever the group. The chain's share of the limit is looked at first, then
+    the whole fingerprints, which come with the rows: only near pairs leave the task.
     """
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("apart", pa.int32())])
     budget = chain_budget(limit)
 
+    def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+        wide = np.frombuffer(b"".join(batch.column(6).to_pylist()), dtype="<u8").reshape(batch.num_rows, -1)
+        return [*(batch.column(i).to_numpy() for i in range(6)), wide]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
         for batch in itertools.chain(batches, [None]):
@@ -302,13 +307,12 @@ def crossing_pairs(members: DataFrame, rooted: DataFrame, limit: int, block: int
                     return
                 now, end = held, len(held[0])
             else:
-                own = [x.to_numpy() for x in batch.columns]
-                now = own if held is None else [np.concatenate(x) for x in zip(held, own)]
+                now = columns(batch) if held is None else [np.concatenate(x) for x in zip(held, columns(batch))]
                 if not len(now[0]):
                     continue
                 last = (now[0] == now[0][-1]) & (now[1] == now[1][-1]) & (now[2] == now[2][-1])
                 end = len(last) - int(np.argmin(last[::-1])) if not last.all() else 0
-            k, i, j, rest, node, part = now
+            k, i, j, rest, node, part, wide = now
             at, step = np.arange(end), 0
             while len(at):
                 step += 1
@@ -317,20 +321,23 @@ def crossing_pairs(members: DataFrame, rooted: DataFrame, limit: int, block: int
                 together = (k[at] == k[to]) & (i[at] == i[to]) & (j[at] == j[to])
                 at, to = at[together], to[together]
                 near = (part[at] != part[to]) & (np.bitwise_count(rest[at] ^ rest[to]) <= budget)
-                if near.any():
-                    u, v = node[at[near]], node[to[near]]
-                    yield arrow_rows(schema, [np.maximum(u, v), np.minimum(u, v)])
+                a, b = at[near], to[near]
+                apart = np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1, dtype=np.int64)
+                close = apart <= limit
+                if close.any():
+                    u, v = node[a[close]], node[b[close]]
+                    yield arrow_rows(schema, [np.maximum(u, v), np.minimum(u, v), apart[close]])
             held = [x[end:] for x in now]
 
     named = members.join(rooted.hint("merge"), "node", "left").select("k", "rest", "node", F.coalesce("root", "node").alias("part"))
     named = stored(named, "members")
     parted = named.groupBy("k").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
     blocks = parted.select("k", F.ceil(F.col("n") / block).cast("bigint").alias("blocks"))
-    dealt = named.join(blocks.hint("merge"), "k").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    dealt = named.join(blocks.hint("merge"), "k").join(nodes.select("node", "wide").hint("merge"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    tiles = dealt.select("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rest", "node", "part")
+    tiles = dealt.select("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rest", "node", "part", "wide")
     ordered = tiles.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", "node")
-    return ordered.mapInArrow(run, "u bigint, v bigint").distinct()
+    return ordered.mapInArrow(run, "u bigint, v bigint, apart int").distinct()
 
 
 def close_nodes(pairs: DataFrame, nodes: DataFrame, limit: int) -> DataFrame:
@@ -377,28 +384,33 @@ def alike(pairs: DataFrame, nodes: DataFrame, segments: DataFrame, similarity: f
     return pairs.select("u", "v").join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(compare, "u bigint, v bigint")
 
 
-def near_nodes(nodes: DataFrame, similarity: float, block: int = 512) -> tuple[DataFrame, DataFrame]:
-    """Of ``nodes`` (``node``, ``wide``) that share a segment: the :func:`components` of those clearly near, and the pairs in doubt.
+def near_nodes(nodes: DataFrame, similarity: float, decide, block: int = 512) -> DataFrame:
+    """Edges ``u``, ``v`` that connect those of ``nodes`` (``node``, ``wide``) that share a segment and are alike.
 
     First those that follow each other in a segment's group are linked, a path and
     not k * k pairs; then, with the components of these, all other pairs of the
-    group that could still join two of them are compared.
+    group that could still join two of them are compared. Fingerprints that are
+    clearly near are linked; of pairs in doubt ``decide`` gives those that are alike.
     """
     sure, limit = (most_apart(similarity, 64 * WIDE, x) for x in (-DOUBT, DOUBT))
+
+    def linked(near: DataFrame, known: DataFrame | None) -> DataFrame:
+        near = stored(near, "near")
+        doubt = near.where(F.col("apart") > sure).select("u", "v")
+        return near.where(F.col("apart") <= sure).select("u", "v").unionByName(decide(doubt if known is None else stored(unjoined(doubt, known), "doubt")))
+
     members = stored(shared_segments(segment_rows(nodes), limit), "segments")
     paths = members.where("prev is not null").select(F.greatest("node", "prev").alias("u"), F.least("node", "prev").alias("v")).distinct()
-    first = stored(close_nodes(paths, nodes, limit), "near")
-    rooted = components(first.where(F.col("apart") <= sure).select("u", "v"))
-    more = stored(close_nodes(crossing_pairs(members, rooted, limit, block), nodes, limit), "near")
-    rooted = components(edges_of(rooted).unionByName(more.where(F.col("apart") <= sure).select("u", "v")))
-    doubt = first.unionByName(more).where(F.col("apart") > sure).select("u", "v").distinct()
-    return rooted, stored(unjoined(doubt, rooted), "doubt")
+    rooted = components(linked(close_nodes(paths, nodes, limit), None))
+    return edges_of(rooted).unionByName(linked(crossing_pairs(members, rooted, nodes, limit, block), rooted))
 
 
 def wide_components(nodes: DataFrame, segments: DataFrame, similarity: float, n: int, text_col: str) -> DataFrame:
     """What :func:`components` gives for all ``nodes`` that share a segment and are alike; in doubt the shingles decide."""
-    rooted, doubt = near_nodes(nodes, similarity)
-    return components(edges_of(rooted).unionByName(alike(doubt, nodes, segments, similarity, n, text_col)))
+    first = len(MADE)
+    rooted = components(near_nodes(nodes, similarity, lambda doubt: alike(doubt, nodes, segments, similarity, n, text_col)))
+    forget(nodes.sparkSession, first, len(MADE) - 1)
+    return rooted
 
 
 def edges_of(rooted: DataFrame) -> DataFrame:
