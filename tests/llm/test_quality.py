@@ -118,9 +118,26 @@ def test_grams_numbered_by_table_or_sorting(size, monkeypatch):
     plain = quality.Grams(texts)
     monkeypatch.setattr(quality, "TABLE", size)
     other = quality.Grams(texts)
-    assert [n for *_, n in plain.names()] == [n for *_, n in other.names()] and (plain.ids == other.ids).all()
-    whole = list(quality.Grams(["abcabc"]).names())[-1][2]
+    every = lambda g: [g.names(k, np.ones(len(g.ends[k - 1]), dtype=bool)) for k in range(1, 5)]
+    assert every(plain) == every(other) and (plain.ids == other.ids).all()
+    whole = every(quality.Grams(["abcabc"]))[-1]
     assert sorted(g for g in whole if g[-1] != chr(quality.OPEN)) == sorted(set(grams_of("abcabc")))
+    assert all(len(set(h.tolist())) == len(h) for h in plain.hashes())
+
+
+@pytest.mark.parametrize("chunk", [1, 60, 500])
+def test_chunks_change_nothing(spark, texts, chunk, monkeypatch):
+    texts = [*texts, *texts[:3], "日本語"]
+    assert [t for part in quality.chunks(texts, chunk) for t in texts[part]] == texts
+    known, names = quality.Slots(), []
+    for part in quality.chunks(texts, chunk):
+        grams = quality.Grams(texts[part])
+        slots, fresh = known.of(grams.hashes())
+        for k, new in enumerate(fresh, 1):
+            names += grams.names(k, new)
+        for k, own in enumerate(slots, 1):
+            assert [names[i] for i in own] == grams.names(k, np.ones(len(own), dtype=bool))
+    assert len(names) == len(set(names)) == known.count
 
 
 def test_junk_goes_and_prose_stays(spark):

@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from vecspark.llm._common import arrow_rows, bundled, stored, unbundled
+from vecspark.llm._common import MADE, arrow_rows, bundled, forget, stored, unbundled
+from vecspark.llm.components import salted_join
 
 ORDER = 4
 #: The edges of a text, as characters that texts do not have.
@@ -43,7 +44,9 @@ PRIOR_SYMBOLS, PRIOR_DOCS = 10_000.0, 20.0
 #: One in so many trusted documents calibrates the limits without being trained on.
 FOLDS = 5
 #: Combinations up to which n-grams are numbered by a table, beyond by sorting.
-TABLE = 1 << 24
+TABLE = 1 << 23
+#: Characters of a segment that are looked at together.
+CHUNK = 1 << 20
 
 
 def numbered(code: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +74,7 @@ class Grams:
         self.sizes = np.array([len(r) + 1 for r in raw], dtype=np.int64)
         whole, places = self.sizes + order, self.sizes + 1
         first = np.cumsum(whole) - whole + order - 1
-        self.at = (np.repeat(first - np.cumsum(places) + places, places) + np.arange(int(places.sum()))).astype(np.int32)
+        self.at = np.repeat(first - np.cumsum(places) + places, places) + np.arange(int(places.sum()))
         self.first = np.cumsum(places) - places
         symbol, alphabet = numbered(self.flat, 0x110000)
         #: For each order: where one of each n-gram ends (an index of ``at``), its suffix and its context in the order below.
@@ -89,38 +92,79 @@ class Grams:
             self.context.append(self.ids[end - 1])
             self.ids, count = ids, max(1, len(values))
 
-    def names(self) -> Iterator[tuple[int, int, list[str]]]:
-        """Each order, the number of n-grams of the orders before it, and its n-grams."""
-        text, before = self.flat.tobytes().decode("utf-32-le"), 0
+    def names(self, k: int, wanted: np.ndarray) -> list[str]:
+        """The ``wanted`` (a mark each) n-grams of order ``k``."""
+        text = self.flat.tobytes().decode("utf-32-le")
+        return [text[e - k + 1 : e + 1] for e in self.at[self.ends[k - 1][wanted]].tolist()]
+
+    def hashes(self) -> list[np.ndarray]:
+        """64 bits for each n-gram, by order."""
+        out = []
         for k, end in enumerate(self.ends, 1):
-            yield k, before, [text[e - k + 1 : e + 1] for e in self.at[end].tolist()]
-            before += len(end)
+            at, h = self.at[end], np.full(len(end), k, dtype=np.uint64)
+            for j in range(k):
+                h = (h ^ self.flat[at - j]) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+            out.append(h)
+        return out
 
     def counts(self, wanted: np.ndarray) -> np.ndarray:
         """How often each n-gram of the highest order stands in the ``wanted`` texts."""
         use = np.repeat(wanted, self.sizes + 1)
         use[self.first] = False
-        return np.bincount(self.ids[use], minlength=len(self.ends[-1]) if self.ends else 0)
-
-    def log_probabilities(self, slots: np.ndarray, p: np.ndarray, back: np.ndarray, floor: float) -> np.ndarray:
-        """log p of each text; ``p`` and ``back`` are the model's for the n-grams at ``slots``, nan where it has none."""
-        if not len(self.sizes):
-            return np.empty(0)
-        size = sum(map(len, self.ends))
-        own, weight = np.full(size, np.nan), np.full(size, np.nan)
-        own[slots], weight[slots] = p, back
-        weight = np.nan_to_num(weight, nan=0.0)
-        before, below, weights = 0, np.array([floor]), np.zeros(1)
-        for end, suffix, context in zip(self.ends, self.suffix, self.context):
-            here = own[before : before + len(end)]
-            below = np.where(np.isnan(here), weights[context] + below[suffix], here)
-            weights = weight[before : before + len(end)]
-            before += len(end)
+        return np.bincount(self.ids[use], minlength=len(self.ends[-1]))
+
+    def log_probabilities(self, p: list[np.ndarray], back: list[np.ndarray], floor: float) -> np.ndarray:
+        """log p of each text; ``p`` and ``back`` are the model's for the n-grams of each order, nan where it has none."""
+        below, weights = np.array([floor]), np.zeros(1)
+        for own, weight, suffix, context in zip(p, back, self.suffix, self.context, strict=True):
+            below = np.where(np.isnan(own), weights[context] + below[suffix], own)
+            weights = np.nan_to_num(weight, nan=0.0)
         each = below[self.ids]
         each[self.first] = 0.0
         return np.add.reduceat(each, self.first)
 
 
+class Slots:
+    """A segment's distinct n-grams, numbered as they come."""
+
+    def __init__(self, order: int = ORDER):
+        self.count = 0
+        self.seen = [np.empty(0, dtype=np.uint64) for _ in range(order)]
+        self.slots = [np.empty(0, dtype=np.int64) for _ in range(order)]
+
+    def of(self, hashes: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The numbers of the n-grams of each order, and marks of those that are new."""
+        out, fresh = [], []
+        for k, h in enumerate(hashes):
+            place = np.searchsorted(self.seen[k], h)
+            known = np.zeros(len(h), dtype=bool)
+            inside = place < len(self.seen[k])
+            known[inside] = self.seen[k][place[inside]] == h[inside]
+            own = np.empty(len(h), dtype=np.int64)
+            own[known] = self.slots[k][place[known]]
+            own[~known] = self.count + np.arange(int((~known).sum()))
+            self.count += int((~known).sum())
+            seen, slots = np.concatenate([self.seen[k], h[~known]]), np.concatenate([self.slots[k], own[~known]])
+            order = np.argsort(seen, kind="stable")
+            self.seen[k], self.slots[k] = seen[order], slots[order]
+            out.append(own)
+            fresh.append(~known)
+        return out, fresh
+
+
+def chunks(texts: list[str | None], size: int | None = None) -> Iterator[slice]:
+    """Runs of texts of about ``size`` characters (a longer text stands alone)."""
+    start, held, size = 0, 0, size or CHUNK
+    for i, text in enumerate(texts):
+        if i > start and held + len(text or "") > size:
+            yield slice(start, i)
+            start, held = i, 0
+        held += len(text or "")
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
 def trains(doc_id: int | None) -> bool:
     """Whether a trusted document is one to train on."""
     return zlib.crc32(str(doc_id).encode()) % FOLDS != 0
@@ -130,7 +174,7 @@ def trusted_ids(segments: DataFrame, labels: DataFrame, id_col: str, label_col:
     """``seg``, ``trusted``: the ids in each segment that ``labels`` calls good."""
     good = labels.where(F.col(label_col) == 1).select(F.col(id_col).cast("bigint").alias("id")).where("id is not null").distinct()
     own = segments.select("seg", F.explode("ids").alias("id"))
-    return own.join(good.hint("merge"), "id").groupBy("seg").agg(F.collect_set("id").alias("trusted"))
+    return salted_join(own, good, "id", "seg").groupBy("seg").agg(F.collect_set("id").alias("trusted"))
 
 
 def segment_grams(segments: DataFrame, trusted: DataFrame, text_col: str, order: int = ORDER) -> DataFrame:
@@ -140,14 +184,19 @@ def segment_grams(segments: DataFrame, trusted: DataFrame, text_col: str, order:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                docs, good = unbundled(batch.column(2)[row]), set(batch.column(3)[row].as_py() or ())
-                grams = Grams(docs[text_col].to_pylist(), order)
+                texts, good = unbundled(batch.column(2)[row])[text_col].to_pylist(), set(batch.column(3)[row].as_py() or ())
                 wanted = np.array([i in good and trains(i) for i in batch.column(1)[row].as_py()], dtype=bool)
-                for k, before, names in grams.names():
-                    n = grams.counts(wanted) if k == order else np.zeros(len(names), dtype=np.int64)
-                    for at in range(0, len(names), 20_000):
-                        part = names[at : at + 20_000]
-                        yield arrow_rows(schema, [part, [batch.column(0)[row].as_py()] * len(part), np.arange(before + at, before + at + len(part)), n[at : at + 20_000]])
+                known, names, n = Slots(order), [], np.zeros(0, dtype=np.int64)
+                for part in chunks(texts):
+                    grams = Grams(texts[part], order)
+                    slots, fresh = known.of(grams.hashes())
+                    for k, new in enumerate(fresh, 1):
+                        names += grams.names(k, new)
+                    n = np.concatenate([n, np.zeros(known.count - len(n), dtype=np.int64)])
+                    n[slots[-1]] += grams.counts(wanted[part])
+                for at in range(0, len(names), 20_000):
+                    part = names[at : at + 20_000]
+                    yield arrow_rows(schema, [part, [batch.column(0)[row].as_py()] * len(part), np.arange(at, at + len(part)), n[at : at + 20_000]])
 
     joined = segments.join(trusted, "seg", "left").select("seg", "ids", "packed", "trusted")
     return stored(joined.mapInArrow(run, "g string, seg bigint, slot int, n bigint"), "grams")
@@ -209,10 +258,18 @@ def scores(segments: DataFrame, grams: DataFrame, model: DataFrame, text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                own = Grams(unbundled(batch.column(1)[row])[text_col].to_pylist(), order)
+                texts = unbundled(batch.column(1)[row])[text_col].to_pylist()
                 slots, p, back = (np.asarray(batch.column(i)[row].values if batch.column(i)[row].is_valid else []) for i in (2, 3, 4))
-                found = own.log_probabilities(slots.astype(np.int64), p, back, floor)
-                yield arrow_rows(schema, [[batch.column(0)[row].as_py()], [-found], [own.sizes]])
+                told = np.full((2, int(slots.max(initial=-1)) + 2), np.nan)
+                told[:, slots.astype(np.int64)] = p, back
+                known, nll, n = Slots(order), [], []
+                for part in chunks(texts):
+                    grams = Grams(texts[part], order)
+                    # Numbers beyond the last one that was answered are as unknown as that behind it.
+                    own = [np.minimum(x, told.shape[1] - 1) for x in known.of(grams.hashes())[0]]
+                    nll.append(-grams.log_probabilities([told[0][x] for x in own], [told[1][x] for x in own], floor))
+                    n.append(grams.sizes)
+                yield arrow_rows(schema, [[batch.column(0)[row].as_py()], [np.concatenate(nll)], [np.concatenate(n)]])
 
     joined = segments.join(answers, "seg", "left").select("seg", "packed", "slots", "p", "back")
     return stored(joined.mapInArrow(run, "seg bigint, nll array<double>, n array<bigint>"), "scores")
@@ -272,11 +329,13 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, margin:
     everything is kept; columns of clashing names are replaced (``only_kept``:
     left alone).
     """
-    segments = bundled(docs, id_col, text_col, {"langs": (lang_col, "string")})
+    segments = bundled(docs, id_col, text_col, {"langs": (lang_col, "string")}, most_bytes=16 << 20)
     trusted = stored(trusted_ids(segments, labels, id_col, label_col), "trusted-ids")
+    first = len(MADE)
     grams = segment_grams(segments, trusted, text_col, order)
     model = kneser_ney(grams.where("n > 0").groupBy("g").agg(F.sum("n").alias("n")), order)
     scored = scores(segments, grams, model, text_col, order)
+    forget(docs.sparkSession, first, len(MADE) - 1)  # the model has done its work
     limits = docs.sparkSession.sparkContext.broadcast(limits_of(segments, trusted, scored, quantile))
     extra = {} if only_kept else {"perplexity": "double", "threshold": "double", "keep": "boolean"}
     kinds = StructType([*(f for f in docs.schema.fields if f.name not in extra), *(StructField(n, _parse_datatype_string(t)) for n, t in extra.items())])
