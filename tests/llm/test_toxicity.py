@@ -1,7 +1,10 @@
+import collections
 import math
 import random
+import re
 import zlib
 
+import numpy as np
 import pytest
 from oracle import DATA
 from llm_conftest import frame, prose
@@ -109,3 +112,76 @@ def test_texts_that_share_a_passage_are_not_near_copies():
     assert len({toxicity.sketch(t) for t in texts}) == len(texts)
     assert toxicity.sketch(texts[0]) == toxicity.sketch(texts[0].upper() + "!")
     assert toxicity.sketch(None) == toxicity.sketch("")
+
+
+def slow_scores(docs, labels):
+    """Every document's score by the definitions, one token after the other."""
+    words = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    usable = {}
+    for i, y in labels:
+        if y in (0, 1) and i is not None and zlib.crc32(str(i).encode()) % 5:
+            usable[i] = max(y, usable.get(i, 0))
+    texts = ({}, {})
+    for i, t in docs:
+        if i in usable:
+            own = words(t)
+            least = tuple(sorted({zlib.crc32(" ".join(own[j : j + 4]).encode()) for j in range(max(1, len(own) - 3))})[:4])
+            held = texts[usable[i]]
+            held[least] = min(held.get(least, t), t)
+    counts = [collections.Counter(), collections.Counter()]
+    for y in (0, 1):
+        for t in texts[y].values():
+            own = set(words(t))
+            counts[y].update(own | {w[:n] + "*" for w in own for n in (3, 4, 5, 6) if len(w) > n})
+    n0, n1 = (sum(n for w, n in c.items() if w[-1] != "*") for c in counts)
+    scores, strength = {}, 0.05 * (n0 + n1)
+    for w in counts[0].keys() | counts[1].keys():
+        c, t = counts[0][w], counts[1][w]
+        a0, a1 = c + 0.05 * (c + t), t + 0.05 * (c + t)
+        delta = math.log(a1 / (n1 + strength - a1)) - math.log(a0 / (n0 + strength - a0))
+        if c + t >= 5 and delta / math.sqrt(1 / a1 + 1 / a0) > 3.5 and delta > 0.5:
+            scores[w] = delta
+
+    def of(word):
+        return next((scores[k] for k in (word, *(word[:n] + "*" for n in (6, 5, 4, 3) if len(word) > n)) if k in scores), 0.0)
+
+    rate = []
+    for y in (0, 1):
+        every = [of(w) for t in texts[y].values() for w in words(t)]
+        rate.append(sum(x > 0 for x in every) / max(len(every), 1))
+    gap = min(math.log((1 - min(rate[1], 0.9)) / (1 - min(rate[0], 0.9))), -0.01)
+
+    def best(t):
+        top = run = 0.0
+        for w in words(t):
+            run = max(0.0, run + (of(w) or gap))
+            top = max(top, run)
+        return len(words(t)), top
+
+    clean = [best(t) for t in texts[0].values()]
+    k = len(clean) / max(sum(max(n, 1) * math.exp(-s) for n, s in clean), 1e-9)
+    surprise = lambda n, s: min(max(s - math.log(k * max(n, 1)), -20.0), 20.0)
+    x = np.array([surprise(*b) for b in clean + [best(t) for t in texts[1].values()]])
+    slope, offset = toxicity.logistic(x, np.array([0.0] * len(clean) + [1.0] * len(texts[1])))
+    return [1 / (1 + math.exp(-min(max(slope * surprise(*best(t)) + offset, -40.0), 40.0))) for _, t in docs]
+
+
+def test_query_against_brute_force(spark):
+    sf = f"{DATA}/sf0.01"
+    docs = [(r.doc_id, r.text) for r in queries.table(spark, sf, "documents").collect()]
+    labels = [(r.doc_id, r.toxic) for r in queries.table(spark, sf, "labels").collect()]
+    got = {r.doc_id: r for r in queries.op9_toxicity(spark, sf).collect()}
+    want = slow_scores(docs, labels)
+    assert np.allclose([got[i].score for i, _ in docs], want, rtol=1e-6, atol=1e-9)
+    assert [got[i].predicted for i, _ in docs] == [int(s >= 0.5) for s in want]
+    assert len({round(s, 3) for s in want}) > 20
+
+
+def test_logistic_curve_is_where_its_loss_is_least():
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(-2, 1, 300), rng.normal(2, 1, 40)])
+    y = np.array([0.0] * 300 + [1.0] * 40)
+    weight = np.where(y > 0, 0.5 / 40, 0.5 / 300)
+    loss = lambda a, b: (weight * np.logaddexp(0, np.where(y > 0, -1, 1) * (a * x + b))).sum() + 0.5e-3 * (a * a + b * b)
+    a, b = toxicity.logistic(x, y)
+    assert all(loss(a, b) <= loss(a + da, b + db) for da in (-0.01, 0, 0.01) for db in (-0.01, 0, 0.01))
