@@ -37,30 +37,36 @@ TAIL = 64
 
 
 class Node:
-    """A leaf (``text``, ``lengths`` and ``tokens`` of its pre-tokens) or an inner node (``children``), with sums."""
+    """A leaf (``text``, ``packed``: lengths, then tokens of its pre-tokens) or an inner node (``children``), with sums."""
 
-    __slots__ = ("text", "lengths", "tokens", "children", "chars", "count", "pieces")
+    __slots__ = ("text", "packed", "children", "chars", "count", "pieces")
 
-    def __init__(self, text: str = "", lengths: list[int] | None = None, tokens: list[int] | None = None, children: list[Node] | None = None):
-        self.text, self.lengths, self.tokens, self.children = text, lengths, tokens, children
-        self.sum()
+    def __init__(self, text: str = "", packed: bytes = b"", chars: int = 0, count: int = 0, pieces: int = 0, children: list[Node] | None = None):
+        self.text, self.packed, self.children, self.chars, self.count, self.pieces = text, packed, children, chars, count, pieces
+        if children is not None:
+            self.sum()
 
     def sum(self) -> None:
-        if self.children is None:
-            self.chars, self.count, self.pieces = len(self.text), sum(self.tokens), len(self.lengths)
-        else:
-            self.chars = sum(c.chars for c in self.children)
-            self.count = sum(c.count for c in self.children)
-            self.pieces = sum(c.pieces for c in self.children)
+        self.chars = sum(c.chars for c in self.children)
+        self.count = sum(c.count for c in self.children)
+        self.pieces = sum(c.pieces for c in self.children)
+
+    @property
+    def lengths(self) -> list[int]:
+        return np.frombuffer(self.packed, "<u4", self.pieces).tolist()
+
+    @property
+    def tokens(self) -> list[int]:
+        return np.frombuffer(self.packed, "<u4", self.pieces, 4 * self.pieces).tolist()
 
 
 def leaves(text: str, lengths: list[int], tokens: list[int]) -> list[Node]:
     out, at = [], 0
     for i in range(0, len(lengths), LEAF):
-        own = lengths[i : i + LEAF]
-        end = at + sum(own)
-        out.append(Node(text[at:end], own, tokens[i : i + LEAF]))
-        at = end
+        own, counts = lengths[i : i + LEAF], tokens[i : i + LEAF]
+        chars = sum(own)
+        out.append(Node(text[at : at + chars], np.array(own + counts, dtype="<u4").tobytes(), chars, sum(counts), len(own)))
+        at += chars
     return out
 
 
@@ -68,7 +74,7 @@ def raised(nodes: list[Node]) -> Node:
     """One tree over ``nodes``."""
     while len(nodes) > 1:
         nodes = [Node(children=nodes[i : i + FAN]) for i in range(0, len(nodes), FAN)]
-    return nodes[0] if nodes else Node("", [], [])
+    return nodes[0] if nodes else Node()
 
 
 class CountedText:
@@ -79,8 +85,7 @@ class CountedText:
 
     @classmethod
     def of(cls, text: str, codec: Codec) -> CountedText:
-        pieces = codec.pattern.findall(text)
-        return cls(codec, leaves(text, [len(p) for p in pieces], [tokens_of(codec, p) for p in pieces]))
+        return cls(codec, encoded_leaves(text, codec))
 
     @property
     def n_tokens(self) -> int:
@@ -95,7 +100,8 @@ class CountedText:
         while todo:
             node = todo.pop()
             if node.children is None:
-                yield node
+                if node.pieces:
+                    yield node
             else:
                 todo += reversed(node.children)
 
@@ -167,15 +173,15 @@ class CountedText:
     def _replace(self, node: Node, base: int, first: int, last: int, text: str, lengths: list[int], tokens: list[int]) -> list[Node]:
         """``node`` without its pre-tokens in [first, last) and with the new ones, which stand where ``first`` falls."""
         if node.children is None:
-            at, i = base, 0
-            while i < len(node.lengths) and at < first:
-                at += node.lengths[i]
+            own, counts, at, i = node.lengths, node.tokens, base, 0
+            while i < len(own) and at < first:
+                at += own[i]
                 i += 1
             to, j = at, i
-            while j < len(node.lengths) and to < last:
-                to += node.lengths[j]
+            while j < len(own) and to < last:
+                to += own[j]
                 j += 1
-            return leaves(node.text[: at - base] + text + node.text[to - base :], node.lengths[:i] + lengths + node.lengths[j:], node.tokens[:i] + tokens + node.tokens[j:])
+            return leaves(node.text[: at - base] + text + node.text[to - base :], own[:i] + lengths + own[j:], counts[:i] + tokens + counts[j:])
         children: list[Node] = []
         placed = False
         for k, child in enumerate(node.children):
@@ -203,22 +209,23 @@ def tokens_of(codec: Codec, piece: str) -> int:
     return len(codec.word(piece) if got is None else got) // 4
 
 
-#: A document's leaves, one behind the other: their texts, how many pre-tokens each has, characters and tokens of those.
-TREE = "texts array<string>, sizes array<int>, lengths array<int>, tokens array<int>"
-TREE_ARROW = [("texts", pa.list_(pa.string())), ("sizes", pa.list_(pa.int32())), ("lengths", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int32()))]
+def encoded_leaves(text: str, codec: Codec) -> list[Node]:
+    """The leaves of a whole text."""
+    get, word, pieces = codec.words.get, codec.word, codec.pattern.findall(text)
+    return leaves(text, list(map(len, pieces)), [len(word(p) if (got := get(p)) is None else got) >> 2 for p in pieces])
+
+
+#: A document's leaves, one behind the other: texts, sums, and what each leaf packs.
+TREE = "texts array<string>, packed array<binary>, chars array<int>, counts array<int>, sizes array<int>"
+TREE_ARROW = [("texts", pa.list_(pa.string())), ("packed", pa.list_(pa.binary())), ("chars", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32()))]
 
 
-def columns_of(counted: CountedText) -> tuple[list, list, list, list]:
-    own = list(counted.leaves())
-    return [x.text for x in own], [len(x.lengths) for x in own], [n for x in own for n in x.lengths], [n for x in own for n in x.tokens]
+def columns_of(own: list[Node]) -> tuple[list, list, list, list, list]:
+    return [x.text for x in own], [x.packed for x in own], [x.chars for x in own], [x.count for x in own], [x.pieces for x in own]
 
 
-def from_columns(codec: Codec, texts: list[str], sizes: list[int], lengths: list[int], tokens: list[int]) -> CountedText:
-    nodes, at = [], 0
-    for text, n in zip(texts, sizes, strict=True):
-        nodes.append(Node(text, lengths[at : at + n], tokens[at : at + n]))
-        at += n
-    return CountedText(codec, nodes)
+def from_columns(codec: Codec, *columns: list) -> CountedText:
+    return CountedText(codec, [Node(*leaf) for leaf in zip(*columns, strict=True)])
 
 
 def counted(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -235,8 +242,9 @@ def counted(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_c
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                own = [CountedText.of(t or "", codec) for t in part.column(1).to_pylist()]
-                yield arrow_rows(schema, [part.column(0), [c.root.chars for c in own], [c.n_tokens for c in own], *zip(*map(columns_of, own), strict=True)])
+                own = [encoded_leaves(t or "", codec) for t in part.column(1).to_pylist()]
+                sums = [[sum(x.chars for x in c) for c in own], [sum(x.count for x in c) for c in own]]
+                yield arrow_rows(schema, [part.column(0), *sums, *zip(*map(columns_of, own), strict=True)])
 
     picked = docs.select(docs[id_col].cast("bigint").alias(id_col), docs[text_col].alias("text"))
     return stored(picked.mapInArrow(run, f"`{id_col}` bigint, n_chars bigint, n_tokens bigint, {TREE}"), "trees")
@@ -271,15 +279,15 @@ def edited(trees: DataFrame, tokenizer_path: str, edits_col: str = "edits", id_c
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part, rows = batch.slice(at, 1000), []
-                for before, edits, *leaf in zip(*(part.column(i).to_pylist() for i in (1, 2, 3, 4, 5, 6)), strict=True):
+                for before, edits, *leaf in zip(*(part.column(i).to_pylist() for i in range(1, 8)), strict=True):
                     own = from_columns(codec, *leaf)
                     for e in edits or []:
                         if e and None not in e.values():
                             own.edit(*e.values())
-                    rows.append((own.root.chars, own.n_tokens, *columns_of(own), before, own.n_pieces, own.encoded))
+                    rows.append((own.root.chars, own.n_tokens, *columns_of(list(own.leaves())), before, own.n_pieces, own.encoded))
                 yield arrow_rows(schema, [part.column(0), *zip(*rows, strict=True)])
 
-    picked = trees.select(F.col(id_col).cast("bigint").alias(id_col), "n_tokens", F.col(edits_col).cast("array<struct<start:bigint,end:bigint,new:string>>").alias("edits"), "texts", "sizes", "lengths", "tokens")
+    picked = trees.select(F.col(id_col).cast("bigint").alias(id_col), "n_tokens", F.col(edits_col).cast("array<struct<start:bigint,end:bigint,new:string>>").alias("edits"), "texts", "packed", "chars", "counts", "sizes")
     return picked.mapInArrow(run, f"`{id_col}` bigint, n_chars bigint, n_tokens bigint, {TREE}, " + ", ".join(f"{n} bigint" for n in names))
 
 
