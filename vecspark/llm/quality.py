@@ -45,8 +45,10 @@ PRIOR_SYMBOLS, PRIOR_DOCS = 10_000.0, 20.0
 FOLDS = 5
 #: Combinations up to which n-grams are numbered by a table, beyond by sorting.
 TABLE = 1 << 23
+#: Rows of a segment that are handed back at once: a segment whole would stand several times in the executor's memory.
+HANDED = 500
 #: Characters of a segment that are looked at together.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 def numbered(code: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,9 +147,9 @@ class Slots:
             own[known] = self.slots[k][place[known]]
             own[~known] = self.count + np.arange(int((~known).sum()))
             self.count += int((~known).sum())
-            seen, slots = np.concatenate([self.seen[k], h[~known]]), np.concatenate([self.slots[k], own[~known]])
-            order = np.argsort(seen, kind="stable")
-            self.seen[k], self.slots[k] = seen[order], slots[order]
+            order = np.argsort(h[~known], kind="stable")
+            spot = place[~known][order]
+            self.seen[k], self.slots[k] = np.insert(self.seen[k], spot, h[~known][order]), np.insert(self.slots[k], spot, own[~known][order])
             out.append(own)
             fresh.append(~known)
         return out, fresh
@@ -351,7 +353,10 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, margin:
                 bar = [math.exp(min(own.limit(lang), 700.0)) * margin for lang in langs]
                 new = {"perplexity": found, "threshold": bar, "keep": [x <= y for x, y in zip(found, bar, strict=True)]}
                 out = pa.RecordBatch.from_arrays([pa.array(new[f.name], type=f.type) if f.name in extra else rows[f.name].combine_chunks() for f in schema], schema=schema)
-                yield out.filter(pa.array(new["keep"], type=pa.bool_())) if only_kept else out
+                kept = pa.array(new["keep"], type=pa.bool_())
+                for at in range(0, out.num_rows, HANDED):
+                    part = out.slice(at, HANDED)
+                    yield part.filter(kept.slice(at, HANDED)) if only_kept else part
 
     return segments.join(scored, "seg").select("seg", "packed", "langs", "nll", "n").mapInArrow(run, kinds)
 
