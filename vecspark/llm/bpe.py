@@ -59,11 +59,13 @@ class Codec:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
         self.ranks = {a << 32 | b: rank for (a, b), (rank, _) in self.merges.items()}
+        self.first = [self.ranks.get(a << 32 | b, NEVER) for a in self.of_byte for b in self.of_byte]
         self.made = {rank: new for rank, new in self.merges.values()}
         self.inner = {pair for raw in in_bytes.values() for pair in zip(raw, raw[1:])}
         self.pattern = regex.compile(PRE_TOKEN)
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.words: dict[str, bytes] = {}
+        self.sizes: dict[str, int] = {}
         self.fragments: dict[bytes, bytes] = {}
 
     def cuts(self, raw: bytes) -> list[int]:
@@ -83,17 +85,20 @@ class Codec:
         return got
 
     def _encode(self, raw: bytes) -> bytes:
-        ids = [self.of_byte[b] for b in raw]
-        ids = self._short(ids) if len(ids) <= SHORT else self._long(ids)
+        ids = self._short(raw) if len(raw) <= SHORT else self._long([self.of_byte[b] for b in raw])
         return np.array(ids, dtype="<u4").tobytes()
 
-    def _short(self, ids: list[int]) -> list[int]:
-        get, made = self.ranks.get, self.made
-        ranks = [get(a << 32 | b, NEVER) for a, b in zip(ids, ids[1:])]
-        while ranks and (best := min(ranks)) != NEVER:
+    def _short(self, raw: bytes) -> list[int]:
+        get, made, first = self.ranks.get, self.made, self.first
+        ids = [self.of_byte[b] for b in raw]
+        ranks = [first[a << 8 | b] for a, b in zip(raw, raw[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == NEVER:
+                break
             i = ranks.index(best)
-            ids[i : i + 2] = [new] = [made[best]]
-            del ranks[i]
+            ids[i] = new = made[best]
+            del ids[i + 1], ranks[i]
             if i:
                 ranks[i - 1] = get(ids[i - 1] << 32 | new, NEVER)
             if i < len(ranks):
@@ -122,17 +127,29 @@ class Codec:
 
     def word(self, piece: str) -> bytes:
         """The ids of one pre-token."""
-        raw = piece.encode()
-        if cuts := self.cuts(raw):
-            got = b"".join(self.fragment(raw[i:j]) for i, j in zip([0, *cuts], [*cuts, len(raw)]))
-        else:
-            got = self._encode(raw)
+        got = self._word(piece)
         if len(self.words) >= self.most_kept:
             self.words.clear()
         if len(piece) <= 64:
             self.words[piece] = got
         return got
 
+    def size(self, piece: str) -> int:
+        """How many tokens one pre-token has."""
+        raw = piece.encode()
+        got = len(self._short(raw)) if len(raw) <= SHORT else len(self._word(piece)) // 4
+        if len(self.sizes) >= self.most_kept:
+            self.sizes.clear()
+        if len(piece) <= 64:
+            self.sizes[piece] = got
+        return got
+
+    def _word(self, piece: str) -> bytes:
+        raw = piece.encode()
+        if cuts := self.cuts(raw):
+            return b"".join(self.fragment(raw[i:j]) for i, j in zip([0, *cuts], [*cuts, len(raw)]))
+        return self._encode(raw)
+
     def _plain(self, text: str) -> bytes:
         kept, out = self.words, []
         for piece in self.pattern.findall(text):

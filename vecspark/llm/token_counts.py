@@ -61,12 +61,16 @@ class Node:
 
 
 def leaves(text: str, lengths: list[int], tokens: list[int]) -> list[Node]:
-    out, at = [], 0
-    for i in range(0, len(lengths), LEAF):
-        own, counts = lengths[i : i + LEAF], tokens[i : i + LEAF]
-        chars = sum(own)
-        out.append(Node(text[at : at + chars], np.array(own + counts, dtype="<u4").tobytes(), chars, sum(counts), len(own)))
-        at += chars
+    if not len(lengths):
+        return []
+    own, counts = np.asarray(lengths, dtype="<u4"), np.asarray(tokens, dtype="<u4")
+    first = np.arange(0, len(own), LEAF)
+    chars, sums = (np.add.reduceat(c, first, dtype=np.int64).tolist() for c in (own, counts))
+    own, counts, out, at = own.tobytes(), counts.tobytes(), [], 0
+    for i, n, m in zip(range(0, len(own), 4 * LEAF), chars, sums, strict=True):
+        part = own[i : i + 4 * LEAF]
+        out.append(Node(text[at : at + n], part + counts[i : i + 4 * LEAF], n, m, len(part) // 4))
+        at += n
     return out
 
 
@@ -205,14 +209,17 @@ class CountedText:
 
 
 def tokens_of(codec: Codec, piece: str) -> int:
-    got = codec.words.get(piece)
-    return len(codec.word(piece) if got is None else got) // 4
+    got = codec.sizes.get(piece)
+    return codec.size(piece) if got is None else got
 
 
 def encoded_leaves(text: str, codec: Codec) -> list[Node]:
     """The leaves of a whole text."""
-    get, word, pieces = codec.words.get, codec.word, codec.pattern.findall(text)
-    return leaves(text, list(map(len, pieces)), [len(word(p) if (got := get(p)) is None else got) >> 2 for p in pieces])
+    pieces = codec.pattern.findall(text)
+    tokens = list(map(codec.sizes.get, pieces))
+    if None in tokens:
+        tokens = [tokens_of(codec, p) if n is None else n for p, n in zip(pieces, tokens)]
+    return leaves(text, np.fromiter(map(len, pieces), "<u4", len(pieces)), tokens)
 
 
 #: A document's leaves, one behind the other: texts, sums, and what each leaf packs.
