@@ -1,11 +1,14 @@
+import inspect
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from llm_conftest import frame
+from llm_conftest import frame, prose
 from oracle import DATA, check, connection
 
 from vecspark.llm import decontaminate, queries
+from vecspark.storage import worker_cache
 
 
 def brute(text, items, n):
@@ -81,3 +84,19 @@ def test_segments_of_any_size_find_the_same(spark):
     whole = decontaminate.search(decontaminate.build_index(frame(spark, texts)), decontaminate.Phrases([(r.item_id, r.text.encode()) for r in items.collect()], 3))
     parts = decontaminate.search(decontaminate.build_index(frame(spark, texts), segment_bytes=30), decontaminate.Phrases([(r.item_id, r.text.encode()) for r in items.collect()], 3))
     assert sorted((r.id, r.hits, r["items"]) for r in whole.collect()) == sorted((r.id, r.hits, r["items"]) for r in parts.collect())
+
+
+def test_stage_of_the_pipeline_looks_at_a_megabyte_at_once(monkeypatch):
+    plain, sizes, text = decontaminate.postings, [], prose(3, 200)
+    monkeypatch.setattr(decontaminate, "postings", lambda texts: sizes.append(sum(map(len, texts))) or plain(texts))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(5000)), "text": [text] * 5000})
+    run = inspect.signature(decontaminate.clean_documents).parameters["segment_bytes"].default
+    kept = list(decontaminate.clean_rows(iter([batch]), decontaminate.Phrases([(1, b"of no text " * 4)], 10), "text", run))
+    assert sum(x.num_rows for x in kept) == 5000 and sum(sizes) == 5000 * len(text.encode())
+    assert len(sizes) > 4 and max(sizes) <= 1 << 20  # all at once before
+
+
+def test_worker_gives_back_what_other_stages_kept():
+    worker_cache(("codec", "x", True), lambda: bytes(1 << 20))
+    list(decontaminate.clean_rows(iter([]), decontaminate.Phrases([], 10), "text", 1 << 20))
+    assert worker_cache(("codec", "x", True), lambda: None) is None  # the megabyte before

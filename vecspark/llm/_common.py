@@ -6,17 +6,18 @@ from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from vecspark.storage import MADE, bucketed, forget, stored, worker_cache  # noqa: F401
+from vecspark.storage import MADE, bucketed, forget, given_back, stored, worker_cache  # noqa: F401
 
 
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """``batch`` in runs of rows of about ``most_bytes`` of ``column`` (a longer row stands alone)."""
-    sizes = [len(x) if x is not None else 0 for x in as_bytes(batch.column(column))]
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start, held = 0, 0
     for i, n in enumerate(sizes):
         if held and held + n > most_bytes:
@@ -77,6 +78,7 @@ def bundled(docs: DataFrame, id_col: str, text_col: str, kept: dict[str, tuple[s
     wide = docs.select("*", *(docs[c].cast(t).alias(f"vs_{n}") for n, (c, t) in kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given_back()
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in slices(batch, text_col, most_bytes):

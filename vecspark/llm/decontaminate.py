@@ -20,12 +20,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecspark.llm._common import arrow_rows, as_bytes, slices, stored
+from vecspark.llm._common import arrow_rows, as_bytes, given_back, slices, stored
 
 #: A-Z to lower case; every other ASCII character but digits and letters to a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 #: Space between documents in a segment's positions, so that no phrase crosses.
 GAP = 1024
+#: Bytes of text of which :func:`clean_documents` holds the index at once, in a worker.
+CLEANED = 1 << 20
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -253,11 +255,12 @@ def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.select(id_col, F.col("n_words"), n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
-def clean_documents(docs: DataFrame, bench: DataFrame, n: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", segment_bytes: int = 8 << 20, block_bytes: int = 32 << 20) -> DataFrame:
+def clean_documents(docs: DataFrame, bench: DataFrame, n: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", segment_bytes: int = CLEANED, block_bytes: int = 32 << 20) -> DataFrame:
     """The rows of ``docs`` that hold no window of a test item, as they are.
 
     Each task indexes its own rows, segment by segment, searches the segment and
-    passes on the rows without hits, so no row is moved or joined. Every block of
+    passes on the rows without hits, so no row is moved or joined; what a worker
+    holds at once is an eighth of a stored segment. Every block of
     test items is one more such pass over the rows. Null and empty texts hold
     nothing and stay; every row, whatever its id, is judged by its own text;
     all columns stay.
@@ -265,13 +268,16 @@ def clean_documents(docs: DataFrame, bench: DataFrame, n: int = 10, text_col: st
 
     def without(rows: DataFrame, phrases: Phrases) -> DataFrame:
         shared = rows.sparkSession.sparkContext.broadcast(phrases)
+        return rows.mapInArrow(lambda batches: clean_rows(batches, shared.value, text_col, segment_bytes), rows.schema)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in segments_of(batches, text_col, segment_bytes):
-                counts, terms, ends, places = postings(as_bytes(part.column(text_col)))
-                _, _, items = hit_words(counts, terms, ends, places, shared.value, 0)
-                yield part.filter(pa.array([not x for x in items], type=pa.bool_()))
+    return reduce(without, (Phrases(block, n) for block in item_blocks(bench, item_col, item_text_col, block_bytes)), docs)
 
-        return rows.mapInArrow(run, rows.schema)
 
-    return reduce(without, (Phrases(block, n) for block in item_blocks(bench, item_col, item_text_col, block_bytes)), docs)
+def clean_rows(batches: Iterator[pa.RecordBatch], phrases: Phrases, text_col: str, segment_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` without a window, indexed and searched ``segment_bytes`` of text at once."""
+    given_back()
+    for part in segments_of(batches, text_col, segment_bytes):
+        counts, terms, ends, places = postings(as_bytes(part.column(text_col)))
+        _, _, items = hit_words(counts, terms, ends, places, phrases, 0)
+        del terms, ends, places
+        yield part.filter(pa.array([not x for x in items], type=pa.bool_()))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from vecspark.llm._common import MADE, arrow_rows, bundled, forget, stored, unbundled
+from vecspark.llm._common import MADE, arrow_rows, bundled, forget, given_back, stored, unbundled
 from vecspark.llm.components import salted_join
 
 ORDER = 4
@@ -184,6 +184,7 @@ def segment_grams(segments: DataFrame, trusted: DataFrame, text_col: str, order:
     schema = pa.schema([("g", pa.string()), ("seg", pa.int64()), ("slot", pa.int32()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given_back()
         for batch in batches:
             for row in range(batch.num_rows):
                 texts, good = unbundled(batch.column(2)[row])[text_col].to_pylist(), set(batch.column(3)[row].as_py() or ())
@@ -258,6 +259,7 @@ def scores(segments: DataFrame, grams: DataFrame, model: DataFrame, text_col: st
     schema = pa.schema([("seg", pa.int64()), ("nll", pa.list_(pa.float64())), ("n", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given_back()
         for batch in batches:
             for row in range(batch.num_rows):
                 texts = unbundled(batch.column(1)[row])[text_col].to_pylist()
@@ -344,6 +346,7 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, margin:
     schema = to_arrow_schema(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given_back()
         own = limits.value
         for batch in batches:
             for row in range(batch.num_rows):

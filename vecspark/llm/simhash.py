@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from vecspark.llm._common import MADE, arrow_rows, as_bytes, bundled, forget, stored, unbundled
+from vecspark.llm._common import MADE, arrow_rows, as_bytes, bundled, forget, given_back, stored, unbundled
 from vecspark.llm.components import components, named_components, salted_join
 
 LIMIT = 2
@@ -208,6 +208,7 @@ def wide_fingerprints(segments: DataFrame, text_col: str, n: int) -> DataFrame:
     schema = pa.schema([("seg", pa.int64()), ("at", pa.int32()), ("id", pa.int64()), ("wide", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given_back()
         for batch in batches:
             for row in range(batch.num_rows):
                 texts = as_bytes(unbundled(batch.column(2)[row])[text_col])
@@ -468,6 +469,7 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, n: int = 5, id_col: st
     schema = to_arrow_schema(docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given_back()
         for batch in batches:
             for row in range(batch.num_rows):
                 rows = unbundled(batch.column(0)[row]).take(pa.array(sorted(batch.column(1)[row].as_py())))
