@@ -172,3 +172,15 @@ def test_rows_of_one_id_and_unlike_texts_stay(spark):
     kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id or 0, r.text, r.vs_id) for r in kept.collect()) == sorted([(1, rows[0][1], 7), (1, rows[1][1], 7), (0, rows[5][1], 7)])
+
+
+def test_links_grow_with_the_rows_of_a_group_not_its_segments(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    base, linked = rng.integers(0, 2, 64 * simhash.WIDE), []
+    wide = np.packbits((base ^ (rng.random((60, len(base))) < 0.04)).astype(np.uint8), axis=1)
+    nodes = spark.createDataFrame([(i, w.tobytes()) for i, w in enumerate(wide)], "node bigint, wide binary")
+    close = simhash.close_nodes
+    monkeypatch.setattr(simhash, "close_nodes", lambda pairs, *more: linked.append(pairs.count()) or close(pairs, *more))
+    edges = simhash.near_nodes(nodes, 0.8, lambda doubt: doubt.limit(0))
+    assert {r.node: r.root for r in components(edges).collect()} == dict.fromkeys(range(1, 60), 0)
+    assert linked[0] <= 60 * simhash.LINKS  # each row with all others before

@@ -165,6 +165,8 @@ def fingerprint_text(fp: str = "fp"):
 WIDE, SEGMENT_BITS, STRIDE = 32, 24, 12
 #: Standard errors of the Hamming distance within which the shingles themselves decide.
 DOUBT = 2.5
+#: Rows before it that a row is linked to before the pairs of groups meet.
+LINKS = 4
 
 
 def majority(rows: np.ndarray) -> np.ndarray:
@@ -280,6 +282,19 @@ def shared_segments(rows: DataFrame, limit: int) -> DataFrame:
     return ordered.mapInArrow(run, "k bigint, rest bigint, node bigint, prev bigint")
 
 
+def likely_links(members: DataFrame, most: int = LINKS) -> DataFrame:
+    """``u``, ``v``: each node with up to ``most`` of those before it (``prev``), which stand there in the most segments.
+
+    A bounded number a node, whatever its groups. It only spares comparisons:
+    :func:`crossing_pairs` looks at all pairs that these links leave apart.
+    """
+    often = members.where("prev is not null").groupBy("node", "prev").agg(F.count("*").alias("n"))
+    order = F.struct((-F.col("n")).alias("n"), F.xxhash64("node", "prev").alias("h"), "prev")
+    best = often.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(order)), 1, most).alias("best"))
+    pairs = best.select("node", F.explode("best.prev").alias("prev"))
+    return pairs.select(F.greatest("node", "prev").alias("u"), F.least("node", "prev").alias("v")).distinct()
+
+
 def chain_budget(limit: int) -> int:
     """Differences that the first 64 bits of a chain may hold."""
     return 64 * limit // (64 * WIDE)
@@ -388,8 +403,8 @@ def alike(pairs: DataFrame, nodes: DataFrame, segments: DataFrame, similarity: f
 def near_nodes(nodes: DataFrame, similarity: float, decide, block: int = 512) -> DataFrame:
     """Edges ``u``, ``v`` that connect those of ``nodes`` (``node``, ``wide``) that share a segment and are alike.
 
-    First those that follow each other in a segment's group are linked, a path and
-    not k * k pairs; then, with the components of these, all other pairs of the
+    First each is linked to a few of those that it follows in the segments' groups,
+    not to k * k; then, with the components of these, all other pairs of the
     group that could still join two of them are compared. Fingerprints that are
     clearly near are linked; of pairs in doubt ``decide`` gives those that are alike.
     """
@@ -401,8 +416,7 @@ def near_nodes(nodes: DataFrame, similarity: float, decide, block: int = 512) ->
         return near.where(F.col("apart") <= sure).select("u", "v").unionByName(decide(doubt if known is None else stored(unjoined(doubt, known), "doubt")))
 
     members = stored(shared_segments(segment_rows(nodes), limit), "segments")
-    paths = members.where("prev is not null").select(F.greatest("node", "prev").alias("u"), F.least("node", "prev").alias("v")).distinct()
-    rooted = components(linked(close_nodes(paths, nodes, limit), None))
+    rooted = components(linked(close_nodes(likely_links(members), nodes, limit), None))
     return edges_of(rooted).unionByName(linked(crossing_pairs(members, rooted, nodes, limit, block), rooted))
 
 
