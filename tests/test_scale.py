@@ -95,3 +95,34 @@ def test_points_that_join_later_have_a_radius(spark):
     assert set(sizes) == {r.id for r in index.aggs.collect()} and min(sizes.values()) > 0
     point = table(spark, x).where(f"id = {max(sizes)}")
     assert index.probes(point, None, "route").count() == len(sizes)
+
+
+@pytest.mark.parametrize("labelled", [False, True])
+def test_many_are_pruned_by_the_shard_s_pairs_as_one(x, labelled):
+    params, rng = GraphParams(degree=20, saturate=labelled), np.random.default_rng(9)
+    x = np.concatenate([x[:300], x[100:120]])  # equal rows too
+    labels = [{str(i % 3), str(i % 2)} for i in range(len(x))]
+    pools = [np.setdiff1d(rng.choice(len(x), 80, replace=False), [i])[:79] for i in range(30)]
+    covers = (lambda p, q: labels[q] <= labels[p]) if labelled else None
+    want = [graph.robust_prune(x, list(zip(graph.squared(x[p], x[i]).tolist(), p.tolist())), params, covers=covers) for i, p in enumerate(pools)]
+    has = graph.label_marks(labels) if labelled else None
+    got = graph.prune_many(x, np.arange(30), np.array(pools), params, has, graph.nearness(x, has))
+    assert [g[g >= 0].tolist() for g in got] == want
+
+
+@pytest.mark.parametrize("size", [24, 128])
+def test_ways_are_those_of_the_walks(size):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(900, 16))
+    nbrs, starts = graph.build(x, GraphParams(degree=12, list_size=24))
+    table = graph.neighbour_table(nbrs)
+    for allowed in (None, rng.random((50, 900)) < 0.5):
+        want = graph.greedy_many(x, table, np.array(starts), x[:50], size, allowed, path=True)[2]
+        got = graph.ways(x, table, np.array(starts), x[:50], size, allowed)
+        assert sorted(zip(*map(np.ndarray.tolist, got))) == sorted(zip(*map(np.ndarray.tolist, want)))
+
+
+def test_labelled_build_is_quick(x):
+    begun = time.thread_time()
+    graph.build(x[:1500], GraphParams(degree=96, list_size=128, saturate=True), [{str(i % 10)} for i in range(1500)])
+    assert time.thread_time() - begun < 9  # 12.0 s on one core before
