@@ -136,3 +136,18 @@ def test_two_rounds_of_edits_from_tables(spark, odd, odd_rows, nothing, plain_li
         for r in rows:
             assert r.n_tokens == len(plain_library.encode("".join(r.texts), add_special_tokens=False).ids) and r.n_chars == sum(r.chars)
     assert token_counts.edited(token_counts.with_edits(token_counts.counted(nothing, queries.tokenizer_path()), table), queries.tokenizer_path()).collect() == []
+
+
+def test_workers_keep_nothing_for_the_next_task(spark):
+    def kept(batches):
+        import sys
+
+        import pyarrow as pa
+
+        for batch in batches:
+            entries = getattr(sys.modules.get("_vecspark_cache"), "entries", {})
+            yield pa.RecordBatch.from_pylist([{"n": sum("Qzxjv" in getattr(e, "words", ()) for e in entries.values())}] * batch.num_rows, schema=pa.schema([("n", pa.int64())]))
+
+    docs = spark.createDataFrame([(1, "Qzxjv")], "doc_id bigint, text string")
+    assert bpe.tokenized(docs, queries.tokenizer_path()).collect()[0].decoded
+    assert spark.range(0, 64, 1, 16).mapInArrow(kept, "n bigint").agg({"n": "sum"}).first()[0] == 0

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from vecspark.storage import MADE, bucketed, forget, given_back, stored, worker_cache  # noqa: F401
+from vecspark.storage import MADE, bucketed, forget, given_back, lean, stored, worker_cache  # noqa: F401
 
 
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -45,7 +45,8 @@ def row_wise(docs: DataFrame, text_col: str, make: Callable[[list, pa.RecordBatc
 
     Columns named as those of ``docs`` replace them; others must be in ``added``
     (name -> type), replacing clashing ones. A column ``vs_keep`` selects the rows
-    that stay. Everything else passes as it is, without a shuffle.
+    that stay. Everything else passes as it is, without a shuffle. A worker keeps
+    nothing for its next task.
     """
     extra = [StructField(n, _parse_datatype_string(t)) for n, t in (added or {}).items()]
     plain = docs.drop(*(f.name for f in extra))
@@ -62,7 +63,7 @@ def row_wise(docs: DataFrame, text_col: str, make: Callable[[list, pa.RecordBatc
                 out = pa.RecordBatch.from_arrays(columns, names=arrow.names)
                 yield out.filter(pa.array(new["vs_keep"], type=pa.bool_())) if "vs_keep" in new else out
 
-    return plain.mapInArrow(run, schema)
+    return plain.mapInArrow(lean(run), schema)
 
 
 def bundled(docs: DataFrame, id_col: str, text_col: str, kept: dict[str, tuple[str, str]] | None = None, most_bytes: int = 4 << 20) -> DataFrame:
@@ -78,7 +79,6 @@ def bundled(docs: DataFrame, id_col: str, text_col: str, kept: dict[str, tuple[s
     wide = docs.select("*", *(docs[c].cast(t).alias(f"vs_{n}") for n, (c, t) in kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given_back()
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in slices(batch, text_col, most_bytes):
@@ -87,7 +87,7 @@ def bundled(docs: DataFrame, id_col: str, text_col: str, kept: dict[str, tuple[s
                 number += 1
 
     columns = ", ".join(f"{n} array<{t}>" for n, (_, t) in kinds)
-    return bucketed(wide.mapInArrow(run, f"seg bigint, {columns}, packed binary"), "seg", docs)
+    return bucketed(wide.mapInArrow(lean(run), f"seg bigint, {columns}, packed binary"), "seg", docs)
 
 
 def packed(rows: pa.RecordBatch) -> bytes:

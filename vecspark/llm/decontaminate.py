@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecspark.llm._common import arrow_rows, as_bytes, given_back, slices, stored
+from vecspark.llm._common import arrow_rows, as_bytes, lean, slices, stored
 
 #: A-Z to lower case; every other ASCII character but digits and letters to a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -268,14 +268,13 @@ def clean_documents(docs: DataFrame, bench: DataFrame, n: int = 10, text_col: st
 
     def without(rows: DataFrame, phrases: Phrases) -> DataFrame:
         shared = rows.sparkSession.sparkContext.broadcast(phrases)
-        return rows.mapInArrow(lambda batches: clean_rows(batches, shared.value, text_col, segment_bytes), rows.schema)
+        return rows.mapInArrow(lean(lambda batches: clean_rows(batches, shared.value, text_col, segment_bytes)), rows.schema)
 
     return reduce(without, (Phrases(block, n) for block in item_blocks(bench, item_col, item_text_col, block_bytes)), docs)
 
 
 def clean_rows(batches: Iterator[pa.RecordBatch], phrases: Phrases, text_col: str, segment_bytes: int) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` without a window, indexed and searched ``segment_bytes`` of text at once."""
-    given_back()
     for part in segments_of(batches, text_col, segment_bytes):
         counts, terms, ends, places = postings(as_bytes(part.column(text_col)))
         _, _, items = hit_words(counts, terms, ends, places, phrases, 0)

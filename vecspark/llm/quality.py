@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from vecspark.llm._common import MADE, arrow_rows, bundled, forget, given_back, stored, unbundled
+from vecspark.llm._common import MADE, arrow_rows, bundled, forget, lean, stored, unbundled
 from vecspark.llm.components import salted_join
 
 ORDER = 4
@@ -184,7 +184,6 @@ def segment_grams(segments: DataFrame, trusted: DataFrame, text_col: str, order:
     schema = pa.schema([("g", pa.string()), ("seg", pa.int64()), ("slot", pa.int32()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given_back()
         for batch in batches:
             for row in range(batch.num_rows):
                 texts, good = unbundled(batch.column(2)[row])[text_col].to_pylist(), set(batch.column(3)[row].as_py() or ())
@@ -202,7 +201,7 @@ def segment_grams(segments: DataFrame, trusted: DataFrame, text_col: str, order:
                     yield arrow_rows(schema, [part, [batch.column(0)[row].as_py()] * len(part), np.arange(at, at + len(part)), n[at : at + 20_000]])
 
     joined = segments.join(trusted, "seg", "left").select("seg", "ids", "packed", "trusted")
-    return stored(joined.mapInArrow(run, "g string, seg bigint, slot int, n bigint"), "grams")
+    return stored(joined.mapInArrow(lean(run), "g string, seg bigint, slot int, n bigint"), "grams")
 
 
 def discounts(table: DataFrame) -> list[float]:
@@ -259,7 +258,6 @@ def scores(segments: DataFrame, grams: DataFrame, model: DataFrame, text_col: st
     schema = pa.schema([("seg", pa.int64()), ("nll", pa.list_(pa.float64())), ("n", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given_back()
         for batch in batches:
             for row in range(batch.num_rows):
                 texts = unbundled(batch.column(1)[row])[text_col].to_pylist()
@@ -276,7 +274,7 @@ def scores(segments: DataFrame, grams: DataFrame, model: DataFrame, text_col: st
                 yield arrow_rows(schema, [[batch.column(0)[row].as_py()], [np.concatenate(nll)], [np.concatenate(n)]])
 
     joined = segments.join(answers, "seg", "left").select("seg", "packed", "slots", "p", "back")
-    return stored(joined.mapInArrow(run, "seg bigint, nll array<double>, n array<bigint>"), "scores")
+    return stored(joined.mapInArrow(lean(run), "seg bigint, nll array<double>, n array<bigint>"), "scores")
 
 
 class Limits:
@@ -346,7 +344,6 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, margin:
     schema = to_arrow_schema(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given_back()
         own = limits.value
         for batch in batches:
             for row in range(batch.num_rows):
@@ -361,7 +358,7 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, margin:
                     part = out.slice(at, HANDED)
                     yield part.filter(kept.slice(at, HANDED)) if only_kept else part
 
-    return segments.join(scored, "seg").select("seg", "packed", "langs", "nll", "n").mapInArrow(run, kinds)
+    return segments.join(scored, "seg").select("seg", "packed", "langs", "nll", "n").mapInArrow(lean(run), kinds)
 
 
 def at_quantile(bins: list[tuple[int, int]], q: float) -> float:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from vecspark.llm._common import MADE, arrow_rows, as_bytes, bundled, forget, given_back, stored, unbundled
+from vecspark.llm._common import MADE, arrow_rows, as_bytes, bundled, forget, lean, stored, unbundled
 from vecspark.llm.components import components, named_components, salted_join
 
 LIMIT = 2
@@ -210,14 +210,13 @@ def wide_fingerprints(segments: DataFrame, text_col: str, n: int) -> DataFrame:
     schema = pa.schema([("seg", pa.int64()), ("at", pa.int32()), ("id", pa.int64()), ("wide", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given_back()
         for batch in batches:
             for row in range(batch.num_rows):
                 texts = as_bytes(unbundled(batch.column(2)[row])[text_col])
                 wide = [wide_fingerprint(t, n).tobytes() for t in texts]
                 yield arrow_rows(schema, [np.full(len(texts), batch.column(0)[row].as_py()), np.arange(len(texts)), batch.column(1)[row].values, wide])
 
-    return segments.select("seg", "ids", "packed").mapInArrow(run, "seg bigint, at int, id bigint, wide binary")
+    return segments.select("seg", "ids", "packed").mapInArrow(lean(run), "seg bigint, at int, id bigint, wide binary")
 
 
 def window(raw: np.ndarray, bit: int) -> np.ndarray:
@@ -483,10 +482,9 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, n: int = 5, id_col: st
     schema = to_arrow_schema(docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given_back()
         for batch in batches:
             for row in range(batch.num_rows):
                 rows = unbundled(batch.column(0)[row]).take(pa.array(sorted(batch.column(1)[row].as_py())))
                 yield from rows.cast(schema).combine_chunks().to_batches()
 
-    return segments.join(places, "seg").select("packed", "ats").mapInArrow(run, docs.schema)
+    return segments.join(places, "seg").select("packed", "ats").mapInArrow(lean(run), docs.schema)
