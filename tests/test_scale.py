@@ -126,3 +126,13 @@ def test_labelled_build_is_quick(x):
     begun = time.thread_time()
     graph.build(x[:1500], GraphParams(degree=96, list_size=128, saturate=True), [{str(i % 10)} for i in range(1500)])
     assert time.thread_time() - begun < 9  # 12.0 s on one core before
+
+
+def test_named_shards_are_bounded_in_rows_too(spark, monkeypatch):
+    monkeypatch.setattr(indices.shard_centres, "__defaults__", (200,))
+    rows = table(spark, np.random.default_rng(4).normal(size=(500, 6)))
+    index = indices.StaticIndex.build(rows, IndexConfig(6), GraphParams(degree=8, list_size=16), shards=2)
+    held = index.graphs.groupBy("shard").count().collect()
+    assert len(held) == 5 and max(r["count"] for r in held) < 500
+    found = index.search(rows.where("id < 20"), 5, 500).collect()
+    assert len(found) == 95 and sum(r.id == r.qid for r in found) == 19
