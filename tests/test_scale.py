@@ -1,5 +1,6 @@
 """What larger tables need: batched builds, whole walks, rows in reach, shards of bounded rows, radii of later points."""
 
+import re
 import time
 
 import numpy as np
@@ -136,3 +137,22 @@ def test_named_shards_are_bounded_in_rows_too(spark, monkeypatch):
     assert len(held) == 5 and max(r["count"] for r in held) < 500
     found = index.search(rows.where("id < 20"), 5, 500).collect()
     assert len(found) == 95 and sum(r.id == r.qid for r in found) == 19
+
+
+def test_repair_prunes_by_the_shard_s_pairs(monkeypatch):
+    x, held, prune = np.random.default_rng(6).normal(size=(300, 5)), [], graph.prune_many
+    monkeypatch.setattr(graph, "prune_many", lambda *a: held.append(len(a) > 5 and a[5] is not None) or prune(*a))
+    params, dead = GraphParams(degree=8, list_size=16), set(range(0, 300, 3))
+    nbrs = [[(i + j) % 300 for j in range(1, 9)] for i in range(300)]
+    graph.repair(x, nbrs, dead, params)
+    assert held and all(held)
+    assert all(len(own) <= 8 and dead.isdisjoint(own) for i, own in enumerate(nbrs) if i not in dead)
+
+
+def test_probes_are_shuffled_once(spark):
+    rows = table(spark, np.random.default_rng(8).normal(size=(300, 5)))
+    asked, (aggs, lists) = rows.where("id < 10"), pag.built(rows, pag.PagParams(sample_rate=0.1))
+    probes = pag.probed(aggs, asked, 4)
+    found = pag.search(rows, aggs, lists, asked, probes.unionByName(probes), 5)
+    assert not re.search(r"Aggregate \[qid#\d+L?, agg_id#\d+L?\]", found._jdf.queryExecution().optimizedPlan().toString())
+    assert sorted(found.collect()) == sorted(pag.search(rows, aggs, lists, asked, probes, 5).collect())
