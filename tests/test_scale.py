@@ -6,8 +6,9 @@ import time
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
-from vecspark.operators import graph, pag
+from vecspark.operators import exact, graph, pag
 from vecspark.operators.graph import GraphParams
 from vecspark.plans import indices
 from vecspark.plans.params import IndexConfig
@@ -156,3 +157,62 @@ def test_probes_are_shuffled_once(spark):
     found = pag.search(rows, aggs, lists, asked, probes.unionByName(probes), 5)
     assert not re.search(r"Aggregate \[qid#\d+L?, agg_id#\d+L?\]", found._jdf.queryExecution().optimizedPlan().toString())
     assert sorted(found.collect()) == sorted(pag.search(rows, aggs, lists, asked, probes, 5).collect())
+
+
+@pytest.mark.parametrize("whole", [4096, 0])
+def test_merge_by_search_keeps_its_degree_over_many_shards(spark, monkeypatch, whole):
+    monkeypatch.setattr(indices.shard_centres, "__defaults__", (100,))
+    monkeypatch.setattr(graph.merged_by_search, "__defaults__", (30, whole)[: len(graph.merged_by_search.__defaults__)])
+    x = np.random.default_rng(4).normal(size=(500, 6))
+    rows = table(spark, x)
+    index = indices.StaticIndex.build(rows, IndexConfig(6), GraphParams(degree=8, list_size=16), shards=2)
+    assert index.graphs.select("shard").distinct().count() > 6
+    merged = {r.id: r.nbrs for r in graph.merged_by_search(index.graphs, rows, 6).collect()}
+    assert set(merged) == set(range(1, 501))
+    assert {len(own) for own in merged.values()} == {5}  # one of the six is the row itself; 9 before
+    near = np.argsort(((x[:, None] - x) ** 2).sum(axis=2), axis=1)[:, 1:6] + 1
+    right = sum(len(set(own) & set(near[i - 1].tolist())) for i, own in merged.items())
+    assert right == 2500 if whole else right > 2400
+
+
+def test_merge_by_search_comes_only_to_rows_in_reach(spark):
+    x = np.random.default_rng(5).normal(size=(40, 3))
+    rows = table(spark, x)
+    index = indices.StaticIndex.build(rows, IndexConfig(3), GraphParams(degree=8, list_size=16))
+    cut = index.graphs.withColumn("nbrs", F.filter("nbrs", lambda i: i != 7)).withColumn("is_start", F.col("is_start") & (F.col("id") != 7))
+    merged = {r.id: r.nbrs for r in graph.merged_by_search(cut, rows, 12).collect()}
+    assert set(merged) == set(range(1, 41)) and all(7 not in own for own in merged.values())
+
+
+@pytest.mark.parametrize("n, dim, width", [(3000, 5, 256), (700, 64, 2048), (30, 3, 8), (1, 2, 8)])
+def test_led_lists_are_the_exact_ones(n, dim, width):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(n, dim)) + 100  # far from 0, where half the digits are few
+    x[n // 2 :] = x[: n - n // 2]  # each row twice
+    ids = rng.permutation(n) + 5
+    want, got = (kernel(ids, x, ids[:300], x[:300]) for kernel in (exact.nearest_kernel(12, "l2"), graph.led_kernel(12, 64, width)))
+    want, got = (np.array(sorted(zip(*map(np.ndarray.tolist, found)))) for found in (want, got))
+    assert got.shape == want.shape and (got[:, :2] == want[:, :2]).all() and np.allclose(got[:, 2], want[:, 2])
+
+
+@pytest.mark.parametrize("first", [1, 20, 900, 2000])
+def test_first_of_whole_walks_are_those_of_all(monkeypatch, first):
+    monkeypatch.setattr(graph, "RATIOS", 2000)  # few queries at once
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 3, size=(900, 4)).astype(np.float32)  # most distances are tied
+    nbrs = [[(i + 1) % 800] for i in range(800)] + [[] for _ in range(100)]
+    for allowed in (None, np.arange(900) % 2 < np.arange(50)[:, None] % 3):
+        want = graph.whole_walks(x, graph.neighbour_table(nbrs), np.array([0, 1]), x[:50], allowed)
+        got = graph.greedy_many(x, graph.neighbour_table(nbrs), np.array([0, 1]), x[:50], 900, allowed, first=first)
+        assert all((g == w[:, :first]).all() for g, w in zip(got, want))
+
+
+def test_many_rows_out_of_reach_are_linked_quickly():
+    x = np.random.default_rng(7).normal(size=(20_000, 64))
+    nbrs = [[(i + 1) % 19_500] for i in range(19_500)] + [[] for _ in range(500)]
+    begun = time.thread_time()
+    starts = graph.linked(x, nbrs, [0], 4)
+    assert time.thread_time() - begun < 1.5  # 3.2 s one by one
+    assert starts == [0] and graph.reachable(graph.neighbour_table(nbrs), np.array(starts)).all() and max(map(len, nbrs)) <= 4
+    near = graph.squared(x[:19_500], x[19_500]).argmin()
+    assert nbrs[near][1] == 19_500
